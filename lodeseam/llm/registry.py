@@ -7,15 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import OP4_SQL, op4_exact_dedup
+from .license_scan import op1_license_scan
+from .mixing import op2_mix_sources
 from .quality_rules import op9_quality_rules
+from .simhash import op3_simhash_near_dedup
+from .url_filter import OP6_SQL, op6_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_license_scan": op1_license_scan,
+        "op2_mix_sources": op2_mix_sources,
+        "op3_simhash_near_dedup": op3_simhash_near_dedup,
         "op4_exact_dedup": op4_exact_dedup,
+        "op6_url_filter": op6_url_filter,
         "op9_quality_rules": op9_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op6_url_filter": OP6_SQL}
