@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .license_scan import op1_license_scan
 from .mixing import op2_mix_sources
+from .packing import op8_best_fit_packing
 from .quality_rules import op9_quality_rules
 from .simhash import op3_simhash_near_dedup
+from .token_counts import op5_token_counts
 from .url_filter import OP6_SQL, op6_url_filter
 
 
@@ -20,7 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_mix_sources": op2_mix_sources,
         "op3_simhash_near_dedup": op3_simhash_near_dedup,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_token_counts": op5_token_counts,
         "op6_url_filter": op6_url_filter,
+        "op8_best_fit_packing": op8_best_fit_packing,
         "op9_quality_rules": op9_quality_rules,
     }
 
