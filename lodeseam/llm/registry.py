@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import OP4_SQL, op4_exact_dedup
+from .katz import op7_lm_score
 from .license_scan import op1_license_scan
 from .mixing import op2_mix_sources
 from .packing import op8_best_fit_packing
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_exact_dedup": op4_exact_dedup,
         "op5_token_counts": op5_token_counts,
         "op6_url_filter": op6_url_filter,
+        "op7_lm_score": op7_lm_score,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_quality_rules": op9_quality_rules,
     }
