@@ -1,11 +1,16 @@
-"""From raw documents to packed sequences in five stages, each a written table that the next one reads."""
+"""From raw documents to packed sequences in five stages, each a written table that the next one reads.
+
+Every stage works on all that its predecessor kept and returns the columns of ``documents``, but for the last, which
+returns the packed pieces.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseam.llm import exact_dedup, quality_rules
+from lodeseam.llm import exact_dedup, mixing, packing, quality_rules, simhash
 from lodeseam.llm.common import materialize, table
 
 
@@ -19,12 +24,35 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
     found = exact_dedup.dedup_against_index(docs, exact_dedup.DigestIndex(spark))
-    return docs.join(found.where("kept").select("doc_id"), "doc_id", "left_semi")
+    return docs.join(found.where("kept").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that fingerprints link."""
+    found = simhash.near_duplicates(docs)
+    return docs.join(found.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+
+
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix draws them, whole: none that it does not draw."""
+    draws = mixing.mix(docs, block_words=mixing.WHOLE, whole_blocks=True)
+    drawn = draws.where("shard is not null").select("doc_id", "shard")
+    return docs.join(drawn, "doc_id").select(*docs.columns)
+
+
+def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("quality_rules", rules_stage), ("exact_dedup", exact_stage)]
+STAGES = [
+    ("quality_rules", rules_stage),
+    ("exact_dedup", exact_stage),
+    ("near_dedup", near_stage),
+    ("mix_sources", mix_stage),
+    ("pack", pack_stage),
+]
 
-#: The SimHash and packing stages have no SQL form; tests/llm/test_pipeline.py checks run() stage by stage.
+#: SimHash and packing have no SQL form; tests/llm/test_pipeline.py checks the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -14,6 +14,7 @@ from .packing import op8_best_fit_packing
 from .quality_rules import op9_quality_rules
 from .simhash import op3_simhash_near_dedup
 from .token_counts import op5_token_counts
+from .toxicity import op10_toxicity
 from .url_filter import OP6_SQL, op6_url_filter
 
 
@@ -28,6 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_lm_score": op7_lm_score,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_quality_rules": op9_quality_rules,
+        "op10_toxicity": op10_toxicity,
     }
 
 
