@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import retrieval
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules that each offer QUERIES (name -> callable) and ORACLES (name -> SQL).
-_MODULES: tuple = ()
+_MODULES = (retrieval,)
 
 
 def queries() -> dict[str, Query]:
@@ -21,4 +23,5 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The ten best documents of every benchmark passage."""
+    return retrieval.bm25_or_topk(spark, sf_dir)
