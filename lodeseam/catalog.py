@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import retrieval
+from .plans import corpus, graphs, retrieval
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules that each offer QUERIES (name -> callable) and ORACLES (name -> SQL).
-_MODULES = (retrieval,)
+_MODULES = (retrieval, corpus, graphs)
 
 
 def queries() -> dict[str, Query]:
