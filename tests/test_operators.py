@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeseam.functions import text as X
-from lodeseam.operators import chunking, corpus_map, evaluate, evidence, findings, fusion, graph, lexical, linking, semantic, telemetry
+from lodeseam.operators import chunking, corpus_map, evaluate, evidence, findings, fusion, graph, lexical, linking, locate, semantic, telemetry
 from lodeseam.sources import corpus
 
 
@@ -188,3 +188,47 @@ def test_alert_fires_once_per_run(spark):
     rows += [(1, 31 + i, start + timedelta(minutes=31 + i), 0.001) for i in range(10)]
     df = spark.createDataFrame(rows, "repo_id long, id long, created_at timestamp, top_score double")
     assert sorted(r["id"] for r in telemetry.low_score_alerts(df).collect()) == [9, 40]
+
+
+def test_location_terms_hints_and_clauses(spark):
+    q = "Where does the handler of HTTPAdapter.send retry, and how the Session is closed by requests.sessions.Session.close"
+    assert one(spark, q, locate.location_terms) == ["adapter", "close", "closed", "handler", "http", "requests", "retry", "send", "session", "sessions"]
+    h = one(spark, q, locate.hints)
+    assert h["methods"] == ["httpadapter.send", "session.close"] and h["symbols"] == ["requests.sessions.session.close"]
+    clauses = one(spark, q, locate.sub_questions)
+    assert clauses[0] == q and clauses[1].startswith("Where does the handler") and len(clauses) == 4
+
+
+def test_keyphrases(spark):
+    q = spark.createDataFrame([(1, "local development user for the model provider address"), (2, "of the"), (3, "Alpha beta and alpha Beta")], "query_id long, query string")
+    got = {}
+    for r in locate.keyphrases(q).orderBy("query_id", "position").collect():
+        got.setdefault(r["query_id"], []).append(r["phrase"])
+    assert got == {1: ["local development user", "development user", "model provider address", "provider address"], 3: ["Alpha beta"]}
+
+
+def test_windows_do_not_overlap(spark):
+    rng = np.random.default_rng(5)
+    words = ["alpha", "beta", "gamma", "x", "y", "z"]
+    rows = [(1, k, ["alpha", "beta"], "\n".join(" ".join(rng.choice(words, 3)) if rng.random() < 0.3 else "" for _ in range(int(rng.integers(10, 80)))), 5) for k in range(12)]
+    got: dict = {}
+    for r in locate.windows(spark.createDataFrame(rows, "query_id long, chunk_id long, terms array<string>, content string, start_line int")).collect():
+        got.setdefault(r["chunk_id"], []).append((r["start_line"], r["end_line"], r["hits"]))
+    for _, k, terms, content, start in rows:
+        lines = content.split("\n")
+        last = start + len(lines) - 1
+        found = sorted((-len(set(x.split()) & set(terms)), start + i) for i, x in enumerate(lines) if set(x.split()) & set(terms))
+        chosen: list = []
+        for score, line in found:
+            a, b = max(start, line - 6), min(last, line + 1)
+            if not any(a <= w[1] and w[0] <= b for w in chosen):
+                chosen.append((a, b, -score))
+        if found and last - start < 24:
+            chosen = [(start, last, -found[0][0])]
+        assert sorted(got.get(k, [])) == sorted(chosen)
+
+
+def test_ranges_are_dropped_in_rank_order(spark):
+    rows = [(1, "a", 1, 5, 1), (1, "a", 4, 9, 2), (1, "b", 4, 9, 3), (1, "a", 10, 12, 4), (1, "a", 20, 22, 5), (1, "c", 1, 1, 6)]
+    got = locate.drop_overlaps(spark.createDataFrame(rows, "query_id long, path string, start_line int, end_line int, rank int"), 3)
+    assert sorted(r["rank"] for r in got.collect()) == [1, 3, 4]
