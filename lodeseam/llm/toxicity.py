@@ -36,9 +36,11 @@ from .common import table
 #: Labelled documents of each kind in the fit, about and at most, and the longest of them.
 SAMPLE = {1: 3000, 0: 6000}
 SAMPLE_CHARS = 60_000
-TOXIC_BYTES, ORDINARY_BYTES = 8192, 16384
-#: Log odds, in standard errors, and toxic documents, from which on a word is a sample of the toxic dictionary.
-MIN_Z, MIN_DOCS = 3.0, 3
+#: Settings tried: bytes of the toxic and of the ordinary dictionary, and the log odds, in standard errors, from which on a
+#: word is a sample of the toxic one.  The setting that ranks the documents kept from the dictionaries best is used.
+SETTINGS = ((6144, 32768, 3.0), (6144, 32768, 3.5), (8192, 16384, 3.0))
+#: Toxic documents a word of the toxic dictionary occurs in, at least.
+MIN_DOCS = 3
 THRESHOLDS = (1, 2, 3, 4, 5, 6)
 MEMO = 600_000
 TAIL = bytes(b for b in range(1, 32) if b != 10)
@@ -114,7 +116,6 @@ def fit(rows: list[tuple[int, str, int]], weight: dict[int, float], prior: float
     rows = list(dict.fromkeys(rows))  # copies would make any of their words recur
     if len({y for _, _, y in rows}) < 2:
         return ToxicityModel(b"", b"", (), (), (), prior)
-    shuffle = random.Random(7).shuffle
     docs: dict[int, Counter] = {0: Counter(), 1: Counter()}
     n = {0: 0, 1: 0}
     times: Counter = Counter()
@@ -131,29 +132,40 @@ def fit(rows: list[tuple[int, str, int]], weight: dict[int, float], prior: float
         odds = math.log((a + 0.5) / (n[1] - a + 0.5)) - math.log((b + 0.5) / (n[0] - b + 0.5))
         return odds / math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
 
-    marked = {w: a for w, a in sorted(docs[1].items()) if a >= MIN_DOCS and len(w) >= 3 and z(w) > MIN_Z}
-    toxic = [b" " + w + b" " for w, a in marked.items() for _ in range(min(a, 30))]
-    ordinary = [b" " + w + b" " for w, c in sorted(times.items()) if w not in marked for _ in range(min(8, 1 + int(math.log2(c))))]
-    shuffle(toxic)
-    shuffle(ordinary)
-    dictionaries = _train(toxic, TOXIC_BYTES), _train(ordinary[:150_000], ORDINARY_BYTES)
-    gains = Gains(*dictionaries)
+    odds = {w: (a, z(w)) for w, a in sorted(docs[1].items()) if a >= MIN_DOCS and len(w) >= 3}
     held = [r for r in rows if not r[0]]
+    pure = np.array([r[2] for r in held], dtype=float)
     held += [r for r in rows if r[0]][: len(held) // 2]
-    x = np.array([gains.summary(t) for _, t, _ in held])
+    if len(held) < 20 or not pure.size or pure.min() == pure.max():
+        held, pure = rows, np.array([r[2] for r in rows], dtype=float)
     y = np.array([r[2] for r in held], dtype=float)
-    if len(held) < 20 or y.min() == y.max():
-        held = rows
-        x, y = np.array([gains.summary(t) for _, t, _ in held]), np.array([r[2] for r in held], dtype=float)
+    each = np.where(y == 1, weight[1], weight[0])
+    best: tuple[float, ToxicityModel] | None = None
+    for toxic_bytes, ordinary_bytes, least in SETTINGS:
+        toxic = [b" " + w + b" " for w, (a, o) in odds.items() if o > least for _ in range(min(a, 30))]
+        ordinary = [b" " + w + b" " for w, c in sorted(times.items()) if odds.get(w, (0, 0.0))[1] <= least for _ in range(min(8, 1 + int(math.log2(c))))]
+        random.Random(7).shuffle(toxic)
+        random.Random(7).shuffle(ordinary)
+        dictionaries = _train(toxic, toxic_bytes), _train(ordinary[:150_000], ordinary_bytes)
+        gains = Gains(*dictionaries)
+        x = np.array([gains.summary(t) for _, t, _ in held])
+        mean, scale, w = _curve(x, y, each / each.mean())
+        ranks = np.argsort(np.argsort((x[: len(pure)] - mean) / scale @ w[:-1], kind="stable"))
+        area = float(ranks[pure == 1].mean() - ranks[pure == 0].mean())
+        if best is None or area > best[0]:
+            best = area, ToxicityModel(*dictionaries, tuple(mean.tolist()), tuple(scale.tolist()), tuple(w.tolist()), prior)
+    return best[1]
+
+
+def _curve(x: np.ndarray, y: np.ndarray, each: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Means, scales and weights of a logistic curve with a ridge, by Newton's method."""
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     design, w = np.c_[(x - mean) / scale, np.ones(len(x))], np.zeros(x.shape[1] + 1)
-    each = np.where(y == 1, weight[1], weight[0])
-    each = each / each.mean()
-    for _ in range(25):  # Newton's method, with a ridge
+    for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
         hessian = (design * (each * p * (1 - p))[:, None]).T @ design + np.eye(len(w))
         w = w - np.linalg.solve(hessian, design.T @ (each * (p - y)) + w)
-    return ToxicityModel(*dictionaries, tuple(mean.tolist()), tuple(scale.tolist()), tuple(w.tolist()), prior)
+    return mean, scale, w
 
 
 def held_out():
