@@ -11,43 +11,51 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int, slice_rows: int = 256) -> DataFrame:
+def _packed(rows: DataFrame, id_column: str, block: int) -> DataFrame:
+    """Blocks of at most ``block`` unit vectors of one dimension: size, ids, m (row-major doubles).  Nothing shuffles."""
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for size, own in f.groupby(f["vector"].map(len)):
+                for at in range(0, len(own), block):
+                    part = own.iloc[at : at + block]
+                    m = np.array(part["vector"].tolist(), dtype=np.float64)
+                    norm = np.linalg.norm(m, axis=1, keepdims=True)
+                    m = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+                    yield pd.DataFrame({"size": [size], "ids": [part[id_column].to_numpy()], "m": [m.tobytes()]})
+
+    return rows.select(id_column, "vector").where("vector is not null").mapInPandas(pack, "size int, ids array<bigint>, m binary")
+
+
+def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int, query_block: int = 256, vector_block: int = 4096) -> DataFrame:
     """query_id, vec_id, score (over 0), rank.  ``queries``: query_id, vector; ``vectors``: vec_id, vector.
 
-    Queries are packed into slices of ``slice_rows``; each slice meets each batch of vectors once as a matrix product, and
-    only a batch's own top k leave it.  A zero vector or another dimension scores nothing.  Exact, in double precision.
+    Both sides are packed into blocks; every block of queries meets every block of vectors as one matrix product, and only
+    the product's k best of each query leave it.  A zero vector or another dimension scores nothing.  Exact, in double
+    precision; ties go by vec_id.
     """
-    sliced = queries.withColumn("slice", F.floor((F.row_number().over(Window.orderBy("query_id")) - 1) / slice_rows))
-    packed = sliced.groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("query_id", "vector"))).alias("q")).collect()
-    # the query set of a job is an argument, not corpus data: its slices go to the tasks with the code
-    slices = []
-    for row in packed:
-        by_size: dict[int, list] = {}
-        for q in row["q"]:
-            by_size.setdefault(len(q["vector"]), []).append(q)
-        for same in by_size.values():
-            m = np.array([q["vector"] for q in same], dtype=np.float64)
-            norm = np.linalg.norm(m, axis=1, keepdims=True)
-            slices.append(([q["query_id"] for q in same], np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)))
+    asked = _packed(queries, "query_id", query_block).select(F.col("size").alias("q_size"), F.col("ids").alias("q_ids"), F.col("m").alias("q"))
+    pairs = _packed(vectors, "vec_id", vector_block).withColumnRenamed("size", "dim").crossJoin(asked)  # blocks of a stated query set, not rows
 
     def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            sizes = f["vector"].map(len)
-            for size, own in f.groupby(sizes):
-                m = np.array(own["vector"].tolist(), dtype=np.float64)
-                norm = np.linalg.norm(m, axis=1, keepdims=True)
-                m = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-                ids = own["vec_id"].to_numpy()
-                for query_ids, q in slices:
-                    if q.shape[1] != size:
-                        continue
-                    score = np.round(q @ m.T, 6)
-                    for i, query_id in enumerate(query_ids):
-                        top = np.lexsort((ids, -score[i]))[:k]
-                        top = top[score[i][top] > 0]
-                        yield pd.DataFrame({"query_id": query_id, "vec_id": ids[top], "score": score[i][top]})
-
-    found = vectors.select("vec_id", "vector").mapInPandas(best, "query_id long, vec_id long, score double")
+            for row in f.itertuples():
+                if row.dim != row.q_size:
+                    continue
+                ids = np.asarray(row.ids)
+                q, m = (np.frombuffer(x, dtype=np.float64).reshape(-1, row.q_size) for x in (row.q, row.m))
+                score = np.round(q @ m.T, 6)
+                top = [np.lexsort((ids, -own))[:k] for own in score]
+                top = [t[own[t] > 0] for t, own in zip(top, score, strict=True)]
+                yield pd.DataFrame(
+                    {
+                        "query_id": np.repeat(np.asarray(row.q_ids), [len(t) for t in top]),
+                        "vec_id": ids[np.concatenate(top)],
+                        "score": np.concatenate([own[t] for t, own in zip(top, score, strict=True)]),
+                    }
+                )
+
+    found = pairs.mapInPandas(best, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
