@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import corpus, graphs, places, retrieval
+from .plans import contexts, corpus, graphs, places, retrieval
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules that each offer QUERIES (name -> callable) and ORACLES (name -> SQL).
-_MODULES = (retrieval, corpus, graphs, places)
+_MODULES = (retrieval, corpus, graphs, places, contexts)
 
 
 def queries() -> dict[str, Query]:

@@ -154,3 +154,26 @@ def regression(actual: DataFrame, frozen: DataFrame, tolerance: float = 1e-12) -
 def differences(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows that only one of two captures has, with multiplicity: side and the row."""
     return left.exceptAll(right).withColumn("side", F.lit("left")).unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))
+
+
+def cohort_report(rows: DataFrame) -> DataFrame:
+    """Per benchmark and mode: runs, infrastructure failures, pass rate without them, tokens, and p50 latency if every run has one.
+
+    ``rows``: benchmark_id, mode, passed, infrastructure_failure, tokens, elapsed_ms.
+    """
+    counted = ~F.col("infrastructure_failure")
+    p50 = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY elapsed_ms)")
+    return rows.groupBy("benchmark_id", "mode").agg(
+        F.count(F.lit(1)).alias("runs"),
+        F.sum(F.col("infrastructure_failure").cast("int")).alias("infrastructure_failures"),
+        F.bround(F.avg(F.when(counted, F.col("passed").cast("int"))) * 100, 2).alias("pass_rate"),
+        F.sum(F.when(counted, F.col("tokens"))).alias("tokens"),
+        F.when(F.count("elapsed_ms") == F.count(F.lit(1)), p50).alias("p50_ms"),
+    )
+
+
+def percent_saving(report: DataFrame) -> DataFrame:
+    """benchmark_id and the percent of tokens that the treatment saves, null on a zero base."""
+    side = lambda m: F.sum(F.when(F.col("mode") == m, F.col("tokens")))
+    both = report.groupBy("benchmark_id").agg(side("baseline").alias("b"), side("treatment").alias("t"))
+    return both.select("benchmark_id", F.bround(F.try_divide((F.col("b") - F.col("t")) * 100.0, F.col("b")), 2).alias("saving"))
