@@ -46,8 +46,25 @@ def bm25(queries: DataFrame, chunks: DataFrame, weights: dict[str, float] = WEIG
     where every matching quadruple is a clause.
     """
     asked = queries.select("query_id", F.explode("terms").alias("term"))
-    found = postings(chunks, asked, weights)
-    stats = corpus_stats(chunks, weights)
+    return _score(asked, postings(chunks, asked, weights), corpus_stats(chunks, weights), least_terms)
+
+
+def build_index(chunks: DataFrame, path: str, weights: dict[str, float] = WEIGHTS) -> None:
+    """Write postings, by snapshot and sorted by term, and the corpus statistics, for ``bm25_indexed`` to read."""
+    found = postings(chunks, None, weights)
+    found.repartition("snapshot_id", "term").sortWithinPartitions("snapshot_id", "term").write.partitionBy("snapshot_id").parquet(f"{path}/postings")
+    corpus_stats(chunks, weights).write.parquet(f"{path}/stats")
+
+
+def bm25_indexed(queries: DataFrame, path: str, least_terms: int = 1) -> DataFrame:
+    """``bm25`` over a written index: texts are not read, and row groups without a query's term are skipped."""
+    spark = queries.sparkSession
+    asked = queries.select("query_id", F.explode("terms").alias("term"))
+    found = spark.read.parquet(f"{path}/postings").join(asked.select("term").distinct(), "term", "left_semi")
+    return _score(asked, found, spark.read.parquet(f"{path}/stats"), least_terms)
+
+
+def _score(asked: DataFrame, found: DataFrame, stats: DataFrame, least_terms: int) -> DataFrame:
     frequency = found.groupBy("snapshot_id", "term").agg(F.count(F.lit(1)).alias("n"))
     ratio = F.log((F.col("n_chunks") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = frequency.join(stats, "snapshot_id").select("snapshot_id", "term", "mean_length", F.when(ratio <= 0, 1e-6).otherwise(ratio).alias("idf"))

@@ -57,6 +57,15 @@ def test_bm25_is_the_formula(spark):
     assert got == {1: round(score(2, 3), 6), 3: round(score(1, 1), 6)}
 
 
+def test_written_index_scores_alike(spark, tmp_path):
+    docs = [("s", i, f"word{i % 3} word{i % 5} common text {'x ' * (i % 4)}") for i in range(40)] + [("t", 1, "word1 common")]
+    chunks = spark.createDataFrame(docs, "snapshot_id string, chunk_id long, content string")
+    asked = spark.createDataFrame([(1, ["word1", "common", "none"]), (2, ["word4"])], "query_id long, terms array<string>")
+    lexical.build_index(chunks, str(tmp_path / "index"))
+    rows = lambda df: sorted(tuple(r) for r in df.select("query_id", "snapshot_id", "chunk_id", "matched", "score").collect())
+    assert rows(lexical.bm25_indexed(asked, str(tmp_path / "index"))) == rows(lexical.bm25(asked, chunks)) != []
+
+
 def test_fusion_order_and_gate(spark):
     rows = [(1, "lexical", 1, 10, "a", 50.0), (1, "lexical", 2, 11, "b", 40.0), (1, "semantic", 1, 11, "b", 0.9), (2, "lexical", 1, 12, "c", 1.0)]
     fused = fusion.rrf(spark.createDataFrame(rows, "query_id long, channel string, rank int, chunk_id long, path string, score double"))
