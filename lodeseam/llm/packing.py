@@ -15,6 +15,7 @@ their own; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -33,37 +34,74 @@ LEAF = 20_000
 FAN_IN = 16
 CARRY = 2000
 #: Distinct chunks of text whose ids a worker remembers.
-MEMO = 400_000
+MEMO = 700_000
 
 
 class ChunkTokenizer:
     """Token ids of a text, by way of its white-space-separated chunks.
 
     The tokenizer drops white space before it splits words, so the ids of a text are those of its chunks one after
-    another; chunks repeat, and their ids are remembered.
+    another; chunks repeat, and their ids are remembered for as long as the worker lives.  A chunk of Latin letters with
+    punctuation after them is its lower-cased word and that punctuation, two words to the tokenizer.  New words go through
+    it many at a time, and the ids are cut apart at the ends of words, which the vocabulary marks.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self._tokenizer = Tokenizer.from_file(path)
-        self._memo: dict[str, bytes] = {}
+        import tokenizers
+        from tokenizers import normalizers, pre_tokenizers
+
+        # by the library's module: this package's functions, shipped by value, have no module that outlives a task
+        store = tokenizers.__dict__.setdefault("_chunk_tokenizers", {})
+        if path not in store:
+            whole = tokenizers.Tokenizer.from_file(path)
+            words = tokenizers.Tokenizer.from_file(path)
+            words.normalizer = normalizers.Sequence([])
+            words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            vocabulary = whole.get_vocab()
+            ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+            ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+            store[path] = whole, words, ends, {}
+        self._whole, self._words, self._ends, self._memo = store[path]
+
+    def _learn_words(self, fresh: list[bytes]) -> None:
+        for at in range(0, len(fresh), 2000):
+            part = fresh[at : at + 2000]
+            ids = np.array(self._words.encode(b" ".join(part).decode(), add_special_tokens=False).ids, dtype="<u4")
+            cuts = np.flatnonzero(self._ends[ids]) + 1
+            raw, start = ids.tobytes(), 0
+            for word, end in zip(part, (4 * cuts).tolist(), strict=True):
+                self._memo[word] = raw[start:end]
+                start = end
+
+    def _learn(self, fresh: set[bytes]) -> None:
+        memo, pairs, other = self._memo, [], []
+        for chunk in fresh:
+            m = _PLAIN.match(chunk.decode("utf-8", "replace"))
+            if m:
+                pairs.append((chunk, m[1].lower().encode(), m[2].encode()))
+            else:
+                other.append(chunk)
+        other += {tail for _, _, tail in pairs if tail and tail not in memo}
+        self._learn_words(list({word for _, word, _ in pairs if word not in memo}))
+        for chunk, found in zip(other, self._whole.encode_batch_fast([c.decode("utf-8", "replace") for c in other], add_special_tokens=False), strict=True):
+            memo[chunk] = np.array(found.ids, dtype="<u4").tobytes()
+        for chunk, word, tail in pairs:
+            memo[chunk] = memo[word] + memo[tail] if tail else memo[word]
 
     def packed(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        chunks = (text or "").translate(_TO_SPACE).split(" ")
+        chunks = (text or "").encode("utf-8", "replace").split()  # of bytes: at ASCII white space only
         memo = self._memo
-        fresh = list({c for c in chunks if c not in memo})
+        if len(memo) > MEMO:
+            memo.clear()
+        fresh = {c for c in chunks if c not in memo}
         if fresh:
-            if len(memo) + len(fresh) > MEMO:
-                memo.clear()
-                fresh = list(set(chunks))
-            for chunk, found in zip(fresh, self._tokenizer.encode_batch(fresh, add_special_tokens=False), strict=True):
-                memo[chunk] = np.array(found.ids, dtype="<u4").tobytes()
+            self._learn(fresh)
         return b"".join(map(memo.__getitem__, chunks))
 
 
-_TO_SPACE = dict.fromkeys(map(ord, "\t\n\x0b\x0c\r"), " ")
+#: Latin letters that lower-case one to one, then punctuation without apostrophes and angle brackets.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,!?;:*$%&#|()\"+=/@-]*)\\Z")
 
 
 def pieces(docs: DataFrame, tokenizer: str, context: int = CONTEXT) -> DataFrame:
