@@ -132,3 +132,57 @@ def python_symbols(docs: DataFrame) -> DataFrame:
 
     schema = "snapshot_id string, path string, fact string, kind string, name string, target string, start_line int, end_line int, is_async boolean"
     return docs.select("snapshot_id", "path", "content").mapInPandas(each, schema)
+
+
+def markdown_sections(docs: DataFrame, key: str) -> DataFrame:
+    """Sections of Markdown texts: key, line_no, level, title, section (path of titles; repeats are numbered), parent.
+
+    ATX and underlined headings outside code fences.  A stack of open sections runs over each text's headings.
+    """
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import re
+
+        fence_mark, atx, under = re.compile(r"\s*(`{3,}|~{3,})"), re.compile(r"(#{1,6})\s+(.*?)\s*#*\s*$"), re.compile(r"(=+|-+)\s*$")
+        for f in frames:
+            out = []
+            for k, text in zip(f[key], f["content"], strict=True):
+                lines, fence, found, at = (text or "").splitlines(), None, [], 0
+                while at < len(lines):
+                    line = lines[at]
+                    mark = fence_mark.match(line)
+                    if mark:
+                        char = mark[1][0]
+                        fence = None if fence == char else fence or char
+                    elif fence is None:
+                        head = atx.match(line)
+                        below = under.match(lines[at + 1]) if at + 1 < len(lines) and line.strip() else None
+                        if head and head[2]:
+                            found.append((len(head[1]), head[2], at + 1))
+                        elif below and not head:
+                            found.append((1 if below[1][0] == "=" else 2, line.strip(), at + 1))
+                            at += 1
+                    at += 1
+                open_: list[tuple[int, str]] = []
+                times: dict[str, int] = {}
+                for level, title, line_no in found:
+                    while open_ and open_[-1][0] >= level:
+                        open_.pop()
+                    parent = open_[-1][1] if open_ else None
+                    path = f"{parent}/{title}" if parent else title
+                    times[path] = times.get(path, 0) + 1
+                    section = path if times[path] == 1 else f"{path}[{times[path]}]"
+                    open_.append((level, section))
+                    out.append((k, line_no, level, title, section, parent))
+            yield pd.DataFrame(out, columns=[key, "line_no", "level", "title", "section", "parent"])
+
+    kind = dict(docs.dtypes)[key]
+    return docs.select(key, "content").mapInPandas(each, f"{key} {kind}, line_no int, level int, title string, section string, parent string")
+
+
+def repoint(references: DataFrame, remap: DataFrame, columns: list[str]) -> DataFrame:
+    """References moved to the first slice of a unit that was split: ``remap`` has old_id, new_id; other ids stay."""
+    for c in columns:
+        moved = remap.select(F.col("old_id").alias(c), F.col("new_id").alias("_new"))
+        references = references.join(moved, c, "left").withColumn(c, F.coalesce("_new", c)).drop("_new")
+    return references

@@ -68,3 +68,23 @@ def directory_cards(files: DataFrame, tops: int = 3) -> DataFrame:
     ranked = F.transform(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "language"))), 1, tops), lambda x: x["language"])
     cards = each.groupBy("snapshot_id", "directory").agg(F.sum("n").alias("files"), F.array_join(ranked, ",").alias("languages"))
     return cards.withColumn("parent", F.when(F.contains("directory", F.lit("/")), F.regexp_replace("directory", "/[^/]*$", "")))
+
+
+def overview(files: DataFrame) -> DataFrame:
+    """One card per snapshot: files, folders, the five commonest languages, and what was not found."""
+    each = files.select("snapshot_id", "path", F.coalesce("language", F.lit("unknown")).alias("language"), file_class(F.col("path"), F.col("language")).alias("class"), is_entry(F.col("path")).alias("entry"))
+    by_language = each.groupBy("snapshot_id", "language").agg(F.count(F.lit(1)).alias("n"))
+    ranked = F.transform(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "language"))), 1, 5), lambda x: x["language"])
+    languages = by_language.groupBy("snapshot_id").agg(F.array_join(ranked, ",").alias("languages"))
+    unknown = [("entry", F.max(F.col("entry").cast("int"))), ("tests", F.max((F.col("class") == "tests").cast("int"))), ("config", F.max((F.col("class") == "config").cast("int")))]
+    missing = F.array_join(F.filter(F.array(*[F.when(m == 0, name) for name, m in unknown]), lambda x: x.isNotNull()), ",")
+    cards = each.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("files"), F.count_distinct(top_folder(F.col("path"))).alias("folders"), missing.alias("missing"))
+    return cards.join(languages, "snapshot_id")
+
+
+def reading_guide(files: DataFrame) -> DataFrame:
+    """snapshot_id, stage (entry_points, configuration, modules, tests), position, path."""
+    kind = file_class(F.col("path"), F.col("language"))
+    stage = F.when(is_entry(F.col("path")), "entry_points").when(kind == "config", "configuration").when(kind == "tests", "tests").otherwise("modules")
+    order = Window.partitionBy("snapshot_id", "stage").orderBy("path")
+    return files.select("snapshot_id", stage.alias("stage"), "path").withColumn("position", F.row_number().over(order))

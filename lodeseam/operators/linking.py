@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -39,3 +39,38 @@ def link(relations: DataFrame, symbols: DataFrame) -> DataFrame:
     return relations.select("relation_id").join(first, "relation_id", "left").select(
         "relation_id", status.alias("status"), F.when(F.col("w.n") == 1, F.col("w.target")).alias("target"), F.col("w.method").alias("method")
     )
+
+
+def module_candidates(path: Column, target: Column) -> Column:
+    """Names that an import in ``path`` may mean: a relative specifier's files, a relative Python module, or the target itself.
+
+    Empty where a specifier climbs above the root.
+    """
+    parts = F.split(path, "/")
+    above = F.slice(parts, 1, F.size(parts) - 1)
+    none = F.expr("cast(array() as array<string>)")
+    start = F.struct(none.alias("at"), F.lit(True).alias("ok"))
+
+    def walk(a: Column, p: Column) -> Column:
+        up = p == ".."
+        at = F.when(up, F.slice(a["at"], 1, F.greatest(F.size(a["at"]) - 1, F.lit(0)))).when(p.isin("", "."), a["at"]).otherwise(F.concat(a["at"], F.array(p)))
+        return F.struct(at.alias("at"), (a["ok"] & ~(up & (F.size(a["at"]) == 0))).alias("ok"))
+
+    resolved = F.aggregate(F.concat(above, F.split(target, "/")), start, walk, lambda a: F.when(a["ok"], F.array_join(a["at"], "/")))
+    kinds = F.array(*map(F.lit, (".js", ".jsx", ".ts", ".tsx")))
+    own = F.when(F.rlike(F.lower(resolved), F.lit(r"\.(js|jsx|ts|tsx)$")), F.array(resolved)).otherwise(F.transform(kinds, lambda k: F.concat(resolved, k)))
+    files = F.when(resolved.isNull(), none).otherwise(F.array_distinct(F.concat(own, F.transform(kinds, lambda k: F.concat(resolved, F.lit("/index"), k)))))
+    level = F.char_length(F.regexp_extract(target, r"^(\.*)", 1))
+    package = F.slice(above, 1, F.greatest(F.size(above) - level + 1, F.lit(0)))
+    rest = F.regexp_replace(target, r"^\.+", "")
+    python = F.array(F.array_join(F.when(rest != "", F.concat(package, F.array(rest))).otherwise(package), "."))
+    specifier = (F.startswith(target, F.lit(".")) & F.contains(target, F.lit("/")))
+    return F.when(specifier, files).when(F.startswith(target, F.lit(".")), python).otherwise(F.array(target))
+
+
+def link_imports(relations: DataFrame, modules: DataFrame) -> DataFrame:
+    """Imports bound to modules (symbol, qualified): by candidate name, else by a dotted suffix.  relation_id, n, target, method."""
+    named = relations.select("relation_id", F.explode(module_candidates(F.col("path"), F.col("target_ref"))).alias("qualified"))
+    exact = _outcome(named.join(modules.select("symbol", "qualified"), "qualified"), "module")
+    rest = relations.join(exact.select("relation_id"), "relation_id", "left_anti")
+    return exact.unionByName(link_suffix(rest, modules))
