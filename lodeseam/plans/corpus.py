@@ -164,6 +164,28 @@ SELECT snapshot_id, directory, sum(n)::BIGINT AS files, string_agg(language, ','
   CASE WHEN contains(directory, '/') THEN regexp_replace(directory, '/[^/]*$', '') END AS parent FROM t GROUP BY snapshot_id, directory"""
 
 
+def overview_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A card per host."""
+    return corpus_map.overview(_page_files(spark, sf_dir).withColumn("snapshot_id", F.regexp_extract("path", "^[^/]*", 0)))
+
+
+OVERVIEW_SQL = f"""WITH {_FILES}, f AS (SELECT regexp_extract(path, '^[^/]*') AS snapshot_id, path, language FROM files),
+l AS (SELECT snapshot_id, language, count(*) AS n FROM f GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY snapshot_id ORDER BY n DESC, language) AS k FROM l)
+SELECT snapshot_id, sum(n)::BIGINT AS files, 1::BIGINT AS folders, 'entry,tests,config' AS missing, string_agg(language, ',' ORDER BY k) FILTER (k <= 5) AS languages FROM r GROUP BY 1"""
+
+
+def reading_guide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stages of reading each host's pages, which get extensions of every kind."""
+    kinds = F.array(*map(F.lit, ("/main.py", "/x.json", "/test_a.py", "/b.ts")))
+    p = _page_files(spark, sf_dir).select(F.regexp_extract("path", "^[^/]*", 0).alias("snapshot_id"), F.concat(F.col("path"), F.element_at(kinds, (F.col("page_id") % 4 + 1).cast("int"))).alias("path")).distinct()
+    return corpus_map.reading_guide(p.withColumn("language", X.detect_language(F.col("path"))))
+
+
+GUIDE_SQL = f"""WITH {_FILES}, p AS (SELECT DISTINCT regexp_extract(path, '^[^/]*') AS snapshot_id, path || ['/main.py', '/x.json', '/test_a.py', '/b.ts'][page_id % 4 + 1] AS path FROM files),
+g AS (SELECT *, CASE WHEN ends_with(path, '/main.py') THEN 'entry_points' WHEN ends_with(path, '.json') THEN 'configuration' WHEN ends_with(path, '/test_a.py') THEN 'tests' ELSE 'modules' END AS stage FROM p)
+SELECT snapshot_id, stage, path, row_number() OVER (PARTITION BY snapshot_id, stage ORDER BY path)::INT AS position FROM g"""
+
+
 def catalog_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The containment tree of regions, nations and customers: node, kind, parent and number of children."""
     region, nation, customer = (table(spark, sf_dir, t) for t in ("region", "nation", "customer"))
@@ -281,12 +303,12 @@ QUERIES = {
     "file_rebuild": file_rebuild, "json_key_rows": json_key_rows, "source_dedup": source_dedup, "integrity_gate": integrity_gate, "corpus_map": corpus_map_counts,
     "reading_order": reading_order, "directory_cards": directory_cards, "catalog_parents": catalog_parents, "line_rule_findings": line_rule_findings,
     "finding_cap": finding_cap, "redact_text": redact_text, "redact_urls": redact_urls, "mask_secret": mask_secret, "route_intent": route_intent,
-    "trace_steps": trace_steps, "trace_export": trace_export, "scan_classify": scan_classify,
+    "trace_steps": trace_steps, "trace_export": trace_export, "scan_classify": scan_classify, "overview_cards": overview_cards, "reading_guide": reading_guide,
 }
 ORACLES = {
     "token_estimate": TOKEN_SQL, "fixed_windows": WINDOWS_SQL, "token_chunks": CHUNKS_SQL, "headings": HEADINGS_SQL, "paragraphs": PARAGRAPHS_SQL,
     "file_rebuild": REBUILD_SQL, "json_key_rows": JSON_SQL, "source_dedup": SOURCE_SQL, "integrity_gate": INTEGRITY_SQL, "corpus_map": MAP_SQL,
     "reading_order": READING_SQL, "directory_cards": CARDS_SQL, "catalog_parents": PARENTS_SQL, "line_rule_findings": FINDINGS_SQL,
     "finding_cap": CAP_SQL, "redact_urls": URLS_SQL, "mask_secret": MASK_SQL, "route_intent": ROUTE_SQL,
-    "trace_steps": TRACE_SQL, "trace_export": EXPORT_SQL, "scan_classify": SCAN_SQL,
+    "trace_steps": TRACE_SQL, "trace_export": EXPORT_SQL, "scan_classify": SCAN_SQL, "overview_cards": OVERVIEW_SQL, "reading_guide": GUIDE_SQL,
 }
