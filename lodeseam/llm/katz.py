@@ -47,12 +47,19 @@ _ROW = "chunk string, kind string, part int, n bigint, stats array<double>, a bi
 
 
 def _pack(x: np.ndarray | bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(x if isinstance(x, bytes) else np.ascontiguousarray(x).tobytes())
+    """Compressed bytes; an array goes byte plane by byte plane, as most high bytes are zero."""
+    if not isinstance(x, bytes):
+        x = np.ascontiguousarray(x)
+        x = x.reshape(-1).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(x)
 
 
 def _unpack(x: bytes, dtype=None):
     raw = zstandard.ZstdDecompressor().decompress(bytes(x))
-    return raw if dtype is None else np.frombuffer(raw, dtype=dtype)
+    if dtype is None:
+        return raw
+    planes = np.frombuffer(raw, dtype=np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
 
 
 def _row(**values) -> dict:
