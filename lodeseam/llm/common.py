@@ -45,6 +45,15 @@ def fold_ascii(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def map_documents(docs: DataFrame, columns: list[str], batch, schema: str, key: str = "doc_id") -> DataFrame:
+    """``mapInPandas`` over ``key`` and ``columns``; ``schema`` names what ``batch`` returns beside the key.
+
+    The key travels as text: pandas would turn integers with a null among them into floats.
+    """
+    rows = docs.select(F.col(key).cast("string").alias(key), *columns).mapInPandas(batch, f"{key} string, {schema}")
+    return rows.withColumn(key, F.col(key).cast("bigint"))
+
+
 def split_words(text: Column) -> Column:
     """Runs of anything but ASCII white space; an empty array for a null or empty text."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")

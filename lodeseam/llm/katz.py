@@ -122,8 +122,8 @@ def _chunks(docs: DataFrame, parts: int) -> DataFrame:
                 a=_pack(stream),
                 b=_pack(lens),
                 c=_pack(np.array(train, dtype=np.uint8)),
-                d=_pack(np.array([0 if i is None or i != i else int(i) for i in ids], dtype=np.int64)),
-                e=_pack(np.array([i is None or i != i for i in ids], dtype=np.uint8)),
+                d=_pack(np.array([int(i or 0) for i in ids], dtype=np.int64)),
+                e=_pack(np.array([i is None for i in ids], dtype=np.uint8)),
             )
         ]
         edges = np.searchsorted(part, np.arange(parts + 1))
@@ -137,7 +137,7 @@ def _chunks(docs: DataFrame, parts: int) -> DataFrame:
         partition, k = TaskContext.get().partitionId(), 0
         ids, texts, train, size = [], [], [], 0
         for f in frames:
-            for i, text, t in zip(f["doc_id"].astype(object), f["text"], f["train"], strict=True):
+            for i, text, t in zip(f["doc_id"], f["text"], f["train"], strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass").lower()  # on bytes lower and split act on ASCII only
                 ids.append(i)
                 texts.append(raw.split())
@@ -336,7 +336,7 @@ def _sums(rows: DataFrame, n: int) -> list[float]:
 def score_documents(docs: DataFrame, fold: int = 10) -> DataFrame:
     """Learn from the documents whose crc32(doc_id) mod ``fold`` is not 0 and score all."""
     train = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % fold != 0
-    chosen = docs.select("doc_id", "text", train.alias("train"))
+    chosen = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", train.alias("train"))  # text keeps nulls and large ids whole
     size = chosen.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(2, -(-size // PART_BYTES))
     chunks = materialize(_chunks(chosen, parts), "katz-chunks", "kind")

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_documents, table
 
 VAR_WORDS = 8
 _BLANK = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
@@ -207,8 +207,8 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = BASE + TEMPLATES) ->
                 found.append([(templates[k].name, templates[k].label, templates[k].base, a, b) for k, a, b in automaton.spans(words)])
             yield pd.DataFrame({"doc_id": f["doc_id"], "n_words": n, "spans": found})
 
-    schema = "doc_id bigint, n_words bigint, spans array<struct<template: string, label: string, base: boolean, start: bigint, end: bigint>>"
-    return docs.select("doc_id", "text").mapInPandas(batch, schema)
+    schema = "n_words bigint, spans array<struct<template: string, label: string, base: boolean, start: bigint, end: bigint>>"
+    return map_documents(docs, ["text"], batch, schema)
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import map_documents, materialize, table
 
 CONTEXT = 2048
 #: Tokens a closed bin may lack.
@@ -122,8 +122,8 @@ def pieces(docs: DataFrame, tokenizer: str, context: int = CONTEXT) -> DataFrame
                     rows.append((doc_id, piece, start, len(part) // 4, zlib.crc32(part)))
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-    return docs.select("doc_id", "text").mapInPandas(batch, schema)
+    schema = "piece int, start bigint, length bigint, ids_crc32 bigint"
+    return map_documents(docs, ["text"], batch, schema)
 
 
 def best_fit(lengths: list[int], context: int = CONTEXT) -> list[list[int]]:
@@ -149,7 +149,7 @@ def best_fit(lengths: list[int], context: int = CONTEXT) -> list[list[int]]:
     return out
 
 
-_BINS = "node long, closed boolean, size long, members array<struct<doc_id: bigint, piece: int, start: bigint, length: bigint, ids_crc32: bigint>>, sequence_id long"
+_BINS = "node long, closed boolean, size long, members array<struct<doc_id: string, piece: int, start: bigint, length: bigint, ids_crc32: bigint>>, sequence_id long"
 
 
 def _round(items: DataFrame, level: int, last: bool, context: int, slack: int) -> DataFrame:
@@ -179,7 +179,7 @@ def _round(items: DataFrame, level: int, last: bool, context: int, slack: int) -
 def pack(docs: DataFrame, tokenizer: str, context: int = CONTEXT, slack: int = SLACK) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
     cut = materialize(pieces(docs, tokenizer, context), "pack-pieces")
-    row = F.struct("doc_id", "piece", "start", "length", "ids_crc32")
+    row = F.struct(F.col("doc_id").cast("string").alias("doc_id"), "piece", "start", "length", "ids_crc32")
     full = cut.where(F.col("length") == context).select(*cut.columns, (F.monotonically_increasing_id() + (1 << 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = cut.where(F.col("length") < context)
     leaves = max(1, -(-rest.count() // LEAF))
@@ -199,7 +199,7 @@ def pack(docs: DataFrame, tokenizer: str, context: int = CONTEXT, slack: int = S
         packed = packed.unionByName(more)
     ahead = F.transform("members", lambda m, i: F.aggregate(F.slice("members", 1, i), F.lit(0).cast("long"), lambda t, x: t + x["length"]))
     placed = packed.select("sequence_id", F.explode(F.arrays_zip(F.col("members").alias("m"), ahead.alias("offset"))).alias("x")).select(
-        "x.m.doc_id", "x.m.piece", "x.m.start", "x.m.length", "x.m.ids_crc32", "sequence_id", "x.offset"
+        F.col("x.m.doc_id").cast("bigint").alias("doc_id"), "x.m.piece", "x.m.start", "x.m.length", "x.m.ids_crc32", "sequence_id", "x.offset"
     )
     return full.unionByName(placed)
 

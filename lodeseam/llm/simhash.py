@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import map_documents, materialize, table
 from .components import components
 
 RADIUS = 3
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fp = np.array([fingerprint(t) for t in f["text"]], dtype=np.uint64).view(np.int64)
             yield pd.DataFrame({"doc_id": f["doc_id"], "fp": fp})
 
-    return docs.select("doc_id", "text").mapInPandas(batch, "doc_id bigint, fp bigint")
+    return map_documents(docs, ["text"], batch, "fp bigint")
 
 
 def segment_masks(segments: int = SEGMENTS, radius: int = RADIUS) -> list[int]:

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import map_documents, table
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -108,7 +108,7 @@ def token_counts(docs: DataFrame, vocabulary_path: str) -> DataFrame:
             rows = [counter.text(t) for t in f["text"]]
             yield pd.DataFrame({"doc_id": f["doc_id"], "n_tokens": [r[0] for r in rows], "n_words": [r[2] for r in rows], "score": [r[1] for r in rows]})
 
-    return docs.select("doc_id", "text").mapInPandas(batch, "doc_id bigint, n_tokens bigint, n_words bigint, score double")
+    return map_documents(docs, ["text"], batch, "n_tokens bigint, n_words bigint, score double")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_documents, table
 
 #: Labelled documents of each kind in the fit, about and at most, and the longest of them.
 SAMPLE = {1: 3000, 0: 6000}
@@ -200,7 +200,8 @@ def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
         for f in frames:
             yield pd.DataFrame({"doc_id": f["doc_id"], "held_out": f["held_out"], "score": [score(t) for t in f["text"]]})
 
-    scored = docs.select("doc_id", held_out().alias("held_out"), "text").mapInPandas(batch, "doc_id bigint, held_out boolean, score double")
+    marked = docs.select("doc_id", held_out().alias("held_out"), "text")
+    scored = map_documents(marked, ["held_out", "text"], batch, "held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 

@@ -26,7 +26,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_documents, table
 
 #: Entries of a digest array that is sent to every executor: about 100 bytes each.
 MAX_ENTRIES = 1_000_000
@@ -147,7 +147,7 @@ def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULE
             verdict = [verdicts[r] if r else "block" if s else "allow" for r, s in zip(rule, spam, strict=True)]
             yield pd.DataFrame({"page_id": f["page_id"], "host": f["host"], "path": f["path"], "rule": rule, "verdict": verdict})
 
-    return with_parts(pages).mapInPandas(batch, "page_id bigint, host string, path string, rule string, verdict string")
+    return map_documents(with_parts(pages), ["host", "path"], batch, "host string, path string, rule string, verdict string", "page_id")
 
 
 def filter_by_join(pages: DataFrame, rules: DataFrame, lengths: list[int], blocked: Iterable[str] | DataFrame) -> DataFrame:
