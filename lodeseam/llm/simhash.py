@@ -51,12 +51,12 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(grams)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed 64-bit integer."""
 
     def batch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            fp = np.array([fingerprint(t) for t in f["text"]], dtype=np.uint64).view(np.int64)
+            fp = np.array([fingerprint(t, shingle) for t in f["text"]], dtype=np.uint64).view(np.int64)
             yield pd.DataFrame({"doc_id": f["doc_id"], "fp": fp})
 
     return map_documents(docs, ["text"], batch, "fp bigint")
@@ -137,8 +137,9 @@ def tile_links(left: np.ndarray, right: np.ndarray, same: bool, radius: int = RA
     return out
 
 
-def near_links(fps: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, tile: int = TILE) -> DataFrame:
+def near_links(fps: DataFrame, radius: int = RADIUS, segments: int | None = None, tile: int = TILE) -> DataFrame:
     """``fps``: distinct ``fp``.  Returns links (a, b) between fingerprints whose components are those of all close pairs."""
+    segments = segments or (SEGMENTS if radius == RADIUS else radius + 2)
     masks = F.array(*[F.struct(F.lit(k).alias("choice"), F.lit(_signed(m)).alias("mask")) for k, m in enumerate(segment_masks(segments, radius))])
     keyed = fps.select("fp", F.explode(masks).alias("m")).select("fp", F.col("m.choice").alias("choice"), F.col("fp").bitwiseAND(F.col("m.mask")).alias("key"))
     sizes = keyed.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -179,9 +180,9 @@ def near_links(fps: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, t
     return work.mapInPandas(compare, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the least doc_id that links reach."""
-    prints = materialize(fingerprints(docs), "simhash-prints")
+    prints = materialize(fingerprints(docs, shingle), "simhash-prints")
     groups = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     links = materialize(near_links(groups.select("fp"), radius).distinct(), "simhash-links")
     joined = components(links)
