@@ -229,3 +229,32 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(every, ",").alias("labels"),
         F.when(F.size(every) > 0, F.size(full) / F.size(every)).otherwise(F.lit(0.0)).alias("score"),
     )
+
+
+def _pattern(template: Template) -> str:
+    """The template as a regular expression over words that each have a space before and, at the end, after them."""
+    out, pos = "", 0
+    for m in [*_MARKUP.finditer(template.text), None]:
+        out += "".join(f" {w.decode()}" for w in words_of(template.text[pos : m.start() if m else len(template.text)]))
+        if m is None:
+            return out + " "
+        pos, kind = m.end(), m[1].split(";")[0].strip()
+        most = re.search(r"max=(\d+)", m[1])
+        out += {"beginOptional": "(?:", "endOptional": ")?", "var": f"(?: [^ ]+){{0,{most[1] if most else VAR_WORDS}}}"}[kind]
+    return out
+
+
+_WORDS = {t.label: ", ".join(f"'{w.decode()}'" for w in words_of(t.text)) for t in BASE}
+_PLACES = ", ".join(f"list_filter(range(1, len(l) + 1), lambda i: l[i:i + {w.count(',')}] = [{w}]) AS p{k}" for k, w in enumerate(_WORDS.values()))
+_BASE_LABELS = ", ".join(f"CASE WHEN len(p{k}) > 0 THEN '{label}' END" for k, label in enumerate(_WORDS))
+_FULL_LABELS = ", ".join(f"CASE WHEN regexp_matches(s, '{_pattern(t)}') THEN '{t.label}' END" for t in TEMPLATES)
+_ALL_PLACES = "list_concat(list_concat(p0, p1), p2)"
+OP1_SQL = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS l FROM documents),
+p AS (SELECT doc_id, len(l) AS n_words, ' ' || array_to_string(l, ' ') || ' ' AS s, {_PLACES} FROM w),
+f AS (SELECT doc_id, n_words, {_ALL_PLACES} AS b, list_filter([{_BASE_LABELS}], lambda x: x IS NOT NULL) AS bl, list_filter([{_FULL_LABELS}], lambda x: x IS NOT NULL) AS fl FROM p)
+SELECT doc_id, n_words::BIGINT AS n_words, len(b)::BIGINT AS n_base, list_min(b)::BIGINT - 1 AS first_word, list_max(b)::BIGINT - 1 AS last_word,
+  array_to_string(list_sort(list_distinct(bl)), ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(bl, fl))), ',') AS labels,
+  CASE WHEN len(bl) + len(fl) > 0 THEN len(list_distinct(fl))::DOUBLE / len(list_distinct(list_concat(bl, fl))) ELSE 0.0 END AS score
+FROM f
+"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .katz import op7_lm_score
-from .license_scan import op1_license_scan
+from .license_scan import OP1_SQL, op1_license_scan
 from .mixing import op2_mix_sources
 from .packing import op8_best_fit_packing
 from .quality_rules import op9_quality_rules
@@ -34,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op6_url_filter": OP6_SQL}
+    return {"op1_license_scan": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op6_url_filter": OP6_SQL}
