@@ -81,9 +81,9 @@ def snippet(text: Column, width: int = 280) -> Column:
 
 
 def mask_secret(value: Column) -> Column:
-    """Stars but for the last four characters; short values vanish whole."""
+    """Four dots and the last four characters; of a value of four or fewer only dots; null for none."""
     n = F.char_length(value)
-    return F.when(n <= 4, F.repeat(F.lit("*"), n)).otherwise(F.concat(F.repeat(F.lit("*"), n - 4), F.right(value, F.lit(4))))
+    return F.when(n == 0, F.lit(None)).when(n <= 4, F.repeat(F.lit("•"), n)).otherwise(F.concat(F.lit("••••"), F.right(value, F.lit(4))))
 
 
 def route_intent(question: Column) -> Column:

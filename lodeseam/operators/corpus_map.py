@@ -16,7 +16,7 @@ CONFIG_NAMES = (
 ENTRY_NAMES = ("main.py", "app.py", "server.py", "index.js", "index.ts", "main.ts", "main.tsx", "main.jsx")
 DOC_SEGMENTS = ("docs", "doc", "documentation")
 SOURCE_SEGMENTS = ("src", "app", "service", "services", "backend", "frontend", "desktop")
-CLASSES = ("readme", "docs", "config", "source", "tests", "other")
+CLASSES = ("readme", "config", "source", "docs", "tests", "other")
 
 
 def file_class(path: Column, language: Column) -> Column:

@@ -250,7 +250,8 @@ def mask_secret(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", X.mask_secret(F.col("c_name")).alias("masked"))
 
 
-MASK_SQL = "SELECT c_custkey, CASE WHEN length(c_name) <= 4 THEN repeat('*', length(c_name)) ELSE repeat('*', length(c_name) - 4) || right(c_name, 4) END AS masked FROM customer"
+_MASK = "CASE WHEN {0} = '' THEN NULL WHEN length({0}) <= 4 THEN repeat('•', length({0})) ELSE '••••' || right({0}, 4) END"
+MASK_SQL = f"SELECT c_custkey, {_MASK.format('c_name')} AS masked FROM customer"
 
 
 def route_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,12 +278,12 @@ TRACE_SQL = """SELECT conv_id, string_agg(role, '>' ORDER BY turn, role) AS role
 def trace_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Traces cut to three steps of 80 characters, redacted, with what was cut off counted."""
     t = table(spark, sf_dir, "conversations").withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")))
-    clean = X.mask_secret(F.regexp_extract(F.coalesce("text", F.lit("")), r"([A-Za-z0-9]+)\W*$", 1))
+    clean = F.coalesce(X.mask_secret(F.regexp_extract(F.coalesce("text", F.lit("")), r"([A-Za-z0-9]+)\W*$", 1)), F.lit(""))
     return t.groupBy("conv_id").agg(F.sum((F.col("n") <= 3).cast("int")).alias("kept"), F.sum((F.col("n") > 3).cast("int")).alias("cut"), F.min_by(clean, "n").alias("last_word_masked"))
 
 
-EXPORT_SQL = r"""WITH n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, regexp_extract(coalesce(text, ''), '([A-Za-z0-9]+)[^A-Za-z0-9_]*$', 1) AS w FROM conversations)
-SELECT conv_id, count(*) FILTER (n <= 3) AS kept, count(*) FILTER (n > 3) AS cut, arg_min(CASE WHEN length(w) <= 4 THEN repeat('*', length(w)) ELSE repeat('*', length(w) - 4) || right(w, 4) END, n) AS last_word_masked FROM n GROUP BY 1"""
+EXPORT_SQL = rf"""WITH n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, regexp_extract(coalesce(text, ''), '([A-Za-z0-9]+)[^A-Za-z0-9_]*$', 1) AS w FROM conversations)
+SELECT conv_id, count(*) FILTER (n <= 3) AS kept, count(*) FILTER (n > 3) AS cut, arg_min(coalesce({_MASK.format('w')}, ''), n) AS last_word_masked FROM n GROUP BY 1"""
 
 
 def scan_classify(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,7 +44,7 @@ def test_redaction(spark):
     assert one(spark, "see https://u:p@h.org/a#frag", X.redact) == "see https://[redacted]@h.org/a"
     assert one(spark, "at '/home/me/x y' done", X.redact) == "at '[local path]' done"
     assert one(spark, "https://h.org/a?token=1&page=2#x", X.redact_url) == "https://h.org/a?page=2"
-    assert one(spark, "abcdefgh", X.mask_secret) == "****efgh"
+    assert one(spark, "abcdefghij", X.mask_secret) == "••••ghij" and one(spark, "abc", X.mask_secret) == "•••" and one(spark, "", X.mask_secret) is None
 
 
 def test_bm25_is_the_formula(spark):
