@@ -10,14 +10,17 @@ from pyspark.sql.window import Window
 def rrf(channels: DataFrame, k: int = 60) -> DataFrame:
     """``channels``: query_id, channel, rank, chunk_id, path, score.  One row per query and chunk with the fused score.
 
-    A row repeated in a channel adds again.  The first channel by name gives the path; signals list the channels.
+    A row repeated in a channel adds again.  The first channel by name gives the path; signals list the channels.  A boost
+    column is carried along; without one it is 0.
     """
+    boost = F.col("boost") if "boost" in channels.columns else F.lit(0.0)
     fused = channels.groupBy("query_id", "chunk_id").agg(
         F.round(F.sum(1 / (F.lit(k) + F.col("rank"))), 9).alias("rrf"),
         F.min_by("path", F.struct("channel", "rank")).alias("path"),
         F.array_join(F.sort_array(F.collect_set("channel")), ",").alias("signals"),
         F.max(F.when(F.col("channel") == "lexical", F.col("score"))).alias("lexical_score"),
         F.max(F.when(F.col("channel") == "semantic", F.col("score"))).alias("semantic_score"),
+        F.max(boost).alias("boost"),
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("rrf"), "path", "chunk_id")
     return fused.withColumn("position", F.row_number().over(order))
@@ -31,16 +34,19 @@ def observe(fused: DataFrame) -> DataFrame:
         F.max("lexical_score").alias("top_lexical"),
         F.max("semantic_score").alias("top_semantic"),
         F.max("rrf").alias("top_rrf"),
+        F.max("boost").alias("top_boost"),
     )
 
 
 def gate(observed: DataFrame, least_lexical: float = 31.4, least_semantic: float = 0.51) -> DataFrame:
-    """Adds decision and reason.  A fused score is never a threshold."""
-    lexical, semantic = F.coalesce("top_lexical", F.lit(0.0)), F.coalesce("top_semantic", F.lit(0.0))
-    none = F.col("lexical_hits") + F.col("semantic_hits") == 0
-    ok = (lexical >= least_lexical) | (semantic >= least_semantic)
+    """Adds decision and, where it is not acceptance, reason.  An exact hit always passes; a fused score is never a threshold."""
+    some = (F.col("lexical_hits") > 0, F.col("semantic_hits") > 0)
+    lexical = some[0] & ((F.col("top_boost") > 0) | (F.coalesce("top_lexical", F.lit(0.0)) >= least_lexical))
+    semantic = some[1] & (F.coalesce("top_semantic", F.lit(-1.0)) >= least_semantic)
+    none, ok = ~some[0] & ~some[1], lexical | semantic
+    below = F.concat_ws("+", *[F.when(s, f"{name}_below_threshold") for s, name in zip(some, ("lexical", "semantic"), strict=True)])
     return observed.withColumn("decision", F.when(none, "not_found").when(ok, "accepted").otherwise("low_relevance")).withColumn(
-        "reason", F.when(none, "no_hits").when(lexical >= least_lexical, "lexical").when(semantic >= least_semantic, "semantic").otherwise("below_thresholds")
+        "reason", F.when(none, "no_channel_hits").when(~ok, below)
     )
 
 

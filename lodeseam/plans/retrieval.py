@@ -294,7 +294,7 @@ def _two_channels(tail: str) -> str:
     return f"""WITH lexi AS ({a}), sema AS ({b}),
 channels AS (SELECT 'lexical' AS channel, * FROM lexi UNION ALL SELECT 'semantic', * FROM sema),
 fu AS (SELECT query_id, chunk_id, round(sum(1 / (60 + rank)), 9) AS rrf, any_value(path) AS path, string_agg(channel, ',' ORDER BY channel) AS signals,
-  max(score) FILTER (channel = 'lexical') AS lexical_score, max(score) FILTER (channel = 'semantic') AS semantic_score FROM channels GROUP BY ALL),
+  max(score) FILTER (channel = 'lexical') AS lexical_score, max(score) FILTER (channel = 'semantic') AS semantic_score, 0.0::DOUBLE AS boost FROM channels GROUP BY ALL),
 fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, path, chunk_id)::INT AS position FROM fu){tail}"""
 
 
@@ -307,9 +307,9 @@ def relevance_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _GATE = """, ob AS (SELECT query_id, count(lexical_score) AS lexical_hits, count(semantic_score) AS semantic_hits, max(lexical_score) AS top_lexical,
-  max(semantic_score) AS top_semantic, max(rrf) AS top_rrf FROM fused GROUP BY 1),
+  max(semantic_score) AS top_semantic, max(rrf) AS top_rrf, max(boost) AS top_boost FROM fused GROUP BY 1),
 gated AS (SELECT *, CASE WHEN lexical_hits + semantic_hits = 0 THEN 'not_found' WHEN coalesce(top_lexical, 0) >= 60 OR coalesce(top_semantic, 0) >= 200 THEN 'accepted' ELSE 'low_relevance' END AS decision,
-  CASE WHEN lexical_hits + semantic_hits = 0 THEN 'no_hits' WHEN coalesce(top_lexical, 0) >= 60 THEN 'lexical' WHEN coalesce(top_semantic, 0) >= 200 THEN 'semantic' ELSE 'below_thresholds' END AS reason FROM ob)"""
+  CASE WHEN lexical_hits + semantic_hits = 0 THEN 'no_channel_hits' WHEN coalesce(top_lexical, 0) < 60 AND coalesce(top_semantic, 0) < 200 THEN concat_ws('+', CASE WHEN lexical_hits > 0 THEN 'lexical_below_threshold' END, CASE WHEN semantic_hits > 0 THEN 'semantic_below_threshold' END) END AS reason FROM ob)"""
 GATE_SQL = _two_channels(_GATE + " SELECT * FROM gated")
 
 

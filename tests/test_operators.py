@@ -72,7 +72,9 @@ def test_fusion_order_and_gate(spark):
     got = {(r["query_id"], r["chunk_id"]): (r["position"], r["rrf"]) for r in fused.collect()}
     assert got == {(1, 11): (1, round(1 / 62 + 1 / 61, 9)), (1, 10): (2, round(1 / 61, 9)), (2, 12): (1, round(1 / 61, 9))}
     decided = {r["query_id"]: (r["decision"], r["reason"]) for r in fusion.gate(fusion.observe(fused)).collect()}
-    assert decided == {1: ("accepted", "lexical"), 2: ("low_relevance", "below_thresholds")}
+    assert decided == {1: ("accepted", None), 2: ("low_relevance", "lexical_below_threshold")}
+    boosted = fusion.gate(fusion.observe(fused.withColumn("boost", F.lit(4.0))))
+    assert {r["decision"] for r in boosted.collect()} == {"accepted"}
     tail = fusion.rerank_head(fused.where("query_id = 1"), F.col("chunk_id") * -1, 50).orderBy("reranked")
     assert [r["chunk_id"] for r in tail.collect()] == [10, 11]
 
