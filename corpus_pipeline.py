@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseam.llm import exact_dedup, mixing, packing, quality_rules, simhash
+from lodeseam.llm import exact_dedup, mixing, near_copies, packing, quality_rules
 from lodeseam.llm.common import materialize, table
 
 
@@ -21,6 +21,11 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.where("kept").select(*docs.columns)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` written with ``row_key``, which tells all rows apart: ids may be null or repeated."""
+    return materialize(docs.withColumn("row_key", F.monotonically_increasing_id()), "pipeline-keyed")
+
+
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
     found = exact_dedup.dedup_against_index(docs, exact_dedup.DigestIndex(spark))
@@ -28,9 +33,11 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that fingerprints link."""
-    found = simhash.near_duplicates(docs)
-    return docs.join(found.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    """One document, of the least id, of each group that similarities of 0.8 on five words link."""
+    keyed = _keyed(docs)
+    found = near_copies.near_copies(keyed, "row_key").join(keyed.select("row_key", "doc_id"), "row_key")
+    least = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("first"))
+    return keyed.join(least.select("first.row_key"), "row_key", "left_semi").select(*docs.columns)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
