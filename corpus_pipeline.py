@@ -28,8 +28,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    found = exact_dedup.dedup_against_index(docs, exact_dedup.DigestIndex(spark))
-    return docs.join(found.where("kept").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    keyed = _keyed(docs)
+    found = exact_dedup.dedup_against_index(keyed, exact_dedup.DigestIndex(spark), carry=("row_key",))
+    return keyed.join(found.where("kept").select("row_key"), "row_key", "left_semi").select(*docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +43,10 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix draws them, whole: none that it does not draw."""
-    draws = mixing.mix(docs, block_words=mixing.WHOLE, whole_blocks=True)
-    drawn = draws.where("shard is not null").select("doc_id", "shard")
-    return docs.join(drawn, "doc_id").select(*docs.columns)
+    keyed = _keyed(docs)
+    draws = mixing.mix(keyed, block_words=mixing.WHOLE, whole_blocks=True, carry=("row_key",))
+    drawn = draws.where("shard is not null").select("row_key", "shard")
+    return keyed.join(drawn, "row_key").select(*docs.columns)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,15 +56,16 @@ class DigestIndex:
         )
 
 
-def dedup_against_index(docs: DataFrame, index: DigestIndex, batch: str | None = None) -> DataFrame:
+def dedup_against_index(docs: DataFrame, index: DigestIndex, batch: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """Decide every row of ``docs`` and add the digests that are new to ``index``.
 
     Of equal texts in the batch the row with the largest ``doc_id`` stays; none stays if an earlier batch had the text.
-    Returns doc_id, keep_id, group_size (rows of the batch with the text), kept, digest (binary).
+    Returns doc_id, keep_id, group_size (rows of the batch with the text), kept, digest (binary) and the columns
+    named in ``carry``.
     """
     batch = batch or uuid.uuid4().hex
     rows = materialize(
-        docs.select("doc_id", text_digest(F.col("text")).alias("digest"), F.monotonically_increasing_id().alias("place")),
+        docs.select("doc_id", text_digest(F.col("text")).alias("digest"), F.monotonically_increasing_id().alias("place"), *carry),
         "digests",
     )
     groups = materialize(
@@ -89,6 +90,7 @@ def dedup_against_index(docs: DataFrame, index: DigestIndex, batch: str | None =
         "group_size",
         F.coalesce(F.col("place") == F.col("keep_place"), F.lit(False)).alias("kept"),
         "digest",
+        *carry,
     )
 
 

@@ -157,20 +157,24 @@ def mix(
     block_words: int = BLOCK_WORDS,
     seed: int = SEED,
     whole_blocks: bool = False,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row for each draw, and one with a null shard for each block that is never drawn.
 
     Columns: doc_id, source, source_size, target, block, words (of the block), repeat (0 first), taken (words of this
     draw), shard, place (order within the shard).  ``whole_blocks`` takes the last block wholly or not at all, whichever
-    is nearer to the target; with ``block_words=WHOLE`` blocks are documents.
+    is nearer to the target; with ``block_words=WHOLE`` blocks are documents.  Columns named in ``carry`` are
+    returned too; they tell rows of one doc_id apart, whose texts then enter the hash, so that rows without an id do not
+    share one.
     """
-    sizes = materialize(docs.select("doc_id", "source", _source_key(F.col("source")).alias("source_key"), word_count(F.col("text")).alias("size")), "mix-sizes")
+    salt = [F.xxhash64("text").alias("salt")] if carry else []
+    sizes = materialize(docs.select("doc_id", "source", _source_key(F.col("source")).alias("source_key"), word_count(F.col("text")).alias("size"), *salt, *carry), "mix-sizes")
     totals = sizes.groupBy("source_key").agg(F.sum("size").alias("source_size"))
     targets = materialize(source_targets(totals, weights, percent), "mix-targets")
     blocks = (
-        sizes.select("doc_id", "source", "source_key", "size", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("size") / block_words) - 1, F.lit(0)).cast("int"))).alias("block"))
+        sizes.select(*sizes.columns, F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("size") / block_words) - 1, F.lit(0)).cast("int"))).alias("block"))
         .withColumn("words", F.least(F.lit(block_words).cast("long"), F.col("size") - F.col("block").cast("long") * block_words))
-        .withColumn("h", F.xxhash64("doc_id", "block", F.lit(seed)))
+        .withColumn("h", F.xxhash64("doc_id", "block", F.lit(seed), *(["salt"] if carry else [])))
         .withColumn("bucket", F.shiftrightunsigned("h", 64 - BUCKET_BITS).cast("int"))
     )
     per_bucket = blocks.groupBy("source_key", "bucket").agg(F.sum("words").alias("w"), F.count(F.lit(1)).alias("n"))
@@ -178,12 +182,12 @@ def mix(
     offsets = per_bucket.select(
         "source_key", "bucket", F.coalesce(F.sum("w").over(ahead), F.lit(0)).alias("words_ahead"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("blocks_ahead")
     )
-    inside = Window.partitionBy("source_key", "bucket").orderBy("h", "doc_id", "block", "words")
+    inside = Window.partitionBy("source_key", "bucket").orderBy("h", "doc_id", "block", "words", *carry)
     ranked = (
         blocks.withColumn("rank", F.row_number().over(inside) - 1)
         .withColumn("sum", F.sum("words").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
         .join(materialize(offsets, "mix-offsets"), ["source_key", "bucket"])
-        .select("doc_id", "source", "source_key", "block", "words", (F.col("rank") + F.col("blocks_ahead")).alias("rank"), (F.col("sum") - F.col("words") + F.col("words_ahead")).alias("before"))
+        .select("doc_id", "source", "source_key", "block", "words", *carry, (F.col("rank") + F.col("blocks_ahead")).alias("rank"), (F.col("sum") - F.col("words") + F.col("words_ahead")).alias("before"))
     )
     goal = F.round("target").cast("long")
     passes = F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(0).cast("int")
@@ -212,6 +216,7 @@ def mix(
             F.when(F.col("repeat").isNotNull(), taken).otherwise(0).cast("long").alias("taken"),
             F.when(F.col("repeat").isNotNull(), F.size(F.filter("cuts", lambda c: c <= position))).alias("shard"),
             F.xxhash64("doc_id", "block", "repeat", F.lit(seed + 1)).alias("place"),
+            *carry,
         )
     )
 
