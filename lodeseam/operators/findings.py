@@ -22,9 +22,13 @@ SECRET_RULES = (
 )
 
 
-def line_findings(docs: DataFrame, key: str, rules=CODE_RULES + SECRET_RULES, sample: int = 30_000) -> DataFrame:
-    """key, line_no, rule, severity, snippet for each rule a line matches; lines that match none never leave the row."""
-    lines = F.transform(X.split_lines(F.substring("content", 1, sample)), lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line")))
+def line_findings(docs: DataFrame, key: str, rules=CODE_RULES + SECRET_RULES, sample: int | None = None) -> DataFrame:
+    """key, line_no, rule, severity, snippet for each rule a line matches; lines that match none never leave the row.
+
+    All of a text is read, unless ``sample`` names how many characters.
+    """
+    content = F.col("content") if sample is None else F.substring("content", 1, sample)
+    lines = F.transform(X.split_lines(content), lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line")))
     hits = F.array(*[F.struct(F.lit(n).alias("rule"), F.lit(s).alias("severity"), F.lit(p).alias("pattern")) for n, s, p in rules])
     anything = lambda line: F.exists(hits, lambda r: F.rlike(line, r["pattern"]))
     near = docs.select(key, F.explode(F.filter(lines, lambda x: anything(x["line"]))).alias("x"))
