@@ -1,7 +1,7 @@
 """Nothing is cut off before it is looked at."""
 
 from lodeseam.operators import findings
-from lodeseam.plans import corpus
+from lodeseam.plans import contexts, corpus
 
 SECRET = "password = 'correct horse battery'"
 
@@ -19,3 +19,12 @@ def test_findings_read_whole_texts(spark, tmp_path):
     assert corpus.finding_cap(spark, str(tmp_path)).count() == 3
     docs = spark.createDataFrame([(1, text)], "id bigint, content string")
     assert findings.line_findings(docs, "id", sample=30_000).count() == 0
+
+
+def test_merge_slots_reads_whole_texts(spark, tmp_path):
+    passage = "copper lantern drifts beyond quiet harbour"
+    texts = ["zz " * 1000 + passage, "yy " * 10 + "nothing of it", "xx " * 10 + "or that"]
+    _documents(spark, tmp_path, [(k, t, "en", "a", len(t)) for k, t in enumerate(texts)])
+    spark.createDataFrame([(1, passage)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["chunk_id"]: r["overlap"] for r in contexts.merge_slots(spark, str(tmp_path)).collect()}
+    assert got[0] > 0
