@@ -10,9 +10,12 @@ its draws by hash.  Everything is hash-seeded: reruns agree.
 Order within a source is found by bucketing hashes: bucket totals, a window over the buckets, and a window inside each
 bucket, so no task ever holds a source.  Tables with a row per source are broadcast only after their size is checked.
 
+The tree has one row per node with a count per source, and the targets are found over one row per source: both fit a task
+for as long as sources do (eight bytes each), however many documents they have.
+
 Defined cases: a null text has size 0 and is never drawn, though reported; a null source is a source of its own, last;
-rows that share doc_id and source are reported as one document; an empty table gives an empty result; other columns are
-not read.
+null and repeated ids and repeated rows are rows of their own; a very long text is many blocks; ties in hash are broken by
+id, block and row; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +28,9 @@ from .common import materialize, table
 
 BLOCK_WORDS = 256
 WHOLE = 1 << 40
+#: Hash buckets of a source: a power of two that keeps about BUCKET_BLOCKS blocks in a bucket, and this many bits at least.
 BUCKET_BITS = 10
+BUCKET_BLOCKS = 50_000
 SHARDS = 16
 WEIGHTS = (3, 1, 2)
 SEED = 20260
@@ -157,37 +162,41 @@ def mix(
     block_words: int = BLOCK_WORDS,
     seed: int = SEED,
     whole_blocks: bool = False,
-    carry: tuple[str, ...] = (),
+    key: str | None = None,
 ) -> DataFrame:
     """One row for each draw, and one with a null shard for each block that is never drawn.
 
-    Columns: doc_id, source, source_size, target, block, words (of the block), repeat (0 first), taken (words of this
-    draw), shard, place (order within the shard).  ``whole_blocks`` takes the last block wholly or not at all, whichever
-    is nearer to the target; with ``block_words=WHOLE`` blocks are documents.  Columns named in ``carry`` are
-    returned too; they tell rows of one doc_id apart, whose texts then enter the hash, so that rows without an id do not
-    share one.
+    Columns: row_key, doc_id, source, source_size, target, block, words (of the block), repeat (0 first), taken (words of
+    this draw), shard, place (order within the shard).  ``whole_blocks`` takes the last block wholly or not at all,
+    whichever is nearer to the target; with ``block_words=WHOLE`` blocks are documents.  ``key`` names a column that tells
+    the rows of ``docs`` apart; without one rows are numbered as they are read.  Texts enter the hash, so that rows that
+    share an id, or have none, get orders of their own.
     """
-    salt = [F.xxhash64("text").alias("salt")] if carry else []
-    sizes = materialize(docs.select("doc_id", "source", _source_key(F.col("source")).alias("source_key"), word_count(F.col("text")).alias("size"), *salt, *carry), "mix-sizes")
+    row_key = F.col(key) if key else F.monotonically_increasing_id()
+    sizes = docs.select(row_key.alias("row_key"), "doc_id", "source", _source_key(F.col("source")).alias("source_key"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("salt"))
+    sizes = materialize(sizes, "mix-sizes")
     totals = sizes.groupBy("source_key").agg(F.sum("size").alias("source_size"))
     targets = materialize(source_targets(totals, weights, percent), "mix-targets")
+    in_blocks = F.greatest(F.ceil(F.col("size") / block_words), F.lit(1)).cast("int")
+    count = sizes.agg(F.sum(in_blocks)).first()[0] or 0
+    bits = max(BUCKET_BITS, (count // BUCKET_BLOCKS).bit_length())
     blocks = (
-        sizes.select(*sizes.columns, F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("size") / block_words) - 1, F.lit(0)).cast("int"))).alias("block"))
+        sizes.select(*sizes.columns, F.explode(F.sequence(F.lit(0), in_blocks - 1)).alias("block"))
         .withColumn("words", F.least(F.lit(block_words).cast("long"), F.col("size") - F.col("block").cast("long") * block_words))
-        .withColumn("h", F.xxhash64("doc_id", "block", F.lit(seed), *(["salt"] if carry else [])))
-        .withColumn("bucket", F.shiftrightunsigned("h", 64 - BUCKET_BITS).cast("int"))
+        .withColumn("h", F.xxhash64("doc_id", "block", F.lit(seed), "salt"))
+        .withColumn("bucket", F.shiftrightunsigned("h", 64 - bits))
     )
     per_bucket = blocks.groupBy("source_key", "bucket").agg(F.sum("words").alias("w"), F.count(F.lit(1)).alias("n"))
     ahead = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select(
         "source_key", "bucket", F.coalesce(F.sum("w").over(ahead), F.lit(0)).alias("words_ahead"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("blocks_ahead")
     )
-    inside = Window.partitionBy("source_key", "bucket").orderBy("h", "doc_id", "block", "words", *carry)
+    inside = Window.partitionBy("source_key", "bucket").orderBy("h", "doc_id", "block", "words", "row_key")
     ranked = (
         blocks.withColumn("rank", F.row_number().over(inside) - 1)
         .withColumn("sum", F.sum("words").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
         .join(materialize(offsets, "mix-offsets"), ["source_key", "bucket"])
-        .select("doc_id", "source", "source_key", "block", "words", *carry, (F.col("rank") + F.col("blocks_ahead")).alias("rank"), (F.col("sum") - F.col("words") + F.col("words_ahead")).alias("before"))
+        .select("row_key", "doc_id", "source", "source_key", "block", "words", "salt", (F.col("rank") + F.col("blocks_ahead")).alias("rank"), (F.col("sum") - F.col("words") + F.col("words_ahead")).alias("before"))
     )
     goal = F.round("target").cast("long")
     passes = F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(0).cast("int")
@@ -206,6 +215,7 @@ def mix(
         _by_source(placed, cuts)
         .withColumn("repeat", F.explode_outer(repeats))
         .select(
+            "row_key",
             "doc_id",
             "source",
             "source_size",
@@ -215,8 +225,7 @@ def mix(
             "repeat",
             F.when(F.col("repeat").isNotNull(), taken).otherwise(0).cast("long").alias("taken"),
             F.when(F.col("repeat").isNotNull(), F.size(F.filter("cuts", lambda c: c <= position))).alias("shard"),
-            F.xxhash64("doc_id", "block", "repeat", F.lit(seed + 1)).alias("place"),
-            *carry,
+            F.xxhash64("doc_id", "block", "repeat", F.lit(seed + 1), "salt").alias("place"),
         )
     )
 
@@ -227,9 +236,32 @@ def write_shards(draws: DataFrame, path: str) -> None:
     drawn.repartition("shard").sortWithinPartitions("shard", "place").write.partitionBy("shard").parquet(path)
 
 
-def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    draws = mix(table(spark, sf_dir, "documents"))
-    first = F.coalesce(F.col("repeat"), F.lit(0)) == 0
-    return draws.groupBy("doc_id", "source").agg(
-        F.sum(F.when(first, F.col("words")).otherwise(0)).alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("taken").alias("taken")
+def per_document(draws: DataFrame) -> DataFrame:
+    """One row per row of the documents: size, source_size, target, taken (words over all shards), draws, shards, first_shard, first_place.
+
+    Draws are summed by shard first, so ``taken`` is what the shards hold.
+    """
+    once = F.coalesce(F.col("repeat"), F.lit(0)) == 0
+    by_shard = draws.groupBy("row_key", "doc_id", "shard").agg(
+        F.sum(F.when(once, F.col("words")).otherwise(0)).alias("size"),
+        F.first("source_size").alias("source_size"),
+        F.first("target").alias("target"),
+        F.sum("taken").alias("taken"),
+        F.count("repeat").alias("draws"),
+        F.min("place").alias("place"),
     )
+    first = F.min(F.when(F.col("shard").isNotNull(), F.struct("shard", "place")))
+    return by_shard.groupBy("row_key", "doc_id").agg(
+        F.sum("size").alias("size"),
+        F.first("source_size").alias("source_size"),
+        F.first("target").alias("target"),
+        F.sum(F.when(F.col("shard").isNotNull(), F.col("taken")).otherwise(0)).alias("taken"),
+        F.sum("draws").alias("draws"),
+        F.array_join(F.sort_array(F.collect_set("shard")), ",").alias("shards"),
+        first["shard"].alias("first_shard"),
+        first["place"].alias("first_place"),
+    )
+
+
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return per_document(mix(table(spark, sf_dir, "documents"))).drop("row_key")

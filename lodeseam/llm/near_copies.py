@@ -1,41 +1,41 @@
-"""Near copies by exact Jaccard similarity of word shingles, found with prefixes of the shingle sets.
+"""Near copies: SimHash tiles find candidates, exact similarity of five-word shingle sets confirms them.
 
-Two texts are near copies if their sets of lower-cased five-word shingles (64-bit hashes) have a similarity of 0.8 or more.
-Under any one order of all shingles such a pair shares a shingle among the first n // 5 + 1 of either set, and among the
-first n // 9 + 1 of the smaller one, so meeting on those loses no pair.  The order is by hash, with shingles that a sample
-of the documents shows to be common put last: the sample decides how many candidates there are, never which links.  A
-candidate is dropped if sizes, positions or parity sketches prove that it is below the bound; all others are confirmed on
-the full sets.  Equal sets collapse to one row first, and texts that neighbours on a few shingles already link are not
-met with each other again, so a large group of near copies makes rows in proportion to its size.
+Two texts are near copies if their sets of lower-cased five-word shingles (64-bit hashes) have a Jaccard similarity of 0.8
+or more.  A set has a 64-bit SimHash and MINS minimum hashes.  Sets that share the value of a minimum hash form a group,
+whose SimHashes are compared exactly in tiles.  A pair within RADIUS bits, of sizes that permit the similarity and with at
+least AGREE of the SKETCH minimum hashes in common is a candidate, and candidates are confirmed on the full sets.
+
+What can be lost is a pair the filters miss; at a similarity of exactly 0.8 that is 0.2^6 (no shared group), about 0.001
+(RADIUS) and 0.0003 (AGREE), less above it.  Nothing below the bound is ever linked.  Equal sets collapse to one row first.
+A row first offers its nearest partner only; what those confirmed links join is not compared again, so a large group of
+near copies makes rows in proportion to its size.
 
 Defined cases: a null text counts as empty; texts without words are copies of each other; fewer than five words are one
-shingle; ``key`` is unique and never null; an empty table gives an empty result; other columns are not read.
+shingle; ``key`` is unique and never null; a very long text is taken whole; an empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import materialize
 from .components import components
+from .simhash import majority
+from .tiles import cell_pairs, cells, map_cells
 
 SHINGLE = 5
-#: A document in so many is looked at for common shingles; one is common if it leads so many of those.
-SHOW, COMMON = 8, 8
-#: Common shingles that are put last, at most: beyond it the rarer ones keep their place, which costs candidates only.
-LAST = 200_000
-#: Leading shingles on which neighbours are linked before all others meet.
-LEAD = 8
-#: Bits of a parity sketch.
-SKETCH = 1024
-_BLOCK = 1024
+RADIUS = 18
+#: Minimum hashes that form groups, minimum hashes of the sketch, and how many of those a candidate shares.
+MINS, SKETCH, AGREE = 6, 16, 7
+#: Odd multipliers without small ratios: each orders the shingle hashes anew.
+_TURNS = np.array([xxhash.xxh64_intdigest(bytes([k])) | 1 for k in range(SKETCH)], dtype=np.uint64)
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -52,129 +52,90 @@ def similar(overlap, a, b):
     return 9 * overlap >= 4 * (a + b)
 
 
-def _prefix(found: np.ndarray, last: np.ndarray) -> np.ndarray:
-    at = np.minimum(np.searchsorted(last, found), max(len(last) - 1, 0))
-    late = last[at] == found if len(last) else np.zeros(len(found), dtype=bool)
-    return np.concatenate([found[~late], found[late]])[: len(found) // 5 + 1]
-
+def prints(docs: DataFrame, key: str) -> DataFrame:
+    """key, digest of the set, n, fp, mins (group keys), sketch (16 bits of each minimum hash) of every row."""
 
-def _common(docs: DataFrame, key: str) -> np.ndarray:
     def batch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            parts = [s[: len(s) // 5 + 1] for s in map(shingles, f["text"])]
-            yield pd.DataFrame({"h": np.concatenate([*parts, np.empty(0, dtype=np.uint64)]).view(np.int64)})
+            rows = []
+            for k, text in zip(f["key"], f["text"], strict=True):
+                s = shingles(text)
+                least = np.array([(s * t).min() for t in _TURNS], dtype=np.uint64) if len(s) else np.empty(0, dtype=np.uint64)
+                fp = np.uint64(majority(s.astype(">u8"))).astype(np.int64)
+                rows.append((k, xxhash.xxh3_128_hexdigest(s.tobytes()), len(s), fp, least[:MINS].view(np.int64), least.astype(np.uint16).tobytes()))
+            yield pd.DataFrame(rows, columns=["key", "digest", "n", "fp", "mins", "sketch"])
 
-    shown = docs.where(F.pmod(F.xxhash64(key), F.lit(SHOW)) == 0).select("text").mapInPandas(batch, "h bigint")
-    counts = shown.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "h").limit(LAST)
-    return np.sort(np.array([r["h"] for r in counts.select("h").collect()], dtype=np.int64).view(np.uint64))
+    schema = "key bigint, digest string, n int, fp bigint, mins array<bigint>, sketch binary"
+    return docs.select(F.col(key).alias("key"), "text").mapInPandas(batch, schema)
 
 
-def _sets(docs: DataFrame, key: str) -> DataFrame:
-    def batch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"key": f["key"], "hashes": [s.view(np.int64) for s in map(shingles, f["text"])]})
+def _likely(f: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    n, sketch = f["n"].to_numpy(), np.frombuffer(b"".join(f["sketch"]), dtype=np.uint16).reshape(-1, SKETCH)
+    for a, b in cell_pairs(f, RADIUS):
+        may = 5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b])
+        a, b = a[may], b[may]
+        may = (sketch[a] == sketch[b]).sum(axis=1) >= AGREE
+        yield a[may], b[may]
+
+
+def _nearest(f: pd.DataFrame) -> pd.DataFrame:
+    """For each row its nearest partner of a lower row number."""
+    found = [(a, b) for a, b in _likely(f) if len(a)]
+    if not found:
+        return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    fp, key = f["fp"].to_numpy().view(np.uint64), f["key"].to_numpy()
+    order = np.lexsort((np.bitwise_count(fp[a] ^ fp[b]), b))
+    first = order[np.r_[True, b[order][1:] != b[order][:-1]]]
+    return _pairs(key[a[first]], key[b[first]])
+
 
-    return docs.select(F.col(key).alias("key"), "text").mapInPandas(batch, "key bigint, hashes array<bigint>")
+def _apart(f: pd.DataFrame) -> pd.DataFrame:
+    """All candidates of different ``component``."""
+    key, component = f["key"].to_numpy(), f["component"].to_numpy()
+    found = [np.empty((2, 0), dtype=np.int64)]
+    for a, b in _likely(f):
+        apart = component[a] != component[b]
+        found.append(np.stack([key[a[apart]], key[b[apart]]]))
+    return _pairs(*np.concatenate(found, axis=1))
 
 
-def meet(key: np.ndarray, size: np.ndarray, place: np.ndarray, group: np.ndarray) -> Iterator[np.ndarray]:
-    """Pairs (2 x n) of the documents that have one shingle at ``place`` in their order, may be similar and differ in ``group``."""
-    order = np.lexsort((key, size))
-    key, size, place, group = key[order], size[order], place[order], group[order]
-    stop = np.searchsorted(size, size * 5 // 4, side="right")
-    for i in range(0, len(key), _BLOCK):
-        end = min(i + _BLOCK, len(key))
-        for j in range(i, stop[end - 1], _BLOCK):
-            to = min(j + _BLOCK, stop[end - 1])
-            a, b, p, q = size[i:end, None], size[None, j:to], place[i:end, None], place[None, j:to]
-            may = similar(np.minimum(a - p, b - q), a, b) & (p <= a // 9) & (np.arange(i, end)[:, None] < np.arange(j, to)[None, :])
-            may &= group[i:end, None] != group[None, j:to]
-            x, y = np.nonzero(may)
-            if len(x):
-                x, y = key[i:end][x], key[j:to][y]
-                yield np.stack([np.minimum(x, y), np.maximum(x, y)])
+def _pairs(x: np.ndarray, y: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """``reps``: key, n, prefix, group.  Returns distinct pairs (a, b) of different groups, a < b."""
+def candidates(reps: DataFrame, find: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
+    """Distinct pairs (a, b), a < b, that ``find`` takes from cells of rows with a minimum hash in common."""
+    rows = reps.select(*(c for c in reps.columns if c != "mins"), F.posexplode("mins").alias("turn", "least"))
+    return map_cells(cells(rows, ["turn", "least"], RADIUS), find, "a bigint, b bigint").distinct()
+
+
+def confirm(docs: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose sets are similar.  Only texts that a pair names are read again."""
 
     def batch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: list[pd.DataFrame] = []
-
-        def pairs(f: pd.DataFrame) -> pd.DataFrame:
-            h, key, n, pos, group = (f[c].to_numpy() for c in ("h", "key", "n", "pos", "group"))
-            edges = np.flatnonzero(np.r_[True, h[1:] != h[:-1], True]) if len(h) else np.zeros(1, dtype=int)
-            found = [np.empty((2, 0), dtype=np.int64)]
-            for k in np.flatnonzero(np.diff(edges) > 1).tolist():
-                at = slice(edges[k], edges[k + 1])
-                found += meet(key[at], n[at].astype(np.int64), pos[at].astype(np.int64), group[at])
-            both = np.unique(np.concatenate(found, axis=1), axis=1)
-            return pd.DataFrame({"a": both[0], "b": both[1]})
-
-        for f in frames:  # the last shingle of a batch may go on in the next
-            if not len(f):
-                continue
-            h = f["h"].to_numpy()
-            if h[0] == h[-1]:
-                if kept and kept[0]["h"].iloc[0] != h[0]:
-                    yield pairs(pd.concat(kept))
-                    kept = []
-                kept.append(f)
-                continue
-            first = int(np.searchsorted(h, h[-1]))
-            yield pairs(pd.concat([*kept, f.iloc[:first]]))
-            kept = [f.iloc[first:]]
-        if kept:
-            yield pairs(pd.concat(kept))
-
-    rows = reps.select("key", "n", "group", F.posexplode("prefix").alias("pos", "h"))
-    return rows.repartition("h").sortWithinPartitions("h").mapInPandas(batch, "a bigint, b bigint").distinct()
-
-
-def neighbours(reps: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, that follow one another under one of the leading shingles, in an order by hash."""
-    rows = reps.select("key", F.explode(F.slice("prefix", 1, LEAD)).alias("h"))
-    before = F.lag("key").over(Window.partitionBy("h").orderBy(F.xxhash64("key", "h"), "key"))
-    pairs = rows.select("key", before.alias("before")).where("before is not null")
-    return pairs.select(F.least("key", "before").alias("a"), F.greatest("key", "before").alias("b")).distinct()
-
-
-def confirm(docs: DataFrame, key: str, prints: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are similar."""
-    side = lambda s: prints.select(F.col("key").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
-    differ = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda t, x: t + x)
-    # bits that differ are at most the shingles that differ, and those at most a ninth of both sizes
-    possible = pairs.join(side("a"), "a").join(side("b"), "b").where(9 * differ <= F.col("n_a") + F.col("n_b"))
-    possible = materialize(possible.select("a", "b"), "copies-possible")
-    needed = possible.select(F.explode(F.array("a", "b")).alias(key)).distinct()
-    sets = materialize(_sets(docs.join(needed, key, "left_semi"), key), "copies-hashes")
+        for f in frames:
+            yield pd.DataFrame({"key": f["key"], "hashes": [s.view(np.int64) for s in map(shingles, f["text"])]})
+
+    needed = materialize(pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct(), "copies-needed")
+    named = docs.join(needed, key, "left_semi").select(F.col(key).alias("key"), "text")
+    sets = materialize(named.mapInPandas(batch, "key bigint, hashes array<bigint>"), "copies-sets")
     side = lambda s: sets.select(F.col("key").alias(s), F.col("hashes").alias(f"hashes_{s}"))
     overlap = F.size(F.array_intersect("hashes_a", "hashes_b"))
-    links = possible.join(side("a"), "a").join(side("b"), "b").where(similar(overlap, F.size("hashes_a"), F.size("hashes_b")))
+    links = pairs.join(side("a"), "a").join(side("b"), "b").where(similar(overlap, F.size("hashes_a"), F.size("hashes_b")))
     return materialize(links.select("a", "b"), "copies-links")
 
 
 def near_copies(docs: DataFrame, key: str) -> DataFrame:
     """(key, component): the least key that links of similarity 0.8 reach, for every row."""
-    last = _common(docs, key)
-
-    def batch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for k, text in zip(f["key"], f["text"], strict=True):
-                s = shingles(text)
-                odd = np.bincount((s % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH).astype(np.uint8) & 1
-                rows.append((k, xxhash.xxh3_128_hexdigest(s.tobytes()), len(s), _prefix(s, last).view(np.int64), np.packbits(odd).view(np.int64)))
-            yield pd.DataFrame(rows, columns=["key", "digest", "n", "prefix", "sketch"])
-
-    schema = "key bigint, digest string, n int, prefix array<bigint>, sketch array<bigint>"
-    prints = materialize(docs.select(F.col(key).alias("key"), "text").mapInPandas(batch, schema), "copies-prints")
-    groups = materialize(prints.groupBy("digest").agg(F.min("key").alias("first")), "copies-sets")
-    reps = prints.join(groups.select(F.col("first").alias("key")), "key", "left_semi")
-    near = confirm(docs, key, prints, materialize(neighbours(reps), "copies-neighbours"))
+    found = materialize(prints(docs, key), "copies-prints")
+    groups = materialize(found.groupBy("digest").agg(F.min("key").alias("first")), "copies-digests")
+    reps = found.join(groups.select(F.col("first").alias("key")), "key", "left_semi").select("key", "n", "fp", "mins", "sketch")
+    near = confirm(docs, key, materialize(candidates(reps, _nearest), "copies-nearest"))
     linked = components(near)
-    reps = reps.join(linked, F.col("key") == F.col("node"), "left").select("key", "n", "prefix", F.coalesce("component", "key").alias("group"))
-    far = confirm(docs, key, prints, materialize(candidates(reps), "copies-candidates"))
+    placed = reps.join(linked, F.col("key") == F.col("node"), "left").select(*reps.columns, F.coalesce("component", "key").alias("component"))
+    far = confirm(docs, key, materialize(candidates(placed, _apart), "copies-candidates"))
     joined = components(near.unionByName(far))
     named = groups.join(joined, F.col("first") == F.col("node"), "left").select("digest", F.coalesce("component", "first").alias("component"))
-    return prints.join(named, "digest").select(F.col("key").alias(key), "component")
+    return found.join(named, "digest").select(F.col("key").alias(key), "component")

@@ -3,14 +3,18 @@
 Documents become token ids where their texts are read; pieces of the context length are sequences of their own, and only
 the remainders are packed.  Leaves pack their remainders best-fit decreasing; bins that are nearly full leave, and the
 rest go up a tree as items for another best-fit round with those of other leaves, until one node is left.  An item is a bin with its
-pieces (a bounded list: each has a token at least), so no round looks anything up.  A node sends up only its
-``CARRY`` emptiest bins, which bounds what an inner node reads; the others are closed as they are.
+pieces (a bounded list: each has a token at least), so no round looks anything up.
+
+A node sends up its ``CARRY`` emptiest bins, which bounds what an inner node reads, and loses no merge: of two bins at most
+half full best fit would have made one, so a node has one such bin at most, only those can be merged with others further up, each
+with one partner, and the emptiest bins are the partners that take the most.  A node needs no more of them than it has
+children.
 
 Leaves are chosen by hash, so each sees the whole spread of lengths, and their number follows the number of remainders.
 
 Defined cases: a null or empty text is the end token alone; a document longer than a sequence is cut, its last piece may
 be short; equal lengths are ordered by a hash of doc_id and piece; rows that repeat a doc_id are packed as documents of
-their own; an empty table gives an empty result; other columns are not read.
+their own; null ids are kept; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ SLACK = 8
 #: Remainders in a leaf, about, and children of an inner node.
 LEAF = 20_000
 FAN_IN = 16
-CARRY = 2000
+CARRY = 1024
 #: Distinct chunks of text whose ids a worker remembers.
 MEMO = 700_000
 

@@ -5,14 +5,13 @@ Equal fingerprints collapse to one row first, so a group of copies costs one com
 
 Two fingerprints within RADIUS bits agree on at least SEGMENTS - RADIUS of SEGMENTS bit segments, so comparing within
 groups that agree on such a choice of segments loses no pair; with 5 segments and radius 3 there are ten choices of about
-25 bits.  A group is cut into tiles: one tile if it is small, else tiles by population count and a hash.  Tile pairs whose
-population counts differ beyond the radius are skipped in the join that forms the pairs, and again block by block inside
-the numpy kernel, which compares by exclusive-or and bit counts.  A tile pair reports a spanning forest of its links, not
+25 bits.  Groups are compared tile pair by tile pair (``tiles``), and a cell reports a spanning forest of its links, not
 the links, so a large group of near copies makes rows in proportion to its size.
 
 Defined cases: a null text counts as empty; a text without words has fingerprint 0 and links like any other; one or two
 words are one shingle; a null ``doc_id`` links like any other and is never a component's id unless all its ids are null;
-an empty table gives an empty result; other columns are not read.
+rows that repeat a ``doc_id`` each give a row; a very long text is fingerprinted whole, ``_CHUNK`` shingles at a time; an
+empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,12 +27,11 @@ from pyspark.sql import functions as F
 
 from .common import map_documents, materialize, table
 from .components import components
+from .tiles import TILE, cell_pairs, cells, map_cells, union
 
 RADIUS = 3
 SEGMENTS = 5
 SHINGLE = 3
-#: Fingerprints in a tile, about.
-TILE = 4096
 #: Shingles whose bits are counted at a time.
 _CHUNK = 1 << 16
 
@@ -43,12 +41,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     if not words:
         return 0
     grams = [b" ".join(words)] if len(words) < shingle else list(map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)))
+    return majority(np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), dtype=">u8", count=len(grams)))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, big-endian 64-bit integers."""
     ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(grams), _CHUNK):
-        part = grams[at : at + _CHUNK]
-        h = np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in part), dtype=">u8", count=len(part))
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(grams)).tobytes(), "big")
+    for at in range(0, len(hashes), _CHUNK):
+        ones += np.unpackbits(hashes[at : at + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -73,111 +74,20 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _forest(links: np.ndarray, parent: np.ndarray) -> None:
-    """Union the index pairs (2 x n) into ``parent``."""
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for a, b in links.T.tolist():
-        a, b = root(a), root(b)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-
-
-def close_pairs(a: np.ndarray, b: np.ndarray, radius: int, block: int = 512) -> Iterator[np.ndarray]:
-    """Index pairs (2 x n) of a and b, uint64 sorted by population count, that differ in at most ``radius`` bits."""
-    pa, pb = np.bitwise_count(a).astype(np.int16), np.bitwise_count(b).astype(np.int16)
-    for i in range(0, len(a), block):
-        x, lo, hi = a[i : i + block], pa[i], pa[min(i + block, len(a)) - 1]
-        start, stop = np.searchsorted(pb, [lo - radius, hi + radius + 1])
-        for j in range(start, stop, block):
-            y = b[j : min(j + block, stop)]
-            near = np.nonzero(np.bitwise_count(x[:, None] ^ y[None, :]) <= radius)
-            if len(near[0]):
-                yield np.stack([near[0] + i, near[1] + j])
-
-
-def tile_links(left: np.ndarray, right: np.ndarray, same: bool, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Links that join what is not yet joined inside either tile: a spanning forest of the tile pair."""
-    order = lambda x: x[np.argsort(np.bitwise_count(x), kind="stable")]
-    left, right = order(left), order(right)
-    n = len(left)
-    out: list[tuple[int, int]] = []
-    if same:
-        parent = np.arange(n)
-        for links in close_pairs(left, left, radius):
-            _forest(links[:, links[0] < links[1]], parent)
-        return [(int(left[i]), int(left[p])) for i, p in enumerate(parent.tolist()) if i != p]
-    across = list(close_pairs(left, right, radius))
-    if not across:
-        return out
-    parent = np.arange(n + len(right))
-    own = parent.copy()
-    for tile, shift in ((left, 0), (right, n)):
-        for links in close_pairs(tile, tile, radius):
-            _forest(links[:, links[0] < links[1]] + shift, own)
-    parent = own
-    both = np.concatenate([left, right])
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for links in across:
-        for i, j in links.T.tolist():
-            a, b = root(i), root(j + n)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                out.append((int(both[i]), int(both[j + n])))
-    return out
-
-
 def near_links(fps: DataFrame, radius: int = RADIUS, segments: int | None = None, tile: int = TILE) -> DataFrame:
     """``fps``: distinct ``fp``.  Returns links (a, b) between fingerprints whose components are those of all close pairs."""
     segments = segments or (SEGMENTS if radius == RADIUS else radius + 2)
     masks = F.array(*[F.struct(F.lit(k).alias("choice"), F.lit(_signed(m)).alias("mask")) for k, m in enumerate(segment_masks(segments, radius))])
     keyed = fps.select("fp", F.explode(masks).alias("m")).select("fp", F.col("m.choice").alias("choice"), F.col("fp").bitwiseAND(F.col("m.mask")).alias("key"))
-    sizes = keyed.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sizes = materialize(sizes.select("choice", "key", F.ceil(F.col("n") / tile).cast("int").alias("tiles")), "simhash-groups")
-    pops = F.bit_count("fp").cast("int")
-    cut = keyed.join(sizes, ["choice", "key"]).select(
-        "choice",
-        "key",
-        "fp",
-        pops.alias("pop"),
-        F.when(F.col("tiles") == 1, -1).otherwise(pops).alias("by_pop"),
-        F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int").alias("by_hash"),
-    )
-    tiles = materialize(
-        cut.groupBy("choice", "key", "by_pop", "by_hash").agg(F.collect_list("fp").alias("fps"), F.min("pop").alias("lo"), F.max("pop").alias("hi")),
-        "simhash-tiles",
-    )
-    name = lambda side: tiles.select("choice", "key", *[F.col(c).alias(f"{c}_{side}") for c in ("by_pop", "by_hash", "fps", "lo", "hi")])
-    pairs = name("l").join(name("r"), ["choice", "key"]).where(
-        (F.struct(F.col("by_pop_l").alias("p"), F.col("by_hash_l").alias("h")) <= F.struct(F.col("by_pop_r").alias("p"), F.col("by_hash_r").alias("h")))
-        & (F.col("lo_r") - F.col("hi_l") <= radius)
-        & (F.col("lo_l") - F.col("hi_r") <= radius)
-    )
-    work = pairs.select("fps_l", "fps_r", ((F.col("by_pop_l") == F.col("by_pop_r")) & (F.col("by_hash_l") == F.col("by_hash_r"))).alias("same"))
-
-    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            found: list[tuple[int, int]] = []
-            for x, y, same in zip(f["fps_l"], f["fps_r"], f["same"], strict=True):
-                x, y = np.asarray(x, dtype=np.int64).view(np.uint64), np.asarray(y, dtype=np.int64).view(np.uint64)
-                if same and len(x) == 2:  # most groups
-                    found += [(int(x[0]), int(x[1]))] if int(x[0] ^ x[1]).bit_count() <= radius else []
-                else:
-                    found += tile_links(x, y, bool(same), radius)
-            pair = np.array(found, dtype=np.uint64).reshape(-1, 2).view(np.int64)
-            yield pd.DataFrame({"a": pair[:, 0], "b": pair[:, 1]})
-
-    return work.mapInPandas(compare, "a bigint, b bigint")
+
+    def forest(f: pd.DataFrame) -> pd.DataFrame:
+        fp, label = f["fp"].to_numpy(), np.arange(len(f))
+        for a, b in cell_pairs(f, radius):
+            label = union(label, a, b)
+        linked = np.flatnonzero(label != np.arange(len(f)))
+        return pd.DataFrame({"a": fp[linked], "b": fp[label[linked]]})
+
+    return map_cells(cells(keyed, ["choice", "key"], radius, tile), forest, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:

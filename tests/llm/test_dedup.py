@@ -8,7 +8,7 @@ from collections import defaultdict
 import numpy as np
 import xxhash
 
-from lodeseam.llm import components, exact_dedup, simhash
+from lodeseam.llm import components, exact_dedup, simhash, tiles
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -47,6 +47,30 @@ def test_index_remembers_batches_and_opens_again(spark, empty):
     assert exact_dedup.dedup_against_index(empty, again).count() == 0
 
 
+def test_two_batches_decide_as_one(spark, nasty, sample, empty):
+    for docs in (nasty, sample):
+        rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+        index = exact_dedup.DigestIndex(spark, buckets=4)
+        got = exact_dedup.dedup_in_batches(docs, index).collect()
+        assert {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in got} == _exact(rows) and len(got) == len(rows)
+        assert index.read().count() == len({x[0] for x in _exact(rows).values()})
+        assert {r["batch"] for r in index.read().select("batch").distinct().collect()} == {"1", "2"}
+    odd = spark.createDataFrame([(None, "a"), (None, "A"), (3, "b"), (3, "b"), (1, "B")], "doc_id bigint, text string")
+    got = exact_dedup.dedup_in_batches(odd, exact_dedup.DigestIndex(spark)).collect()
+    assert sorted((r["keep_id"] or 0, r["group_size"], r["kept"]) for r in got) == [(0, 2, False), (0, 2, True), (3, 3, False), (3, 3, False), (3, 3, True)]
+    assert exact_dedup.dedup_in_batches(empty, exact_dedup.DigestIndex(spark)).count() == 0
+
+
+def test_index_shows_a_digest_once_and_compacts(spark):
+    index = exact_dedup.DigestIndex(spark, buckets=4)
+    rows = spark.createDataFrame([(bytes([k]), k) for k in range(20)], "digest binary, keep_id bigint")
+    for batch in ("b", "a"):  # two writers that did not see each other
+        index.append(rows.selectExpr("digest", f"keep_id + {ord(batch)} as keep_id", f"'{batch}' as batch"))
+    for read in (index.read(), index.compact().read()):
+        assert sorted((r["keep_id"], r["batch"]) for r in read.collect()) == [(k + 97, "a") for k in range(20)]
+    assert "Exchange" not in index.read()._jdf.queryExecution().executedPlan().toString()
+
+
 def _fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
     if not words:
@@ -116,7 +140,7 @@ def test_close_pairs_skip_nothing():
     a = np.sort(rng.integers(0, 1 << 63, 300, dtype=np.uint64))
     b = np.concatenate([a[:100] ^ np.uint64(5), rng.integers(0, 1 << 63, 200, dtype=np.uint64)])
     a, b = (x[np.argsort(np.bitwise_count(x), kind="stable")] for x in (a, b))
-    got = {(int(i), int(j)) for p in simhash.close_pairs(a, b, 3, block=16) for i, j in p.T}
+    got = {(int(i), int(j)) for p in tiles.close_pairs(a, b, 3, block=16) for i, j in p.T}
     assert got == {(i, j) for i, x in enumerate(a) for j, y in enumerate(b) if int(x ^ y).bit_count() <= 3}
 
 

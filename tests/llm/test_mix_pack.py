@@ -51,6 +51,26 @@ def test_mix_meets_targets_exactly(nasty, sample):
         draws.unpersist()
 
 
+def test_documents_report_what_the_shards_hold(spark, sample):
+    docs = sample.unionByName(sample.limit(5)).repartition(2)  # repeated rows are rows of their own
+    draws = mixing.mix(docs, shards=8, block_words=16).cache()
+    found = mixing.per_document(draws).collect()
+    assert len(found) == docs.count()
+    held = draws.where("shard is not null").groupBy("row_key").agg(F.sum("taken").alias("t"), F.countDistinct("shard").alias("n")).collect()
+    assert {r["row_key"]: r["t"] for r in held} == {r["row_key"]: r["taken"] for r in found if r["draws"]}
+    assert {r["row_key"]: r["n"] for r in held} == {r["row_key"]: len(r["shards"].split(",")) for r in found if r["draws"]}
+    assert all(r["first_shard"] == min(map(int, r["shards"].split(","))) for r in found if r["draws"])
+    draws.unpersist()
+
+
+def test_shards_as_files(spark, sample, tmp_path):
+    draws = mixing.mix(sample, shards=4).cache()
+    mixing.write_shards(draws, str(tmp_path / "shards"))
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert back.count() == draws.where("shard is not null").count() and back.select("shard").distinct().count() == 4
+    draws.unpersist()
+
+
 def test_tree_keeps_every_quota(spark):
     quotas = spark.createDataFrame([("a", 1000), ("b", 37), ("c", 0), ("d", 5000)], "source_key string, draws bigint")
     cuts = {r["source_key"]: r["cuts"] for r in mixing.split_quotas(quotas, 8).collect()}
@@ -106,8 +126,11 @@ def test_tree_rounds_pack_as_well_as_one(spark, monkeypatch, tokenizer, sample):
     one = packing.pack(sample, tokenizer).select("sequence_id").distinct().count()
     monkeypatch.setattr(packing, "LEAF", 20)
     monkeypatch.setattr(packing, "FAN_IN", 3)
+    monkeypatch.setattr(packing, "CARRY", 1 << 30)
+    everything = packing.pack(sample, tokenizer).select("sequence_id").distinct().count()
+    monkeypatch.setattr(packing, "CARRY", 6)
     many = packing.pack(sample, tokenizer)
-    assert many.select("sequence_id").distinct().count() <= 1.02 * one + 1
+    assert many.select("sequence_id").distinct().count() <= everything <= 1.02 * one + 1  # what is not carried loses nothing
     assert many.select("doc_id", "piece").distinct().count() == many.count()
 
 

@@ -3,10 +3,8 @@
 import random
 import re
 
-import pytest
-
 import corpus_pipeline
-from lodeseam.llm import near_copies
+from lodeseam.llm import near_copies, tiles
 
 SCHEMA = "doc_id bigint, text string, lang string, source string"
 
@@ -47,9 +45,8 @@ def _families(groups, each):
     return texts
 
 
-@pytest.mark.parametrize("common", [True, False])
-def test_equals_brute_force(spark, sample, common, monkeypatch):
-    monkeypatch.setattr(near_copies, "COMMON", 2 if common else 1 << 30)
+def test_links_of_brute_force_are_found(spark, sample):
+    """Links are exact; one in a thousand may be missed, so these 500 texts miss none."""
     found = [r["text"] for r in sample.select("text").collect()]
     texts = found + _families(12, 8) + [None, "", " \n", "x", "X", "one two three four", "a b c d e", "A b\tc d e"]
     docs = spark.createDataFrame(list(enumerate(texts)), "row_key bigint, text string").repartition(3)
@@ -58,6 +55,24 @@ def test_equals_brute_force(spark, sample, common, monkeypatch):
     assert len(set(got.values())) < len(texts) - 20
 
 
+def test_recall_over_all_pairs(spark):
+    """Pairs just above the bound: at least 99 of 100 are candidates, and none below it is linked."""
+    rng, rows, pairs = random.Random(11), [], []
+    for k in range(300):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([60, 120, 400]))]
+        copy = list(words)
+        for _ in range(max(1, round(len(words) * rng.uniform(0.01, 0.03)))):
+            copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
+        a, b = _shingles(" ".join(words)), _shingles(" ".join(copy))
+        pairs.append(5 * len(a & b) >= 4 * len(a | b))
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
+    docs = spark.createDataFrame(rows, "row_key bigint, text string").repartition(3)
+    got = {r["row_key"]: r["component"] for r in near_copies.near_copies(docs, "row_key").collect()}
+    linked = [got[2 * k] == got[2 * k + 1] for k in range(300)]
+    assert not any(x and not y for x, y in zip(linked, pairs, strict=True))
+    assert 50 < sum(pairs) < 290 and sum(linked) >= 0.99 * sum(pairs)
+
+
 def test_large_group_makes_few_candidates(spark, monkeypatch):
     seen = {}
 
@@ -70,7 +85,14 @@ def test_large_group_makes_few_candidates(spark, monkeypatch):
     words = [f"w{i}" for i in range(300)]
     docs = spark.createDataFrame([(k, " ".join(words[:k] + ["new"] + words[k + 1 :])) for k in range(200)], "row_key bigint, text string")
     assert {r["component"] for r in near_copies.near_copies(docs, "row_key").collect()} == {0}
-    assert seen["copies-candidates"] < 2000
+    assert seen["copies-nearest"] < 1200 and seen["copies-candidates"] < 200
+
+
+def test_hot_groups_are_cut_into_tile_pairs(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "cells", lambda rows, by, radius: tiles.cells(rows, by, radius, tile=40))
+    texts = _families(3, 60)
+    docs = spark.createDataFrame(list(enumerate(texts)), "row_key bigint, text string").repartition(3)
+    assert {r["row_key"]: r["component"] for r in near_copies.near_copies(docs, "row_key").collect()} == _components(list(enumerate(texts)))
 
 
 def test_near_stage_takes_similar_texts_only(spark):

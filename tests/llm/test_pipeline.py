@@ -6,7 +6,8 @@ import pytest
 
 import corpus_pipeline
 
-from test_dedup import _exact, _near
+from test_dedup import _exact
+from test_near_copies import _components
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,7 +27,7 @@ def test_stages_take_effect(spark, tmp_path):
         if name == "exact_dedup":
             assert kept[name] == sorted(i for i, x in _exact(rows).items() if x[2])
         if name == "near_dedup":
-            assert kept[name] == sorted(i for i, x in _near(rows).items() if x[1] == i)
+            assert kept[name] == sorted(i for i, x in _components(rows).items() if x == i)
         if name == "mix_sources":
             assert set(kept[name]) <= {i for i, _ in rows} and len(kept[name]) > len(rows)
         if name == "pack":
