@@ -1,7 +1,8 @@
 """From raw documents to packed sequences in five stages, each a written table that the next one reads.
 
 Every stage works on all that its predecessor kept and returns the columns of ``documents``, but for the last, which
-returns the packed pieces.
+returns the packed pieces.  Stages decide by row: null and repeated ids, null and very long texts, repeated rows, extra
+columns of any name but ``row_key`` and empty tables pass through.
 """
 
 from __future__ import annotations
@@ -14,42 +15,57 @@ from lodeseam.llm import exact_dedup, mixing, near_copies, packing, quality_rule
 from lodeseam.llm.common import materialize, table
 
 
-def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the learned decision list keeps."""
-    rules = quality_rules.learn_rules(docs, table(spark, sf_dir, "labels"))
-    judged = quality_rules.apply_rules(docs, rules, tuple(docs.columns))
-    return judged.where("kept").select(*docs.columns)
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` written with ``row_key``, which tells all rows apart: ids may be null or repeated."""
+    """``docs`` written with ``row_key``, which tells all rows apart: ids may be null or repeated, and no name clashes."""
     return materialize(docs.withColumn("row_key", F.monotonically_increasing_id()), "pipeline-keyed")
 
 
+def _without(keyed: DataFrame, dropped: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of ``keyed`` that are not ``dropped`` (row_key).  Dropped keys are few and written, so Spark sees if it can send them around."""
+    gone = materialize(dropped.select("row_key"), "pipeline-dropped")
+    return keyed.join(gone, "row_key", "left_anti").select(*columns)
+
+
+def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the learned decision list keeps.
+
+    Labels are by id: a null id has none, rows of one id share theirs.  Without labels the base rule decides.
+    """
+    plain = docs.select("doc_id", "text")
+    rules = quality_rules.learn_rules(plain, table(spark, sf_dir, "labels"))
+    keyed = _keyed(docs)
+    judged = materialize(quality_rules.apply_rules(keyed.select("row_key", "text"), rules, ("row_key",)).select("row_key", "kept"), "pipeline-judged")
+    return _without(keyed, judged.where(~F.col("kept")), docs.columns)
+
+
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One row, of the largest id, of each group of equal texts; of rows with equal ids any one, and null ids last."""
     keyed = _keyed(docs)
-    found = exact_dedup.dedup_against_index(keyed, exact_dedup.DigestIndex(spark), carry=("row_key",))
-    return keyed.join(found.where("kept").select("row_key"), "row_key", "left_semi").select(*docs.columns)
+    found = exact_dedup.dedup_against_index(keyed.select("doc_id", "text", "row_key"), exact_dedup.DigestIndex(spark), carry=("row_key",))
+    return _without(keyed, found.where(~F.col("kept")), docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of the least id, of each group that similarities of 0.8 on five words link."""
+    """One row, of the least id, of each group that similarities of 0.8 on five words link; null ids last."""
     keyed = _keyed(docs)
-    found = near_copies.near_copies(keyed, "row_key").join(keyed.select("row_key", "doc_id"), "row_key")
-    least = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("first"))
-    return keyed.join(least.select("first.row_key"), "row_key", "left_semi").select(*docs.columns)
+    found = near_copies.near_copies(keyed.select("row_key", "text"), "row_key").join(keyed.select("row_key", "doc_id"), "row_key")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
+    found = materialize(found.select("row_key", "component", order.alias("at")), "pipeline-near")
+    groups = found.groupBy("component").agg(F.min("at.row_key").alias("any"), F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    rest = found.join(groups.select("component", "first"), "component").where(F.col("row_key") != F.col("first.row_key"))
+    return _without(keyed, rest, docs.columns)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix draws them, whole: none that it does not draw."""
+    """Rows as often as the mix draws them, whole: none that it does not draw, a text of no words never."""
     keyed = _keyed(docs)
-    draws = mixing.mix(keyed, block_words=mixing.WHOLE, whole_blocks=True, carry=("row_key",))
+    draws = mixing.mix(keyed.select("doc_id", "source", "text", "row_key"), block_words=mixing.WHOLE, whole_blocks=True, key="row_key")
     drawn = draws.where("shard is not null").select("row_key", "shard")
     return keyed.join(drawn, "row_key").select(*docs.columns)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all rows, placed; equal rows are packed each for itself, an empty text as its end token."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
