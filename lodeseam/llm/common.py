@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,13 +42,29 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear_intermediates(spark: SparkSession) -> int:
-    """Delete the tables that operators wrote so far in this process; call it when the results that need them are stored."""
-    gone = 0
-    while _WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        gone += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return gone
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """Collects the paths of the tables written inside, for ``discard``."""
+    start, paths = len(_WRITTEN), []
+    try:
+        yield paths
+    finally:
+        paths += _WRITTEN[start:]
+
+
+def discard(spark: SparkSession, paths: list[str], unless: DataFrame | None = None) -> None:
+    """Delete written tables whose results are stored, and empty the list; those that ``unless`` reads stay in it."""
+    read = unless.inputFiles() if unless is not None and paths else []
+    names = {f.rsplit("/", 2)[-2] for f in read} | {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in read}
+    kept = []
+    while paths:
+        path = paths.pop()
+        if path.rsplit("/", 1)[-1] in names:
+            kept.append(path)
+        else:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    paths += kept
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

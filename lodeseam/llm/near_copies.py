@@ -3,11 +3,12 @@
 Two texts are near copies if their sets of lower-cased five-word shingles (64-bit hashes) have a Jaccard similarity of 0.8
 or more.  A set has a 64-bit SimHash and MINS minimum hashes.  Sets that share the value of a minimum hash form a group,
 whose SimHashes are compared exactly in tiles.  A pair within RADIUS bits, of sizes that permit the similarity and with at
-least AGREE of the SKETCH minimum hashes in common is a candidate, and candidates are confirmed on the full sets.
+least AGREE of the SKETCH and WIDE_AGREE of the WIDE minimum hashes in common is a candidate, and candidates are confirmed on
+the full sets.
 
 What can be lost is a pair the filters miss; at a similarity of exactly 0.8 that is 0.2^6 (no shared group), about 0.001
-(RADIUS) and 0.0003 (AGREE), less above it.  Nothing below the bound is ever linked.  Equal sets collapse to one row first.
-A row first offers its nearest partner only; what those confirmed links join is not compared again, so a large group of
+(RADIUS), 0.0003 (AGREE) and 0.002 (WIDE_AGREE), less above it.  Nothing below the bound is ever linked.  Equal sets collapse to one row first.
+A row first offers its nearest partner only, twice; what confirmed links join is not compared again, so a large group of
 near copies makes rows in proportion to its size.
 
 Defined cases: a null text counts as empty; texts without words are copies of each other; fewer than five words are one
@@ -17,7 +18,7 @@ columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,10 +33,12 @@ from .tiles import cell_pairs, cells, map_cells
 
 SHINGLE = 5
 RADIUS = 18
-#: Minimum hashes that form groups, minimum hashes of the sketch, and how many of those a candidate shares.
+#: Minimum hashes that form groups, minimum hashes of the sketch in a group, and how many of those a candidate shares.
 MINS, SKETCH, AGREE = 6, 16, 7
+#: Minimum hashes of the wide sketch, and how many of those a candidate shares before its sets are read.
+WIDE, WIDE_AGREE = 64, 42
 #: Odd multipliers without small ratios: each orders the shingle hashes anew.
-_TURNS = np.array([xxhash.xxh64_intdigest(bytes([k])) | 1 for k in range(SKETCH)], dtype=np.uint64)
+_TURNS = np.array([xxhash.xxh64_intdigest(bytes([k])) | 1 for k in range(WIDE)], dtype=np.uint64)
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -53,7 +56,7 @@ def similar(overlap, a, b):
 
 
 def prints(docs: DataFrame, key: str) -> DataFrame:
-    """key, digest of the set, n, fp, mins (group keys), sketch (16 bits of each minimum hash) of every row."""
+    """key, digest of the set, n, fp, mins (group keys), sketch and wide (16 bits of each minimum hash) of every row."""
 
     def batch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -62,10 +65,10 @@ def prints(docs: DataFrame, key: str) -> DataFrame:
                 s = shingles(text)
                 least = np.array([(s * t).min() for t in _TURNS], dtype=np.uint64) if len(s) else np.empty(0, dtype=np.uint64)
                 fp = np.uint64(majority(s.astype(">u8"))).astype(np.int64)
-                rows.append((k, xxhash.xxh3_128_hexdigest(s.tobytes()), len(s), fp, least[:MINS].view(np.int64), least.astype(np.uint16).tobytes()))
-            yield pd.DataFrame(rows, columns=["key", "digest", "n", "fp", "mins", "sketch"])
+                rows.append((k, xxhash.xxh3_128_hexdigest(s.tobytes()), len(s), fp, least[:MINS].view(np.int64), least[:SKETCH].astype(np.uint16).tobytes(), least.astype(np.uint16).astype(np.int32)))
+            yield pd.DataFrame(rows, columns=["key", "digest", "n", "fp", "mins", "sketch", "wide"])
 
-    schema = "key bigint, digest string, n int, fp bigint, mins array<bigint>, sketch binary"
+    schema = "key bigint, digest string, n int, fp bigint, mins array<bigint>, sketch binary, wide array<int>"
     return docs.select(F.col(key).alias("key"), "text").mapInPandas(batch, schema)
 
 
@@ -79,16 +82,19 @@ def _likely(f: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _nearest(f: pd.DataFrame) -> pd.DataFrame:
-    """For each row its nearest partner of a lower row number."""
-    found = [(a, b) for a, b in _likely(f) if len(a)]
-    if not found:
-        return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
-    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-    a, b = np.minimum(a, b), np.maximum(a, b)
-    fp, key = f["fp"].to_numpy().view(np.uint64), f["key"].to_numpy()
-    order = np.lexsort((np.bitwise_count(fp[a] ^ fp[b]), b))
-    first = order[np.r_[True, b[order][1:] != b[order][:-1]]]
-    return _pairs(key[a[first]], key[b[first]])
+    """For each row its nearest partner of a lower key and another ``component``: a, b (the row), bits."""
+    key, component, fp = f["key"].to_numpy(), f["component"].to_numpy(), f["fp"].to_numpy().view(np.uint64)
+    found = [np.empty((3, 0), dtype=np.int64)]
+    for a, b in _likely(f):
+        apart = component[a] != component[b]
+        a, b = a[apart], b[apart]
+        low, high = np.minimum(key[a], key[b]), np.maximum(key[a], key[b])
+        bits = np.bitwise_count(fp[a] ^ fp[b]).astype(np.int64)
+        order = np.lexsort((low, bits, high))
+        first = order[np.flatnonzero(np.r_[True, high[order][1:] != high[order][:-1]])] if len(order) else order
+        found.append(np.stack([low[first], high[first], bits[first]]))
+    a, b, bits = np.concatenate(found, axis=1)
+    return pd.DataFrame({"a": a, "b": b, "bits": bits})
 
 
 def _apart(f: pd.DataFrame) -> pd.DataFrame:
@@ -105,14 +111,28 @@ def _pairs(x: np.ndarray, y: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
 
-def candidates(reps: DataFrame, find: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    """Distinct pairs (a, b), a < b, that ``find`` takes from cells of rows with a minimum hash in common."""
+def _in_cells(reps: DataFrame) -> DataFrame:
+    """``reps`` once for each minimum hash, in cells of rows that share it."""
     rows = reps.select(*(c for c in reps.columns if c != "mins"), F.posexplode("mins").alias("turn", "least"))
-    return map_cells(cells(rows, ["turn", "least"], RADIUS), find, "a bigint, b bigint").distinct()
+    return cells(rows, ["turn", "least"], RADIUS)
+
+
+def nearest(reps: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b: for each row b at most one, its nearest partner of a lower key over all its groups."""
+    found = map_cells(_in_cells(reps), _nearest, "a bigint, b bigint, bits bigint")
+    return found.groupBy("b").agg(F.min(F.struct("bits", "a")).alias("x")).select("x.a", "b")
+
+
+def candidates(reps: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of different components: all that pass the filters."""
+    return map_cells(_in_cells(reps), _apart, "a bigint, b bigint").distinct()
 
 
-def confirm(docs: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are similar.  Only texts that a pair names are read again."""
+def confirm(docs: DataFrame, key: str, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose sets are similar.  ``sketches``: key, wide.  Only texts that a likely pair names are read again."""
+    side = lambda s: sketches.select(F.col("key").alias(s), F.col("wide").alias(f"wide_{s}"))
+    shared = F.size(F.filter(F.zip_with("wide_a", "wide_b", lambda x, y: x == y), lambda same: same))
+    pairs = materialize(pairs.join(side("a"), "a").join(side("b"), "b").where(shared >= WIDE_AGREE).select("a", "b"), "copies-likely")
 
     def batch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -132,10 +152,12 @@ def near_copies(docs: DataFrame, key: str) -> DataFrame:
     found = materialize(prints(docs, key), "copies-prints")
     groups = materialize(found.groupBy("digest").agg(F.min("key").alias("first")), "copies-digests")
     reps = found.join(groups.select(F.col("first").alias("key")), "key", "left_semi").select("key", "n", "fp", "mins", "sketch")
-    near = confirm(docs, key, materialize(candidates(reps, _nearest), "copies-nearest"))
-    linked = components(near)
-    placed = reps.join(linked, F.col("key") == F.col("node"), "left").select(*reps.columns, F.coalesce("component", "key").alias("component"))
-    far = confirm(docs, key, materialize(candidates(placed, _apart), "copies-candidates"))
-    joined = components(near.unionByName(far))
+    links, placed = None, reps.withColumn("component", F.col("key"))
+    for step in (nearest, nearest, candidates):  # twice the nearest partner, then whatever is still apart
+        pairs = materialize(step(placed), f"copies-{step.__name__}")
+        fresh = confirm(docs, key, pairs, found.select("key", "wide"))
+        links = fresh if links is None else links.unionByName(fresh)
+        placed = reps.join(components(links), F.col("key") == F.col("node"), "left").select(*reps.columns, F.coalesce("component", "key").alias("component"))
+    joined = components(links)
     named = groups.join(joined, F.col("first") == F.col("node"), "left").select("digest", F.coalesce("component", "first").alias("component"))
     return found.join(named, "digest").select(F.col("key").alias(key), "component")

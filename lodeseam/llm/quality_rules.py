@@ -90,8 +90,7 @@ def text_stats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFram
         lambda a: a["n"],
     )
     without = lambda pattern: F.char_length("_text") - F.char_length(F.regexp_replace("_text", pattern, ""))
-    return placed.select(
-        "_keep",
+    counts = F.struct(
         "n_words",
         "word_chars",
         without("[#*$%&|<>]").cast("long").alias("n_symbols"),
@@ -101,6 +100,8 @@ def text_stats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFram
         without("!").cast("long").alias("n_bang"),
         F.size("_lines").cast("long").alias("n_lines"),
     )
+    # one row in, one row out; a filter on the counts stays above, where they are computed, and is not copied into them
+    return placed.select("_keep", F.inline(F.array(counts)))
 
 
 def base_failed() -> Column:
@@ -257,11 +258,14 @@ def verdict(rules: list[Rule]) -> tuple[Column, Column]:
     return fired.cast("int"), bad.otherwise(F.lit(True))
 
 
-def apply_rules(docs: DataFrame, rules: list[Rule], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` (none named like a column here), the statistics, base_failed, kept and rule (0: the base rule)."""
+def apply_rules(docs: DataFrame, rules: list[Rule], keep: tuple[str, ...] = ("doc_id",), bare: bool = False) -> DataFrame:
+    """``keep`` (none named like a column here), the statistics, base_failed, kept and rule (0: the base rule).
+
+    With ``bare`` the columns ``keep``, of whatever names, stay in the struct ``_keep``.
+    """
     fired, kept = verdict(rules)
     return with_features(text_stats(docs, keep)).select(
-        *[F.col("_keep")[c].alias(c) for c in keep],
+        *(["_keep"] if bare else [F.col("_keep")[c].alias(c) for c in keep]),
         *("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"),
         base_failed().alias("base_failed"),
         kept.alias("kept"),
