@@ -7,12 +7,32 @@ columns of any name but ``row_key`` and empty tables pass through.
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeseam.llm import exact_dedup, mixing, near_copies, packing, quality_rules
-from lodeseam.llm.common import materialize, table
+from lodeseam.llm.common import discard, materialize, recorded, table
+
+
+#: Tables of earlier stages, whose results are written by the time the next stage is called.
+_SPENT: list[str] = []
+
+
+def _stage(step):
+    """Deletes what earlier stages wrote for themselves, but for what ``docs`` reads, and notes what this one writes."""
+
+    @wraps(step)
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        discard(spark, _SPENT, docs)
+        with recorded() as paths:
+            out = step(spark, docs, sf_dir)
+        _SPENT.extend(paths)
+        return out
+
+    return stage
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -26,6 +46,7 @@ def _without(keyed: DataFrame, dropped: DataFrame, columns: list[str]) -> DataFr
     return keyed.join(gone, "row_key", "left_anti").select(*columns)
 
 
+@_stage
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the learned decision list keeps.
 
@@ -33,11 +54,11 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     plain = docs.select("doc_id", "text")
     rules = quality_rules.learn_rules(plain, table(spark, sf_dir, "labels"))
-    keyed = _keyed(docs)
-    judged = materialize(quality_rules.apply_rules(keyed.select("row_key", "text"), rules, ("row_key",)).select("row_key", "kept"), "pipeline-judged")
-    return _without(keyed, judged.where(~F.col("kept")), docs.columns)
+    judged = quality_rules.apply_rules(docs, rules, tuple(docs.columns), bare=True)
+    return judged.where("kept").select(*[F.col("_keep")[c].alias(c) for c in docs.columns])
 
 
+@_stage
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row, of the largest id, of each group of equal texts; of rows with equal ids any one, and null ids last."""
     keyed = _keyed(docs)
@@ -45,6 +66,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _without(keyed, found.where(~F.col("kept")), docs.columns)
 
 
+@_stage
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row, of the least id, of each group that similarities of 0.8 on five words link; null ids last."""
     keyed = _keyed(docs)
@@ -56,6 +78,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _without(keyed, rest, docs.columns)
 
 
+@_stage
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows as often as the mix draws them, whole: none that it does not draw, a text of no words never."""
     keyed = _keyed(docs)
@@ -64,6 +87,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keyed.join(drawn, "row_key").select(*docs.columns)
 
 
+@_stage
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all rows, placed; equal rows are packed each for itself, an empty text as its end token."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
