@@ -7,9 +7,11 @@ least AGREE of the SKETCH and WIDE_AGREE of the WIDE minimum hashes in common is
 the full sets.
 
 What can be lost is a pair the filters miss; at a similarity of exactly 0.8 that is 0.2^6 (no shared group), about 0.001
-(RADIUS), 0.0003 (AGREE) and 0.002 (WIDE_AGREE), less above it.  Nothing below the bound is ever linked.  Equal sets collapse to one row first.
-A row first offers its nearest partner only, twice; what confirmed links join is not compared again, so a large group of
-near copies makes rows in proportion to its size.
+(RADIUS), 0.0003 (AGREE) and 0.002 (WIDE_AGREE), less above it.  Nothing below the bound is ever linked.
+
+Equal sets collapse to one row first.  A first pass over the groups only marks rows that have a candidate there; the sets of
+those rows then join their groups, and a second pass confirms candidates where they meet.  It skips pairs that links
+already join and reports a spanning forest, so however large a group of near copies is, rows are in proportion to its size.
 
 Defined cases: a null text counts as empty; texts without words are copies of each other; fewer than five words are one
 shingle; ``key`` is unique and never null; a very long text is taken whole; an empty table gives an empty result; other
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .components import components
 from .simhash import majority
-from .tiles import cell_pairs, cells, map_cells
+from .tiles import cell_pairs, cells, map_cells, union
 
 SHINGLE = 5
 RADIUS = 18
@@ -56,7 +58,7 @@ def similar(overlap, a, b):
 
 
 def prints(docs: DataFrame, key: str) -> DataFrame:
-    """key, digest of the set, n, fp, mins (group keys), sketch and wide (16 bits of each minimum hash) of every row."""
+    """key, digest of the set, n, fp, groups (minimum hashes), and mins, sketch and wide: the same and 16 bits of more, packed."""
 
     def batch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -65,99 +67,76 @@ def prints(docs: DataFrame, key: str) -> DataFrame:
                 s = shingles(text)
                 least = np.array([(s * t).min() for t in _TURNS], dtype=np.uint64) if len(s) else np.empty(0, dtype=np.uint64)
                 fp = np.uint64(majority(s.astype(">u8"))).astype(np.int64)
-                rows.append((k, xxhash.xxh3_128_hexdigest(s.tobytes()), len(s), fp, least[:MINS].view(np.int64), least[:SKETCH].astype(np.uint16).tobytes(), least.astype(np.uint16).astype(np.int32)))
-            yield pd.DataFrame(rows, columns=["key", "digest", "n", "fp", "mins", "sketch", "wide"])
+                short = least.astype(np.uint16)
+                rows.append((k, xxhash.xxh3_128_hexdigest(s.tobytes()), len(s), fp, least[:MINS].view(np.int64), least[:MINS].tobytes(), short[:SKETCH].tobytes(), short.tobytes()))
+            yield pd.DataFrame(rows, columns=["key", "digest", "n", "fp", "groups", "mins", "sketch", "wide"])
 
-    schema = "key bigint, digest string, n int, fp bigint, mins array<bigint>, sketch binary, wide array<int>"
+    schema = "key bigint, digest string, n int, fp bigint, groups array<bigint>, mins binary, sketch binary, wide binary"
     return docs.select(F.col(key).alias("key"), "text").mapInPandas(batch, schema)
 
 
 def _likely(f: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of pairs in a cell that pass the filters on sizes, fingerprints and sketches."""
     n, sketch = f["n"].to_numpy(), np.frombuffer(b"".join(f["sketch"]), dtype=np.uint16).reshape(-1, SKETCH)
     for a, b in cell_pairs(f, RADIUS):
         may = 5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b])
         a, b = a[may], b[may]
         may = (sketch[a] == sketch[b]).sum(axis=1) >= AGREE
-        yield a[may], b[may]
+        if may.any():
+            yield a[may], b[may]
 
 
-def _nearest(f: pd.DataFrame) -> pd.DataFrame:
-    """For each row its nearest partner of a lower key and another ``component``: a, b (the row), bits."""
-    key, component, fp = f["key"].to_numpy(), f["component"].to_numpy(), f["fp"].to_numpy().view(np.uint64)
-    found = [np.empty((3, 0), dtype=np.int64)]
-    for a, b in _likely(f):
-        apart = component[a] != component[b]
-        a, b = a[apart], b[apart]
-        low, high = np.minimum(key[a], key[b]), np.maximum(key[a], key[b])
-        bits = np.bitwise_count(fp[a] ^ fp[b]).astype(np.int64)
-        order = np.lexsort((low, bits, high))
-        first = order[np.flatnonzero(np.r_[True, high[order][1:] != high[order][:-1]])] if len(order) else order
-        found.append(np.stack([low[first], high[first], bits[first]]))
-    a, b, bits = np.concatenate(found, axis=1)
-    return pd.DataFrame({"a": a, "b": b, "bits": bits})
-
-
-def _apart(f: pd.DataFrame) -> pd.DataFrame:
-    """All candidates of different ``component``."""
-    key, component = f["key"].to_numpy(), f["component"].to_numpy()
-    found = [np.empty((2, 0), dtype=np.int64)]
+def _marked(f: pd.DataFrame) -> pd.DataFrame:
+    """The rows of cells that have a candidate."""
+    met = np.zeros(len(f), dtype=bool)
     for a, b in _likely(f):
-        apart = component[a] != component[b]
-        found.append(np.stack([key[a[apart]], key[b[apart]]]))
-    return _pairs(*np.concatenate(found, axis=1))
-
-
-def _pairs(x: np.ndarray, y: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
-
-
-def _in_cells(reps: DataFrame) -> DataFrame:
-    """``reps`` once for each minimum hash, in cells of rows that share it."""
-    rows = reps.select(*(c for c in reps.columns if c != "mins"), F.posexplode("mins").alias("turn", "least"))
-    return cells(rows, ["turn", "least"], RADIUS)
-
-
-def nearest(reps: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b: for each row b at most one, its nearest partner of a lower key over all its groups."""
-    found = map_cells(_in_cells(reps), _nearest, "a bigint, b bigint, bits bigint")
-    return found.groupBy("b").agg(F.min(F.struct("bits", "a")).alias("x")).select("x.a", "b")
+        met[a] = met[b] = True
+    return f.loc[met, ["key", "cell", "side", "turn"]]
 
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of different components: all that pass the filters."""
-    return map_cells(_in_cells(reps), _apart, "a bigint, b bigint").distinct()
+def _linked(f: pd.DataFrame) -> pd.DataFrame:
+    """A spanning forest of the similar pairs of cells.  A pair is looked at in the first group that it shares only."""
+    key, n, turn = f["key"].to_numpy(), f["n"].to_numpy(), f["turn"].to_numpy()
+    mins, wide = (np.stack([np.frombuffer(x, dtype=t) for x in f[c]]) for c, t in (("mins", np.int64), ("wide", np.uint16)))
+    sets = [np.frombuffer(x, dtype=np.uint64) for x in f["hashes"]]
+    label, out = np.arange(len(f)), [np.empty((2, 0), dtype=np.int64)]
+    for a, b in _likely(f):
+        earlier = ((mins[a] == mins[b]) & (np.arange(MINS)[None, :] < turn[a][:, None])).any(axis=1)
+        fit = ~earlier & ((wide[a] == wide[b]).sum(axis=1) >= WIDE_AGREE)
+        a, b = a[fit], b[fit]
+        while len(a):
+            apart = label[a] != label[b]
+            a, b = a[apart], b[apart]
+            first = np.unique(b, return_index=True)[1]  # one pair of each row at a time: most rows are linked by it
+            overlap = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(a[first].tolist(), b[first].tolist(), strict=True)], dtype=np.int64)
+            good = first[similar(overlap, n[a[first]], n[b[first]])]
+            label = union(label, a[good], b[good])
+            out.append(np.stack([key[a[good]], key[b[good]]]))
+            rest = np.ones(len(a), dtype=bool)
+            rest[first] = False
+            a, b = a[rest], b[rest]
+    found = np.concatenate(out, axis=1)
+    return pd.DataFrame({"a": found[0], "b": found[1]})
 
 
-def confirm(docs: DataFrame, key: str, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are similar.  ``sketches``: key, wide.  Only texts that a likely pair names are read again."""
-    side = lambda s: sketches.select(F.col("key").alias(s), F.col("wide").alias(f"wide_{s}"))
-    shared = F.size(F.filter(F.zip_with("wide_a", "wide_b", lambda x, y: x == y), lambda same: same))
-    pairs = materialize(pairs.join(side("a"), "a").join(side("b"), "b").where(shared >= WIDE_AGREE).select("a", "b"), "copies-likely")
+def near_copies(docs: DataFrame, key: str) -> DataFrame:
+    """(key, component): the least key that links of similarity 0.8 reach, for every row."""
 
-    def batch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def hashes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"key": f["key"], "hashes": [s.view(np.int64) for s in map(shingles, f["text"])]})
+            yield pd.DataFrame({"key": f["key"], "hashes": [shingles(t).tobytes() for t in f["text"]]})
 
-    needed = materialize(pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct(), "copies-needed")
-    named = docs.join(needed, key, "left_semi").select(F.col(key).alias("key"), "text")
-    sets = materialize(named.mapInPandas(batch, "key bigint, hashes array<bigint>"), "copies-sets")
-    side = lambda s: sets.select(F.col("key").alias(s), F.col("hashes").alias(f"hashes_{s}"))
-    overlap = F.size(F.array_intersect("hashes_a", "hashes_b"))
-    links = pairs.join(side("a"), "a").join(side("b"), "b").where(similar(overlap, F.size("hashes_a"), F.size("hashes_b")))
-    return materialize(links.select("a", "b"), "copies-links")
-
-
-def near_copies(docs: DataFrame, key: str) -> DataFrame:
-    """(key, component): the least key that links of similarity 0.8 reach, for every row."""
     found = materialize(prints(docs, key), "copies-prints")
     groups = materialize(found.groupBy("digest").agg(F.min("key").alias("first")), "copies-digests")
-    reps = found.join(groups.select(F.col("first").alias("key")), "key", "left_semi").select("key", "n", "fp", "mins", "sketch")
-    links, placed = None, reps.withColumn("component", F.col("key"))
-    for step in (nearest, nearest, candidates):  # twice the nearest partner, then whatever is still apart
-        pairs = materialize(step(placed), f"copies-{step.__name__}")
-        fresh = confirm(docs, key, pairs, found.select("key", "wide"))
-        links = fresh if links is None else links.unionByName(fresh)
-        placed = reps.join(components(links), F.col("key") == F.col("node"), "left").select(*reps.columns, F.coalesce("component", "key").alias("component"))
+    reps = found.join(groups.select(F.col("first").alias("key")), "key", "left_semi")
+    members = reps.select("key", "n", "fp", "sketch", F.posexplode("groups").alias("turn", "least"))
+    placed = cells(members.select("*", F.col("turn").alias("_t")), ["_t", "least"], RADIUS)
+    marked = materialize(map_cells(placed, _marked, "key bigint, cell bigint, side int, turn int"), "copies-marked")
+    needed = materialize(marked.select("key").distinct(), "copies-needed")
+    named = docs.select(F.col(key).alias("key"), "text").join(needed, "key", "left_semi")
+    sets = materialize(named.mapInPandas(hashes, "key bigint, hashes binary"), "copies-sets")
+    rows = marked.join(reps.select("key", "n", "fp", "sketch", "mins", "wide"), "key").join(sets, "key")
+    links = materialize(map_cells(rows, _linked, "a bigint, b bigint").distinct(), "copies-links")
     joined = components(links)
-    named = groups.join(joined, F.col("first") == F.col("node"), "left").select("digest", F.coalesce("component", "first").alias("component"))
-    return found.join(named, "digest").select(F.col("key").alias(key), "component")
+    least = groups.join(joined, F.col("first") == F.col("node"), "left").select("digest", F.coalesce("component", "first").alias("component"))
+    return found.join(least, "digest").select(F.col("key").alias(key), "component")
