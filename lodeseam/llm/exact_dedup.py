@@ -32,11 +32,12 @@ def text_digest(text: Column) -> Column:
 class DigestIndex:
     """A bucketed, digest-sorted table in the shared folder; opening it again registers what is stored there."""
 
-    def __init__(self, spark: SparkSession, name: str | None = None, path: str | None = None, buckets: int = 64):
+    def __init__(self, spark: SparkSession, name: str | None = None, path: str | None = None, buckets: int | None = None):
         self.spark = spark
         self.name = name or f"digest_index_{uuid.uuid4().hex}"
         self.path = path or f"{shared_dir(spark)}/{self.name}"
-        self.buckets = buckets
+        # as many as a shuffle has partitions, so that an append writes one file a bucket and joins need no other layout
+        self.buckets = buckets = buckets or max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.name} ({INDEX_SCHEMA}) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{self.path}'"

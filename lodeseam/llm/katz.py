@@ -8,13 +8,13 @@ Counts live in tables partitioned by word and by pair, sized so that a part fits
 Documents are cut into chunks once.  A chunk asks the word parts for its distinct words, then the pair parts for its
 distinct pairs, and scores its tokens from the answers, so texts are read once, every shuffled row is distinct within its
 chunk, and no table of words or pairs is ever in one place.  Pairs are dealt by their history; a history so frequent that
-its pairs would overfill a part is spread over several by the next word, and its sums are added up afterwards: there are
-fewer such histories than parts.
+its pairs would overfill a part is spread over several by the next word, and its sums are added up afterwards.
 
 Discounts are Katz's for counts to five.  Where the counts of counts cannot give them (few data) half a count is taken off.
 Larger counts give up one part in N + 1, which keeps every backoff weight positive and every distribution summing to one.
 
 Defined cases: a null text is empty and is its end token alone; a null ``doc_id`` counts as an empty string in the split;
+repeated ids are scored row by row; a very long text stays in one chunk;
 without training documents every word is unknown, with probability one; repeated rows count as often as they occur;
 an empty table gives an empty result; other columns are not read.
 """
@@ -36,8 +36,10 @@ from .common import materialize, table
 #: Text of a chunk, and text for each part of the tables, in bytes.
 CHUNK_BYTES = 8 << 20
 PART_BYTES = 16 << 20
-#: A history with more tokens than this is spread over several parts.
+#: A history with more tokens than this, and than this share of all tokens, is spread over several parts: so there are never
+#: more than HOT_MOST such histories, whose sums reach every task.
 HOT_TOKENS = 200_000
+HOT_MOST = 20_000
 K = 5
 #: A token no text contains: the end of a document.
 END = b"\x0b"
@@ -180,7 +182,7 @@ def _word_table(chunks: DataFrame, parts: int) -> DataFrame:
 class _Chunk:
     """A chunk's tokens with the ids and counts of its words, and its distinct pairs in the order of their requests."""
 
-    def __init__(self, f: pd.DataFrame, parts: int):
+    def __init__(self, f: pd.DataFrame, parts: int, hot_tokens: int):
         stream = f[f["kind"] == "stream"].iloc[0]
         words = f[f["kind"] == "ids"].sort_values("part")
         self.name = stream["chunk"]
@@ -201,7 +203,7 @@ class _Chunk:
         key, self.pair = np.unique(before * (n + 1) + self.tokens, return_inverse=True)
         h, self.w = key // (n + 1), key % (n + 1)
         self.h_id, self.h_count = history_ids[h], history_counts[h]
-        spread = np.maximum(1, self.h_count // HOT_TOKENS).astype(np.uint64)
+        spread = np.maximum(1, self.h_count // hot_tokens).astype(np.uint64)
         mix = lambda x: (x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
         sub = np.where(spread > 1, mix(self.ids[self.w]) % spread, 0).astype(np.uint64)
         self.hot = spread > 1
@@ -210,9 +212,9 @@ class _Chunk:
         self.edges = np.searchsorted(self.part[self.order], np.arange(parts + 1))
 
 
-def _pair_requests(chunks: DataFrame, words: DataFrame, parts: int) -> DataFrame:
+def _pair_requests(chunks: DataFrame, words: DataFrame, parts: int, hot_tokens: int) -> DataFrame:
     def ask(f: pd.DataFrame) -> pd.DataFrame:
-        c = _Chunk(f, parts)
+        c = _Chunk(f, parts, hot_tokens)
         trained = np.repeat(c.train, c.lens)
         count = np.bincount(c.pair[trained], minlength=len(c.w)).astype(np.uint32)
         rows = []
@@ -284,11 +286,11 @@ def _pair_table(requests: DataFrame, unigrams: Unigrams) -> DataFrame:
     return requests.groupBy("part").applyInPandas(merge, _ROW)
 
 
-def _scores(chunks: DataFrame, words: DataFrame, answers: DataFrame, parts: int, unigrams: Unigrams, d: np.ndarray, hot: dict[int, list[float]]) -> DataFrame:
+def _scores(chunks: DataFrame, words: DataFrame, answers: DataFrame, parts: int, unigrams: Unigrams, d: np.ndarray, hot: dict[int, list[float]], hot_tokens: int) -> DataFrame:
     schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
     def score(f: pd.DataFrame) -> pd.DataFrame:
-        c = _Chunk(f, parts)
+        c = _Chunk(f, parts, hot_tokens)
         got = f[f["kind"] == "answers"].sort_values("part")
         count, alpha = np.empty(len(c.w), dtype=np.int64), np.ones(len(c.w))
         for p, a, b in zip(got["part"], got["a"], got["b"], strict=True):
@@ -342,11 +344,12 @@ def score_documents(docs: DataFrame, fold: int = 10) -> DataFrame:
     chunks = materialize(_chunks(chosen, parts), "katz-chunks", "kind")
     words = materialize(_word_table(chunks, parts), "katz-unigrams", "kind")
     unigrams = Unigrams(_sums(words.where("kind = 'unigrams'"), K + 3))
-    pairs = materialize(_pair_table(_pair_requests(chunks, words, parts), unigrams), "katz-bigrams", "kind")
+    hot_tokens = max(HOT_TOKENS, int(unigrams.total) // HOT_MOST)
+    pairs = materialize(_pair_table(_pair_requests(chunks, words, parts, hot_tokens), unigrams), "katz-bigrams", "kind")
     d = discounts(_sums(pairs.where("kind = 'bigrams'"), K + 1), unigrams.total)
     spread = pairs.where("kind = 'hot'").groupBy("n").agg(*[F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(K + 2)])
-    hot = {r["n"]: [r[f"s{i}"] for i in range(K + 2)] for r in spread.collect()}  # fewer than train tokens / HOT_TOKENS rows
-    return _scores(chunks, words, pairs, parts, unigrams, d, hot)
+    hot = {r["n"]: [r[f"s{i}"] for i in range(K + 2)] for r in spread.collect()}  # HOT_MOST rows at most
+    return _scores(chunks, words, pairs, parts, unigrams, d, hot, hot_tokens)
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

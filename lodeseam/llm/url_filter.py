@@ -9,7 +9,9 @@ longest entry among the hits wins.  The entry list is an argument of the job, ch
 beyond that goes through ``filter_by_join``, which spreads the same candidates over a shuffle instead.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path, fits no rule and is allowed; hosts keep
-ports and user info; an empty table gives an empty result; repeated pages are judged alike; other columns are not read.
+ports and user info; a null ``page_id`` is kept; repeated pages are judged alike; a very long URL is probed by its domains
+and the entries' prefix lengths only; ties in length cannot be, as entries of a page differ in length or text; an empty
+table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -57,38 +59,41 @@ BLOCKED_SITES = (
 
 
 class DigestArray:
-    """Strings by sorted 64-bit key.  ``<name>.keys.npy`` is memory-mapped; ``<name>.rows.npy`` holds string offsets."""
+    """Strings with a byte of value each, by sorted 64-bit key.  All four files are memory-mapped: keys, ends of the strings,
+    values, and the strings themselves."""
 
     def __init__(self, folder: str, name: str):
-        self.keys = np.load(f"{folder}/{name}.keys.npy", mmap_mode="r")
-        self.ends = np.load(f"{folder}/{name}.ends.npy", mmap_mode="r")
+        self.keys, self.ends, self.values = (np.load(f"{folder}/{name}.{x}.npy", mmap_mode="r") for x in ("keys", "ends", "values"))
         self.text = np.memmap(f"{folder}/{name}.text", dtype=np.uint8, mode="r") if os.path.getsize(f"{folder}/{name}.text") else np.empty(0, np.uint8)
 
     @staticmethod
-    def build(entries: Iterable[str], folder: str, name: str) -> list[str]:
-        rows = sorted({(xxhash.xxh64_intdigest(e.encode()), e.encode()) for e in entries})
-        paths = [f"{folder}/{name}.{x}" for x in ("keys.npy", "ends.npy", "text")]
-        np.save(paths[0], np.array([k for k, _ in rows], dtype=np.uint64))
-        np.save(paths[1], np.cumsum([0] + [len(e) for _, e in rows], dtype=np.int64))
-        with open(paths[2], "wb") as out:
-            out.writelines(e for _, e in rows)
+    def build(entries: dict[str, int], folder: str, name: str) -> list[str]:
+        """Write the files; ``entries``: value (0 to 254) of each string."""
+        rows = sorted((xxhash.xxh64_intdigest(e.encode()), e.encode(), v) for e, v in entries.items())
+        paths = [f"{folder}/{name}.{x}" for x in ("keys.npy", "ends.npy", "values.npy", "text")]
+        np.save(paths[0], np.array([k for k, _, _ in rows], dtype=np.uint64))
+        np.save(paths[1], np.cumsum([0] + [len(e) for _, e, _ in rows], dtype=np.int64))
+        np.save(paths[2], np.array([v for _, _, v in rows], dtype=np.uint8))
+        with open(paths[3], "wb") as out:
+            out.writelines(e for _, e, _ in rows)
         return paths
 
     def entry(self, i: int) -> bytes:
         return self.text[self.ends[i] : self.ends[i + 1]].tobytes()
 
-    def contains(self, probes: list[bytes]) -> np.ndarray:
+    def values_of(self, probes: list[bytes]) -> np.ndarray:
+        """The value of each probe that is stored, else 255."""
         keys = np.fromiter((xxhash.xxh64_intdigest(p) for p in probes), dtype=np.uint64, count=len(probes))
         at = np.searchsorted(self.keys, keys)
-        hit = np.zeros(len(probes), dtype=bool)
+        found = np.full(len(probes), 255, dtype=np.uint8)
         for i in np.nonzero(at < len(self.keys))[0]:
             j = at[i]
             while j < len(self.keys) and self.keys[j] == keys[i]:  # strings that share a key stand together
                 if self.entry(j) == probes[i]:
-                    hit[i] = True
+                    found[i] = self.values[j]
                     break
                 j += 1
-        return hit
+        return found
 
 
 def with_parts(pages: DataFrame) -> DataFrame:
@@ -115,14 +120,14 @@ def _candidates(host: str, path: str, lengths: list[int]) -> list[tuple[str, int
 
 def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, blocked: tuple[str, ...] = BLOCKED_SITES) -> DataFrame:
     """page_id, host, path, rule (null if none fits), verdict."""
-    verdicts = {host + path: verdict for verdict, host, path in rules}
+    verdicts = {host + path: int(verdict == "block") for verdict, host, path in rules}
     lengths = sorted({len(path) for _, _, path in rules})
     if len(verdicts) + len(blocked) > MAX_ENTRIES:
         return filter_by_join(pages, pages.sparkSession.createDataFrame([(h + p, v) for v, h, p in rules], "rule string, verdict string"), lengths, blocked)
     name = f"urls-{uuid.uuid4().hex}"
     folder = tempfile.mkdtemp(prefix="digest-")
     context = pages.sparkSession.sparkContext
-    for path in DigestArray.build([*verdicts, *(f"!{site}" for site in blocked)], folder, name):
+    for path in DigestArray.build(verdicts | {f"!{site}": 1 for site in blocked}, folder, name):
         context.addFile(path)  # each executor fetches its own copy, and a replaced one fetches it again
 
     def batch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -138,13 +143,13 @@ def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULE
                     probes.append(b"!" + site.encode("utf-8", "surrogatepass"))
                     owner.append((i, ""))
             rule: list[str | None] = [None] * len(f)
-            spam = [False] * len(f)
-            for (i, entry), hit in zip(owner, index.contains(probes), strict=True):
-                if hit and entry:
-                    rule[i] = rule[i] or entry
-                elif hit:
-                    spam[i] = True
-            verdict = [verdicts[r] if r else "block" if s else "allow" for r, s in zip(rule, spam, strict=True)]
+            verdict = ["allow"] * len(f)
+            values = index.values_of(probes)
+            for k in np.flatnonzero(values != 255):  # a page's rules come before its sites, longer rules before shorter ones
+                i, entry = owner[k]
+                if rule[i] is None:
+                    rule[i] = entry or None
+                    verdict[i] = "block" if values[k] else "allow"
             yield pd.DataFrame({"page_id": f["page_id"], "host": f["host"], "path": f["path"], "rule": rule, "verdict": verdict})
 
     return map_documents(with_parts(pages), ["host", "path"], batch, "host string, path string, rule string, verdict string", "page_id")
