@@ -50,7 +50,7 @@ class ChunkTokenizer:
     it many at a time, and the ids are cut apart at the ends of words, which the vocabulary marks.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = MEMO):
         import tokenizers
         from tokenizers import normalizers, pre_tokenizers
 
@@ -66,6 +66,7 @@ class ChunkTokenizer:
             ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
             store[path] = whole, words, ends, {}
         self._whole, self._words, self._ends, self._memo = store[path]
+        self._most = most
 
     def _learn_words(self, fresh: list[bytes]) -> None:
         for at in range(0, len(fresh), 2000):
@@ -96,7 +97,7 @@ class ChunkTokenizer:
         """The ids as little-endian unsigned 32-bit integers."""
         chunks = (text or "").encode("utf-8", "replace").split()  # of bytes: at ASCII white space only
         memo = self._memo
-        if len(memo) > MEMO:
+        if len(memo) > self._most:
             memo.clear()
         fresh = {c for c in chunks if c not in memo}
         if fresh:
@@ -108,14 +109,14 @@ class ChunkTokenizer:
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,!?;:*$%&#|()\"+=/@-]*)\\Z")
 
 
-def pieces(docs: DataFrame, tokenizer: str, context: int = CONTEXT) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, context: int = CONTEXT, memo: int = MEMO) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of every document, its end token (id 0) included."""
 
     def batch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker per core
-        chunked = ChunkTokenizer(tokenizer)
+        chunked = ChunkTokenizer(tokenizer, memo)
         for f in frames:
             rows = []
             for doc_id, text in zip(f["doc_id"], f["text"], strict=True):
@@ -180,9 +181,9 @@ def _round(items: DataFrame, level: int, last: bool, context: int, slack: int) -
     return items.groupBy("node").applyInPandas(node, _BINS)
 
 
-def pack(docs: DataFrame, tokenizer: str, context: int = CONTEXT, slack: int = SLACK) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
-    cut = materialize(pieces(docs, tokenizer, context), "pack-pieces")
+def pack(docs: DataFrame, tokenizer: str, context: int = CONTEXT, slack: int = SLACK, memo: int = MEMO) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece.  ``memo``: chunks of text a worker remembers, about 250 bytes each."""
+    cut = materialize(pieces(docs, tokenizer, context, memo), "pack-pieces")
     row = F.struct(F.col("doc_id").cast("string").alias("doc_id"), "piece", "start", "length", "ids_crc32")
     full = cut.where(F.col("length") == context).select(*cut.columns, (F.monotonically_increasing_id() + (1 << 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = cut.where(F.col("length") < context)
