@@ -90,7 +90,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_stage
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all rows, placed; equal rows are packed each for itself, an empty text as its end token."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), memo=200_000)  # workers still hold what earlier stages left
 
 
 STAGES = [
