@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import contexts, corpus, graphs, places, retrieval
+from .plans import answers, captures, contexts, corpus, graphs, maps, parsing, places, retrieval, snapshots
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules that each offer QUERIES (name -> callable) and ORACLES (name -> SQL).
-_MODULES = (retrieval, corpus, graphs, places, contexts)
+_MODULES = (retrieval, corpus, graphs, places, contexts, snapshots, maps, captures, answers, parsing)
 
 
 def queries() -> dict[str, Query]:

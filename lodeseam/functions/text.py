@@ -14,9 +14,17 @@ FOLDED = "aaaaaaceeeeiiiinooooouuuuyy"
 
 #: Words a question may contain without meaning.
 STOP_WORDS = (
-    "a an and are as at be by can does do for from how in is it of on or should the to when what which why with"
-).split()
+    "a", "an", "and", "are", "as", "at", "be", "by", "can", "does", "do", "for", "from", "how", "in", "is", "it", "of", "on", "or",
+    "should", "the", "to", "when", "what", "which", "why", "with",
+)
 
+#: Words of a question that name no symbol.
+SYMBOL_STOP_WORDS = (
+    "what", "does", "which", "where", "when", "why", "how", "impact", "call", "calls", "caller", "callers", "chain", "tests", "test",
+    "change", "changing", "affect", "affected", "will", "the",
+)
+
+#: What counts as a term, and as a token of an estimate.
 TOKEN = r"[㐀-鿿]+|[A-Za-z]+|[0-9]+"
 TOKEN_ESTIMATE = r"(?U)[一-鿿]|[A-Za-z_][A-Za-z0-9_]*|\d+(?:\.\d+)?|[^\s]"
 LINE_BREAK = "\\r\\n|[\\n\\x0B\\f\\r\\x1C-\\x1E\\x85\\u2028\\u2029]"
@@ -56,7 +64,7 @@ def query_terms(text: Column) -> Column:
 
 
 def meaningful_terms(terms: Column) -> Column:
-    return F.filter(terms, lambda t: (F.char_length(t) >= 3) & ~t.isin(STOP_WORDS))
+    return F.filter(terms, lambda t: (F.char_length(t) >= 3) & ~t.isin(*STOP_WORDS))
 
 
 def wants_cooccurrence(query: Column, terms: Column) -> Column:
@@ -69,6 +77,45 @@ def estimate_tokens(text: Column) -> Column:
     return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({TOKEN_ESTIMATE})")))
 
 
+def truncate_tokens(text: Column, most: Column) -> Column:
+    """The text cut to ``most`` estimated tokens: whole lines, then words of the next line, else characters; a cut ends in a mark."""
+    lines = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"([^\n]*\n|[^\n]+)"))
+    state = F.struct(F.lit("").alias("text"), F.lit(0).alias("used"), F.lit(False).alias("full"))
+
+    def words(line: Column, used: Column) -> Column:
+        start = F.struct(F.expr("cast(array() as array<string>)").alias("words"), used.alias("used"), F.lit(False).alias("full"))
+        fits = lambda a, w: ~a["full"] & (a["used"] + estimate_tokens(w) <= most)
+        step = lambda a, w: F.struct(
+            F.when(fits(a, w), F.concat(a["words"], F.array(w))).otherwise(a["words"]).alias("words"),
+            F.when(fits(a, w), a["used"] + estimate_tokens(w)).otherwise(a["used"]).alias("used"),
+            (~fits(a, w)).alias("full"),
+        )
+        return F.aggregate(F.filter(F.split(line, r"\s+"), lambda w: w != ""), start, step, lambda a: F.array_join(a["words"], " "))
+
+    def step(a: Column, line: Column) -> Column:
+        n = estimate_tokens(line)
+        fits = ~a["full"] & (a["used"] + n <= most)
+        more = F.when(a["full"], "").when(fits, line).otherwise(words(line, a["used"]))
+        return F.struct(F.concat(a["text"], more).alias("text"), F.when(fits, a["used"] + n).otherwise(a["used"]).alias("used"), (~fits).alias("full"))
+
+    kept = F.aggregate(lines, state, step, lambda a: F.regexp_replace(a["text"], r"\s+$", ""))
+    kept = F.when(kept == "", F.left(text, F.greatest(most, F.lit(1)).cast("int"))).otherwise(kept)
+    return F.when(estimate_tokens(text) <= most, text).when(kept == text, kept).otherwise(F.concat(kept, F.lit("\n…")))
+
+
+def symbol_term(question: Column) -> Column:
+    """The name a question is about: its longest dotted, underscored or inner-capital word, else its longest word, else its last."""
+    tokens = F.regexp_extract_all(F.coalesce(question, F.lit("")), F.lit(r"([A-Za-z_][A-Za-z0-9_.]*|[一-鿿]+)"))
+    named = F.filter(tokens, lambda t: ~F.lower(t).isin(*SYMBOL_STOP_WORDS))
+    longest = lambda found: F.try_element_at(F.array_sort(found, lambda a, b: F.char_length(b) - F.char_length(a)), F.lit(1))
+    long_ = lambda t: F.char_length(t) >= 3
+    marked = longest(F.filter(named, lambda t: long_(t) & F.rlike(t, F.lit("[._]|^.+[A-Z]"))))
+    plain = longest(F.filter(named, lambda t: long_(t) & F.rlike(t, F.lit("^[A-Za-z_][A-Za-z0-9_]*$"))))
+    last = F.try_element_at(F.filter(named, lambda t: F.char_length(t) >= 2), F.lit(-1))
+    word = F.try_element_at(F.filter(F.split(F.trim(question), r"\s+"), lambda w: F.char_length(w) >= 2), F.lit(-1))
+    return F.coalesce(marked, plain, last, word, F.left(question, F.lit(80)))
+
+
 def split_lines(text: Column) -> Column:
     """Lines without their ends; an end at the end of the text adds none."""
     lines = F.split(F.coalesce(text, F.lit("")), LINE_BREAK)
@@ -102,24 +149,34 @@ def has_precise_symbol(question: Column) -> Column:
     return F.exists(words, lambda w: (F.char_length(w) >= 3) & F.rlike(w, F.lit(r"[._]|^.+[A-Z]")))
 
 
+#: What redaction looks for, in its order, as (pattern, replacement).
+_BEFORE_QUERY = (
+    (r"(?i)(https?://hooks\.slack\.com/services/)[^\s/\"'`<>]+/[^\s/\"'`<>]+/[^\s?#\"'`<>]+", "$1[redacted]"),
+    (r"(?i)(https?://(?:canary\.|ptb\.)?discord(?:app)?\.com/api(?:/v[0-9]+)?/webhooks/)[^\s/\"'`<>]+/[^\s?#\"'`<>]+", "$1[redacted]"),
+    (r"(?i)(authorization\s*[:=]\s*)(?:(bearer|basic)\s+)?[^\r\n,;\"'`<>]+", "$1$2 [redacted]"),
+    (r"(?i)(https?:)//[^\s/\"'`<>@]+@", "$1//[redacted]@"),
+)
+_AFTER_QUERY = (
+    (r"(?i)(https?://[^\s\"'`<>#]+)#[^\s\"'`<>]*", "$1"),
+    (r"(?i)((?:api[_-]?key|access[_-]?token|refresh[_-]?token|token|password|passwd|secret|credential)\s*[:=]\s*)[^\s,;\"'`<>]+", "$1[redacted]"),
+    (r"(?i)([\"'`])(?:[A-Za-z]:[\\/]|\\\\|/(?!/))[^\r\n\"'`<>]*\1", "$1[local path]$1"),
+    (r"(?im)(^|[\s(\"'`=:])(?:[A-Za-z]:[\\/][^\r\n,;\"'`<>]*|\\\\[^\r\n,;\"'`<>]+|/(?!/)[^\r\n,;\"'`<>]+)", "$1[local path]"),
+)
+_PARAMETER = r"(?i)(?:api[_-]?key|access[_-]?token|refresh[_-]?token|token|auth(?:orization)?|password|passwd|secret|credential|signature|sig)"
+
+
 def redact(text: Column) -> Column:
-    """Secrets, credentials in URLs and headers, and absolute paths, replaced in a fixed order."""
-    steps = (
-        (r"(?i)(https?://hooks\.slack\.com/services/)[^\s/\"'`<>]+/[^\s/\"'`<>]+/[^\s?#\"'`<>]+", "$1[redacted]"),
-        (r"(?i)(https?://(?:canary\.|ptb\.)?discord(?:app)?\.com/api(?:/v[0-9]+)?/webhooks/)[^\s/\"'`<>]+/[^\s?#\"'`<>]+", "$1[redacted]"),
-        (r"(?i)(authorization\s*[:=]\s*(?:bearer|basic)\s+)[^\r\n,;\"'`<>]+", "$1[redacted]"),
-        (r"(?i)(https?:)//[^\s/\"'`<>@]+@", "$1//[redacted]@"),
-    )
-    secrets = (
-        (r"(?i)(https?://[^\s\"'`<>#]+)#[^\s\"'`<>]*", "$1"),
-        (r"(?i)((?:api[_-]?key|access[_-]?token|refresh[_-]?token|token|password|passwd|secret|credential)\s*[:=]\s*)[^\s,;\"'`<>]+", "$1[redacted]"),
-        (r"(?i)([\"'`])(?:[A-Za-z]:[\\/]|\\\\|/(?!/))[^\r\n\"'`<>]*\1", "$1[local path]$1"),
-        (r"(?im)(^|[\s(\"'`=:])(?:[A-Za-z]:[\\/][^\r\n,;\"'`<>]*|\\\\[^\r\n,;\"'`<>]+|/(?!/)[^\r\n,;\"'`<>]+)", "$1[local path]"),
-    )
+    """Secrets, credentials in URLs, headers and query parameters, fragments, and absolute paths, replaced in a fixed order."""
     out = F.coalesce(text, F.lit(""))
-    for pattern, to in steps:
+    for pattern, to in _BEFORE_QUERY:
         out = F.regexp_replace(out, pattern, to)
-    for pattern, to in secrets:
+    out = F.regexp_replace(F.replace(out, F.lit("  [redacted]"), F.lit(" [redacted]")), r"(?i)(authorization\s*[:=])\s*\[redacted\]", "$1 [redacted]")
+    # sensitive parameters of a URL go with their separator; a question mark that has nothing left after it goes, too
+    key = _PARAMETER + r"=[^&#\s\"'`<>]*"
+    out = F.regexp_replace(out, r"(?<=[?&])" + key + r"(?:&|(?=[#\s\"'`<>]|$))", "")
+    out = F.regexp_replace(out, r"(?i)(https?://[^\s\"'`<>?#]+)\?(?=[#\s\"'`<>]|$)", "$1")
+    out = F.regexp_replace(out, r"(?i)(https?://[^\s\"'`<>#]+)&(?=[#\s\"'`<>]|$)", "$1")
+    for pattern, to in _AFTER_QUERY:
         out = F.regexp_replace(out, pattern, to)
     return out
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import text as X
+
 
 def rank_quality(ranked: DataFrame, gold: DataFrame, cuts: tuple[int, ...] = (5, 10)) -> DataFrame:
     """Per query with gold: recall at each cut (share of its distinct relevant items) and reciprocal rank.
@@ -62,9 +64,16 @@ def tool_selection(rows: DataFrame) -> DataFrame:
 
 
 def durations(rows: DataFrame, value: str, *keys: str) -> DataFrame:
-    """count, min, max and nearest-rank p50 and p95 per key."""
-    disc = lambda q, name: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value})").alias(name)
-    return rows.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), disc(0.5, "p50"), disc(0.95, "p95"))
+    """count, min, max and nearest-rank p50 and p95 per key.
+
+    Distinct values are counted first and ranked by running counts, so that no task holds a key's rows.
+    """
+    by = [F.col(k) for k in keys]
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    order = Window.partitionBy(*by).orderBy("_v")
+    placed = counts.withColumn("_upto", F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_c").over(Window.partitionBy(*by)))
+    at = lambda q: F.min(F.when(F.col("_upto") >= F.ceil(q * F.col("_all")), F.col("_v")))
+    return placed.groupBy(*by).agg(F.max("_all").alias("n"), F.min("_v").alias("least"), F.max("_v").alias("most"), at(F.lit(0.5)).alias("p50"), at(F.lit(0.95)).alias("p95"))
 
 
 def floor_index_percentile(rows: DataFrame, value: str, q: float, *keys: str) -> DataFrame:
@@ -177,3 +186,157 @@ def percent_saving(report: DataFrame) -> DataFrame:
     side = lambda m: F.sum(F.when(F.col("mode") == m, F.col("tokens")))
     both = report.groupBy("benchmark_id").agg(side("baseline").alias("b"), side("treatment").alias("t"))
     return both.select("benchmark_id", F.bround(F.try_divide((F.col("b") - F.col("t")) * 100.0, F.col("b")), 2).alias("saving"))
+
+
+def parameter_pass_rate(calls: DataFrame, *keys: str) -> DataFrame:
+    """keys, calls, valid, rate: share of tool calls whose parameters were valid; rate 0 without calls.  ``calls``: keys, valid."""
+    ok = F.sum(F.coalesce(F.col("valid"), F.lit(False)).cast("long"))
+    return calls.groupBy(*keys).agg(F.count(F.lit(1)).alias("calls"), ok.alias("valid"), F.round(ok / F.count(F.lit(1)), 9).alias("rate"))
+
+
+def location_summary(scored: DataFrame, *keys: str) -> DataFrame:
+    """keys, tasks, pass_rate, coverage, mrr, p50_ms, p95_ms.  ``scored``: keys, passed, coverage, reciprocal_rank, duration_ms.
+
+    Percentiles are the value at index floor((n - 1) q).
+    """
+    means = scored.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("tasks"), F.round(F.avg(F.col("passed").cast("int")), 9).alias("pass_rate"), F.round(F.avg("coverage"), 9).alias("coverage"), F.round(F.avg("reciprocal_rank"), 9).alias("mrr")
+    )
+    timed = scored.where("duration_ms is not null")
+    for q, name in ((0.5, "p50_ms"), (0.95, "p95_ms")):
+        means = means.join(floor_index_percentile(timed, "duration_ms", q, *keys).withColumnRenamed("percentile", name), list(keys), "left")
+    return means
+
+
+def group_coverage(required: DataFrame, returned: DataFrame) -> DataFrame:
+    """task_id, groups, covered, passed: evidence groups of a task of which any alternative overlaps a returned range.
+
+    ``required``: task_id, group_id, path, start_line, end_line (alternatives); ``returned``: task_id, path, start_line,
+    end_line.  An equi-join on task and path, the ranges a residual filter.
+    """
+    r = returned.select("task_id", "path", F.col("start_line").alias("_from"), F.col("end_line").alias("_to"))
+    hits = required.join(r, ["task_id", "path"]).where((F.col("_from") <= F.col("end_line")) & (F.col("start_line") <= F.col("_to")))
+    hits = hits.select("task_id", "group_id").distinct().withColumn("_hit", F.lit(True))
+    groups = required.select("task_id", "group_id").distinct().join(hits, ["task_id", "group_id"], "left")
+    covered = F.sum(F.coalesce("_hit", F.lit(False)).cast("int"))
+    return groups.groupBy("task_id").agg(F.count(F.lit(1)).alias("groups"), covered.alias("covered"), (covered == F.count(F.lit(1))).alias("passed"))
+
+
+def tool_audit(required: DataFrame, evidence: DataFrame) -> DataFrame:
+    """tool, task_id, groups, covered, passed for each tool's evidence and for their union, side by side.
+
+    ``evidence``: tool, task_id, path, start_line, end_line.  A task without any evidence of a tool is not covered by it.
+    """
+    tools = evidence.select("tool").distinct().unionByName(evidence.sparkSession.range(1).select(F.lit("union").alias("tool"))).distinct()
+    both = evidence.unionByName(evidence.withColumn("tool", F.lit("union")))
+    task = lambda df: df.withColumn("task_id", F.concat_ws("\0", "tool", F.col("task_id").cast("string")))
+    each = required.withColumn("_k", F.lit(1)).join(tools.withColumn("_k", F.lit(1)), "_k").drop("_k")  # a handful of tools
+    scored = group_coverage(task(each), task(both))
+    parts = F.split("task_id", "\0")
+    return scored.select(parts[0].alias("tool"), parts[1].alias("task_id"), "groups", "covered", "passed")
+
+
+def symbol_checks(tasks: DataFrame, returned: DataFrame) -> DataFrame:
+    """task_id, paths_met, symbol_met, roles_met.  ``tasks``: task_id, paths, symbol, roles; ``returned``: task_id, path, symbol, role.
+
+    Every required path and role must occur; a symbol is met by one that is it or ends in it after a dot.
+    """
+    seen = returned.groupBy("task_id").agg(F.collect_set("path").alias("_p"), F.collect_set("symbol").alias("_s"), F.collect_set("role").alias("_r"))
+    rows = tasks.join(seen, "task_id", "left")
+    none = F.expr("cast(array() as array<string>)")
+    met = lambda want, got: F.size(F.array_except(want, F.coalesce(got, none))) == 0
+    symbol = F.exists(F.coalesce("_s", none), lambda s: (s == F.col("symbol")) | F.endswith(s, F.concat(F.lit("."), F.col("symbol"))))
+    return rows.select("task_id", met("paths", "_p").alias("paths_met"), F.when(F.coalesce("symbol", F.lit("")) == "", True).otherwise(symbol).alias("symbol_met"), met("roles", "_r").alias("roles_met"))
+
+
+def status_counts(rows: DataFrame, *columns: str) -> DataFrame:
+    """benchmark_id, mode, field, value, n: how often each value of each column occurs in a cohort; nulls are not counted."""
+    named = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in columns]))
+    return rows.select("benchmark_id", "mode", named.alias("x")).where("x.value is not null").groupBy("benchmark_id", "mode", "x.field", "x.value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def violations(rows: DataFrame, known: DataFrame | None = None, counters: tuple[str, ...] = (), path: str | None = None) -> DataFrame:
+    """code, benchmark_id, task_id: what makes result rows unfit for a report.
+
+    duplicate_row (a mode twice), missing_cohort, negative_or_missing_<counter>, unsafe_path, and, where ``known`` lists the
+    tasks (benchmark_id, task_id), unknown_task and missing_task.
+    """
+    key = ["benchmark_id", "task_id"]
+    out = rows.groupBy(*key, "mode").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit("duplicate_row").alias("code"), *key)
+    modes = rows.groupBy(*key).agg(F.collect_set("mode").alias("m")).where(~(F.array_contains("m", "baseline") & F.array_contains("m", "treatment")))
+    out = out.unionByName(modes.select(F.lit("missing_cohort").alias("code"), *key))
+    for c in counters:
+        out = out.unionByName(rows.where(F.coalesce(F.col(c), F.lit(-1)) < 0).select(F.lit(f"negative_or_missing_{c}").alias("code"), *key))
+    if path is not None:
+        out = out.unionByName(rows.where(F.col(path).isNotNull() & X.safe_path(F.col(path)).isNull()).select(F.lit("unsafe_path").alias("code"), *key))
+    if known is not None:
+        out = out.unionByName(rows.select(*key).distinct().join(known, key, "left_anti").select(F.lit("unknown_task").alias("code"), *key))
+        out = out.unionByName(known.select(*key).distinct().join(rows, key, "left_anti").select(F.lit("missing_task").alias("code"), *key))
+    return out
+
+
+def before_after(before: DataFrame, after: DataFrame, measures: tuple[str, ...]) -> DataFrame:
+    """metric, before, after, change: two frames of per-query measures, by their means."""
+
+    def means(df: DataFrame, name: str) -> DataFrame:
+        one = df.agg(*[F.round(F.avg(m), 9).alias(m) for m in measures])
+        listed = ", ".join(f"'{m}', {m}" for m in measures)
+        return one.selectExpr(f"stack({len(measures)}, {listed}) as (metric, `{name}`)")
+
+    return means(before, "before").join(means(after, "after"), "metric").withColumn("change", F.round(F.col("after") - F.col("before"), 6))
+
+
+def trace_shape(steps: DataFrame) -> DataFrame:
+    """trace_id, kinds (in order), tools, paths (sorted sets): what two captures of one trace must share.  ``steps``: trace_id, step, kind, tool, path."""
+    kinds = F.transform(F.sort_array(F.collect_list(F.struct("step", "kind"))), lambda x: x["kind"])
+    return steps.groupBy("trace_id").agg(
+        F.array_join(kinds, ">").alias("kinds"), F.array_join(F.sort_array(F.collect_set("tool")), ",").alias("tools"), F.array_join(F.sort_array(F.collect_set("path")), ",").alias("paths")
+    )
+
+
+def cited_files(cited: DataFrame, gold: DataFrame) -> DataFrame:
+    """query_id, files (sorted, comma-joined), passed (all relevant ones cited) for every query with gold."""
+    own = cited.groupBy("query_id").agg(F.collect_set("path").alias("_c"))
+    rows = gold.groupBy("query_id").agg(F.collect_set("path").alias("_g")).join(own, "query_id", "left")
+    none = F.expr("cast(array() as array<string>)")
+    have = F.coalesce("_c", none)
+    return rows.select("query_id", F.array_join(F.sort_array(have), ",").alias("files"), (F.size(F.array_except("_g", have)) == 0).alias("passed"))
+
+
+def stage_times(stages: DataFrame, totals: DataFrame) -> DataFrame:
+    """run_id, stage, ms, share (percent of the run), with a row for what no stage accounts for.  ``stages``: run_id, stage, ms; ``totals``: run_id, ms."""
+    named = stages.groupBy("run_id", "stage").agg(F.sum("ms").alias("ms"))
+    known = named.groupBy("run_id").agg(F.sum("ms").alias("_k"))
+    whole = totals.select("run_id", F.col("ms").alias("_all"))
+    rest = whole.join(known, "run_id", "left").select("run_id", F.lit("unattributed").alias("stage"), F.greatest(F.col("_all") - F.coalesce("_k", F.lit(0)), F.lit(0)).alias("ms"))
+    rows = named.unionByName(rest.select("run_id", "stage", F.col("ms").cast(dict(named.dtypes)["ms"]).alias("ms"))).join(whole, "run_id")
+    return rows.select("run_id", "stage", "ms", F.bround(F.try_divide(100 * F.col("ms").cast("double"), F.col("_all")), 2).alias("share"))
+
+
+def capture_metrics(queries: DataFrame) -> DataFrame:
+    """capture_id, queries, recall_5, recall_10, mrr, hit_rate, tool_match, p50_ms, complete: one row per capture.
+
+    ``queries``: capture_id, query_id, ranked, relevant, cited, chosen, expected (arrays) and duration_ms.  cited, the pair
+    chosen and expected, and duration_ms may be absent, but for all queries of a capture or none; ``complete`` tells whether
+    that holds, and a member that some queries lack gives no measure.
+    """
+    n = F.count(F.lit(1))
+    share = lambda k: F.try_divide(F.size(F.array_intersect(F.slice("ranked", 1, k), "relevant")), F.size(F.array_distinct("relevant")))
+    first = F.array_min(F.transform(F.array_distinct("relevant"), lambda r: F.when(F.array_position("ranked", r) > 0, F.array_position("ranked", r))))
+    every = lambda c: F.count(c) == n
+    all_or_none = lambda c: F.count(c).isin(0) | every(c)
+    mean = lambda c: F.round(F.avg(c), 9)
+    hit = F.arrays_overlap("cited", "relevant").cast("int")
+    match = (F.sort_array(F.array_distinct("chosen")) == F.sort_array(F.array_distinct("expected"))).cast("int")
+    return queries.groupBy("capture_id").agg(
+        n.alias("queries"), mean(F.coalesce(share(5), F.lit(0.0))).alias("recall_5"), mean(F.coalesce(share(10), F.lit(0.0))).alias("recall_10"), mean(F.coalesce(1 / first, F.lit(0.0))).alias("mrr"),
+        F.when(every("cited"), mean(hit)).alias("hit_rate"), F.when(every("chosen") & every("expected"), mean(match)).alias("tool_match"),
+        F.when(every("duration_ms"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY duration_ms)")).alias("p50_ms"),
+        (all_or_none("cited") & all_or_none("chosen") & all_or_none("expected") & (F.count("chosen") == F.count("expected")) & all_or_none("duration_ms")).alias("complete"),
+    )
+
+
+def provenance_gaps(rows: DataFrame) -> DataFrame:
+    """benchmark_id, task_id, mode, code: rows of a token report without a known origin of their counters or a digest of their trace."""
+    code = F.when(~F.coalesce("usage_provenance", F.lit("")).isin("provider", "tokenizer"), "unknown_provenance").when(~F.rlike(F.coalesce("raw_trace_sha256", F.lit("")), F.lit("^[0-9a-f]{64}$")), "no_trace_digest")
+    return rows.select("benchmark_id", "task_id", "mode", code.alias("code")).where("code is not null")

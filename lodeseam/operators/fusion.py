@@ -26,6 +26,86 @@ def rrf(channels: DataFrame, k: int = 60) -> DataFrame:
     return fused.withColumn("position", F.row_number().over(order))
 
 
+def plan(queries: DataFrame, available: DataFrame | None = None) -> DataFrame:
+    """query_id, query, limit, candidates, mode: white space collapsed, limit within 1 and 50, four candidates a row up to 200.
+
+    ``queries``: query_id, query, limit; ``available``: query_id, mode (lexical without it).
+    """
+    limit = F.least(F.greatest(F.coalesce("limit", F.lit(10)), F.lit(1)), F.lit(50)).cast("int")
+    rows = queries.select("query_id", F.trim(F.regexp_replace("query", r"\s+", " ")).alias("query"), limit.alias("limit"))
+    rows = rows.withColumn("candidates", F.least(F.lit(200), F.col("limit") * 4).cast("int"))
+    if available is None:
+        return rows.withColumn("mode", F.lit("lexical"))
+    return rows.join(available.select("query_id", "mode"), "query_id", "left").withColumn("mode", F.coalesce("mode", F.lit("lexical")))
+
+
+def channels(lexical: DataFrame, semantic: DataFrame) -> DataFrame:
+    """Both channels as one long frame: query_id, channel, rank, chunk_id, path, score, boost.  ``semantic`` has no boost."""
+    shape = ["query_id", "channel", "rank", "chunk_id", "path", "score", "boost"]
+    boost = F.col("boost") if "boost" in lexical.columns else F.lit(0.0)
+    a = lexical.withColumn("channel", F.lit("lexical")).withColumn("boost", boost).select(*shape)
+    return a.unionByName(semantic.withColumn("channel", F.lit("semantic")).withColumn("boost", F.lit(0.0)).select(*shape))
+
+
+def fuse_rows(channels_: DataFrame, k: int = 60) -> DataFrame:
+    """query_id, position, identity, chunk_id, path, start_line, content, rrf, signals, source_ranks: fused rows with their fields merged.
+
+    ``channels_``: query_id, channel, rank, chunk_id, path, start_line, end_line, content.  A row's identity is its chunk id, else
+    its place and content.  The first channel's row wins; its missing fields are filled from the others; source_ranks maps
+    each channel to its best rank.  Order: score, path, line, identity.
+    """
+    place = F.concat_ws("\0", F.coalesce("path", F.lit("")), F.col("start_line").cast("string"), F.col("end_line").cast("string"), F.coalesce("content", F.lit("")))
+    identity = F.coalesce(F.concat(F.lit("c"), F.col("chunk_id").cast("string")), F.concat(F.lit("p"), F.md5(place)))
+    order = F.struct("channel", "rank")
+    first = lambda c, some: F.min_by(F.when(some, F.col(c)), F.when(some, order)).alias(c)
+    known = lambda c: F.col(c).isNotNull() & (F.col(c).cast("string") != "")
+    rows = channels_.withColumn("identity", identity)
+    ranks = rows.groupBy("query_id", "identity", "channel").agg(F.min("rank").alias("r"))
+    ranks = ranks.groupBy("query_id", "identity").agg(F.sort_array(F.collect_list(F.struct("channel", "r"))).alias("_s"))
+    fused = rows.groupBy("query_id", "identity").agg(
+        F.round(F.sum(1 / (F.lit(k) + F.col("rank"))), 9).alias("rrf"), *[first(c, known(c)) for c in ("chunk_id", "path", "start_line", "content")]
+    ).join(ranks, ["query_id", "identity"])
+    by = Window.partitionBy("query_id").orderBy(F.desc("rrf"), "path", "start_line", "identity")
+    return fused.select(
+        "query_id", F.row_number().over(by).alias("position"), "identity", "chunk_id", "path", "start_line", "content", "rrf",
+        F.array_join(F.transform("_s", lambda x: x["channel"]), ",").alias("signals"), F.map_from_entries("_s").alias("source_ranks"),
+    )
+
+
+def run_audit(channels_: DataFrame, fused: DataFrame, expanded: DataFrame, returned: DataFrame) -> DataFrame:
+    """query_id, lexical, semantic, fused, expanded, returned, events: what each step of a query's run gave."""
+    of = lambda df, name: df.groupBy("query_id").agg(F.count(F.lit(1)).alias(name))
+    rows = of(channels_.where("channel = 'lexical'"), "lexical")
+    for df, name in ((channels_.where("channel = 'semantic'"), "semantic"), (fused, "fused"), (expanded, "expanded"), (returned, "returned")):
+        rows = rows.join(of(df, name), "query_id", "full_outer")
+    names = ("lexical", "semantic", "fused", "expanded", "returned")
+    rows = rows.select("query_id", *[F.coalesce(n, F.lit(0)).alias(n) for n in names])
+    events = F.array_join(F.array(*[F.concat(F.lit(f"{n}="), F.col(n).cast("string")) for n in names]), ";")
+    return rows.withColumn("events", events)
+
+
+def hybrid(lexical: DataFrame, semantic: DataFrame, relations: DataFrame, paths: DataFrame, limit: int, least_lexical: float = 31.4, least_semantic: float = 0.51, rerank=None) -> tuple[DataFrame, DataFrame]:
+    """(rows, audit) of a search over two channels: fusion, gate, one-hop expansion, and an optional reranking of the head.
+
+    ``lexical``, ``semantic``: query_id, rank, chunk_id, path, score (and boost); ``relations``: relation_id, kind, source,
+    target over chunk ids; ``paths``: chunk_id, path.  A rejected query has no rows.  Expanded rows follow the fused ones;
+    ``rerank``, a column over the fused rows, orders the first fifty where ``limit`` is five or more.
+    """
+    both = channels(lexical, semantic)
+    fused = rrf(both)
+    kept = accepted_only(fused, gate(observe(fused), least_lexical, least_semantic))
+    if rerank is not None and limit >= 5:
+        kept = rerank_head(kept, rerank).withColumn("position", F.col("reranked")).drop("reranked")
+    most = min(200, 4 * limit)
+    seeds = kept.where(F.col("position") <= limit)
+    near = expand_one_hop(seeds.select("query_id", F.col("chunk_id").alias("node"), F.col("rrf").alias("score")), relations, most)
+    counts = seeds.groupBy("query_id").agg(F.max("position").alias("_n"))
+    near = near.join(counts, "query_id").where(F.col("position") <= most - F.col("_n"))
+    more = near.join(paths, near["node"] == paths["chunk_id"]).select("query_id", (F.col("_n") + F.col("position")).alias("position"), "chunk_id", "path", "score", F.lit("structural").alias("signals"))
+    rows = seeds.select("query_id", "position", "chunk_id", "path", F.col("rrf").alias("score"), "signals").unionByName(more)
+    return rows, run_audit(both, fused, more, rows)
+
+
 def observe(fused: DataFrame) -> DataFrame:
     """Per query: hits of each channel and the best scores."""
     return fused.groupBy("query_id").agg(

@@ -2,19 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` once, in the shared folder: each level of a search reads the last one's table, not its plan."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..sources.shared import written
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -24,10 +16,13 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: nodes, paths, edges."""
-    a = nodes.agg(F.count(F.lit(1)).alias("nodes"), F.count_distinct("path").alias("paths")).withColumn("edges", F.lit(0).cast("long"))
-    b = edges.agg(F.count(F.lit(1)).alias("edges")).select(F.lit(0).cast("long").alias("nodes"), F.lit(0).cast("long").alias("paths"), "edges")
-    return a.unionByName(b).agg(*[F.sum(c).alias(c) for c in ("nodes", "paths", "edges")])
+    """One row: nodes, paths, functions, classes (0 without a ``kind``), edges."""
+    kind = F.col("kind") if "kind" in nodes.columns else F.lit("")
+    of = lambda *names: F.sum(kind.isin(*names).cast("long"))
+    names = ("nodes", "paths", "functions", "classes", "edges")
+    a = nodes.agg(F.count(F.lit(1)).alias("nodes"), F.count_distinct("path").alias("paths"), of("function", "method").alias("functions"), of("class").alias("classes"))
+    b = edges.agg(F.count(F.lit(1)).alias("edges"))
+    return a.withColumn("edges", F.lit(0).cast("long")).unionByName(b, allowMissingColumns=True).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names])
 
 
 def call_chain(edges: DataFrame, roots: DataFrame, direction: str = "callees", depth: int = 3) -> DataFrame:
@@ -44,10 +39,10 @@ def call_chain(edges: DataFrame, roots: DataFrame, direction: str = "callees", d
     frontier = visited = roots.select("root", F.col("root").alias("at")).distinct()
     found = None
     for level in range(1, depth + 1):
-        seen = _written(frontier.join(steps, "at").select("root", "to", "source", "target").distinct(), "chain")
+        seen = written(frontier.join(steps, "at").select("root", "to", "source", "target").distinct(), "chain")
         rows = seen.select("root", "source", "target", F.lit(level).alias("depth"))
         found = rows if found is None else found.unionByName(rows)
-        frontier = _written(seen.select("root", F.col("to").alias("at")).distinct().join(visited, ["root", "at"], "left_anti"), "frontier")
+        frontier = written(seen.select("root", F.col("to").alias("at")).distinct().join(visited, ["root", "at"], "left_anti"), "frontier")
         if not frontier.limit(1).count():
             break
         visited = visited.unionByName(frontier)
@@ -67,3 +62,107 @@ def impact_groups(definitions: DataFrame, edges: DataFrame, mentions: DataFrame)
     own = definitions.select("symbol", F.lit("definition").alias("group"), "item")
     refs = mentions.join(definitions.select("symbol"), "symbol", "left_semi").select("symbol", F.lit("reference").alias("group"), "item")
     return own.unionByName(callers).unionByName(refs).distinct()
+
+
+def search_nodes(nodes: DataFrame, pattern: str, kind: str | None = None, limit: int | None = None) -> DataFrame:
+    """Nodes whose name, signature or path holds ``pattern`` (case does not count, % and _ are wildcards), by name."""
+    met = F.lit(False)
+    for c in ("name", "signature", "path"):
+        met = met | F.coalesce(F.ilike(c, F.lit(f"%{pattern}%")), F.lit(False))
+    found = nodes.where(met if kind is None else met & (F.col("kind") == kind)).orderBy("name", "node")
+    return found if limit is None else found.limit(limit)
+
+
+def _grams(text: Column, size: int = 3) -> Column:
+    """Distinct substrings of one to ``size`` characters."""
+    at = lambda n: F.when(F.char_length(text) >= n, F.transform(F.sequence(F.lit(1), F.char_length(text) - n + 1), lambda i: text.substr(i, F.lit(n))))
+    none = F.expr("cast(array() as array<string>)")
+    return F.array_distinct(F.flatten(F.array(*[F.coalesce(at(n), none) for n in range(1, size + 1)])))
+
+
+def symbol_lookup(queries: DataFrame, symbols: DataFrame, top: int = 5) -> DataFrame:
+    """query_id, position, symbol, method for symbols whose name or qualified name holds the query, ``top`` of each.
+
+    ``queries``: query_id, query; ``symbols``: symbol, name, qualified.  The order is: the qualified name itself, a dotted
+    suffix of it, the short name, any other; then by qualified name, last first.  A query's first characters are looked up
+    among the symbols' short substrings, so this is an equi-join; the match is then checked.
+    """
+    asked = queries.where("query <> ''").select("query_id", F.lower("query").alias("q"), F.left(F.lower("query"), F.lit(3)).alias("gram"))
+    text = F.concat_ws("\n", F.lower("name"), F.lower("qualified"))
+    own = symbols.select("symbol", F.lower("name").alias("n"), F.lower("qualified").alias("u"), F.explode(_grams(text)).alias("gram"))
+    hits = own.join(asked, "gram").where(F.contains("n", F.col("q")) | F.contains("u", F.col("q")))
+    short = F.element_at(F.split("q", r"\."), -1)
+    method = F.when(F.col("u") == F.col("q"), "exact").when(F.endswith("u", F.concat(F.lit("."), F.col("q"))), "suffix").when(F.col("n") == short, "short_name").otherwise("substring")
+    rank = F.array_position(F.array(*map(F.lit, ("exact", "suffix", "short_name", "substring"))), F.col("method"))
+    placed = hits.withColumn("method", method).withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy(rank, F.desc("u"), "symbol")))
+    return placed.where(F.col("position") <= top).select("query_id", "position", "symbol", "method")
+
+
+def hydrate(hits: DataFrame, units: DataFrame, reason: str, score: float, priority: int) -> DataFrame:
+    """Hits (query_id, unit_id) with their stored path and content, as candidates; those without either are dropped."""
+    own = units.where((F.trim("path") != "") & (F.trim("content") != ""))
+    return hits.join(own, "unit_id").select(
+        "query_id", F.col("unit_id").alias("chunk_id"), "path", "start_line", "end_line", "content", F.lit(reason).alias("reason"), F.lit(score).alias("score"), F.lit(priority).alias("priority")
+    )
+
+
+def is_app_or_test(path: Column) -> Column:
+    """Python files of an application or of tests."""
+    slashed = F.concat(F.lit("/"), path)
+    return F.endswith(path, F.lit(".py")) & (F.contains(slashed, F.lit("/app/")) | F.contains(slashed, F.lit("/tests/")))
+
+
+def reference_candidates(targets: DataFrame, units: DataFrame, most: int = 20) -> DataFrame:
+    """symbol, unit_id, path, score, position: units that call a name, without a resolved edge to it.
+
+    ``targets``: symbol, name, unit_id (of the definition); ``units``: unit_id, path, content.  A unit's called names are
+    exploded and joined on the name.  Tests score 900, others 950; at most ``most`` of a symbol, by path and unit.
+    """
+    called = F.array_distinct(F.regexp_extract_all("content", F.lit(r"\b([A-Za-z_][A-Za-z0-9_]*)\s*\(")))
+    calls = units.where(is_app_or_test(F.col("path"))).select("unit_id", "path", F.explode(called).alias("name"))
+    found = calls.join(targets.select("symbol", "name", F.col("unit_id").alias("_own")), "name").where(~F.col("unit_id").eqNullSafe(F.col("_own")))
+    order = Window.partitionBy("symbol").orderBy("path", "unit_id")
+    placed = found.withColumn("position", F.row_number().over(order)).where(F.col("position") <= most)
+    score = F.when(F.contains(F.lower("path"), F.lit("test")), 900.0).otherwise(950.0)
+    return placed.select("symbol", "unit_id", "path", score.alias("score"), "position")
+
+
+#: What a path of a test, build or entry file holds.
+RUNTIME_MARKS = ("test", "spec", "package.json", "pyproject", "requirements", "main", "app")
+
+
+def related_tests(impact: DataFrame, files: DataFrame, queries: DataFrame, most: int = 30) -> DataFrame:
+    """query_id, path, basis: test, build and entry files among a query's impact paths; for a query without any, its snapshot's first ``most``.
+
+    ``queries``: query_id, snapshot_id; ``impact``: query_id, path; ``files``: snapshot_id, path, is_test.
+    """
+    low = F.lower("path")
+    marked = F.col("is_test")
+    for mark in RUNTIME_MARKS:
+        marked = marked | F.contains(low, F.lit(mark))
+    runtime = files.where(marked).select("snapshot_id", "path")
+    hits = queries.join(impact.distinct(), "query_id").join(runtime, ["snapshot_id", "path"]).select("query_id", "path", F.lit("impact").alias("basis"))
+    first = runtime.withColumn("_n", F.row_number().over(Window.partitionBy("snapshot_id").orderBy("path"))).where(F.col("_n") <= most)
+    rest = queries.join(hits.select("query_id").distinct(), "query_id", "left_anti").join(first, "snapshot_id").select("query_id", "path", F.lit("snapshot").alias("basis"))
+    return hits.unionByName(rest)
+
+
+def structure_view(queries: DataFrame, symbols: DataFrame, relations: DataFrame, most: int = 20) -> DataFrame:
+    """query_id, symbol, relation_id, kind, direction, other: up to ``most`` symbols for a term and their relations (null without any)."""
+    hits = symbol_lookup(queries, symbols, most).select("query_id", "symbol")
+    out = relations.select(F.col("source").alias("symbol"), "relation_id", "kind", F.lit("out").alias("direction"), F.col("target").alias("other"))
+    back = relations.select(F.col("target").alias("symbol"), "relation_id", "kind", F.lit("in").alias("direction"), F.col("source").alias("other"))
+    return hits.join(out.unionByName(back), "symbol", "left").select("query_id", "symbol", "relation_id", "kind", "direction", "other")
+
+
+def impact_evidence(definitions: DataFrame, edges: DataFrame, references: DataFrame, units: DataFrame) -> DataFrame:
+    """symbol, group (definition, caller, reference), unit_id, path, score, n: an impact answer with its groups' sizes.
+
+    ``definitions``: symbol, unit_id; ``edges``: source_unit, target (symbol), observed and resolved ones; ``references``:
+    as ``reference_candidates`` gives them; ``units``: unit_id, path.
+    """
+    own = definitions.select("symbol", F.lit("definition").alias("group"), "unit_id", F.lit(1000.0).alias("score"))
+    callers = edges.join(definitions.select(F.col("symbol").alias("target")), "target", "left_semi").select(F.col("target").alias("symbol"), F.lit("caller").alias("group"), F.col("source_unit").alias("unit_id"), F.lit(980.0).alias("score"))
+    others = references.select("symbol", F.lit("reference").alias("group"), "unit_id", "score")
+    rows = own.unionByName(callers).unionByName(others).dropDuplicates(["symbol", "group", "unit_id"]).join(units.select("unit_id", "path"), "unit_id")
+    return rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("symbol", "group"))).select("symbol", "group", "unit_id", "path", "score", "n")

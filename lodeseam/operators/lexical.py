@@ -2,14 +2,50 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from ..sources.shared import written
+
+#: How much a term counts in each field: as the scores were calibrated, and as the fields were meant to weigh.
+WEIGHTS = {"content": 4.0, "title": 1.5, "symbol": 2.0, "path": 1.0, "language": 1.0, "config_key": 1.0}
+INTENDED_WEIGHTS = {"content": 1.0, "title": 3.0, "symbol": 5.0, "path": 4.0, "language": 1.5, "config_key": 2.0}
+
+
+def with_config_key(chunks: DataFrame) -> DataFrame:
+    """Adds config_key, the distinct normalised terms of all fields, so that every way a query's term is expanded is indexed."""
+    fields = [c for c in ("content", "title", "symbol", "path", "language") if c in chunks.columns]
+    return chunks.withColumn("config_key", F.array_join(X.query_terms(F.concat_ws(" ", *fields)), " "))
+
+
+def backfill_path(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """Rows whose path is missing get their file's, else 'repository'.  ``rows``: file_id, path; ``files``: file_id, path."""
+    own = files.select("file_id", F.col("path").alias("_own"))
+    path = F.coalesce(F.when(F.col("path") != "", F.col("path")), "_own", F.lit("repository"))
+    return rows.join(own, "file_id", "left").withColumn("path", path).drop("_own")
+
+
+def match_terms(queries: DataFrame) -> DataFrame:
+    """query_id, terms, least: what must match.  Plain questions of four meaningful terms ask for four of the first eight, others for any term."""
+    terms = X.query_terms(F.col("query"))
+    rows = queries.select("query_id", "query", terms.alias("_t"))
+    both = X.wants_cooccurrence(F.col("query"), F.col("_t"))
+    return rows.select("query_id", F.when(both, F.slice(X.meaningful_terms(F.col("_t")), 1, 8)).otherwise(F.col("_t")).alias("terms"), F.when(both, 4).otherwise(1).alias("least"))
+
 
-#: How much a term counts in each field.
-WEIGHTS = {"content": 4.0, "title": 1.5, "symbol": 2.0, "path": 1.0, "language": 1.0}
+def search_audit(queries: DataFrame, ranked: DataFrame) -> DataFrame:
+    """query_id, normalized, candidates, best: a run's row for every query, found or not.  ``queries``: query_id, query; ``ranked``: query_id, rank, chunk_id."""
+    n = ranked.groupBy("query_id").agg(F.count(F.lit(1)).alias("candidates"), F.min_by("chunk_id", "rank").alias("best"))
+    rows = queries.select("query_id", F.array_join(X.query_terms(F.col("query")), " ").alias("normalized"))
+    return rows.join(n, "query_id", "left").withColumn("candidates", F.coalesce("candidates", F.lit(0)))
 
 
 def postings(chunks: DataFrame, terms: DataFrame | None = None, weights: dict[str, float] = WEIGHTS) -> DataFrame:
@@ -49,10 +85,102 @@ def bm25(queries: DataFrame, chunks: DataFrame, weights: dict[str, float] = WEIG
     return _score(asked, postings(chunks, asked, weights), corpus_stats(chunks, weights), least_terms)
 
 
+#: Terms of all queries together up to which a query set is held whole by every task: a matrix row per query, a column per term.
+MATRIX_CELLS = 8_000_000
+
+
+def bm25_top(queries: DataFrame, chunks: DataFrame, first: int, weights: dict[str, float] = WEIGHTS, least_terms: int = 1) -> DataFrame:
+    """``bm25`` cut to the best ``first`` chunks of each query, and of each snapshot (ties by path where there is one, then id).
+
+    A query set whose matrix of terms stays below MATRIX_CELLS meets the chunks as blocks: a block of chunks is one matrix
+    product, and only its best rows leave it.  A larger set goes through the join of ``bm25``.
+    """
+    asked = queries.select("query_id", F.explode("terms").alias("term")).distinct()
+    n = asked.agg(F.count_distinct("query_id").alias("q"), F.count_distinct("term").alias("t")).first()
+    if n["q"] * n["t"] > MATRIX_CELLS:
+        return _head(bm25(queries, chunks, weights, least_terms), chunks, first)
+    rows = asked.collect()  # at most MATRIX_CELLS
+    terms = sorted({r["term"] for r in rows})
+    ids = sorted({r["query_id"] for r in rows})
+    at, row_of = {t: k for k, t in enumerate(terms)}, {q: k for k, q in enumerate(ids)}
+    matrix = np.zeros((len(ids), len(terms)))
+    matrix[[row_of[r["query_id"]] for r in rows], [at[r["term"]] for r in rows]] = 1.0
+    held = written(_term_counts(chunks, at, weights), "bm25-counts")
+    number, length = F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")
+    stats = {r["snapshot_id"]: (r["n"], r["mean"]) for r in held.groupBy("snapshot_id").agg(number, length).collect()}
+    seen = held.select("snapshot_id", F.explode("terms").alias("k")).groupBy("snapshot_id", "k").agg(F.count(F.lit(1)).alias("n")).collect()
+    idf = {s: np.full(len(terms), 1e-6) for s in stats}
+    for r in seen:
+        ratio = math.log((stats[r["snapshot_id"]][0] - r["n"] + 0.5) / (r["n"] + 0.5))
+        idf[r["snapshot_id"]][r["k"]] = ratio if ratio > 0 else 1e-6
+    ids_ = np.array(ids)
+
+    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for snapshot, own in f.groupby("snapshot_id", sort=False):
+                for start in range(0, len(own), 1024):
+                    part = own.iloc[start : start + 1024]
+                    counts = part["terms"].map(len).to_numpy()
+                    k, w = np.concatenate([*part["terms"], np.empty(0, dtype=np.int32)]).astype(np.int64), np.concatenate([*part["weights"], np.empty(0)])
+                    to = np.repeat(np.arange(len(part)), counts)
+                    norm = 1.2 * (0.25 + 0.75 * part["length"].to_numpy() / stats[snapshot][1])
+                    block, hit = np.zeros((len(terms), len(part))), np.zeros((len(terms), len(part)))
+                    block[k, to] = idf[snapshot][k] * w * 2.2 / (w + norm[to])
+                    hit[k, to] = 1.0
+                    total, matched = matrix @ block, np.rint(matrix @ hit)
+                    if least_terms > 1:
+                        total = total * ((matched - 1) * (matched - 2) * (matched - 3) / 6)
+                    total = np.where(matched >= least_terms, np.round(total, 6), -1.0)
+                    keep = total >= 0
+                    if len(part) > first:
+                        keep &= total >= np.partition(total, len(part) - first, axis=1)[:, [len(part) - first]]  # ties stay
+                    q, c = np.nonzero(keep)
+                    chunk = part["chunk_id"].to_numpy()
+                    yield pd.DataFrame({"query_id": ids_[q], "snapshot_id": snapshot, "chunk_id": chunk[c], "matched": matched[q, c].astype(np.int64), "score": total[q, c]})
+
+    kind = dict(queries.dtypes)["query_id"], dict(chunks.dtypes)["chunk_id"]
+    found = held.mapInPandas(score, f"query_id {kind[0]}, snapshot_id string, chunk_id {kind[1]}, matched bigint, score double")
+    return _head(found, chunks, first)
+
+
+def _head(scored: DataFrame, chunks: DataFrame, first: int) -> DataFrame:
+    """The best of each query, and all ties of the last of them, so that what orders ties may come later."""
+    rank = F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
+    return scored.withColumn("_r", rank).where(F.col("_r") <= first).drop("_r")
+
+
+def _term_counts(chunks: DataFrame, at: dict[str, int], weights: dict[str, float]) -> DataFrame:
+    """snapshot_id, chunk_id, length, terms (numbers of the known terms that occur), weights.  Tokens come as one text a field."""
+    fields = [f for f in weights if f in chunks.columns]
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for row in zip(f["snapshot_id"], f["chunk_id"], *(f[c] for c in fields), strict=True):
+                sums: dict[int, float] = {}
+                length = 0
+                for field, text in zip(fields, row[2:], strict=True):
+                    tokens = text.split()
+                    length += len(tokens)
+                    for token, times in Counter(tokens).items():
+                        k = at.get(token)
+                        if k is not None:
+                            sums[k] = sums.get(k, 0.0) + weights[field] * times
+                out.append((row[0], row[1], length, np.fromiter(sums, dtype=np.int32, count=len(sums)), np.fromiter(sums.values(), dtype=np.float64, count=len(sums))))
+            yield pd.DataFrame(out, columns=["snapshot_id", "chunk_id", "length", "terms", "weights"])
+
+    # whatever is neither letter nor digit separates tokens, so splitting at spaces gives the index's tokens
+    flat = lambda c: F.regexp_replace(X.fold(F.coalesce(F.col(c), F.lit(""))), r"[^\p{L}\p{N}]+", " ")
+    rows = chunks.select("snapshot_id", "chunk_id", *[flat(c).alias(c) for c in fields])
+    kind = dict(chunks.dtypes)["chunk_id"]
+    return rows.mapInPandas(count, f"snapshot_id string, chunk_id {kind}, length int, terms array<int>, weights array<double>")
+
+
 def build_index(chunks: DataFrame, path: str, weights: dict[str, float] = WEIGHTS) -> None:
     """Write postings, by snapshot and sorted by term, and the corpus statistics, for ``bm25_indexed`` to read."""
     found = postings(chunks, None, weights)
-    found.repartition("snapshot_id", "term").sortWithinPartitions("snapshot_id", "term").write.partitionBy("snapshot_id").parquet(f"{path}/postings")
+    # ranges of (snapshot, term, chunk): a term that a third of all chunks hold is spread over several files
+    found.repartitionByRange("snapshot_id", "term", "chunk_id").sortWithinPartitions("snapshot_id", "term", "chunk_id").write.partitionBy("snapshot_id").parquet(f"{path}/postings")
     corpus_stats(chunks, weights).write.parquet(f"{path}/stats")
 
 

@@ -27,21 +27,29 @@ def _packed(rows: DataFrame, id_column: str, block: int) -> DataFrame:
     return rows.select(id_column, "vector").where("vector is not null").mapInPandas(pack, "size int, ids array<bigint>, m binary")
 
 
-def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int, query_block: int = 256, vector_block: int = 4096) -> DataFrame:
+#: Bytes of query vectors that are sent to every task; beyond it query blocks and vector blocks meet by shuffle.
+BROADCAST_BYTES = 32 << 20
+
+
+def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int, query_block: int = 256, vector_block: int = 4096, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """query_id, vec_id, score (over 0), rank.  ``queries``: query_id, vector; ``vectors``: vec_id, vector.
 
-    Both sides are packed into blocks; every block of queries meets every block of vectors as one matrix product, and only
-    the product's k best of each query leave it.  A zero vector or another dimension scores nothing.  Exact, in double
-    precision; ties go by vec_id.
+    Both sides are packed into blocks; every block of queries meets every block of vectors of its dimension as one matrix
+    product, and only the product's k best of each query leave it.  The queries are measured: a small set is broadcast, a
+    large one is dealt over buckets that every vector block visits.  A zero vector or another dimension scores nothing.
+    Exact, in double precision; ties go by vec_id.
     """
+    size = queries.agg(F.sum(F.size("vector").cast("long") * 8)).first()[0] or 0
+    buckets = max(1, -(-size // broadcast_bytes))
     asked = _packed(queries, "query_id", query_block).select(F.col("size").alias("q_size"), F.col("ids").alias("q_ids"), F.col("m").alias("q"))
-    pairs = _packed(vectors, "vec_id", vector_block).withColumnRenamed("size", "dim").crossJoin(asked)  # blocks of a stated query set, not rows
+    asked = asked.withColumn("bucket", F.pmod(F.xxhash64("q_ids"), F.lit(buckets)))
+    held = _packed(vectors, "vec_id", vector_block).withColumnRenamed("size", "dim").withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))))
+    asked = F.broadcast(asked) if buckets == 1 else asked
+    pairs = held.join(asked, (held["bucket"] == asked["bucket"]) & (F.col("dim") == F.col("q_size"))).select("dim", "ids", "m", "q_size", "q_ids", "q")
 
     def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for row in f.itertuples():
-                if row.dim != row.q_size:
-                    continue
                 ids = np.asarray(row.ids)
                 q, m = (np.frombuffer(x, dtype=np.float64).reshape(-1, row.q_size) for x in (row.q, row.m))
                 score = np.round(q @ m.T, 6)
@@ -78,11 +86,66 @@ def embedding_input(path: Column, kind: Column, symbol: Column, title: Column, i
 def reuse_cached(wanted: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(hits with their newest stored vector, distinct hashes still to embed).
 
-    ``wanted``: content_hash and more; ``stored``: content_hash, vector, created_at.
+    ``wanted``: content_hash and more; ``stored``: content_hash, vector, created_at.  Where both name a provider and a model,
+    only vectors of the same ones are reused.
+    """
+    keys = [c for c in ("provider", "model", "content_hash") if c in wanted.columns and c in stored.columns]
+    newest = stored.groupBy(*keys).agg(F.max_by("vector", "created_at").alias("vector"))
+    hits = wanted.join(newest, keys)
+    return hits, wanted.select(*keys).distinct().join(newest, keys, "left_anti")
+
+
+def first_relations(relations: DataFrame, most: int = 5) -> DataFrame:
+    """symbol, imports, calls: the first distinct observed targets of each kind, in the order of the facts.
+
+    ``relations``: symbol, ord, kind (imports, calls), target, observed.
+    """
+    first = relations.where(F.col("observed") & F.col("kind").isin("imports", "calls")).groupBy("symbol", "kind", "target").agg(F.min("ord").alias("ord"))
+    placed = first.withColumn("_n", F.row_number().over(Window.partitionBy("symbol", "kind").orderBy("ord", "target"))).where(F.col("_n") <= most)
+    own = lambda kind: F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct("_n", "target")))), lambda x: x["target"])
+    return placed.groupBy("symbol").agg(own("imports").alias("imports"), own("calls").alias("calls"))
+
+
+def provider_violations(inputs: DataFrame, answers: DataFrame) -> DataFrame:
+    """batch_id, code, n: answers that break the provider's contract.  ``inputs``: batch_id, index; ``answers``: batch_id, index, vector.
+
+    Every input has one answer and no other index has any, all vectors of a batch have one dimension, and all numbers are finite.
+    """
+    key = ["batch_id", "index"]
+    given = answers.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    code = lambda df, name, n=F.lit(1): df.select("batch_id", F.lit(name).alias("code"), n.cast("long").alias("n"))
+    bad = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+    sizes = answers.groupBy("batch_id").agg(F.count_distinct(F.size("vector")).alias("d")).where("d > 1")
+    rows = (
+        code(inputs.join(given, key, "left_anti"), "missing_answer")
+        .unionByName(code(answers.join(inputs, key, "left_anti"), "unknown_index"))
+        .unionByName(code(given.where("n > 1"), "repeated_answer", F.col("n") - 1))
+        .unionByName(code(answers.where(F.col("vector").isNull() | (F.size("vector") == 0) | bad), "not_finite"))
+        .unionByName(code(sizes, "mixed_dimensions", F.col("d")))
+    )
+    return rows.groupBy("batch_id", "code").agg(F.sum("n").alias("n"))
+
+
+def availability(queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """query_id, mode, reason: hybrid where the query's snapshot has vectors and the query has one of their dimension, else lexical.
+
+    ``queries``: query_id, snapshot_id, vector; ``vectors``: snapshot_id, vector.
     """
-    newest = stored.groupBy("content_hash").agg(F.max_by("vector", "created_at").alias("vector"))
-    hits = wanted.join(newest, "content_hash")
-    return hits, wanted.select("content_hash").distinct().join(newest, "content_hash", "left_anti")
+    dims = vectors.where("vector is not null").select("snapshot_id", F.size("vector").alias("d")).distinct()
+    known = dims.groupBy("snapshot_id").agg(F.collect_set("d").alias("dims"))
+    rows = queries.join(known, "snapshot_id", "left")
+    reason = F.when(F.col("dims").isNull(), "no_vectors").when(F.col("vector").isNull(), "query_not_embedded").when(~F.array_contains("dims", F.size("vector")), "dimension_mismatch")
+    return rows.select("query_id", F.when(reason.isNull(), "hybrid").otherwise("lexical").alias("mode"), reason.alias("reason"))
+
+
+def embedding_status(chunks: DataFrame, results: DataFrame, enabled: bool = True) -> DataFrame:
+    """snapshot_id, status (ready, warning, disabled), chunks, stored, reused, failed.  ``results``: snapshot_id, chunk_id, outcome (stored, reused, failed)."""
+    of = lambda name: F.sum((F.coalesce("outcome", F.lit("")) == name).cast("long")).alias(name)
+    rows = chunks.select("snapshot_id", "chunk_id").join(results, ["snapshot_id", "chunk_id"], "left")
+    n = rows.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("chunks"), of("stored"), of("reused"), of("failed"))
+    done = F.col("stored") + F.col("reused")
+    status = F.when(~F.lit(enabled), "disabled").when(done == F.col("chunks"), "ready").otherwise("warning")
+    return n.withColumn("status", status).select("snapshot_id", "status", "chunks", "stored", "reused", "failed")
 
 
 def embed(rows: DataFrame, provider: Callable[[list[str]], list[list[float]]], batch: int = 64, shortest: int = 32) -> DataFrame:

@@ -275,17 +275,6 @@ def trace_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 TRACE_SQL = """SELECT conv_id, string_agg(role, '>' ORDER BY turn, role) AS roles, count(*) AS steps, sum(length(coalesce(text, '')))::BIGINT AS chars, max(length(coalesce(text, '')))::INT AS longest FROM conversations GROUP BY 1"""
 
 
-def trace_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Traces cut to three steps of 80 characters, redacted, with what was cut off counted."""
-    t = table(spark, sf_dir, "conversations").withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")))
-    clean = F.coalesce(X.mask_secret(F.regexp_extract(F.coalesce("text", F.lit("")), r"([A-Za-z0-9]+)\W*$", 1)), F.lit(""))
-    return t.groupBy("conv_id").agg(F.sum((F.col("n") <= 3).cast("int")).alias("kept"), F.sum((F.col("n") > 3).cast("int")).alias("cut"), F.min_by(clean, "n").alias("last_word_masked"))
-
-
-EXPORT_SQL = rf"""WITH n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, regexp_extract(coalesce(text, ''), '([A-Za-z0-9]+)[^A-Za-z0-9_]*$', 1) AS w FROM conversations)
-SELECT conv_id, count(*) FILTER (n <= 3) AS kept, count(*) FILTER (n > 3) AS cut, arg_min(coalesce({_MASK.format('w')}, ''), n) AS last_word_masked FROM n GROUP BY 1"""
-
-
 def scan_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Path rules over paths made from page URLs with extensions of every kind."""
     kinds = F.array(*map(F.lit, (".py", ".ts", ".md", ".json", ".bin", "", "_test.py", ".spec.ts")))
@@ -304,12 +293,12 @@ QUERIES = {
     "file_rebuild": file_rebuild, "json_key_rows": json_key_rows, "source_dedup": source_dedup, "integrity_gate": integrity_gate, "corpus_map": corpus_map_counts,
     "reading_order": reading_order, "directory_cards": directory_cards, "catalog_parents": catalog_parents, "line_rule_findings": line_rule_findings,
     "finding_cap": finding_cap, "redact_text": redact_text, "redact_urls": redact_urls, "mask_secret": mask_secret, "route_intent": route_intent,
-    "trace_steps": trace_steps, "trace_export": trace_export, "scan_classify": scan_classify, "overview_cards": overview_cards, "reading_guide": reading_guide,
+    "trace_steps": trace_steps, "scan_classify": scan_classify, "overview_cards": overview_cards, "reading_guide": reading_guide,
 }
 ORACLES = {
     "token_estimate": TOKEN_SQL, "fixed_windows": WINDOWS_SQL, "token_chunks": CHUNKS_SQL, "headings": HEADINGS_SQL, "paragraphs": PARAGRAPHS_SQL,
     "file_rebuild": REBUILD_SQL, "json_key_rows": JSON_SQL, "source_dedup": SOURCE_SQL, "integrity_gate": INTEGRITY_SQL, "corpus_map": MAP_SQL,
     "reading_order": READING_SQL, "directory_cards": CARDS_SQL, "catalog_parents": PARENTS_SQL, "line_rule_findings": FINDINGS_SQL,
     "finding_cap": CAP_SQL, "redact_urls": URLS_SQL, "mask_secret": MASK_SQL, "route_intent": ROUTE_SQL,
-    "trace_steps": TRACE_SQL, "trace_export": EXPORT_SQL, "scan_classify": SCAN_SQL, "overview_cards": OVERVIEW_SQL, "reading_guide": GUIDE_SQL,
+    "trace_steps": TRACE_SQL, "scan_classify": SCAN_SQL, "overview_cards": OVERVIEW_SQL, "reading_guide": GUIDE_SQL,
 }

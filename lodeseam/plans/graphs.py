@@ -20,11 +20,11 @@ _E = "e AS (SELECT DISTINCT 's' || l_suppkey || '-p' || l_partkey AS edge_id, 's
 
 
 def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("path"))
+    nodes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("path"), F.when(F.col("p_size") > 25, "function").otherwise("class").alias("kind"))
     return graph.stats(nodes, _edges(spark, sf_dir))
 
 
-STATS_SQL = f"WITH {_E} SELECT (SELECT count(*) FROM part) AS nodes, (SELECT count(DISTINCT p_brand) FROM part) AS paths, (SELECT count(*) FROM e) AS edges"
+STATS_SQL = f"WITH {_E} SELECT (SELECT count(*) FROM part) AS nodes, (SELECT count(DISTINCT p_brand) FROM part) AS paths, (SELECT count(*) FROM part WHERE p_size > 25) AS functions, (SELECT count(*) FROM part WHERE p_size <= 25) AS classes, (SELECT count(*) FROM e) AS edges"
 
 
 def degree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,26 +49,26 @@ SELECT DISTINCT root, source, target, d + 1 AS depth FROM b JOIN e ON source = c
 
 
 def neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges at every supplier and part whose key is divisible by ten."""
+    """Edges at every supplier and part."""
     edges = _edges(spark, sf_dir)
-    keys = table(spark, sf_dir, "part").where("p_partkey % 10 = 0").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node"))
-    return graph.neighbourhood(edges, keys.unionByName(table(spark, sf_dir, "supplier").where("s_suppkey % 10 = 0").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node"))))
+    keys = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node"))
+    return graph.neighbourhood(edges, keys.unionByName(table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node"))))
 
 
 NEIGHBOUR_SQL = f"""WITH {_E}, n AS (SELECT source AS node, edge_id, target AS other, 'out' AS direction FROM e UNION ALL SELECT target, edge_id, source, 'in' FROM e)
-SELECT * FROM n WHERE substr(node, 2)::BIGINT % 10 = 0"""
+SELECT * FROM n WHERE node IN (SELECT 'p' || p_partkey FROM part UNION ALL SELECT 's' || s_suppkey FROM supplier)"""
 
 
 def impact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as symbols: their brand is the definition, suppliers call them, orders mention them; counted per group."""
-    part = table(spark, sf_dir, "part").where("p_partkey % 5 = 0").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("symbol"), F.col("p_brand").alias("item"))
+    part = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("symbol"), F.col("p_brand").alias("item"))
     mentions = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("symbol"), F.col("l_orderkey").cast("string").alias("item"))
     return graph.impact_groups(part, _edges(spark, sf_dir), mentions).groupBy("symbol", "group").agg(F.count(F.lit(1)).alias("n"), F.min("item").alias("first"))
 
 
-IMPACT_SQL = """WITH g AS (SELECT DISTINCT 'p' || p_partkey AS symbol, 'definition' AS "group", p_brand AS item FROM part WHERE p_partkey % 5 = 0
-UNION SELECT DISTINCT 'p' || l_partkey, 'caller', 's' || l_suppkey FROM lineitem WHERE l_partkey % 5 = 0 AND l_partkey IN (SELECT p_partkey FROM part)
-UNION SELECT DISTINCT 'p' || l_partkey, 'reference', l_orderkey::VARCHAR FROM lineitem WHERE l_partkey % 5 = 0 AND l_partkey IN (SELECT p_partkey FROM part))
+IMPACT_SQL = """WITH g AS (SELECT DISTINCT 'p' || p_partkey AS symbol, 'definition' AS "group", p_brand AS item FROM part
+UNION SELECT DISTINCT 'p' || l_partkey, 'caller', 's' || l_suppkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part)
+UNION SELECT DISTINCT 'p' || l_partkey, 'reference', l_orderkey::VARCHAR FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part))
 SELECT symbol, "group", count(*) AS n, min(item) AS first FROM g GROUP BY ALL"""
 
 
@@ -92,13 +92,13 @@ def _relations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     path = (F.col("p_partkey") % 10).cast("string")
     symbols = part.select(F.col("p_partkey").alias("symbol"), path.alias("path"), name.alias("name"), F.concat_ws(".", F.lit("pkg"), "p_brand", name).alias("qualified"))
     ref = F.when(F.col("l_linenumber") % 3 == 0, F.col("qualified")).when(F.col("l_linenumber") % 3 == 1, F.regexp_replace("qualified", r"^pkg\.", "")).otherwise(F.col("name"))
-    items = table(spark, sf_dir, "lineitem").join(symbols, F.col("l_partkey") == F.col("symbol"))
+    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey")).join(symbols, F.col("l_partkey") == F.col("symbol"))
     return items.select(F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("relation_id"), "path", ref.alias("target_ref")), symbols
 
 
 _R = """sy AS (SELECT p_partkey AS symbol, (p_partkey % 10)::VARCHAR AS path, replace(p_name, ' ', '_') AS name, 'pkg.' || p_brand || '.' || replace(p_name, ' ', '_') AS qualified FROM part),
 rel AS (SELECT l_orderkey || '-' || l_linenumber AS relation_id, path, CASE l_linenumber % 3 WHEN 0 THEN qualified WHEN 1 THEN regexp_replace(qualified, '^pkg\\.', '') ELSE name END AS target_ref
-  FROM lineitem JOIN sy ON symbol = l_partkey),
+  FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem GROUP BY ALL) JOIN sy ON symbol = l_partkey),
 sx AS (SELECT symbol, qualified, string_split(qualified, '.') AS s FROM sy),
 sf AS (SELECT symbol, array_to_string(s[k:], '.') AS target_ref FROM (SELECT symbol, s, unnest(range(2, len(s) + 1)) AS k FROM sx)),
 w AS (SELECT relation_id, 0 AS o, 'exact' AS method, symbol FROM rel JOIN sy ON qualified = target_ref
@@ -112,7 +112,171 @@ def link_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linking.link(*_relations(spark, sf_dir))
 
 
-LINK_SQL = f"WITH {_R} SELECT relation_id, CASE WHEN n IS NULL THEN 'unresolved' WHEN n = 1 THEN 'resolved' ELSE 'ambiguous' END AS status, CASE WHEN n = 1 THEN target END AS target, method FROM rel LEFT JOIN f USING (relation_id)"
+LINK_SQL = f"WITH {_R} SELECT relation_id, CASE WHEN n IS NULL THEN 'unresolved' WHEN n = 1 THEN 'resolved' ELSE 'ambiguous' END AS status, CASE WHEN n = 1 THEN target END AS target, method, CASE WHEN n = 1 THEN 0.9 ELSE 0.5 END::DOUBLE AS confidence, coalesce(n = 1, false) AS inferred FROM rel LEFT JOIN f USING (relation_id)"
+
+
+def link_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As link_outcome where every fifth line is bound already, with the new ids of relations and a row for each warning."""
+    relations, symbols = _relations(spark, sf_dir)
+    line = F.regexp_extract("relation_id", "-([0-9]+)$", 1).cast("int")
+    relations = relations.withColumn("target", F.when(line % 5 == 0, F.lit(7)).cast("long")).withColumn("confidence", line / 10)
+    linked = linking.link(relations, symbols)
+    warned = linking.link_warnings(linked, relations).select("relation_id", "code")
+    key = linking.relation_key(F.lit("s1"), F.col("relation_id"), F.col("target"))
+    return linked.join(warned, "relation_id", "left").select("relation_id", "status", "target", "confidence", "inferred", "code", key.alias("key"))
+
+
+LINK_BOUND_SQL = f"""WITH {_R}, b AS (SELECT rel.relation_id, n, method, target, regexp_extract(rel.relation_id, '-([0-9]+)$', 1)::INT AS line FROM rel LEFT JOIN f USING (relation_id)),
+o AS (SELECT relation_id, CASE WHEN line % 5 = 0 OR n = 1 THEN 'resolved' WHEN n > 1 THEN 'ambiguous' ELSE 'unresolved' END AS status, CASE WHEN line % 5 = 0 THEN 7 WHEN n = 1 THEN target END AS target,
+  CASE WHEN line % 5 <> 0 AND n = 1 THEN greatest(line / 10, 0.9) ELSE line / 10 END::DOUBLE AS confidence, coalesce(line % 5 <> 0 AND n = 1, false) AS inferred FROM b)
+SELECT *, CASE WHEN status = 'ambiguous' THEN 'ambiguous_reference' END AS code, left(sha256(concat_ws(chr(0), 's1', relation_id, coalesce(target::VARCHAR, ''))), 32) AS key FROM o"""
+
+
+def link_reexported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations are packages, regions their modules, customers' segments classes and customers methods; orders refer to them by package."""
+    low = lambda c: F.replace(F.lower(c), F.lit(" "), F.lit("_"))
+    nation, customer, region = (table(spark, sf_dir, t) for t in ("nation", "customer", "region"))
+    home = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.concat(F.lit("pkg.n"), F.col("n_nationkey").cast("string")).alias("module"), low(F.col("r_name")).alias("r"))
+    classes = customer.join(home, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "module", F.concat_ws(".", F.lit("lib"), "r", low(F.col("c_mktsegment"))).alias("imported"))
+    method = F.concat(F.col("imported"), F.lit(".m"), (F.col("c_custkey") % 7).cast("string"))
+    symbols = home.select(F.lit("module").alias("kind"), F.col("module").alias("symbol"), F.col("module").alias("qualified")).unionByName(
+        classes.select(F.lit("method").alias("kind"), method.alias("symbol"), method.alias("qualified")).distinct()
+    )
+    imports = classes.select("module", "imported").distinct()
+    orders = table(spark, sf_dir, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    ref = F.concat(F.lit("n"), F.col("c_nationkey").cast("string"), F.lit("."), low(F.col("c_mktsegment")), F.lit(".m"), (F.col("o_orderkey") % 9).cast("string"))
+    return linking.link_reexported(orders.select(F.col("o_orderkey").alias("relation_id"), ref.alias("target_ref")), symbols, imports)
+
+
+REEXPORT_SQL = """WITH h AS (SELECT n_nationkey, 'n' || n_nationkey AS m, replace(lower(r_name), ' ', '_') AS r FROM nation JOIN region ON n_regionkey = r_regionkey),
+c AS (SELECT c_custkey, m, replace(lower(c_mktsegment), ' ', '_') AS seg, 'lib.' || r || '.' || replace(lower(c_mktsegment), ' ', '_') AS imported FROM customer JOIN h ON c_nationkey = n_nationkey),
+i AS (SELECT m, seg, min(imported) AS imported FROM c GROUP BY ALL HAVING count(DISTINCT imported) = 1), me AS (SELECT DISTINCT imported || '.m' || (c_custkey % 7) AS q FROM c)
+SELECT o_orderkey AS relation_id, q AS target, 'reexported' AS method FROM orders JOIN customer ON c_custkey = o_custkey
+JOIN i ON i.m = 'n' || c_nationkey AND i.seg = replace(lower(c_mktsegment), ' ', '_') JOIN me ON q = imported || '.m' || (o_orderkey % 9)"""
+
+
+def endpoint_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as relations of parts and suppliers, of which those with small numbers are units."""
+    relations = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("target"))
+    return linking.type_endpoints(relations, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("unit_id")))
+
+
+ENDPOINTS_SQL = """WITH s AS (SELECT DISTINCT s_suppkey AS k FROM supplier)
+SELECT l_orderkey, l_linenumber, CASE WHEN a.k IS NULL THEN l_partkey END AS source, CASE WHEN b.k IS NULL THEN l_suppkey END AS target, a.k AS source_unit, b.k AS target_unit
+FROM lineitem LEFT JOIN s a ON a.k = l_partkey LEFT JOIN s b ON b.k = l_suppkey"""
+
+
+def _symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.replace("p_name", F.lit(" "), F.lit("_"))
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("symbol"), name.alias("name"), F.concat_ws(".", F.lit("pkg"), F.lower("p_type"), name).alias("qualified"), F.col("p_brand").alias("path"), F.col("p_partkey").alias("unit_id"), F.col("p_type").alias("kind")
+    )
+
+
+_SYMBOLS = "sy AS (SELECT p_partkey AS symbol, replace(p_name, ' ', '_') AS name, 'pkg.' || lower(p_type) || '.' || replace(p_name, ' ', '_') AS qualified, p_brand AS path, p_type AS kind FROM part)"
+
+
+def search_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = _symbols(spark, sf_dir).select(F.col("symbol").alias("node"), "name", F.col("qualified").alias("signature"), "path", "kind")
+    return graph.search_nodes(nodes, "d_w", "ECONOMY")
+
+
+NODES_SQL = f"WITH {_SYMBOLS} SELECT symbol AS node, name, qualified AS signature, path, kind FROM sy WHERE kind = 'ECONOMY' AND (name ILIKE '%d_w%' OR qualified ILIKE '%d_w%' OR path ILIKE '%d_w%')"
+
+
+def _lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers ask for the whole name, its suffix, the short name or a part of it, of the part of their number."""
+    s = table(spark, sf_dir, "supplier").join(_symbols(spark, sf_dir), F.col("s_suppkey") == F.col("symbol"))
+    n = F.col("s_suppkey") % 4
+    query = F.when(n == 0, F.upper("qualified")).when(n == 1, F.regexp_replace("qualified", r"^pkg\.", "")).when(n == 2, F.col("name")).otherwise(F.substring("name", 2, 5))
+    return s.select(F.col("s_suppkey").alias("query_id"), query.alias("query"))
+
+
+def symbol_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.symbol_lookup(_lookups(spark, sf_dir), _symbols(spark, sf_dir).select("symbol", "name", "qualified"))
+
+
+_LOOKUP = f"""{_SYMBOLS}, q AS (SELECT s_suppkey AS query_id, lower(CASE s_suppkey % 4 WHEN 0 THEN qualified WHEN 1 THEN regexp_replace(qualified, '^pkg\.', '') WHEN 2 THEN name ELSE substr(name, 2, 5) END) AS q FROM supplier JOIN sy ON symbol = s_suppkey),
+m AS (SELECT query_id, symbol, lower(qualified) AS u, CASE WHEN lower(qualified) = q THEN 1 WHEN ends_with(lower(qualified), '.' || q) THEN 2 WHEN lower(name) = string_split(q, '.')[-1] THEN 3 ELSE 4 END AS r
+  FROM q JOIN sy ON contains(lower(name), q) OR contains(lower(qualified), q)),
+lk AS (SELECT query_id, symbol, ['exact', 'suffix', 'short_name', 'substring'][r] AS method, row_number() OVER (PARTITION BY query_id ORDER BY r, u DESC, symbol)::INT AS position FROM m)"""
+LOOKUP_SQL = f"WITH {_LOOKUP} SELECT query_id, position, symbol, method FROM lk WHERE position <= 5"
+
+
+def structure_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    relations = table(spark, sf_dir, "lineitem").select(
+        F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("relation_id"), F.lit("calls").alias("kind"), F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("target")
+    )
+    found = graph.structure_view(_lookups(spark, sf_dir).where("query_id % 2 = 0"), _symbols(spark, sf_dir).select("symbol", "name", "qualified"), relations)
+    return found.groupBy("query_id", "symbol", "direction").agg(F.count("relation_id").alias("relations"), F.min("other").alias("least"))
+
+
+STRUCTURE_SQL = f"""WITH {_LOOKUP}, r AS (SELECT l_partkey AS symbol, 'out' AS direction, l_suppkey AS other FROM lineitem UNION ALL SELECT l_suppkey, 'in', l_partkey FROM lineitem)
+SELECT query_id, lk.symbol, direction, count(other) AS relations, min(other) AS least FROM lk LEFT JOIN r ON r.symbol = lk.symbol WHERE position <= 20 AND query_id % 2 = 0 GROUP BY ALL"""
+
+
+def _code_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as code: each calls a function named after its priority; paths by status."""
+    word = F.regexp_extract("o_orderpriority", "([A-Z]+)", 1)
+    folder = F.when(F.col("o_orderstatus") == "F", "src/app/").when(F.col("o_orderstatus") == "O", "tests/").otherwise("lib/")
+    key = F.col("o_orderkey").cast("string")
+    content = F.concat(F.lit("x = "), word, F.when(F.col("o_orderkey") % 3 == 0, " (").when(F.col("o_orderkey") % 3 == 1, "(").otherwise("["), F.lit("1)\n"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("unit_id"), F.concat(folder, F.lit("o"), key, F.lit(".py")).alias("path"), content.alias("content"))
+
+
+_CODE = """cu AS (SELECT o_orderkey AS unit_id, CASE o_orderstatus WHEN 'F' THEN 'src/app/' WHEN 'O' THEN 'tests/' ELSE 'lib/' END || 'o' || o_orderkey || '.py' AS path, regexp_extract(o_orderpriority, '([A-Z]+)', 1) AS name FROM orders WHERE o_orderkey % 3 < 2)"""
+
+
+def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    word = F.regexp_extract("o_orderpriority", "([A-Z]+)", 1)
+    return table(spark, sf_dir, "orders").groupBy(word.alias("name")).agg(F.min("o_orderkey").alias("unit_id")).select(F.concat(F.lit("app."), F.col("name")).alias("symbol"), "name", "unit_id")
+
+
+_TARGETS = "tg AS (SELECT 'app.' || regexp_extract(o_orderpriority, '([A-Z]+)', 1) AS symbol, regexp_extract(o_orderpriority, '([A-Z]+)', 1) AS name, min(o_orderkey) AS own FROM orders GROUP BY ALL)"
+
+
+def reference_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.reference_candidates(_targets(spark, sf_dir), _code_units(spark, sf_dir))
+
+
+_REFS = f"""{_CODE}, {_TARGETS}, rc AS (SELECT symbol, unit_id, path, CASE WHEN contains(path, 'test') THEN 900.0 ELSE 950.0 END::DOUBLE AS score, row_number() OVER (PARTITION BY symbol ORDER BY path, unit_id)::INT AS position
+  FROM cu JOIN tg USING (name) WHERE unit_id <> own AND NOT starts_with(path, 'lib/'))"""
+REFERENCES_SQL = f"WITH {_REFS} SELECT * FROM rc WHERE position <= 20"
+
+
+def impact_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Definition, callers (line items whose part has the number of the definition) and reference candidates of each target."""
+    targets, code = _targets(spark, sf_dir), _code_units(spark, sf_dir)
+    edges = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("source_unit"), F.col("l_partkey").alias("unit_id")).join(targets.select("unit_id", F.col("symbol").alias("target")), "unit_id")
+    return graph.impact_evidence(targets, edges, graph.reference_candidates(targets, code), code.select("unit_id", "path"))
+
+
+IMPACT_EVIDENCE_SQL = f"""WITH {_REFS}, al AS (SELECT o_orderkey AS unit_id, CASE o_orderstatus WHEN 'F' THEN 'src/app/' WHEN 'O' THEN 'tests/' ELSE 'lib/' END || 'o' || o_orderkey || '.py' AS path FROM orders),
+g AS (SELECT symbol, 'definition' AS "group", own AS unit_id, 1000.0 AS score FROM tg UNION SELECT symbol, 'caller', l_orderkey, 980.0 FROM lineitem JOIN tg ON own = l_partkey UNION SELECT symbol, 'reference', unit_id, score FROM rc WHERE position <= 20)
+SELECT symbol, "group", unit_id, path, score::DOUBLE AS score, count(*) OVER (PARTITION BY symbol, "group") AS n FROM g JOIN al USING (unit_id)"""
+
+
+def hydrated_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels as hits on documents, of which those without text or source are dropped."""
+    hits = table(spark, sf_dir, "labels").select(F.col("toxic").alias("query_id"), F.col("doc_id").alias("unit_id"))
+    units = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("unit_id"), F.col("source").alias("path"), F.lit(1).alias("start_line"), F.lit(2).alias("end_line"), F.col("text").alias("content"))
+    return graph.hydrate(hits, units, "labelled", 1000.0, 3).drop("content")
+
+
+HYDRATED_SQL = "SELECT toxic AS query_id, doc_id AS chunk_id, source AS path, 1 AS start_line, 2 AS end_line, 'labelled' AS reason, 1000.0::DOUBLE AS score, 3 AS priority FROM labels JOIN documents USING (doc_id) WHERE trim(source) <> '' AND trim(text, ' ') <> ''"
+
+
+def related_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users ask about the orders of their number; test files are those of open orders."""
+    files = _code_units(spark, sf_dir).select(F.lit("s1").alias("snapshot_id"), "path", F.startswith("path", F.lit("tests/")).alias("is_test"))
+    e = table(spark, sf_dir, "events")
+    impact = e.where("event_id % 2 = 0").join(_code_units(spark, sf_dir), F.col("event_id") == F.col("unit_id")).select(F.col("user_id").alias("query_id"), "path")
+    return graph.related_tests(impact, files, e.select(F.col("user_id").alias("query_id"), F.lit("s1").alias("snapshot_id")).distinct())
+
+
+RELATED_SQL = """WITH f AS (SELECT o_orderkey AS k, CASE o_orderstatus WHEN 'F' THEN 'src/app/' WHEN 'O' THEN 'tests/' ELSE 'lib/' END || 'o' || o_orderkey || '.py' AS path FROM orders),
+r AS (SELECT *, row_number() OVER (ORDER BY path) AS n FROM f WHERE NOT starts_with(path, 'lib/')), h AS (SELECT DISTINCT user_id AS query_id, path FROM events JOIN r ON k = event_id WHERE event_id % 2 = 0)
+SELECT query_id, path, 'impact' AS basis FROM h UNION ALL SELECT u.user_id, path, 'snapshot' FROM (SELECT DISTINCT user_id FROM events) u, r WHERE n <= 30 AND u.user_id NOT IN (SELECT query_id FROM h)"""
 
 
 def link_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,12 +351,14 @@ n AS (SELECT *, row_number() OVER (PARTITION BY repo_id, island ORDER BY created
 
 QUERIES = {
     "graph_stats": graph_stats, "degree_topk": degree_topk, "call_chain": call_chain, "neighbourhood": neighbourhood, "impact_groups": impact_groups,
-    "expand_one_hop": expand_one_hop, "link_outcome": link_outcome, "link_suffix": link_suffix, "pack_selection_order": pack_selection_order, "pack_bundle": pack_bundle,
+    "expand_one_hop": expand_one_hop, "link_outcome": link_outcome, "link_suffix": link_suffix, "link_bound": link_bound, "link_reexported": link_reexported, "endpoint_types": endpoint_types, "search_nodes": search_nodes,
+    "symbol_lookup": symbol_lookup, "structure_view": structure_view, "reference_candidates": reference_candidates, "impact_evidence": impact_evidence, "hydrated_hits": hydrated_hits, "related_tests": related_tests, "pack_selection_order": pack_selection_order, "pack_bundle": pack_bundle,
     "telemetry_trend": telemetry_trend, "telemetry_totals": telemetry_totals, "telemetry_breakdown": telemetry_breakdown, "low_score_streaks": low_score_streaks,
 }
 ORACLES = {
     "graph_stats": STATS_SQL, "degree_topk": DEGREE_SQL, "call_chain": CHAIN_SQL, "neighbourhood": NEIGHBOUR_SQL, "impact_groups": IMPACT_SQL,
-    "expand_one_hop": EXPAND_SQL, "link_outcome": LINK_SQL, "link_suffix": LINK_SUFFIX_SQL, "pack_selection_order": PACK_ORDER_SQL,
+    "expand_one_hop": EXPAND_SQL, "link_outcome": LINK_SQL, "link_suffix": LINK_SUFFIX_SQL, "link_bound": LINK_BOUND_SQL, "link_reexported": REEXPORT_SQL, "endpoint_types": ENDPOINTS_SQL, "search_nodes": NODES_SQL,
+    "symbol_lookup": LOOKUP_SQL, "structure_view": STRUCTURE_SQL, "reference_candidates": REFERENCES_SQL, "impact_evidence": IMPACT_EVIDENCE_SQL, "hydrated_hits": HYDRATED_SQL, "related_tests": RELATED_SQL, "pack_selection_order": PACK_ORDER_SQL,
     "telemetry_trend": TREND_SQL, "telemetry_totals": f"WITH {_T} SELECT {_M} FROM t",
     "telemetry_breakdown": f"WITH {_T} SELECT tool_name, retrieval_mode, {_M} FROM t GROUP BY ALL", "low_score_streaks": STREAK_SQL,
 }

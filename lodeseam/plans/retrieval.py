@@ -73,7 +73,7 @@ def _cooccurring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _ranked(spark: SparkSession, sf_dir: str, terms: DataFrame, least: int) -> DataFrame:
     corpus = chunks(spark, sf_dir)
-    scored = lexical.bm25(terms, corpus, least_terms=least).join(corpus.select("snapshot_id", "chunk_id", "path"), ["snapshot_id", "chunk_id"])
+    scored = lexical.bm25_top(terms, corpus, 250, least_terms=least).join(corpus.select("snapshot_id", "chunk_id", "path"), ["snapshot_id", "chunk_id"])
     return lexical.two_stage_top_k(scored, F.lit(0.0), K)
 
 
@@ -131,7 +131,7 @@ UNION ALL SELECT chunk_id, 'word', CASE WHEN symbol = '' THEN 0.0 WHEN regexp_ma
 def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, item: documents that hold a question's whole text.
 
-    The rarest of its terms finds candidates by an equi-join; the containment is checked on those alone.
+    The longest of its terms finds candidates by an equi-join; the containment is checked on those alone.
     """
     corpus, asked = chunks(spark, sf_dir), questions(spark, sf_dir)
     first = asked.select("query_id", "query", F.explode(F.slice(F.array_sort(X.index_tokens(F.col("query")), lambda a, b: F.char_length(b) - F.char_length(a)), 1, 1)).alias("term"))
@@ -279,22 +279,55 @@ SELECT doc_id, content_hash, vector FROM d JOIN s USING (content_hash) WHERE doc
 UNION ALL SELECT DISTINCT NULL, content_hash, NULL FROM d WHERE doc_id % 3 <> 0 AND content_hash NOT IN (SELECT content_hash FROM s)"""
 
 
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's vector is the one of its number; half of the documents have none."""
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+
+
+def _semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forty documents nearest to each question, whose vector is the one of its number, too."""
+    asked = questions(spark, sf_dir).select("query_id").join(_vectors(spark, sf_dir), F.col("query_id") == F.col("vec_id")).select("query_id", "vector")
+    own = chunks(spark, sf_dir).select("chunk_id", "path")
+    held = own.select("chunk_id").join(_vectors(spark, sf_dir), F.col("chunk_id") == F.col("vec_id")).select(F.col("chunk_id").alias("vec_id"), "vector")
+    found = semantic.cosine_top_k(asked, held, 40).withColumnRenamed("vec_id", "chunk_id")
+    return found.join(own, "chunk_id").select("query_id", "rank", "chunk_id", "path", "score")
+
+
+def _lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forty best documents of each question, after the boost that an exact hit of its path or first word adds."""
+    asked = _terms(spark, sf_dir)
+    corpus = chunks(spark, sf_dir)
+    named = corpus.select("snapshot_id", "chunk_id", "path", F.regexp_extract("content", r"^([A-Za-z]+)", 1).alias("symbol"))
+    scored = lexical.bm25_top(asked, corpus, 250).join(named, ["snapshot_id", "chunk_id"]).join(questions(spark, sf_dir), "query_id")
+    boost = lexical.exact_boost(F.col("query"), F.col("symbol"), F.lit(""), F.col("path"))
+    found = lexical.two_stage_top_k(scored, boost, 40)
+    return found.select("query_id", "rank", "chunk_id", "path", F.col("total").alias("score"), "boost")
+
+
 def _channels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two lexical channels of the questions, the second under the name of the semantic one."""
-    shape = lambda df, name: df.select("query_id", F.lit(name).alias("channel"), "rank", "chunk_id", "path", "score")
-    return shape(bm25_or_topk(spark, sf_dir), "lexical").unionByName(shape(bm25_cooccur_topk(spark, sf_dir), "semantic"))
+    """The lexical and the semantic channel of the questions."""
+    return fusion.channels(_lexical(spark, sf_dir), _semantic(spark, sf_dir))
 
 
 def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.rrf(_channels(spark, sf_dir))
 
 
+_LEXICAL_SQL = BM25_OR_SQL[: -len(_OUT)].rstrip() + """,
+sy AS (SELECT query_id, rk.chunk_id, rk.path, rk.score, CASE WHEN lower(trim(q.query)) = lower(regexp_extract(content, '^([A-Za-z]+)', 1)) AND trim(q.query) <> '' THEN 12.0 ELSE 0.0 END::DOUBLE AS boost
+  FROM rk JOIN q USING (query_id) WHERE rk.rank <= 200),
+bo AS (SELECT *, round(score + boost, 6) AS total FROM sy), lr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY total DESC, path, chunk_id) AS r FROM bo)
+SELECT query_id, r::INT AS rank, chunk_id, path, total AS score, boost FROM lr WHERE r <= 40"""
+_SEMANTIC_SQL = f"""WITH cs AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN benchmark ON item_id = q.vec_id, embeddings v JOIN documents ON doc_id = v.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM cs WHERE score > 0)
+SELECT query_id, rank, chunk_id, {_PATH} AS path, score, 0.0::DOUBLE AS boost FROM r JOIN documents ON doc_id = chunk_id WHERE rank <= 40"""
+
+
 def _two_channels(tail: str) -> str:
-    a, b = BM25_OR_SQL.strip(), BM25_COOCCUR_SQL.strip()
-    return f"""WITH lexi AS ({a}), sema AS ({b}),
-channels AS (SELECT 'lexical' AS channel, * FROM lexi UNION ALL SELECT 'semantic', * FROM sema),
+    return f"""WITH lexi AS ({_LEXICAL_SQL}), sema AS ({_SEMANTIC_SQL}),
+channels AS (SELECT 'lexical' AS channel, query_id, rank, chunk_id, path, score, boost FROM lexi UNION ALL SELECT 'semantic', query_id, rank, chunk_id, path, score, boost FROM sema),
 fu AS (SELECT query_id, chunk_id, round(sum(1 / (60 + rank)), 9) AS rrf, any_value(path) AS path, string_agg(channel, ',' ORDER BY channel) AS signals,
-  max(score) FILTER (channel = 'lexical') AS lexical_score, max(score) FILTER (channel = 'semantic') AS semantic_score, 0.0::DOUBLE AS boost FROM channels GROUP BY ALL),
+  max(score) FILTER (channel = 'lexical') AS lexical_score, max(score) FILTER (channel = 'semantic') AS semantic_score, max(boost) AS boost FROM channels GROUP BY ALL),
 fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, path, chunk_id)::INT AS position FROM fu){tail}"""
 
 
@@ -303,24 +336,61 @@ RRF_SQL = _two_channels(" SELECT * FROM fused")
 
 def relevance_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decision on every question that has a hit."""
-    return fusion.gate(fusion.observe(rrf_fuse(spark, sf_dir)), 60.0, 200.0)
+    return fusion.gate(fusion.observe(rrf_fuse(spark, sf_dir)), 100.0, 0.51)
 
 
 _GATE = """, ob AS (SELECT query_id, count(lexical_score) AS lexical_hits, count(semantic_score) AS semantic_hits, max(lexical_score) AS top_lexical,
   max(semantic_score) AS top_semantic, max(rrf) AS top_rrf, max(boost) AS top_boost FROM fused GROUP BY 1),
-gated AS (SELECT *, CASE WHEN lexical_hits + semantic_hits = 0 THEN 'not_found' WHEN coalesce(top_lexical, 0) >= 60 OR coalesce(top_semantic, 0) >= 200 THEN 'accepted' ELSE 'low_relevance' END AS decision,
-  CASE WHEN lexical_hits + semantic_hits = 0 THEN 'no_channel_hits' WHEN coalesce(top_lexical, 0) < 60 AND coalesce(top_semantic, 0) < 200 THEN concat_ws('+', CASE WHEN lexical_hits > 0 THEN 'lexical_below_threshold' END, CASE WHEN semantic_hits > 0 THEN 'semantic_below_threshold' END) END AS reason FROM ob)"""
-GATE_SQL = _two_channels(_GATE + " SELECT * FROM gated")
+gated AS (SELECT *, CASE WHEN lexical_hits + semantic_hits = 0 THEN 'not_found' WHEN (lexical_hits > 0 AND (top_boost > 0 OR coalesce(top_lexical, 0) >= LEAST_LEXICAL)) OR (semantic_hits > 0 AND coalesce(top_semantic, -1) >= 0.51) THEN 'accepted' ELSE 'low_relevance' END AS decision,
+  CASE WHEN lexical_hits + semantic_hits = 0 THEN 'no_channel_hits' WHEN NOT ((lexical_hits > 0 AND (top_boost > 0 OR coalesce(top_lexical, 0) >= LEAST_LEXICAL)) OR (semantic_hits > 0 AND coalesce(top_semantic, -1) >= 0.51))
+  THEN concat_ws('+', CASE WHEN lexical_hits > 0 THEN 'lexical_below_threshold' END, CASE WHEN semantic_hits > 0 THEN 'semantic_below_threshold' END) END AS reason FROM ob)"""
+GATE_SQL = _two_channels(_GATE.replace("LEAST_LEXICAL", "100") + " SELECT * FROM gated")
+
+
+def _hybrid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Ten rows of each question over both channels, with their neighbours: a document is linked to the one of twice its number."""
+    own = chunks(spark, sf_dir).select("chunk_id", "path")
+    links = own.select(F.concat(F.lit("r"), F.col("chunk_id").cast("string")).alias("relation_id"), F.lit("calls").alias("kind"), F.col("chunk_id").alias("source"), (F.col("chunk_id") * 2).alias("target"))
+    return fusion.hybrid(_lexical(spark, sf_dir), _semantic(spark, sf_dir), links.join(own.select(F.col("chunk_id").alias("target")), "target", "left_semi"), own, 10)
 
 
 def hybrid_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Channels, fusion, gate and the five best of each accepted question."""
-    fused = rrf_fuse(spark, sf_dir)
-    kept = fusion.accepted_only(fused, fusion.gate(fusion.observe(fused), 60.0, 200.0))
-    return kept.where("position <= 5").select("query_id", "position", "chunk_id", "path", "rrf", "signals")
+    """Channels, fusion, gate and expansion with the thresholds that the scores were calibrated for."""
+    return _hybrid(spark, sf_dir)[0].withColumn("score", F.round("score", 6))
+
+
+_EXPANDED = _GATE.replace("LEAST_LEXICAL", "31.4") + """, se AS (SELECT query_id, chunk_id, path, rrf, signals, position FROM fused WHERE position <= 10 AND query_id IN (SELECT query_id FROM gated WHERE decision = 'accepted')),
+li AS (SELECT 'r' || doc_id AS relation_id, doc_id AS s, doc_id * 2 AS t FROM documents WHERE doc_id * 2 IN (SELECT doc_id FROM documents)), both_ AS (SELECT relation_id, s AS a, t AS b FROM li UNION ALL SELECT relation_id, t, s FROM li),
+re AS (SELECT query_id, b AS chunk_id, min(relation_id) AS relation_id FROM se JOIN both_ ON a = chunk_id WHERE (query_id, b) NOT IN (SELECT (query_id, chunk_id) FROM se) GROUP BY ALL),
+le AS (SELECT query_id, min(rrf) AS least, max(position) AS n FROM se GROUP BY 1),
+ex AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relation_id, chunk_id)::INT AS p FROM re),
+al AS (SELECT query_id, position, chunk_id, path, rrf AS score, signals FROM se UNION ALL SELECT query_id, n + p, chunk_id, source || '/' || lang || '/' || doc_id || '.txt', round(0.5 * least / p, 9), 'structural' FROM ex JOIN le USING (query_id) JOIN documents ON doc_id = chunk_id WHERE p <= 40 - n)"""
+HYBRID_SQL = _two_channels(_EXPANDED + " SELECT * REPLACE (round(score, 6) AS score) FROM al")
+
+
+def hybrid_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each step of the hybrid search gave."""
+    return _hybrid(spark, sf_dir)[1]
+
+
+HYBRID_AUDIT_SQL = _two_channels(_EXPANDED + """, n AS (SELECT query_id, count(*) FILTER (channel = 'lexical') AS lexical, count(*) FILTER (channel = 'semantic') AS semantic FROM channels GROUP BY 1),
+c AS (SELECT n.query_id, lexical, semantic, (SELECT count(*) FROM fused f WHERE f.query_id = n.query_id) AS fused, (SELECT count(*) FROM al WHERE al.query_id = n.query_id AND signals = 'structural') AS expanded, (SELECT count(*) FROM al WHERE al.query_id = n.query_id) AS returned FROM n)
+SELECT *, 'lexical=' || lexical || ';semantic=' || semantic || ';fused=' || fused || ';expanded=' || expanded || ';returned=' || returned AS events FROM c""")
+
+
+def fused_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fused rows with their fields merged; the semantic channel lacks paths and has the snippets."""
+    n = lambda df, path, content: df.withColumn("path", path).withColumn("start_line", F.lit(1)).withColumn("end_line", F.lit(2)).withColumn("content", content)
+    none = F.lit(None).cast("string")
+    a = n(_lexical(spark, sf_dir).where("rank <= 12"), F.col("path"), F.lit("")).withColumn("channel", F.lit("lexical")).drop("boost")
+    b = n(_semantic(spark, sf_dir).where("rank <= 12"), none, F.concat(F.lit("text "), F.col("chunk_id").cast("string"))).withColumn("channel", F.lit("semantic"))
+    found = fusion.fuse_rows(a.unionByName(b))
+    return found.withColumn("source_ranks", F.to_json("source_ranks"))
 
 
-HYBRID_SQL = _two_channels(_GATE + " SELECT query_id, position, chunk_id, path, rrf, signals FROM fused WHERE position <= 5 AND query_id IN (SELECT query_id FROM gated WHERE decision = 'accepted')")
+FIELDS_SQL = _two_channels(""", c AS (SELECT channel, query_id, rank, chunk_id, CASE WHEN channel = 'lexical' THEN path END AS path, CASE WHEN channel = 'semantic' THEN 'text ' || chunk_id END AS content FROM channels WHERE rank <= 12),
+g AS (SELECT query_id, chunk_id, round(sum(1 / (60 + rank)), 9) AS rrf, max(path) AS path, max(content) AS content, string_agg(channel, ',' ORDER BY channel) AS signals, '{' || string_agg('"' || channel || '":' || rank, ',' ORDER BY channel) || '}' AS source_ranks FROM c GROUP BY ALL)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, path NULLS FIRST, 'c' || chunk_id)::INT AS position, 'c' || chunk_id AS identity, chunk_id, path, 1 AS start_line, content, rrf, signals, source_ranks FROM g""")
 
 
 def _ab_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -411,7 +481,7 @@ QUERIES = {
     "exact_boost": exact_boost, "recall_mrr": recall_mrr, "recall_by_category": recall_by_category, "citation_quality": citation_quality,
     "task_completion": task_completion, "tool_selection": tool_selection, "duration_summary": duration_summary, "floor_percentile": floor_percentile,
     "calibration_sweep": calibration_sweep, "cosine_topk": cosine_topk, "embedding_cache_join": embedding_cache_join, "rrf_fuse": rrf_fuse,
-    "relevance_gate": relevance_gate, "hybrid_end_to_end": hybrid_end_to_end, "paired_ab": paired_ab, "ab_outcome_matrix": ab_outcome_matrix,
+    "relevance_gate": relevance_gate, "hybrid_end_to_end": hybrid_end_to_end, "hybrid_audit": hybrid_audit, "fused_fields": fused_fields, "paired_ab": paired_ab, "ab_outcome_matrix": ab_outcome_matrix,
     "acceptance_gates": acceptance_gates, "condition_mismatch": condition_mismatch, "location_score": location_score, "capture_diff": capture_diff,
 }
 ORACLES = {
@@ -419,6 +489,6 @@ ORACLES = {
     "exact_boost": EXACT_BOOST_SQL, "recall_mrr": RECALL_SQL, "recall_by_category": RECALL_CATEGORY_SQL, "citation_quality": CITATION_SQL,
     "task_completion": COMPLETION_SQL, "tool_selection": TOOLS_SQL, "duration_summary": DURATIONS_SQL, "floor_percentile": FLOOR_SQL,
     "calibration_sweep": SWEEP_SQL, "cosine_topk": COSINE_SQL, "embedding_cache_join": CACHE_SQL, "rrf_fuse": RRF_SQL,
-    "relevance_gate": GATE_SQL, "hybrid_end_to_end": HYBRID_SQL, "paired_ab": PAIRED_SQL, "ab_outcome_matrix": MATRIX_SQL,
+    "relevance_gate": GATE_SQL, "hybrid_end_to_end": HYBRID_SQL, "hybrid_audit": HYBRID_AUDIT_SQL, "fused_fields": FIELDS_SQL, "paired_ab": PAIRED_SQL, "ab_outcome_matrix": MATRIX_SQL,
     "acceptance_gates": GATES_SQL, "condition_mismatch": MISMATCH_SQL, "location_score": LOCATION_SQL, "capture_diff": DIFF_SQL,
 }

@@ -142,7 +142,7 @@ def test_python_symbols(spark):
     rows = chunking.python_symbols(docs).collect()
     facts = {(r["kind"], r["name"], r["target"]) for r in rows}
     assert {("class", "pkg.m.A", None), ("method", "pkg.m.A.f", None), ("function", "pkg.m.g", None), ("inherits", "pkg.m.A", "Base")} <= facts
-    assert {("imports", "pkg.m", "os"), ("imports", "pkg.m", "a.b.c"), ("calls", "pkg.m.A.f", "c"), ("calls", "pkg.m.g", "A().f")} <= facts
+    assert {("imports", "pkg.m", "os"), ("imports", "pkg.m", "a.b.c"), ("calls", "pkg.m.A.f", "a.b.c"), ("calls", "pkg.m.g", "A().f")} <= facts
     assert [r["path"] for r in rows if r["fact"] == "diagnostic"] == ["bad.py"]
 
 
