@@ -1,20 +1,26 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on toxic and one on ordinary text.  The windows of a text are its words; each
-is compressed with either dictionary, and its gain is the bytes the toxic one saves.  A document's gains are summarised
-(their mean, and how many reach each of six thresholds), and a logistic curve fitted on labelled documents turns the
-summary into a score, which calibrates the thresholds.
+Two zstandard dictionaries are trained, one on toxic and one on ordinary text.  The windows of a text are its overlapping
+pairs of words; a window's gain is the bytes that the toxic dictionary saves over the ordinary one.  A document's gains are
+summarised (their mean, and how many reach each of six thresholds), and a logistic curve fitted on labelled documents turns
+the summary into a score, which calibrates the thresholds.
 
-A word alone is too short to compress, so each is followed by the same run of bytes, which ends both dictionaries.  What
-makes toxic text toxic is a small part of it; the toxic dictionary is trained on the windows that recur in toxic documents
-far more often than in ordinary ones (log odds of document frequency), or ordinary words would fill it.
+Words alone repeat, so their own gains are remembered; a window is compressed if one of its words gains ``WORTH`` bytes or
+more, and counts the lesser gain of its words otherwise.  A window is too short to compress by itself, so each is followed
+by the same run of bytes, which ends both dictionaries.
+
+What makes toxic text toxic is a small part of it.  The toxic dictionary is trained on the words of toxic documents that hold
+a run of GRAM characters far commoner in toxic documents than in ordinary ones (log odds of document frequency), the
+ordinary one on all other words of ordinary documents; all of them would fill the toxic dictionary with ordinary words.
 
 The fit is on a bounded sample of labelled documents (``SAMPLE``; documents over ``SAMPLE_CHARS`` are not in it); a third
 of it is kept from the dictionaries and weighs in the curve only.  Every document is scored whole.
 
-Defined cases: a null or empty text has one empty window of gain zero; labels without a document or with a null are not
-learned from; without labels of both kinds the score is the share of toxic labels, or 0; repeated labels count once; an
-empty table gives an empty result; neither labels nor any column but the text enter a score.
+Defined cases: a null or empty text has one empty window of gain zero, a text of one word that word; labels without a
+document or with a null are not learned from; without labels of both kinds the score is the share of toxic labels, or 0;
+repeated labels count once, the toxic one first; null and repeated ids and repeated rows are scored row by row; ties in the
+choice of a setting go to the first; a very long text is scored whole, its words remembered up to MEMO; an empty table gives
+an empty result; neither labels nor any column but the text enter a score.
 """
 
 from __future__ import annotations
@@ -37,19 +43,29 @@ from .common import map_documents, table
 SAMPLE = {1: 3000, 0: 6000}
 SAMPLE_CHARS = 60_000
 #: Settings tried: bytes of the toxic and of the ordinary dictionary, and the log odds, in standard errors, from which on a
-#: word is a sample of the toxic one.  The setting that ranks the documents kept from the dictionaries best is used.
-SETTINGS = ((6144, 32768, 3.0), (6144, 32768, 3.5), (8192, 16384, 3.0))
-#: Toxic documents a word of the toxic dictionary occurs in, at least.
-MIN_DOCS = 3
+#: run of characters marks a word.  The setting that ranks the documents kept from the dictionaries best is used.
+SETTINGS = ((6144, 32768, 5.0), (6144, 32768, 4.0), (6144, 32768, 3.5))
+#: Characters of a run, and toxic documents it occurs in, at least.
+GRAM, MIN_DOCS = 5, 4
+#: Samples of the ordinary dictionary, at most; they are shuffled first.
+ORDINARY_SAMPLES = 300_000
+#: Bytes a word has to gain for its windows to be compressed.
+WORTH = 3
 THRESHOLDS = (1, 2, 3, 4, 5, 6)
 MEMO = 600_000
 TAIL = bytes(b for b in range(1, 32) if b != 10)
 
 
-def windows(text: str | None) -> list[bytes]:
+def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def grams(word: bytes) -> frozenset[bytes]:
+    """Runs of GRAM bytes of a word with a blank at either end."""
+    whole = b" " + word + b" "
+    return frozenset(whole[i : i + GRAM] for i in range(max(1, len(whole) - GRAM + 1)))
+
+
 def _train(samples: list[bytes], size: int) -> bytes:
     try:
         return zstandard.train_dictionary(size, samples, k=16, d=8, level=3).as_bytes()
@@ -74,14 +90,24 @@ class Gains:
         self._toxic, self._ordinary = _length(toxic), _length(ordinary)
         self._memo: dict[bytes, int] = {}
 
+    def _own(self, window: bytes) -> int:
+        memo = self._memo
+        if window not in memo:
+            if len(memo) > MEMO:
+                memo.clear()
+            memo[window] = self._ordinary(window) - self._toxic(window)
+        return memo[window]
+
     def of(self, text: str | None) -> np.ndarray:
-        memo, found = self._memo, windows(text) or [b""]
-        if len(memo) > MEMO:
-            memo.clear()
-        for w in set(found):
-            if w not in memo:
-                memo[w] = self._ordinary(w) - self._toxic(w)
-        return np.fromiter(map(memo.__getitem__, found), dtype=np.int16, count=len(found))
+        """The gain of every window."""
+        found = words(text) or [b""]
+        own = np.fromiter(map(self._own, found), dtype=np.int16, count=len(found))
+        if len(own) == 1:
+            return own
+        gains = np.minimum(own[:-1], own[1:])
+        for i in np.flatnonzero(np.maximum(own[:-1], own[1:]) >= WORTH).tolist():
+            gains[i] = self._own(found[i] + b" " + found[i + 1])
+        return gains
 
     def summary(self, text: str | None) -> list[float]:
         g = self.of(text)
@@ -117,22 +143,26 @@ def fit(rows: list[tuple[int, str, int]], weight: dict[int, float], prior: float
     if len({y for _, _, y in rows}) < 2:
         return ToxicityModel(b"", b"", (), (), (), prior)
     docs: dict[int, Counter] = {0: Counter(), 1: Counter()}
+    own: dict[int, Counter] = {0: Counter(), 1: Counter()}
     n = {0: 0, 1: 0}
-    times: Counter = Counter()
+    of_word: dict[bytes, frozenset[bytes]] = {}
     for fold, text, y in rows:
         if fold:
-            words = windows(text)
-            docs[y].update(set(words))
+            found = words(text)
+            distinct = set(found)
+            for w in distinct:
+                if w not in of_word:
+                    of_word[w] = grams(w)
+            docs[y].update(set().union(*(of_word[w] for w in distinct)))
+            own[y].update(distinct if y else found)
             n[y] += 1
-            if not y:
-                times.update(words)
 
-    def z(word: bytes) -> float:
-        a, b = docs[1][word], docs[0][word]
+    def z(gram: bytes) -> float:
+        a, b = docs[1][gram], docs[0][gram]
         odds = math.log((a + 0.5) / (n[1] - a + 0.5)) - math.log((b + 0.5) / (n[0] - b + 0.5))
         return odds / math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
 
-    odds = {w: (a, z(w)) for w, a in sorted(docs[1].items()) if a >= MIN_DOCS and len(w) >= 3}
+    odds = {g: z(g) for g, a in docs[1].items() if a >= MIN_DOCS}
     held = [r for r in rows if not r[0]]
     pure = np.array([r[2] for r in held], dtype=float)
     held += [r for r in rows if r[0]][: len(held) // 2]
@@ -142,11 +172,12 @@ def fit(rows: list[tuple[int, str, int]], weight: dict[int, float], prior: float
     each = np.where(y == 1, weight[1], weight[0])
     best: tuple[float, ToxicityModel] | None = None
     for toxic_bytes, ordinary_bytes, least in SETTINGS:
-        toxic = [b" " + w + b" " for w, (a, o) in odds.items() if o > least for _ in range(min(a, 30))]
-        ordinary = [b" " + w + b" " for w, c in sorted(times.items()) if odds.get(w, (0, 0.0))[1] <= least for _ in range(min(8, 1 + int(math.log2(c))))]
+        marks = {g for g, o in odds.items() if o > least}
+        toxic = [b" " + w + b" " for w, a in sorted(own[1].items()) if of_word[w] & marks for _ in range(min(a, 30))]
+        ordinary = [b" " + w + b" " for w, c in sorted(own[0].items()) if not of_word[w] & marks for _ in range(min(8, 1 + int(math.log2(c))))]
         random.Random(7).shuffle(toxic)
         random.Random(7).shuffle(ordinary)
-        dictionaries = _train(toxic, toxic_bytes), _train(ordinary[:150_000], ordinary_bytes)
+        dictionaries = _train(toxic, toxic_bytes), _train(ordinary[:ORDINARY_SAMPLES], ordinary_bytes)
         gains = Gains(*dictionaries)
         x = np.array([gains.summary(t) for _, t, _ in held])
         mean, scale, w = _curve(x, y, each / each.mean())

@@ -158,3 +158,46 @@ def test_toxicity_without_labels(spark, nasty):
     got = toxicity.score_documents(nasty, toxicity.learn(nasty, none)).collect()
     assert len(got) == 10 and {r["score"] for r in got} == {0.0}
     assert toxicity.score_documents(nasty.where(F.lit(False)), toxicity.learn(nasty, none)).count() == 0
+
+
+def test_toxicity_scores_equal_brute_force(spark, nasty):
+    """Every window compressed anew, without memos, against the operator's scores."""
+    import math
+    import random
+
+    import numpy as np
+    import zstandard
+
+    rng = random.Random(2)
+    plain = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(300)]
+    rows = []
+    for i in range(300):
+        words = [rng.choice(plain) for _ in range(40)]
+        if i % 3 == 0:
+            words[5:5] = ["zzsnarl", rng.choice(plain), "grumwort" + rng.choice(plain)]
+        rows.append((i, " ".join(words), int(i % 3 == 0)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    model = toxicity.learn(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id bigint, toxic int"))
+    assert model.weights
+
+    def length(content, window):
+        own = zstandard.ZstdCompressionDict(content + toxicity.TAIL, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        params = zstandard.ZstdCompressionParameters(window_log=17, hash_log=14, chain_log=15, search_log=4, min_match=3, target_length=32, strategy=zstandard.STRATEGY_BTULTRA, write_content_size=False, write_dict_id=False, write_checksum=False)
+        own.precompute_compress(compression_params=params)
+        return len(zstandard.ZstdCompressor(compression_params=params, dict_data=own).compress(b" " + window + b" " + toxicity.TAIL))
+
+    gain = lambda w: length(model.ordinary, w) - length(model.toxic, w)
+
+    def score(text):
+        found = (text or "").encode().lower().split() or [b""]
+        own = [gain(w) for w in found]
+        gains = [gain(a + b" " + b) if max(x, y) >= toxicity.WORTH else min(x, y) for a, b, x, y in zip(found, found[1:], own, own[1:], strict=False)] or own
+        n = len(gains)
+        reach = [sum(g >= t for g in gains) for t in toxicity.THRESHOLDS]
+        x = np.array([sum(gains) / n, *[r / n for r in reach], *[math.log1p(r) for r in reach], *[min(r, 1) for r in reach], math.log1p(n)])
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, float(((x - model.mean) / model.scale) @ np.array(model.weights[:-1]) + model.weights[-1])))))
+
+    some = docs.where("doc_id < 12").unionByName(nasty.where("char_length(text) < 500 or text is null").selectExpr("doc_id + 1000 as doc_id", "text"))
+    texts = {r["doc_id"]: r["text"] for r in some.collect()}
+    for r in toxicity.score_documents(some, model).collect():
+        assert abs(r["score"] - score(texts[r["doc_id"]])) < 1e-9 and r["predicted"] == int(r["score"] >= 0.3)
