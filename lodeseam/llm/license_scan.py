@@ -9,7 +9,8 @@ to the longest acceptance.
 Words are runs of digits, a-z (A-Z lower-cased first) and anything outside ASCII.
 
 Defined cases: a null text is empty; no words give no spans, null positions, empty labels and score 0; places that
-overlap all count; text of any length is scanned whole, in its row; other columns are not read.
+overlap all count; null and repeated ids and repeated rows give a row each; text of any length is scanned whole, in its row;
+an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

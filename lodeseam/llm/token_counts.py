@@ -9,7 +9,8 @@ Pieces mark a word's start and never reach into the next word, so a text's count
 workers remember words they have seen.
 
 Defined cases: a null or empty text has no tokens and score 0; runs of spaces begin a word each; a word of any length is
-handled in time linear in it; other columns are not read.
+handled in time linear in it; ties go as the tokenizer's do; null and repeated ids and repeated rows give a row each; an empty
+table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
