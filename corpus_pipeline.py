@@ -83,7 +83,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows as often as the mix draws them, whole: none that it does not draw, a text of no words never."""
     keyed = _keyed(docs)
     draws = mixing.mix(keyed.select("doc_id", "source", "text", "row_key"), block_words=mixing.WHOLE, whole_blocks=True, key="row_key")
-    drawn = draws.where("shard is not null").select("row_key", "shard")
+    drawn = draws.where("shard is not null").select("row_key")
     return keyed.join(drawn, "row_key").select(*docs.columns)
 
 
