@@ -60,10 +60,11 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def grams(word: bytes) -> frozenset[bytes]:
-    """Runs of GRAM bytes of a word with a blank at either end."""
+def grams(word: bytes, known: dict[bytes, bytes]) -> tuple[bytes, ...]:
+    """Runs of GRAM bytes of a word with a blank at either end; ``known`` lets equal runs share their memory."""
     whole = b" " + word + b" "
-    return frozenset(whole[i : i + GRAM] for i in range(max(1, len(whole) - GRAM + 1)))
+    runs = (whole[i : i + GRAM] for i in range(max(1, len(whole) - GRAM + 1)))
+    return tuple({known.setdefault(g, g) for g in runs})
 
 
 def _train(samples: list[bytes], size: int) -> bytes:
@@ -145,14 +146,15 @@ def fit(rows: list[tuple[int, str, int]], weight: dict[int, float], prior: float
     docs: dict[int, Counter] = {0: Counter(), 1: Counter()}
     own: dict[int, Counter] = {0: Counter(), 1: Counter()}
     n = {0: 0, 1: 0}
-    of_word: dict[bytes, frozenset[bytes]] = {}
+    of_word: dict[bytes, tuple[bytes, ...]] = {}
+    known: dict[bytes, bytes] = {}
     for fold, text, y in rows:
         if fold:
             found = words(text)
             distinct = set(found)
             for w in distinct:
                 if w not in of_word:
-                    of_word[w] = grams(w)
+                    of_word[w] = grams(w, known)
             docs[y].update(set().union(*(of_word[w] for w in distinct)))
             own[y].update(distinct if y else found)
             n[y] += 1
@@ -163,6 +165,7 @@ def fit(rows: list[tuple[int, str, int]], weight: dict[int, float], prior: float
         return odds / math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
 
     odds = {g: z(g) for g, a in docs[1].items() if a >= MIN_DOCS}
+    del docs, known
     held = [r for r in rows if not r[0]]
     pure = np.array([r[2] for r in held], dtype=float)
     held += [r for r in rows if r[0]][: len(held) // 2]
@@ -173,8 +176,8 @@ def fit(rows: list[tuple[int, str, int]], weight: dict[int, float], prior: float
     best: tuple[float, ToxicityModel] | None = None
     for toxic_bytes, ordinary_bytes, least in SETTINGS:
         marks = {g for g, o in odds.items() if o > least}
-        toxic = [b" " + w + b" " for w, a in sorted(own[1].items()) if of_word[w] & marks for _ in range(min(a, 30))]
-        ordinary = [b" " + w + b" " for w, c in sorted(own[0].items()) if not of_word[w] & marks for _ in range(min(8, 1 + int(math.log2(c))))]
+        toxic = [b" " + w + b" " for w, a in sorted(own[1].items()) if not marks.isdisjoint(of_word[w]) for _ in range(min(a, 30))]
+        ordinary = [b" " + w + b" " for w, c in sorted(own[0].items()) if marks.isdisjoint(of_word[w]) for _ in range(min(8, 1 + int(math.log2(c))))]
         random.Random(7).shuffle(toxic)
         random.Random(7).shuffle(ordinary)
         dictionaries = _train(toxic, toxic_bytes), _train(ordinary[:ORDINARY_SAMPLES], ordinary_bytes)
