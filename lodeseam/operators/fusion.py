@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.shared import written
+
 
 def rrf(channels: DataFrame, k: int = 60) -> DataFrame:
     """``channels``: query_id, channel, rank, chunk_id, path, score.  One row per query and chunk with the fused score.
@@ -91,7 +93,7 @@ def hybrid(lexical: DataFrame, semantic: DataFrame, relations: DataFrame, paths:
     target over chunk ids; ``paths``: chunk_id, path.  A rejected query has no rows.  Expanded rows follow the fused ones;
     ``rerank``, a column over the fused rows, orders the first fifty where ``limit`` is five or more.
     """
-    both = channels(lexical, semantic)
+    both = written(channels(lexical, semantic), "hybrid-channels")  # a few rows a query, read by every step
     fused = rrf(both)
     kept = accepted_only(fused, gate(observe(fused), least_lexical, least_semantic))
     if rerank is not None and limit >= 5:

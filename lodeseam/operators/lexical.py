@@ -85,26 +85,26 @@ def bm25(queries: DataFrame, chunks: DataFrame, weights: dict[str, float] = WEIG
     return _score(asked, postings(chunks, asked, weights), corpus_stats(chunks, weights), least_terms)
 
 
-#: Terms of all queries together up to which a query set is held whole by every task: a matrix row per query, a column per term.
+#: Terms of all queries together up to which a query set is held whole by every task: a matrix row per term, a column per query.
 MATRIX_CELLS = 8_000_000
 
 
 def bm25_top(queries: DataFrame, chunks: DataFrame, first: int, weights: dict[str, float] = WEIGHTS, least_terms: int = 1) -> DataFrame:
     """``bm25`` cut to the best ``first`` chunks of each query, and of each snapshot (ties by path where there is one, then id).
 
-    A query set whose matrix of terms stays below MATRIX_CELLS meets the chunks as blocks: a block of chunks is one matrix
-    product, and only its best rows leave it.  A larger set goes through the join of ``bm25``.
+    A query set whose matrix of terms and queries stays below MATRIX_CELLS is sent to every task and multiplied with the weights
+    of each chunk's terms; only the best rows of a block of chunks leave it.  A larger set goes through the join of ``bm25``.
     """
     asked = queries.select("query_id", F.explode("terms").alias("term")).distinct()
     n = asked.agg(F.count_distinct("query_id").alias("q"), F.count_distinct("term").alias("t")).first()
     if n["q"] * n["t"] > MATRIX_CELLS:
-        return _head(bm25(queries, chunks, weights, least_terms), chunks, first)
+        return _head(bm25(queries, chunks, weights, least_terms).drop("matched"), first)
     rows = asked.collect()  # at most MATRIX_CELLS
     terms = sorted({r["term"] for r in rows})
     ids = sorted({r["query_id"] for r in rows})
     at, row_of = {t: k for k, t in enumerate(terms)}, {q: k for k, q in enumerate(ids)}
-    matrix = np.zeros((len(ids), len(terms)))
-    matrix[[row_of[r["query_id"]] for r in rows], [at[r["term"]] for r in rows]] = 1.0
+    matrix = np.zeros((len(terms), len(ids)))
+    matrix[[at[r["term"]] for r in rows], [row_of[r["query_id"]] for r in rows]] = 1.0
     held = written(_term_counts(chunks, at, weights), "bm25-counts")
     number, length = F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")
     stats = {r["snapshot_id"]: (r["n"], r["mean"]) for r in held.groupBy("snapshot_id").agg(number, length).collect()}
@@ -120,30 +120,28 @@ def bm25_top(queries: DataFrame, chunks: DataFrame, first: int, weights: dict[st
             for snapshot, own in f.groupby("snapshot_id", sort=False):
                 for start in range(0, len(own), 1024):
                     part = own.iloc[start : start + 1024]
-                    counts = part["terms"].map(len).to_numpy()
-                    k, w = np.concatenate([*part["terms"], np.empty(0, dtype=np.int32)]).astype(np.int64), np.concatenate([*part["weights"], np.empty(0)])
-                    to = np.repeat(np.arange(len(part)), counts)
                     norm = 1.2 * (0.25 + 0.75 * part["length"].to_numpy() / stats[snapshot][1])
-                    block, hit = np.zeros((len(terms), len(part))), np.zeros((len(terms), len(part)))
-                    block[k, to] = idf[snapshot][k] * w * 2.2 / (w + norm[to])
-                    hit[k, to] = 1.0
-                    total, matched = matrix @ block, np.rint(matrix @ hit)
-                    if least_terms > 1:
-                        total = total * ((matched - 1) * (matched - 2) * (matched - 3) / 6)
-                    total = np.where(matched >= least_terms, np.round(total, 6), -1.0)
+                    total = np.full((len(ids), len(part)), -1.0)
+                    for c, (k, w) in enumerate(zip(part["terms"], part["weights"], strict=True)):
+                        asking = matrix[k]  # the queries of each of the chunk's terms
+                        sums, matched = (idf[snapshot][k] * w * 2.2 / (w + norm[c])) @ asking, asking.sum(axis=0)
+                        if least_terms > 1:
+                            sums *= (matched - 1) * (matched - 2) * (matched - 3) / 6
+                        hit = matched >= least_terms
+                        total[hit, c] = np.round(sums[hit], 6)
                     keep = total >= 0
                     if len(part) > first:
                         keep &= total >= np.partition(total, len(part) - first, axis=1)[:, [len(part) - first]]  # ties stay
                     q, c = np.nonzero(keep)
                     chunk = part["chunk_id"].to_numpy()
-                    yield pd.DataFrame({"query_id": ids_[q], "snapshot_id": snapshot, "chunk_id": chunk[c], "matched": matched[q, c].astype(np.int64), "score": total[q, c]})
+                    yield pd.DataFrame({"query_id": ids_[q], "snapshot_id": snapshot, "chunk_id": chunk[c], "score": total[q, c]})
 
     kind = dict(queries.dtypes)["query_id"], dict(chunks.dtypes)["chunk_id"]
-    found = held.mapInPandas(score, f"query_id {kind[0]}, snapshot_id string, chunk_id {kind[1]}, matched bigint, score double")
-    return _head(found, chunks, first)
+    found = held.mapInPandas(score, f"query_id {kind[0]}, snapshot_id string, chunk_id {kind[1]}, score double")
+    return written(_head(found, first), "bm25-top")  # a few rows a query: whatever reads them twice does not score again
 
 
-def _head(scored: DataFrame, chunks: DataFrame, first: int) -> DataFrame:
+def _head(scored: DataFrame, first: int) -> DataFrame:
     """The best of each query, and all ties of the last of them, so that what orders ties may come later."""
     rank = F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
     return scored.withColumn("_r", rank).where(F.col("_r") <= first).drop("_r")
