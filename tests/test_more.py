@@ -250,3 +250,35 @@ def test_supplement_and_recovery(spark):
 def test_written_needs_a_shared_folder(spark):
     df = shared.written(spark.range(3), "t")
     assert df.count() == 3 and df.inputFiles()[0].startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+@tables
+def test_large_query_sets_take_the_other_way(spark, monkeypatch):
+    """Beyond the bounds, BM25 goes through the join and cosine through buckets, with equal results."""
+    from lodeseam.operators import lexical, semantic
+
+    docs = corpus.chunks(spark, SF)
+    asked = corpus.questions(spark, SF).select("query_id", X.query_terms(F.col("query")).alias("terms"))
+    rows = lambda: sorted((r["query_id"], r["chunk_id"], r["score"]) for r in lexical.bm25_top(asked, docs, 20).collect())
+    small = rows()
+    monkeypatch.setattr(lexical, "MATRIX_CELLS", 0)
+    assert rows() == small and len(small) >= 800
+    e = spark.read.parquet(f"{SF}/embeddings.parquet").selectExpr("vec_id", "embedding as vector")
+    q = e.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    top = lambda **k: sorted(map(tuple, semantic.cosine_top_k(q, e, 5, query_block=4, **k).collect()))
+    assert top() == top(broadcast_bytes=1000)
+
+
+def test_index_splits_hot_terms(spark, tmp_path):
+    from lodeseam.operators import lexical
+
+    docs = spark.range(3000).select(F.lit("s").alias("snapshot_id"), F.col("id").alias("chunk_id"), F.concat(F.lit("the w"), F.col("id").cast("string")).alias("content"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)  # which would join such small ranges again
+    try:
+        lexical.build_index(docs, str(tmp_path / "index"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    held = spark.read.parquet(str(tmp_path / "index" / "postings")).where("term = 'the'").groupBy(F.input_file_name()).count().collect()
+    assert sum(r["count"] for r in held) == 3000 and len(held) > 1
+    asked = spark.createDataFrame([(1, ["w77"])], "query_id int, terms array<string>")
+    assert [r["chunk_id"] for r in lexical.bm25_indexed(asked, str(tmp_path / "index")).collect()] == [77]
