@@ -12,6 +12,7 @@ from .license_scan import OP1_SQL, op1_license_scan
 from .mixing import op2_mix_sources
 from .packing import op8_best_fit_packing
 from .quality_rules import op9_quality_rules
+from .repeats import op13_suffix_array_dedup
 from .simhash import op3_simhash_near_dedup
 from .token_counts import op5_token_counts
 from .toxicity import op10_toxicity
@@ -30,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_quality_rules": op9_quality_rules,
         "op10_toxicity": op10_toxicity,
+        "op13_suffix_array_dedup": op13_suffix_array_dedup,
     }
 
 
