@@ -11,6 +11,7 @@ from .katz import op7_lm_score
 from .license_scan import OP1_SQL, op1_license_scan
 from .mixing import op2_mix_sources
 from .packing import op8_best_fit_packing
+from .prefix_trie import OP12_SQL, op12_conversation_prefix_trie
 from .quality_rules import op9_quality_rules
 from .repeats import op13_suffix_array_dedup
 from .simhash import op3_simhash_near_dedup
@@ -31,9 +32,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_quality_rules": op9_quality_rules,
         "op10_toxicity": op10_toxicity,
+        "op12_conversation_prefix_trie": op12_conversation_prefix_trie,
         "op13_suffix_array_dedup": op13_suffix_array_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op6_url_filter": OP6_SQL}
+    return {"op1_license_scan": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op6_url_filter": OP6_SQL, "op12_conversation_prefix_trie": OP12_SQL}
