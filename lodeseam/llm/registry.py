@@ -15,6 +15,7 @@ from .prefix_trie import OP12_SQL, op12_conversation_prefix_trie
 from .quality_rules import op9_quality_rules
 from .repeats import op13_suffix_array_dedup
 from .simhash import op3_simhash_near_dedup
+from .token_alignment import op11_cross_tokenizer_alignment
 from .token_counts import op5_token_counts
 from .toxicity import op10_toxicity
 from .url_filter import OP6_SQL, op6_url_filter
@@ -32,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_quality_rules": op9_quality_rules,
         "op10_toxicity": op10_toxicity,
+        "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
         "op12_conversation_prefix_trie": op12_conversation_prefix_trie,
         "op13_suffix_array_dedup": op13_suffix_array_dedup,
     }
