@@ -86,7 +86,7 @@ class Names:
         return out
 
 
-def _anchors(x: np.ndarray, stops: np.ndarray, names: Names, length: int, gram: int) -> dict[str, np.ndarray]:
+def _anchors(x: np.ndarray, stops: np.ndarray, names: Names, length: int, gram: int, strip: int) -> dict[str, np.ndarray]:
     """The anchors of concatenated texts ``x`` that end at ``stops``.
 
     at: the anchor's place, low and high: how far its windows start before it, bucket, and two identifiers of the
@@ -94,8 +94,8 @@ def _anchors(x: np.ndarray, stops: np.ndarray, names: Names, length: int, gram:
     """
     wide = length - gram + 1
     parts: list[tuple] = []
-    for begin in range(0, max(0, len(x) - length + 1), STRIP):
-        y = x[begin : begin + STRIP + length - 1]
+    for begin in range(0, max(0, len(x) - length + 1), strip):
+        y = x[begin : begin + strip + length - 1]
         n = len(y) - length + 1
         sums = names.prefix(y, 0)
         grams = sums[gram:] - sums[:-gram]
@@ -145,9 +145,9 @@ class _Block:
         self.stops = np.cumsum(lens)
         self.starts = self.stops - lens
 
-    def local_first(self, names: Names, length: int, gram: int) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    def local_first(self, names: Names, length: int, gram: int, strip: int) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
         """Anchors in order of (bucket, context, place); which of them come first of their context; each one's document."""
-        a = _anchors(self.data, self.stops, names, length, gram)
+        a = _anchors(self.data, self.stops, names, length, gram, strip)
         doc = np.searchsorted(self.stops, a["at"], side="right")
         order = np.lexsort((a["at"], doc, self.ids[doc], a["two"], a["one"], a["bucket"]))
         a, doc = {k: v[order] for k, v in a.items()}, doc[order]
@@ -156,11 +156,11 @@ class _Block:
         return a, first, doc
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], ids: str = "doc_id", text: str = "text") -> Iterator[tuple[int, _Block, np.ndarray]]:
+def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, _Block, np.ndarray]]:
     """(number, block, which ids are null), cut from the rows of a task; the same for every scan of a partition."""
     number = TaskContext.get().partitionId() << 20
     for batch in batches:
-        col, key = batch.column(text), batch.column(ids)
+        col, key = batch.column("text"), batch.column("doc_id")
         n = len(batch)
         if not n:
             continue
@@ -175,7 +175,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], ids: str = "doc_id", text: str =
         total = np.cumsum(lens)
         i = 0
         while i < n:
-            j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + BLOCK, side="right")))
+            j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + size, side="right")))
             j = min(j, n, i + (1 << 20) - 1)
             yield number, _Block(numbers[i:j], lens[i:j], data[offsets[i] : offsets[j]] if not col.null_count else _gather(data, offsets[i:j], lens[i:j])), null[i:j]
             number += 1
@@ -334,7 +334,7 @@ def _decide(rows: DataFrame, level: int) -> DataFrame:
     return judged.select(*[new.get(c, F.col(c)).alias(c) for c in _ROW_NAMES])
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_size: int = BLOCK, strip: int = STRIP, part_size: int = PART, members_size: int = MEMBERS) -> DataFrame:
     """doc_id, n_bytes, spans (array of start and stop of the maximal removed runs), kept (the remaining bytes)."""
     spark: SparkSession = docs.sparkSession
     wide = length - gram + 1
@@ -342,12 +342,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
         raise ValueError("length must be from gram to gram + 126")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-total // PART))
+    parts = max(1, -(-total // part_size))
 
     def initial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = Names(STRIP + length)
-        for number, block, _ in _blocks(batches):
-            a, first, _doc = block.local_first(names, length, gram)
+        names = Names(strip + length)
+        for number, block, _ in _blocks(batches, block_size):
+            a, first, _doc = block.local_first(names, length, gram, strip)
             head, several, order, part, edges = _shares(a, first, parts)
             if not len(part):
                 continue
@@ -380,15 +380,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
         return pa.table({"block": frame["block"], "part": frame["part"], "found": pa.array(packed, pa.binary())})
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, block, null in _blocks(batches):
+        for number, block, null in _blocks(batches, block_size):
             yield _packed(number, block, null)
 
     def open_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = Names(STRIP + length)
+        names = Names(strip + length)
         for batch in batches:
             for row in batch.to_pylist():
                 block, _ = _unpacked(row)
-                a, first, doc = block.local_first(names, length, gram)
+                a, first, doc = block.local_first(names, length, gram, strip)
                 unit = (row["block"] << 20) + doc
                 at = a["at"] - block.starts[doc]
                 covered = [(unit[~first], at[~first] - a["high"][~first], at[~first] - a["low"][~first])]
@@ -406,13 +406,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
                 kinds = kind[np.searchsorted(head, contexts, side="right") - 1]
                 for k in (2, 3):
                     mixed = contexts[kinds == k]
-                    for i in range(0, len(mixed), MEMBERS):
-                        m = mixed[i : i + MEMBERS]
+                    for i in range(0, len(mixed), members_size):
+                        m = mixed[i : i + members_size]
                         frame = _frames(block.data, a["at"][m], a["low"][m], a["high"][m], wide, length)
                         members = _Members(frame, a["low"][m], a["high"][m], block.ids[doc[m]], unit[m], at[m], names, length)
                         out: list = []
                         members.refine(np.arange(len(m)), wide - 1, out, covered)
-                        if k == 2 or len(mixed) > MEMBERS:
+                        if k == 2 or len(mixed) > members_size:
                             yield from _send(members, out)
                 yield from _found(covered, row["block"])
 
