@@ -36,10 +36,14 @@ from pyspark.sql.window import Window
 from .common import materialize, table
 
 #: Characters of text in a block; bytes of a range of a long text; units that a worker remembers, twice.
-BLOCK, RANGE, MEMO = 6_000_000, 32_768, 150_000
+BLOCK, RANGE, MEMO = 3_000_000, 32_768, 60_000
+#: Units that are encoded as one text.
+TOGETHER = 20_000
 #: Fragments that one step of the tree composes.
 FAN = 8
 _EDGE = "\u2581\u200b\u180e\ufeff"
+#: How byte-level vocabularies split a text before they merge.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _CUT = re.compile(rf" (?<=[^\s{_EDGE}] )(?=[^\s{_EDGE}])")
 _SECOND = 1 << 20  # a pair is first id * _SECOND + second id
 
@@ -66,6 +70,7 @@ class Tokenizers:
             special = self.second.is_control(i) or self.second.is_unknown(i)
             self.second_bytes.append(b"" if special else bytes([int(piece[1:-1], 16)]) if self.second.is_byte(i) else piece.replace("▁", " ").encode())
         self.lengths = [np.array([len(b) for b in v], np.int64) for v in (self.first_bytes, self.second_bytes)]
+        self.fast = _same_by_rank(first, self.first_bytes)
         a, b = ([str(i) for i in range(len(v))] for v in self.lengths)
         self.words = np.array([x + "," for x in a] + [x + "|" for x in a] + [x + "," for x in b] + [x + ";" for x in b], object)
 
@@ -74,6 +79,25 @@ class Tokenizers:
         return [e.ids for e in self.first.encode_batch_fast(units, add_special_tokens=False)], self.second.encode([u[1:] for u in units], num_threads=1)
 
 
+def _same_by_rank(path: str, tokens: list[bytes]):
+    """A faster encoder of the same vocabulary, if its tokens are numbered in the order of its merges and it splits as usual."""
+    import json
+
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
+    vocab = spec["model"]["vocab"]
+    split = spec.get("pre_tokenizer") or {}
+    usual = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not spec.get("normalizer")
+    if not usual or any(vocab.get(a + b) != 256 + k for k, (a, b) in enumerate(merges)):
+        return None
+    added = {t["id"] for t in spec.get("added_tokens", [])}
+    ranks = {b: i for i, b in enumerate(tokens) if b and i not in added}
+    return tiktoken.Encoding("by-rank", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 def _byte_letters() -> dict[int, str]:
     """The letters by which byte-level vocabularies write bytes: printable ones stand for themselves, the rest follow from 256."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -197,34 +221,57 @@ class _Units:
                 young[u] = v
         return found
 
+    def _encoded(self, units: list[str]) -> tuple[list[int], list[np.ndarray], np.ndarray]:
+        """(places of the units that are given back whole, ids of both tokenizers one unit after another, bytes of each unit)."""
+        t = self.tokenizers
+        # letters that every version of Unicode knows alike, and no white space at the ends: such units can be one text
+        plain = [k for k, u in enumerate(units) if u and u[-1] < "\u0250" and not u[0].isspace() and not u[-1].isspace() and (u.isascii() or max(u) < "\u0250")] if t.fast else []
+        good, ids, sizes = [], ([], []), []
+        rest = set(range(len(units)))
+        for i in range(0, len(plain), TOGETHER):
+            own = plain[i : i + TOGETHER]
+            text = " " + " ".join([units[k] for k in own])
+            raw = text.encode()
+            a, b = t.fast.encode_ordinary(text), t.second.encode(text[1:])
+            if raw == b"".join([t.first_bytes[x] for x in a]) and raw == b"".join([t.second_bytes[x] for x in b]):
+                good += own
+                rest.difference_update(own)
+                ids[0].append(np.array(a, np.int64))
+                ids[1].append(np.array(b, np.int64))
+                sizes += [len(units[k]) + 1 if units[k].isascii() else len(units[k].encode()) + 1 for k in own]
+        others = sorted(rest)
+        for i in range(0, len(others), 2000):
+            own = others[i : i + 2000]
+            for k, a, b in zip(own, *t.encode([" " + units[k] for k in own])):
+                raw = (" " + units[k]).encode()
+                if raw == b"".join([t.first_bytes[x] for x in a]) and raw == b"".join([t.second_bytes[x] for x in b]):
+                    good.append(k)
+                    ids[0].append(np.array(a, np.int64))
+                    ids[1].append(np.array(b, np.int64))
+                    sizes.append(len(raw))
+        return good, [np.concatenate(x) if x else np.zeros(0, np.int64) for x in ids], np.array(sizes, np.int64)
+
     def _align(self, units: list[str]) -> list[tuple | None]:
         t = self.tokenizers
-        texts = [" " + u for u in units]
-        a, b = t.encode(texts)
-        good = [k for k, (u, x, y) in enumerate(zip(texts, a, b)) if (raw := u.encode()) == b"".join([t.first_bytes[i] for i in x]) and raw == b"".join([t.second_bytes[i] for i in y])]
         found: list[tuple | None] = [None] * len(units)
+        good, ids, bytes_ = self._encoded(units)
         if not good:
             return found
-        ids, ends, owner, sizes = [], [], [], []
-        for k, side in enumerate((a, b)):
-            sizes.append(np.array([len(side[g]) for g in good]))
-            ids.append(np.fromiter((i for g in good for i in side[g]), np.int64, int(sizes[k].sum())))
-            ends.append(np.cumsum(t.lengths[k][ids[k]]))
-            owner.append(np.repeat(np.arange(len(good)), sizes[k]))
+        unit_ends = np.cumsum(bytes_)
+        ends = [np.cumsum(t.lengths[k][ids[k]]) for k in range(2)]
+        sizes = [np.diff(np.append(0, np.searchsorted(e, unit_ends, side="right"))) for e in ends]
         common = np.intersect1d(*ends, assume_unique=True)
         union = np.union1d(*ends)
         at = [np.searchsorted(e, union) for e in ends]
         pairs = ids[0][at[0]] * _SECOND + ids[1][at[1]]
-        unit_ends = ends[0][np.cumsum(sizes[0]) - 1]
         cuts = np.append(0, np.searchsorted(union, unit_ends, side="right"))
         groups = np.diff(np.append(0, np.searchsorted(common, unit_ends, side="right")))
         # the text of the groups: first ids, a bar, second ids, a semicolon
-        last = [np.isin(e, common, assume_unique=True) for e in ends]
         na, nb = (len(v) for v in t.lengths)
+        group = [np.searchsorted(common, e) for e in ends]
+        last = [common[g] == e for g, e in zip(group, ends)]
         word = np.concatenate([ids[0] + na * last[0], 2 * na + ids[1] + nb * last[1]])
-        group = np.concatenate([np.searchsorted(common, e) for e in ends])
-        side = np.repeat([0, 1], [len(i) for i in ids])
-        order = np.lexsort((np.arange(len(word)), side, group))
+        order = np.argsort(np.concatenate([2 * group[0], 2 * group[1] + 1]), kind="stable")
         words = t.words[word[order]].tolist()
         stops = np.append(0, np.cumsum(sizes[0] + sizes[1])).tolist()
         cuts = cuts.tolist()
