@@ -99,6 +99,12 @@ class Unigrams:
         return np.where(count > 0, seen, self.unknown)
 
 
+def _occupied(part: np.ndarray) -> list[tuple[int, int, int]]:
+    """(part, start, stop) of each part that a sorted array of parts has: the work is by what is there, not by how many parts there are."""
+    edges = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part)).tolist()
+    return [(int(part[i]), i, j) for i, j in zip(edges[:-1], edges[1:])]
+
+
 def _chunks(docs: DataFrame, parts: int) -> DataFrame:
     """A 'stream' row for each chunk, and its distinct words as 'words' rows, one for each word part."""
 
@@ -128,11 +134,8 @@ def _chunks(docs: DataFrame, parts: int) -> DataFrame:
                 e=_pack(np.array([i is None for i in ids], dtype=np.uint8)),
             )
         ]
-        edges = np.searchsorted(part, np.arange(parts + 1))
-        for p in range(parts):
-            lo, hi = edges[p], edges[p + 1]
-            if lo < hi:
-                rows.append(_row(chunk=name, kind="words", part=p, n=int(hi - lo), a=_pack(b"\n".join(distinct[lo:hi])), b=_pack(counted[lo:hi])))
+        for p, lo, hi in _occupied(part):
+            rows.append(_row(chunk=name, kind="words", part=p, n=hi - lo, a=_pack(b"\n".join(distinct[lo:hi])), b=_pack(counted[lo:hi])))
         return rows
 
     def batch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -209,7 +212,7 @@ class _Chunk:
         self.hot = spread > 1
         self.part = (mix(self.h_id.astype(np.uint64) + sub * np.uint64(7919)) % np.uint64(parts)).astype(np.int64)
         self.order = np.argsort(self.part, kind="stable")
-        self.edges = np.searchsorted(self.part[self.order], np.arange(parts + 1))
+        self.runs = _occupied(self.part[self.order])
 
 
 def _pair_requests(chunks: DataFrame, words: DataFrame, parts: int, hot_tokens: int) -> DataFrame:
@@ -218,10 +221,8 @@ def _pair_requests(chunks: DataFrame, words: DataFrame, parts: int, hot_tokens:
         trained = np.repeat(c.train, c.lens)
         count = np.bincount(c.pair[trained], minlength=len(c.w)).astype(np.uint32)
         rows = []
-        for p in range(parts):
-            own = c.order[c.edges[p] : c.edges[p + 1]]
-            if not len(own):
-                continue
+        for p, lo, hi in c.runs:
+            own = c.order[lo:hi]
             first = np.flatnonzero(np.diff(c.h_id[own], prepend=-1))
             runs = np.diff(np.append(first, len(own))).astype(np.uint32)
             rows.append(
@@ -293,8 +294,10 @@ def _scores(chunks: DataFrame, words: DataFrame, answers: DataFrame, parts: int,
         c = _Chunk(f, parts, hot_tokens)
         got = f[f["kind"] == "answers"].sort_values("part")
         count, alpha = np.empty(len(c.w), dtype=np.int64), np.ones(len(c.w))
+        place = {p: (lo, hi) for p, lo, hi in c.runs}
         for p, a, b in zip(got["part"], got["a"], got["b"], strict=True):
-            own = c.order[c.edges[p] : c.edges[p + 1]]
+            lo, hi = place[p]
+            own = c.order[lo:hi]
             count[own] = _unpack(a, np.int64)
             sums = _unpack(b, np.float64).reshape(-1, K + 2)
             first = np.flatnonzero(np.diff(c.h_id[own], prepend=-1))

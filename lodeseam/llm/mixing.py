@@ -230,10 +230,10 @@ def mix(
     )
 
 
-def write_shards(draws: DataFrame, path: str) -> None:
-    """The mix as files: one folder per shard, its draws shuffled."""
+def write_shards(draws: DataFrame, path: str, files: int = 1) -> None:
+    """The mix as files: a folder per shard, its draws shuffled and dealt over ``files`` files, so that a shard can be as many tasks."""
     drawn = draws.where("shard is not null")
-    drawn.repartition("shard").sortWithinPartitions("shard", "place").write.partitionBy("shard").parquet(path)
+    drawn.repartition(SHARDS * files, "shard", F.pmod(F.col("place"), F.lit(files))).sortWithinPartitions("shard", "place").write.partitionBy("shard").parquet(path)
 
 
 def per_document(draws: DataFrame) -> DataFrame:

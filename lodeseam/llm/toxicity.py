@@ -36,12 +36,15 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import map_documents, table
 
 #: Labelled documents of each kind in the fit, about and at most, and the longest of them.
 SAMPLE = {1: 3000, 0: 6000}
 SAMPLE_CHARS = 60_000
+#: Characters of all texts of a label together that the fit takes: in order of draw, until they are used up.
+TOTAL_CHARS = 30_000_000
 #: Settings tried: bytes of the toxic and of the ordinary dictionary, and the log odds, in standard errors, from which on a
 #: run of characters marks a word.  The setting that ranks the documents kept from the dictionaries best is used.
 SETTINGS = ((6144, 32768, 5.0), (6144, 32768, 4.0), (6144, 32768, 3.5))
@@ -219,9 +222,15 @@ def learn(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -
         docs.select("doc_id", "text")
         .where(F.char_length("text") <= SAMPLE_CHARS)
         .join(F.broadcast(chosen), "doc_id")
-        .select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(3)).alias("fold"), "text", "toxic")
+        .withColumn("_before", F.sum(F.char_length("text")).over(Window.partitionBy("toxic").orderBy(draw, "doc_id")))
+        .withColumn("_of", F.count(F.lit(1)).over(Window.partitionBy("toxic")))
+        .where(F.col("_before") <= TOTAL_CHARS)
+        .select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(3)).alias("fold"), "text", "toxic", "_of")
         .collect()
     )
+    for y in (0, 1):  # a label whose characters ran out stands for as many documents as before
+        own = [r for r in rows if r["toxic"] == y]
+        share[y] *= len(own) / own[0]["_of"] if own else 1
     rows.sort(key=lambda r: r["doc_id"])
     return fit([(r["fold"], r["text"], r["toxic"]) for r in rows], {y: 1 / share[y] for y in (0, 1)}, prior)
 

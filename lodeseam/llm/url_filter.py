@@ -104,17 +104,21 @@ def with_parts(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", host.alias("host"), F.regexp_extract(rest, r"^[^/?#]*(/[^?#]*)", 1).alias("path"))
 
 
-def domains(host: str) -> Iterator[str]:
-    yield host
-    at = host.find(".")
+def domains(host: str, longest: int) -> Iterator[str]:
+    """The host and the domains above it, of at most ``longest`` characters: no entry is longer."""
+    if len(host) <= longest:
+        yield host
+        at = host.find(".")
+    else:
+        at = host.find(".", len(host) - longest - 1)
     while at >= 0:
         yield host[at + 1 :]
         at = host.find(".", at + 1)
 
 
-def _candidates(host: str, path: str, lengths: list[int]) -> list[tuple[str, int]]:
+def _candidates(host: str, path: str, lengths: list[int], longest: int) -> list[tuple[str, int]]:
     """(entry string, its rank): longer entries first."""
-    found = [(d + path[:n], n) for d in domains(host) for n in lengths if n <= len(path)] if host else []
+    found = [(d + path[:n], n) for d in domains(host, longest) for n in lengths if n <= len(path)] if host else []
     return sorted(found, key=lambda x: (-len(x[0]), x[0]))
 
 
@@ -122,6 +126,7 @@ def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULE
     """page_id, host, path, rule (null if none fits), verdict."""
     verdicts = {host + path: int(verdict == "block") for verdict, host, path in rules}
     lengths = sorted({len(path) for _, _, path in rules})
+    longest = max((len(x) for x in (*(host for _, host, _ in rules), *blocked)), default=0)
     if len(verdicts) + len(blocked) > MAX_ENTRIES:
         return filter_by_join(pages, pages.sparkSession.createDataFrame([(h + p, v) for v, h, p in rules], "rule string, verdict string"), lengths, blocked)
     name = f"urls-{uuid.uuid4().hex}"
@@ -136,10 +141,10 @@ def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULE
             probes: list[bytes] = []
             owner: list[tuple[int, str]] = []
             for i, (host, path) in enumerate(zip(f["host"], f["path"], strict=True)):
-                for entry, _ in _candidates(host, path, lengths):
+                for entry, _ in _candidates(host, path, lengths, longest):
                     probes.append(entry.encode("utf-8", "surrogatepass"))
                     owner.append((i, entry))
-                for site in domains(host) if host else ():
+                for site in domains(host, longest) if host else ():
                     probes.append(b"!" + site.encode("utf-8", "surrogatepass"))
                     owner.append((i, ""))
             rule: list[str | None] = [None] * len(f)
@@ -166,7 +171,10 @@ def filter_by_join(pages: DataFrame, rules: DataFrame, lengths: list[int], block
     parts = with_parts(pages)
     cut = F.array(*[F.lit(n) for n in lengths])
     prefixes = F.transform(F.filter(cut, lambda n: n <= F.char_length("path")), lambda n: F.col("path").substr(F.lit(1), n))
-    labels = F.split("host", r"\.")
+    longest = max(x or 0 for x in (rules.agg(F.max(F.char_length("rule"))).first()[0], sites.agg(F.max(F.char_length("site"))).first()[0]))
+    # domains longer than any entry are not made: of a longer host, what follows the first dot that leaves few enough characters
+    tail = F.when(F.char_length("host") <= longest, F.col("host")).otherwise(F.regexp_extract(F.substring("host", -(longest + 1), longest + 1), r"\.(.*)$", 1))
+    labels = F.split(tail, r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     keys = parts.select("host", prefixes.alias("prefixes")).where("host <> ''").distinct().withColumn("domain", F.explode(suffixes))
     probe = keys.select("host", "prefixes", "domain", F.explode("prefixes").alias("prefix")).withColumn("rule", F.concat("domain", "prefix"))
