@@ -2,11 +2,12 @@
 
 Every stage works on all that its predecessor kept and returns the columns of ``documents``, but for the last, which
 returns the packed pieces.  Stages decide by row: null and repeated ids, null and very long texts, repeated rows, extra
-columns of any name but ``row_key`` and empty tables pass through.
+columns of any name and empty tables pass through.
 """
 
 from __future__ import annotations
 
+import time
 from functools import wraps
 
 import public_tokenizers
@@ -17,33 +18,55 @@ from lodeseam.llm import exact_dedup, mixing, near_copies, packing, quality_rule
 from lodeseam.llm.common import discard, materialize, recorded, table
 
 
-#: Tables of earlier stages, whose results are written by the time the next stage is called.
-_SPENT: list[str] = []
+#: What the stages of a run wrote for themselves: for each input folder, (when the stage returned, its tables).
+_SPENT: dict[str, list[tuple[float, list[str]]]] = {}
 
 
 def _stage(step):
-    """Deletes what earlier stages wrote for themselves, but for what ``docs`` reads, and notes what this one writes."""
+    """Deletes what earlier stages of the run wrote for themselves, and notes what this one writes.
+
+    A run is known by its input folder.  A stage's tables are spent once its result is written, so they go if ``docs``
+    was written after the stage had returned, and are not what ``docs`` reads; else they stay, as somebody may still read them.
+    """
 
     @wraps(step)
     def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        discard(spark, _SPENT, docs)
+        written_at = _written_at(spark, docs)
+        kept = []
+        for returned, paths in _SPENT.pop(sf_dir, []):
+            if written_at > returned:
+                discard(spark, paths, docs)
+            if paths:
+                kept.append((returned, paths))
         with recorded() as paths:
             out = step(spark, docs, sf_dir)
-        _SPENT.extend(paths)
+        _SPENT[sf_dir] = [*kept, (time.time(), paths)]
         return out
 
     return stage
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` written with ``row_key``, which tells all rows apart: ids may be null or repeated, and no name clashes."""
-    return materialize(docs.withColumn("row_key", F.monotonically_increasing_id()), "pipeline-keyed")
+def _written_at(spark: SparkSession, docs: DataFrame) -> float:
+    """When the first file of ``docs`` was written; 0 if it has none."""
+    files = docs.inputFiles()[:1]
+    if not files:
+        return 0.0
+    at = spark._jvm.org.apache.hadoop.fs.Path(files[0])
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).getModificationTime() / 1000
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` written with a column that tells all rows apart, as ids may be null or repeated, and that column's name."""
+    key = "row_key"
+    while key in {c.lower() for c in docs.columns}:
+        key += "_"
+    return materialize(docs.withColumn(key, F.monotonically_increasing_id()), "pipeline-keyed"), key
 
 
-def _without(keyed: DataFrame, dropped: DataFrame, columns: list[str]) -> DataFrame:
+def _without(keyed: DataFrame, key: str, dropped: DataFrame, columns: list[str]) -> DataFrame:
     """Rows of ``keyed`` that are not ``dropped`` (row_key).  Dropped keys are few and written, so Spark sees if it can send them around."""
-    gone = materialize(dropped.select("row_key"), "pipeline-dropped")
-    return keyed.join(gone, "row_key", "left_anti").select(*columns)
+    gone = materialize(dropped.select(F.col("row_key").alias(key)), "pipeline-dropped")
+    return keyed.join(gone, key, "left_anti").select(*columns)
 
 
 @_stage
@@ -61,30 +84,31 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_stage
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row, of the largest id, of each group of equal texts; of rows with equal ids any one, and null ids last."""
-    keyed = _keyed(docs)
-    found = exact_dedup.dedup_against_index(keyed.select("doc_id", "text", "row_key"), exact_dedup.DigestIndex(spark), carry=("row_key",))
-    return _without(keyed, found.where(~F.col("kept")), docs.columns)
+    keyed, key = _keyed(docs)
+    found = exact_dedup.dedup_against_index(keyed.select("doc_id", "text", F.col(key).alias("row_key")), exact_dedup.DigestIndex(spark), carry=("row_key",))
+    return _without(keyed, key, found.where(~F.col("kept")), docs.columns)
 
 
 @_stage
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row, of the least id, of each group that similarities of 0.8 on five words link; null ids last."""
-    keyed = _keyed(docs)
-    found = near_copies.near_copies(keyed.select("row_key", "text"), "row_key").join(keyed.select("row_key", "doc_id"), "row_key")
+    keyed, key = _keyed(docs)
+    rows = keyed.select(F.col(key).alias("row_key"), "doc_id", "text")
+    found = near_copies.near_copies(rows.select("row_key", "text"), "row_key").join(rows.select("row_key", "doc_id"), "row_key")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
     found = materialize(found.select("row_key", "component", order.alias("at")), "pipeline-near")
     groups = found.groupBy("component").agg(F.min("at.row_key").alias("any"), F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     rest = found.join(groups.select("component", "first"), "component").where(F.col("row_key") != F.col("first.row_key"))
-    return _without(keyed, rest, docs.columns)
+    return _without(keyed, key, rest, docs.columns)
 
 
 @_stage
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows as often as the mix draws them, whole: none that it does not draw, a text of no words never."""
-    keyed = _keyed(docs)
-    draws = mixing.mix(keyed.select("doc_id", "source", "text", "row_key"), block_words=mixing.WHOLE, whole_blocks=True, key="row_key")
-    drawn = draws.where("shard is not null").select("row_key")
-    return keyed.join(drawn, "row_key").select(*docs.columns)
+    keyed, key = _keyed(docs)
+    draws = mixing.mix(keyed.select("doc_id", "source", "text", F.col(key).alias("row_key")), block_words=mixing.WHOLE, whole_blocks=True, key="row_key")
+    drawn = draws.where("shard is not null").select(F.col("row_key").alias(key))
+    return keyed.join(drawn, key).select(*docs.columns)
 
 
 @_stage
