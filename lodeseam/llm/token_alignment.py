@@ -36,14 +36,16 @@ from pyspark.sql.window import Window
 from .common import materialize, table
 
 #: Characters of text in a block; bytes of a range of a long text; units that a worker remembers, twice.
-BLOCK, RANGE, MEMO = 3_000_000, 32_768, 60_000
+BLOCK, RANGE, MEMO = 3_000_000, 32_768, 25_000
 #: Units that are encoded as one text.
-TOGETHER = 20_000
+TOGETHER = 8_000
 #: Fragments that one step of the tree composes.
 FAN = 8
 _EDGE = "\u2581\u200b\u180e\ufeff"
 #: How byte-level vocabularies split a text before they merge.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space and what may count as such.
+_SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace()) + _EDGE
 _CUT = re.compile(rf" (?<=[^\s{_EDGE}] )(?=[^\s{_EDGE}])")
 _SECOND = 1 << 20  # a pair is first id * _SECOND + second id
 
@@ -225,7 +227,7 @@ class _Units:
         """(places of the units that are given back whole, ids of both tokenizers one unit after another, bytes of each unit)."""
         t = self.tokenizers
         # letters that every version of Unicode knows alike, and no white space at the ends: such units can be one text
-        plain = [k for k, u in enumerate(units) if u and u[-1] < "\u0250" and not u[0].isspace() and not u[-1].isspace() and (u.isascii() or max(u) < "\u0250")] if t.fast else []
+        plain = [k for k, u in enumerate(units) if (u.isascii() or max(u) < "\u0250") and u and len(u.strip(_SPACES)) == len(u)] if t.fast else []
         good, ids, sizes = [], ([], []), []
         rest = set(range(len(units)))
         for i in range(0, len(plain), TOGETHER):
@@ -310,7 +312,7 @@ def _block_row(number: int, ids: list, counts: np.ndarray, groups: list[str], un
 def _align_block(number: int, ids: list, texts: list[str | None], known: _Units, render: Callable[[str], str] | None) -> pa.RecordBatch:
     index = _Numbered()
     words = [list(map(index.__getitem__, t.split(" "))) if t else [] for t in texts]
-    spaced = [u == "" or u[0].isspace() or u[-1].isspace() or u[0] in _EDGE or u[-1] in _EDGE for u in index]
+    spaced = [not u or len(u.strip(_SPACES)) < len(u) for u in index]
     if any(spaced):  # spaces beside other white space do not cut
         for k, w in enumerate(words):
             if any(map(spaced.__getitem__, w)):
@@ -431,8 +433,9 @@ def align(docs: DataFrame, first: str, second: str, render: Callable[[str], str]
     while most:
         parts = parts.groupBy("unit", F.floor(F.col("step") / FAN).alias("_step")).applyInArrow(step, _FRAGMENT)
         most //= FAN
-    blocks = texts.where(~is_long).mapInArrow(short, _BLOCK).unionByName(parts.mapInArrow(finish, _BLOCK))
-    return _with_counts(materialize(blocks, "alignment-blocks"))
+    long = materialize(parts.mapInArrow(finish, _BLOCK), "alignment-long")
+    blocks = materialize(texts.where(~is_long).mapInArrow(short, _BLOCK), "alignment-blocks")
+    return _with_counts(blocks.unionByName(long))
 
 
 def _with_counts(blocks: DataFrame) -> DataFrame:
