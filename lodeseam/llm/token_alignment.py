@@ -36,7 +36,7 @@ from pyspark.sql.window import Window
 from .common import materialize, table
 
 #: Characters of text in a block; bytes of a range of a long text; units that a worker remembers, twice.
-BLOCK, RANGE, MEMO = 3_000_000, 32_768, 25_000
+BLOCK, RANGE, MEMO = 2_000_000, 32_768, 25_000
 #: Units that are encoded as one text.
 TOGETHER = 8_000
 #: Fragments that one step of the tree composes.
@@ -431,7 +431,8 @@ def align(docs: DataFrame, first: str, second: str, render: Callable[[str], str]
     parts = materialize(ranges.repartition("unit", "step").mapInArrow(fragments, _FRAGMENT), "alignment-fragments")
     most = parts.agg(F.max("step")).first()[0] or 0
     while most:
-        parts = parts.groupBy("unit", F.floor(F.col("step") / FAN).alias("_step")).applyInArrow(step, _FRAGMENT)
+        # written each time: steps that run into one another would keep more Python workers alive at once
+        parts = materialize(parts.groupBy("unit", F.floor(F.col("step") / FAN).alias("_step")).applyInArrow(step, _FRAGMENT), "alignment-step")
         most //= FAN
     long = materialize(parts.mapInArrow(finish, _BLOCK), "alignment-long")
     blocks = materialize(texts.where(~is_long).mapInArrow(short, _BLOCK), "alignment-blocks")
