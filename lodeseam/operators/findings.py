@@ -38,11 +38,14 @@ def line_findings(docs: DataFrame, key: str, rules=CODE_RULES + SECRET_RULES, sa
 
 
 def cap_findings(found: DataFrame, scope: str, order: list[str], most: int = 20) -> DataFrame:
-    """In order, stop after the place that brings a scope to ``most`` findings; that place keeps all of its own."""
-    before = Window.partitionBy(scope).orderBy(*order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    place = Window.partitionBy(scope, *order)
-    counted = found.withColumn("_upto", F.count(F.lit(1)).over(before)).withColumn("_own", F.count(F.lit(1)).over(place))
-    return counted.where(F.col("_upto") - F.col("_own") < most).drop("_upto", "_own")
+    """In order, stop after the place that brings a scope to ``most`` findings; that place keeps all of its own.
+
+    A scope's findings are cut in parts first, each to its own first places, so that a scope with most of the findings
+    is no single task's: what stays of a scope is among what stays of its parts.
+    """
+    rank = lambda *by: F.rank().over(Window.partitionBy(scope, *by).orderBy(*order))
+    parts = found.withColumn("_part", F.spark_partition_id()).withColumn("_rank", rank("_part")).where(F.col("_rank") <= most)
+    return parts.withColumn("_rank", rank()).where(F.col("_rank") <= most).drop("_part", "_rank")
 
 
 def leaks(rows: DataFrame, key: str, text: str) -> DataFrame:

@@ -1,4 +1,7 @@
-"""Reciprocal-rank fusion, relevance gating, reranking and one-hop expansion over channels of ranked rows."""
+"""Reciprocal-rank fusion, relevance gating, reranking and one-hop expansion over channels of ranked rows.
+
+Rows that carry a snapshot_id are fused, gated, expanded and counted within it: a query over two snapshots is two searches.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.shared import written
+from .lexical import scope
 
 
 def rrf(channels: DataFrame, k: int = 60) -> DataFrame:
@@ -16,7 +20,7 @@ def rrf(channels: DataFrame, k: int = 60) -> DataFrame:
     column is carried along; without one it is 0.
     """
     boost = F.col("boost") if "boost" in channels.columns else F.lit(0.0)
-    fused = channels.groupBy("query_id", "chunk_id").agg(
+    fused = channels.groupBy(*scope(channels), "chunk_id").agg(
         F.round(F.sum(1 / (F.lit(k) + F.col("rank"))), 9).alias("rrf"),
         F.min_by("path", F.struct("channel", "rank")).alias("path"),
         F.array_join(F.sort_array(F.collect_set("channel")), ",").alias("signals"),
@@ -24,7 +28,7 @@ def rrf(channels: DataFrame, k: int = 60) -> DataFrame:
         F.max(F.when(F.col("channel") == "semantic", F.col("score"))).alias("semantic_score"),
         F.max(boost).alias("boost"),
     )
-    order = Window.partitionBy("query_id").orderBy(F.desc("rrf"), "path", "chunk_id")
+    order = Window.partitionBy(*scope(fused)).orderBy(F.desc("rrf"), "path", "chunk_id")
     return fused.withColumn("position", F.row_number().over(order))
 
 
@@ -43,7 +47,7 @@ def plan(queries: DataFrame, available: DataFrame | None = None) -> DataFrame:
 
 def channels(lexical: DataFrame, semantic: DataFrame) -> DataFrame:
     """Both channels as one long frame: query_id, channel, rank, chunk_id, path, score, boost.  ``semantic`` has no boost."""
-    shape = ["query_id", "channel", "rank", "chunk_id", "path", "score", "boost"]
+    shape = [*scope(lexical), "channel", "rank", "chunk_id", "path", "score", "boost"]
     boost = F.col("boost") if "boost" in lexical.columns else F.lit(0.0)
     a = lexical.withColumn("channel", F.lit("lexical")).withColumn("boost", boost).select(*shape)
     return a.unionByName(semantic.withColumn("channel", F.lit("semantic")).withColumn("boost", F.lit(0.0)).select(*shape))
@@ -61,27 +65,28 @@ def fuse_rows(channels_: DataFrame, k: int = 60) -> DataFrame:
     order = F.struct("channel", "rank")
     first = lambda c, some: F.min_by(F.when(some, F.col(c)), F.when(some, order)).alias(c)
     known = lambda c: F.col(c).isNotNull() & (F.col(c).cast("string") != "")
-    rows = channels_.withColumn("identity", identity)
-    ranks = rows.groupBy("query_id", "identity", "channel").agg(F.min("rank").alias("r"))
-    ranks = ranks.groupBy("query_id", "identity").agg(F.sort_array(F.collect_list(F.struct("channel", "r"))).alias("_s"))
-    fused = rows.groupBy("query_id", "identity").agg(
+    rows, key = channels_.withColumn("identity", identity), scope(channels_)
+    ranks = rows.groupBy(*key, "identity", "channel").agg(F.min("rank").alias("r"))
+    ranks = ranks.groupBy(*key, "identity").agg(F.sort_array(F.collect_list(F.struct("channel", "r"))).alias("_s"))
+    fused = rows.groupBy(*key, "identity").agg(
         F.round(F.sum(1 / (F.lit(k) + F.col("rank"))), 9).alias("rrf"), *[first(c, known(c)) for c in ("chunk_id", "path", "start_line", "content")]
-    ).join(ranks, ["query_id", "identity"])
-    by = Window.partitionBy("query_id").orderBy(F.desc("rrf"), "path", "start_line", "identity")
+    ).join(ranks, [*key, "identity"])
+    by = Window.partitionBy(*key).orderBy(F.desc("rrf"), "path", "start_line", "identity")
     return fused.select(
-        "query_id", F.row_number().over(by).alias("position"), "identity", "chunk_id", "path", "start_line", "content", "rrf",
+        *key, F.row_number().over(by).alias("position"), "identity", "chunk_id", "path", "start_line", "content", "rrf",
         F.array_join(F.transform("_s", lambda x: x["channel"]), ",").alias("signals"), F.map_from_entries("_s").alias("source_ranks"),
     )
 
 
 def run_audit(channels_: DataFrame, fused: DataFrame, expanded: DataFrame, returned: DataFrame) -> DataFrame:
     """query_id, lexical, semantic, fused, expanded, returned, events: what each step of a query's run gave."""
-    of = lambda df, name: df.groupBy("query_id").agg(F.count(F.lit(1)).alias(name))
+    key = scope(channels_)
+    of = lambda df, name: df.groupBy(*key).agg(F.count(F.lit(1)).alias(name))
     rows = of(channels_.where("channel = 'lexical'"), "lexical")
     for df, name in ((channels_.where("channel = 'semantic'"), "semantic"), (fused, "fused"), (expanded, "expanded"), (returned, "returned")):
-        rows = rows.join(of(df, name), "query_id", "full_outer")
+        rows = rows.join(of(df, name), key, "full_outer")
     names = ("lexical", "semantic", "fused", "expanded", "returned")
-    rows = rows.select("query_id", *[F.coalesce(n, F.lit(0)).alias(n) for n in names])
+    rows = rows.select(*key, *[F.coalesce(n, F.lit(0)).alias(n) for n in names])
     events = F.array_join(F.array(*[F.concat(F.lit(f"{n}="), F.col(n).cast("string")) for n in names]), ";")
     return rows.withColumn("events", events)
 
@@ -94,23 +99,25 @@ def hybrid(lexical: DataFrame, semantic: DataFrame, relations: DataFrame, paths:
     ``rerank``, a column over the fused rows, orders the first fifty where ``limit`` is five or more.
     """
     both = written(channels(lexical, semantic), "hybrid-channels")  # a few rows a query, read by every step
+    key = scope(both)
+    where = key[:-1]
     fused = rrf(both)
     kept = accepted_only(fused, gate(observe(fused), least_lexical, least_semantic))
     if rerank is not None and limit >= 5:
         kept = rerank_head(kept, rerank).withColumn("position", F.col("reranked")).drop("reranked")
     most = min(200, 4 * limit)
     seeds = kept.where(F.col("position") <= limit)
-    near = expand_one_hop(seeds.select("query_id", F.col("chunk_id").alias("node"), F.col("rrf").alias("score")), relations, most)
-    counts = seeds.groupBy("query_id").agg(F.max("position").alias("_n"))
-    near = near.join(counts, "query_id").where(F.col("position") <= most - F.col("_n"))
-    more = near.join(paths, near["node"] == paths["chunk_id"]).select("query_id", (F.col("_n") + F.col("position")).alias("position"), "chunk_id", "path", "score", F.lit("structural").alias("signals"))
-    rows = seeds.select("query_id", "position", "chunk_id", "path", F.col("rrf").alias("score"), "signals").unionByName(more)
+    near = expand_one_hop(seeds.select(*key, F.col("chunk_id").alias("node"), F.col("rrf").alias("score")), relations, most)
+    counts = seeds.groupBy(*key).agg(F.max("position").alias("_n"))
+    near = near.join(counts, key).where(F.col("position") <= most - F.col("_n"))
+    more = near.withColumnRenamed("node", "chunk_id").join(paths, [*where, "chunk_id"]).select(*key, (F.col("_n") + F.col("position")).alias("position"), "chunk_id", "path", "score", F.lit("structural").alias("signals"))
+    rows = seeds.select(*key, "position", "chunk_id", "path", F.col("rrf").alias("score"), "signals").unionByName(more)
     return rows, run_audit(both, fused, more, rows)
 
 
 def observe(fused: DataFrame) -> DataFrame:
     """Per query: hits of each channel and the best scores."""
-    return fused.groupBy("query_id").agg(
+    return fused.groupBy(*scope(fused)).agg(
         F.count("lexical_score").alias("lexical_hits"),
         F.count("semantic_score").alias("semantic_hits"),
         F.max("lexical_score").alias("top_lexical"),
@@ -133,13 +140,13 @@ def gate(observed: DataFrame, least_lexical: float = 31.4, least_semantic: float
 
 
 def accepted_only(fused: DataFrame, decided: DataFrame) -> DataFrame:
-    return fused.join(decided.where("decision = 'accepted'").select("query_id"), "query_id", "left_semi")
+    return fused.join(decided.where("decision = 'accepted'").select(*scope(fused)), scope(fused), "left_semi")
 
 
 def rerank_head(fused: DataFrame, score, head: int = 50) -> DataFrame:
     """The first ``head`` positions by ``score`` (a column), stable; the tail keeps its order."""
     at_head = F.col("position") <= head
-    order = Window.partitionBy("query_id").orderBy(F.when(at_head, 0).otherwise(1), F.when(at_head, -score), "position")
+    order = Window.partitionBy(*scope(fused)).orderBy(F.when(at_head, 0).otherwise(1), F.when(at_head, -score), "position")
     return fused.withColumn("reranked", F.row_number().over(order))
 
 
@@ -150,12 +157,14 @@ def expand_one_hop(seeds: DataFrame, relations: DataFrame, limit: int) -> DataFr
     out, its first relation by (kind, relation_id) counts, and ``limit`` neighbours of a query stay, scored half the least
     seed score over their position.
     """
-    out = relations.select("relation_id", "kind", F.col("source").alias("node"), F.col("target").alias("other"))
-    back = relations.select("relation_id", "kind", F.col("target").alias("node"), F.col("source").alias("other"))
-    reached = seeds.select("query_id", "node").join(out.unionByName(back), "node").select("query_id", F.col("other").alias("node"), "kind", "relation_id")
-    reached = reached.join(seeds.select("query_id", "node"), ["query_id", "node"], "left_anti")
-    first = reached.groupBy("query_id", "node").agg(F.min(F.struct("kind", "relation_id")).alias("r"))
-    order = Window.partitionBy("query_id").orderBy("r.kind", "r.relation_id", "node")
+    key = scope(seeds)
+    where = key[:-1]  # relations of several snapshots name theirs
+    out = relations.select(*where, "relation_id", "kind", F.col("source").alias("node"), F.col("target").alias("other"))
+    back = relations.select(*where, "relation_id", "kind", F.col("target").alias("node"), F.col("source").alias("other"))
+    reached = seeds.select(*key, "node").join(out.unionByName(back), [*where, "node"]).select(*key, F.col("other").alias("node"), "kind", "relation_id")
+    reached = reached.join(seeds.select(*key, "node"), [*key, "node"], "left_anti")
+    first = reached.groupBy(*key, "node").agg(F.min(F.struct("kind", "relation_id")).alias("r"))
+    order = Window.partitionBy(*key).orderBy("r.kind", "r.relation_id", "node")
     placed = first.withColumn("position", F.row_number().over(order)).where(F.col("position") <= limit)
-    least = seeds.groupBy("query_id").agg(F.min("score").alias("least"))
-    return placed.join(least, "query_id").select("query_id", "node", "r.relation_id", "r.kind", "position", F.round(0.5 * F.col("least") / F.col("position"), 9).alias("score"))
+    least = seeds.groupBy(*key).agg(F.min("score").alias("least"))
+    return placed.join(least, key).select(*key, "node", "r.relation_id", "r.kind", "position", F.round(0.5 * F.col("least") / F.col("position"), 9).alias("score"))

@@ -80,17 +80,30 @@ def _grams(text: Column, size: int = 3) -> Column:
     return F.array_distinct(F.flatten(F.array(*[F.coalesce(at(n), none) for n in range(1, size + 1)])))
 
 
+def rarest_gram(asked: DataFrame, held: DataFrame, size: int = 3) -> DataFrame:
+    """``asked`` (query_id, q) with gram: of the substrings of ``size`` characters of q, the one that fewest rows of ``held`` (gram) have.
+
+    A shorter q is its own gram.  A query with a substring that nothing has can match nothing, and goes.  So a query meets
+    the rows of its rarest substring only, not those of a prefix that all names share.
+    """
+    n = F.char_length("q")
+    cut = F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.col("q").substr(i, F.lit(size)))
+    grams = asked.select("query_id", "q", F.explode(F.array_distinct(cut)).alias("gram"))
+    counted = grams.join(held.groupBy("gram").agg(F.count(F.lit(1)).alias("_n")), "gram", "left")
+    best = counted.groupBy("query_id", "q").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "gram")).alias("best"))
+    return best.where("best.n > 0").select("query_id", "q", F.col("best.gram").alias("gram"))
+
+
 def symbol_lookup(queries: DataFrame, symbols: DataFrame, top: int = 5) -> DataFrame:
     """query_id, position, symbol, method for symbols whose name or qualified name holds the query, ``top`` of each.
 
     ``queries``: query_id, query; ``symbols``: symbol, name, qualified.  The order is: the qualified name itself, a dotted
-    suffix of it, the short name, any other; then by qualified name, last first.  A query's first characters are looked up
-    among the symbols' short substrings, so this is an equi-join; the match is then checked.
+    suffix of it, the short name, any other; then by qualified name, last first.
     """
-    asked = queries.where("query <> ''").select("query_id", F.lower("query").alias("q"), F.left(F.lower("query"), F.lit(3)).alias("gram"))
+    asked = queries.where("query <> ''").select("query_id", F.lower("query").alias("q"))
     text = F.concat_ws("\n", F.lower("name"), F.lower("qualified"))
     own = symbols.select("symbol", F.lower("name").alias("n"), F.lower("qualified").alias("u"), F.explode(_grams(text)).alias("gram"))
-    hits = own.join(asked, "gram").where(F.contains("n", F.col("q")) | F.contains("u", F.col("q")))
+    hits = own.join(rarest_gram(asked, own), "gram").where(F.contains("n", F.col("q")) | F.contains("u", F.col("q")))
     short = F.element_at(F.split("q", r"\."), -1)
     method = F.when(F.col("u") == F.col("q"), "exact").when(F.endswith("u", F.concat(F.lit("."), F.col("q"))), "suffix").when(F.col("n") == short, "short_name").otherwise("substring")
     rank = F.array_position(F.array(*map(F.lit, ("exact", "suffix", "short_name", "substring"))), F.col("method"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -42,8 +41,8 @@ def match_terms(queries: DataFrame) -> DataFrame:
 
 
 def search_audit(queries: DataFrame, ranked: DataFrame) -> DataFrame:
-    """query_id, normalized, candidates, best: a run's row for every query, found or not.  ``queries``: query_id, query; ``ranked``: query_id, rank, chunk_id."""
-    n = ranked.groupBy("query_id").agg(F.count(F.lit(1)).alias("candidates"), F.min_by("chunk_id", "rank").alias("best"))
+    """query_id (and snapshot_id where ``ranked`` has it), normalized, candidates, best: a run's row for every query, found or not.  ``queries``: query_id, query; ``ranked``: query_id, rank, chunk_id."""
+    n = ranked.groupBy(*scope(ranked)).agg(F.count(F.lit(1)).alias("candidates"), F.min_by("chunk_id", "rank").alias("best"))
     rows = queries.select("query_id", F.array_join(X.query_terms(F.col("query")), " ").alias("normalized"))
     return rows.join(n, "query_id", "left").withColumn("candidates", F.coalesce("candidates", F.lit(0)))
 
@@ -76,74 +75,89 @@ def corpus_stats(chunks: DataFrame, weights: dict[str, float] = WEIGHTS) -> Data
 
 
 def bm25(queries: DataFrame, chunks: DataFrame, weights: dict[str, float] = WEIGHTS, least_terms: int = 1) -> DataFrame:
-    """query_id, snapshot_id, chunk_id, matched (terms), score.  ``queries``: query_id, terms (array).
+    """query_id, snapshot_id, chunk_id, matched (terms), score.  ``queries``: query_id, terms (array), and snapshot_id if only that one is asked.
 
     ``least_terms`` of a query's terms must occur.  With 4, a chunk that has m of them scores C(m - 1, 3) times, as it does
     where every matching quadruple is a clause.
     """
-    asked = queries.select("query_id", F.explode("terms").alias("term"))
+    asked = queries.select(*scope(queries), F.explode("terms").alias("term"))
     return _score(asked, postings(chunks, asked, weights), corpus_stats(chunks, weights), least_terms)
 
 
-#: Terms of all queries together up to which a query set is held whole by every task: a matrix row per term, a column per query.
-MATRIX_CELLS = 8_000_000
+#: Cells of the incidence of terms and queries up to which a query set is sent to every task (a byte each), and queries scored at once.
+MATRIX_CELLS, QUERY_BLOCK = 8_000_000, 1024
 
 
 def bm25_top(queries: DataFrame, chunks: DataFrame, first: int, weights: dict[str, float] = WEIGHTS, least_terms: int = 1) -> DataFrame:
-    """``bm25`` cut to the best ``first`` chunks of each query, and of each snapshot (ties by path where there is one, then id).
+    """``bm25`` cut to the best ``first`` chunks of each query in each snapshot, and all ties of the last of them.
 
-    A query set whose matrix of terms and queries stays below MATRIX_CELLS is sent to every task and multiplied with the weights
-    of each chunk's terms; only the best rows of a block of chunks leave it.  A larger set goes through the join of ``bm25``.
+    A query that names a snapshot_id is asked of that snapshot only, others of all.  A query set whose incidence of terms
+    and queries stays below MATRIX_CELLS is sent to every task and multiplied, a block of queries at a time, with what each
+    chunk's terms are worth; only the best rows of a block of chunks leave it.  A larger set goes through the join of ``bm25``.
     """
-    asked = queries.select("query_id", F.explode("terms").alias("term")).distinct()
+    asked = queries.select(*scope(queries), F.explode("terms").alias("term")).distinct()
     n = asked.agg(F.count_distinct("query_id").alias("q"), F.count_distinct("term").alias("t")).first()
     if n["q"] * n["t"] > MATRIX_CELLS:
         return _head(bm25(queries, chunks, weights, least_terms).drop("matched"), first)
     rows = asked.collect()  # at most MATRIX_CELLS
     terms = sorted({r["term"] for r in rows})
-    ids = sorted({r["query_id"] for r in rows})
-    at, row_of = {t: k for k, t in enumerate(terms)}, {q: k for k, q in enumerate(ids)}
-    matrix = np.zeros((len(terms), len(ids)))
-    matrix[[at[r["term"]] for r in rows], [row_of[r["query_id"]] for r in rows]] = 1.0
+    named = "snapshot_id" in asked.columns
+    who = sorted({(r["query_id"], r["snapshot_id"] if named else None) for r in rows}, key=str)
+    at, row_of = {t: k for k, t in enumerate(terms)}, {q: k for k, q in enumerate(who)}
+    matrix = np.zeros((len(terms), len(who)), np.int8)
+    matrix[[at[r["term"]] for r in rows], [row_of[r["query_id"], r["snapshot_id"] if named else None] for r in rows]] = 1
     held = written(_term_counts(chunks, at, weights), "bm25-counts")
-    number, length = F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")
-    stats = {r["snapshot_id"]: (r["n"], r["mean"]) for r in held.groupBy("snapshot_id").agg(number, length).collect()}
-    seen = held.select("snapshot_id", F.explode("terms").alias("k")).groupBy("snapshot_id", "k").agg(F.count(F.lit(1)).alias("n")).collect()
-    idf = {s: np.full(len(terms), 1e-6) for s in stats}
-    for r in seen:
-        ratio = math.log((stats[r["snapshot_id"]][0] - r["n"] + 0.5) / (r["n"] + 0.5))
-        idf[r["snapshot_id"]][r["k"]] = ratio if ratio > 0 else 1e-6
-    ids_ = np.array(ids)
+    worth = written(_worth(held), "bm25-worth")
+    ids, asks = np.array([q for q, _ in who]), np.array([s for _, s in who], object)
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for snapshot, own in f.groupby("snapshot_id", sort=False):
-                for start in range(0, len(own), 1024):
-                    part = own.iloc[start : start + 1024]
-                    norm = 1.2 * (0.25 + 0.75 * part["length"].to_numpy() / stats[snapshot][1])
-                    total = np.full((len(ids), len(part)), -1.0)
-                    for c, (k, w) in enumerate(zip(part["terms"], part["weights"], strict=True)):
-                        asking = matrix[k]  # the queries of each of the chunk's terms
-                        sums, matched = (idf[snapshot][k] * w * 2.2 / (w + norm[c])) @ asking, asking.sum(axis=0)
-                        if least_terms > 1:
-                            sums *= (matched - 1) * (matched - 2) * (matched - 3) / 6
-                        hit = matched >= least_terms
-                        total[hit, c] = np.round(sums[hit], 6)
-                    keep = total >= 0
-                    if len(part) > first:
-                        keep &= total >= np.partition(total, len(part) - first, axis=1)[:, [len(part) - first]]  # ties stay
-                    q, c = np.nonzero(keep)
-                    chunk = part["chunk_id"].to_numpy()
-                    yield pd.DataFrame({"query_id": ids_[q], "snapshot_id": snapshot, "chunk_id": chunk[c], "score": total[q, c]})
+                asking = np.arange(len(who)) if not named else np.flatnonzero(asks == snapshot)
+                for q in range(0, len(asking), QUERY_BLOCK):
+                    some = asking[q : q + QUERY_BLOCK]
+                    block = matrix[:, some].astype(np.float64)
+                    for start in range(0, len(own), 1024):
+                        part = own.iloc[start : start + 1024]
+                        total = np.full((len(some), len(part)), -1.0)
+                        for c, (k, w) in enumerate(zip(part["terms"], part["parts"], strict=True)):
+                            own_terms = block[k]
+                            sums, matched = w @ own_terms, own_terms.sum(axis=0)
+                            if least_terms > 1:
+                                sums = sums * (matched - 1) * (matched - 2) * (matched - 3) / 6
+                            hit = matched >= least_terms
+                            total[hit, c] = np.round(sums[hit], 6)
+                        keep = total >= 0
+                        if len(part) > first:
+                            keep &= total >= np.partition(total, len(part) - first, axis=1)[:, [len(part) - first]]  # ties stay
+                        i, c = np.nonzero(keep)
+                        yield pd.DataFrame({"query_id": ids[some[i]], "snapshot_id": snapshot, "chunk_id": part["chunk_id"].to_numpy()[c], "score": total[i, c]})
 
     kind = dict(queries.dtypes)["query_id"], dict(chunks.dtypes)["chunk_id"]
-    found = held.mapInPandas(score, f"query_id {kind[0]}, snapshot_id string, chunk_id {kind[1]}, score double")
+    found = worth.mapInPandas(score, f"query_id {kind[0]}, snapshot_id string, chunk_id {kind[1]}, score double")
     return written(_head(found, first), "bm25-top")  # a few rows a query: whatever reads them twice does not score again
 
 
+def scope(rows: DataFrame) -> list[str]:
+    """What tells searches apart: the query, and the snapshot where rows name one."""
+    return ["snapshot_id", "query_id"] if "snapshot_id" in rows.columns else ["query_id"]
+
+
+def _worth(held: DataFrame) -> DataFrame:
+    """snapshot_id, chunk_id, terms, parts: what each of a chunk's known terms adds to a score in its snapshot."""
+    stats = held.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("length").alias("mean"))
+    each = held.select("snapshot_id", "chunk_id", "length", F.explode(F.arrays_zip("terms", "weights")).alias("x")).select("snapshot_id", "chunk_id", "length", "x.*")
+    ratio = F.log((F.col("n_chunks") - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    idf = each.groupBy("snapshot_id", "terms").agg(F.count(F.lit(1)).alias("n")).join(stats, "snapshot_id")
+    idf = idf.select("snapshot_id", "terms", "mean", F.when(ratio <= 0, 1e-6).otherwise(ratio).alias("idf"))
+    part = F.col("idf") * F.col("weights") * 2.2 / (F.col("weights") + 1.2 * (0.25 + 0.75 * F.col("length") / F.col("mean")))
+    rows = each.join(idf, ["snapshot_id", "terms"]).groupBy("snapshot_id", "chunk_id").agg(F.sort_array(F.collect_list(F.struct("terms", part.alias("part")))).alias("x"))
+    return rows.select("snapshot_id", "chunk_id", F.col("x.terms").alias("terms"), F.col("x.part").alias("parts"))
+
+
 def _head(scored: DataFrame, first: int) -> DataFrame:
-    """The best of each query, and all ties of the last of them, so that what orders ties may come later."""
-    rank = F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
+    """The best of each query in each snapshot, and all ties of the last of them, so that what orders ties may come later."""
+    rank = F.rank().over(Window.partitionBy("snapshot_id", "query_id").orderBy(F.desc("score")))
     return scored.withColumn("_r", rank).where(F.col("_r") <= first).drop("_r")
 
 
@@ -185,7 +199,7 @@ def build_index(chunks: DataFrame, path: str, weights: dict[str, float] = WEIGHT
 def bm25_indexed(queries: DataFrame, path: str, least_terms: int = 1) -> DataFrame:
     """``bm25`` over a written index: texts are not read, and row groups without a query's term are skipped."""
     spark = queries.sparkSession
-    asked = queries.select("query_id", F.explode("terms").alias("term"))
+    asked = queries.select(*scope(queries), F.explode("terms").alias("term"))
     found = spark.read.parquet(f"{path}/postings").join(asked.select("term").distinct(), "term", "left_semi")
     return _score(asked, found, spark.read.parquet(f"{path}/stats"), least_terms)
 
@@ -196,7 +210,7 @@ def _score(asked: DataFrame, found: DataFrame, stats: DataFrame, least_terms: in
     idf = frequency.join(stats, "snapshot_id").select("snapshot_id", "term", "mean_length", F.when(ratio <= 0, 1e-6).otherwise(ratio).alias("idf"))
     part = F.col("idf") * F.col("weight") * 2.2 / (F.col("weight") + 1.2 * (0.25 + 0.75 * F.col("length") / F.col("mean_length")))
     scored = found.join(idf, ["snapshot_id", "term"]).select("snapshot_id", "chunk_id", "term", part.alias("part"))
-    total = scored.join(asked, "term").groupBy("query_id", "snapshot_id", "chunk_id").agg(F.count(F.lit(1)).alias("matched"), F.sum("part").alias("sum"))
+    total = scored.join(asked, [*scope(asked)[:-1], "term"]).groupBy("query_id", "snapshot_id", "chunk_id").agg(F.count(F.lit(1)).alias("matched"), F.sum("part").alias("sum"))
     m = F.col("matched")
     times = F.lit(1.0) if least_terms == 1 else (m - 1) * (m - 2) * (m - 3) / 6
     return total.where(m >= least_terms).select("query_id", "snapshot_id", "chunk_id", "matched", F.round(F.col("sum") * times, 6).alias("score"))
@@ -217,13 +231,13 @@ def exact_boost(query: Column, symbol: Column, title: Column, path: Column) -> C
 
 
 def two_stage_top_k(scored: DataFrame, boost: Column, k: int, first: int | None = None) -> DataFrame:
-    """The best ``first`` of each query by score, then boosted, then the best k.  Ties go by path and chunk_id.
+    """The best ``first`` of each query by score, then boosted, then the best k, in each snapshot.  Ties go by path and chunk_id.
 
-    ``scored`` has query_id, score, path, chunk_id and what ``boost`` reads.
+    ``scored`` has query_id, snapshot_id if there are several, score, path, chunk_id and what ``boost`` reads.
     """
     first = first or min(max(5 * k, 25), 250)
-    by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "path", "chunk_id")
+    by_score = Window.partitionBy(*scope(scored)).orderBy(F.desc("score"), "path", "chunk_id")
     head = scored.withColumn("stage", F.row_number().over(by_score)).where(F.col("stage") <= first)
     head = head.withColumn("boost", boost).withColumn("total", F.round(F.col("score") + F.col("boost"), 6))
-    by_total = Window.partitionBy("query_id").orderBy(F.desc("total"), "path", "chunk_id")
+    by_total = Window.partitionBy(*scope(scored)).orderBy(F.desc("total"), "path", "chunk_id")
     return head.withColumn("rank", F.row_number().over(by_total)).where(F.col("rank") <= k).drop("stage")

@@ -70,7 +70,7 @@ def keyphrases(questions: DataFrame, most: int = 6) -> DataFrame:
 
 
 #: File types that hold source code.
-SOURCE_SUFFIXES = (".py", ".js", ".jsx", ".ts", ".tsx")
+SOURCE_SUFFIXES = (".c", ".cc", ".cpp", ".cs", ".go", ".java", ".js", ".jsx", ".py", ".rb", ".rs", ".ts", ".tsx")
 
 
 def executable_hits(rows: DataFrame, key: list[str]) -> DataFrame:
@@ -129,16 +129,22 @@ def symbol_matches(questions: DataFrame, symbols: DataFrame, relations: DataFram
     qualified, kind; ``relations``: source, target of resolved and observed calls.  A symbol matches by ``least`` terms of
     its names, or because the question names its class or itself.  It is corroborated if a call links it, either way, with
     one that matches two terms or more.
+
+    A symbol that shares ``least`` of a question's terms shares one of its rarest, all but ``least`` - 1: only those are
+    joined, and the others are counted in the pairs that are found.
     """
     own = symbols.where(F.col("kind").isin("function", "method", "class"))
     parts = F.transform(F.split("qualified", r"\."), lambda p: F.lower(p))
-    terms = own.select("symbol", F.explode(identifier_terms(F.concat_ws(" ", "name", "qualified"))).alias("term"))
-    asked = questions.select("query_id", F.explode("terms").alias("term"))
-    by_term = terms.join(asked, "term").select("query_id", "symbol", F.lit("term").alias("way"), F.col("term").alias("value"))
+    named = own.select("symbol", F.array_distinct(identifier_terms(F.concat_ws(" ", "name", "qualified"))).alias("own_terms"))
+    terms = named.select("symbol", F.explode("own_terms").alias("term"))
+    asked = questions.select("query_id", F.explode(F.array_distinct("terms")).alias("term")).join(terms.groupBy("term").agg(F.count(F.lit(1)).alias("n")), "term")
+    asked = asked.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy("n", "term"))).withColumn("of", F.count(F.lit(1)).over(Window.partitionBy("query_id")))
+    rare = asked.where(F.col("nth") <= F.col("of") - (least - 1)).select("query_id", "term")
+    by_term = terms.join(rare, "term").select("query_id", "symbol", F.lit("term").alias("way")).distinct()
 
     def by_hint(way: str, hint: str, names: Column) -> DataFrame:
         wanted = questions.select("query_id", F.explode(f"hints.{hint}").alias("value"))
-        return own.select("symbol", F.explode(names).alias("value")).join(wanted, "value").select("query_id", "symbol", F.lit(way).alias("way"), "value")
+        return own.select("symbol", F.explode(names).alias("value")).join(wanted, "value").select("query_id", "symbol", F.lit(way).alias("way"))
 
     method = F.col("kind") == "method"
     none = F.expr("cast(array() as array<string>)")
@@ -151,8 +157,10 @@ def symbol_matches(questions: DataFrame, symbols: DataFrame, relations: DataFram
     )
     has = lambda way: F.max((F.col("way") == way).cast("int"))
     found = rows.groupBy("query_id", "symbol").agg(
-        F.count_distinct(F.when(F.col("way") == "term", F.col("value"))).cast("int").alias("exact"), has("class").alias("class_hit"), has("method").alias("method_hit"), has("symbol").alias("symbol_hit")
+        has("class").alias("class_hit"), has("method").alias("method_hit"), has("symbol").alias("symbol_hit")
     )
+    found = found.join(named, "symbol").join(questions.select("query_id", "terms"), "query_id").withColumn("exact", F.size(F.array_intersect("own_terms", F.coalesce("terms", none))))
+    found = found.select("query_id", "symbol", "exact", "class_hit", "method_hit", "symbol_hit")
     found = found.where((F.col("exact") >= least) | (F.col("class_hit") == 1) | (F.col("symbol_hit") == 1))
     anchors = found.where("exact >= 2").select("query_id", F.col("symbol").alias("at"))
     both = relations.select(F.col("source").alias("at"), F.col("target").alias("symbol")).unionByName(relations.select(F.col("target").alias("at"), F.col("source").alias("symbol")))

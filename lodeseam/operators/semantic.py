@@ -12,40 +12,53 @@ from pyspark.sql.window import Window
 
 
 def _packed(rows: DataFrame, id_column: str, block: int) -> DataFrame:
-    """Blocks of at most ``block`` unit vectors of one dimension: size, ids, m (row-major doubles).  Nothing shuffles."""
+    """Blocks of at most ``block`` unit vectors of one snapshot and dimension: snapshot, size, ids, m (row-major doubles).  Nothing shuffles."""
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for size, own in f.groupby(f["vector"].map(len)):
+            for (snapshot, size), own in f.groupby([f["snapshot"], f["vector"].map(len)]):
                 for at in range(0, len(own), block):
                     part = own.iloc[at : at + block]
                     m = np.array(part["vector"].tolist(), dtype=np.float64)
                     norm = np.linalg.norm(m, axis=1, keepdims=True)
                     m = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-                    yield pd.DataFrame({"size": [size], "ids": [part[id_column].to_numpy()], "m": [m.tobytes()]})
+                    yield pd.DataFrame({"snapshot": [snapshot], "size": [size], "ids": [part[id_column].to_numpy()], "m": [m.tobytes()]})
 
-    return rows.select(id_column, "vector").where("vector is not null").mapInPandas(pack, "size int, ids array<bigint>, m binary")
+    snapshot = F.coalesce(F.col("snapshot_id").cast("string"), F.lit("")) if "snapshot_id" in rows.columns else F.lit("")
+    return rows.select(snapshot.alias("snapshot"), id_column, "vector").where("vector is not null").mapInPandas(pack, "snapshot string, size int, ids array<bigint>, m binary")
 
 
-#: Bytes of query vectors that are sent to every task; beyond it query blocks and vector blocks meet by shuffle.
+#: Bytes of query vectors that are sent to every task; beyond it query blocks and vector blocks meet by shuffle, in cells of a grid
+#: of which each holds about so many bytes of queries and eight times as many of vectors.
 BROADCAST_BYTES = 32 << 20
 
 
 def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int, query_block: int = 256, vector_block: int = 4096, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """query_id, vec_id, score (over 0), rank.  ``queries``: query_id, vector; ``vectors``: vec_id, vector.
+    """query_id, vec_id, score (over 0), rank, and snapshot_id if both sides have it: vectors then answer queries of their snapshot only.
+
+    ``queries``: query_id, vector; ``vectors``: vec_id, vector.
 
     Both sides are packed into blocks; every block of queries meets every block of vectors of its dimension as one matrix
     product, and only the product's k best of each query leave it.  The queries are measured: a small set is broadcast, a
-    large one is dealt over buckets that every vector block visits.  A zero vector or another dimension scores nothing.
+    large one is dealt over the rows of a grid and the vectors over its columns, so a cell gets its share of either.  A zero vector or another dimension scores nothing.
     Exact, in double precision; ties go by vec_id.
     """
-    size = queries.agg(F.sum(F.size("vector").cast("long") * 8)).first()[0] or 0
-    buckets = max(1, -(-size // broadcast_bytes))
-    asked = _packed(queries, "query_id", query_block).select(F.col("size").alias("q_size"), F.col("ids").alias("q_ids"), F.col("m").alias("q"))
-    asked = asked.withColumn("bucket", F.pmod(F.xxhash64("q_ids"), F.lit(buckets)))
-    held = _packed(vectors, "vec_id", vector_block).withColumnRenamed("size", "dim").withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))))
-    asked = F.broadcast(asked) if buckets == 1 else asked
-    pairs = held.join(asked, (held["bucket"] == asked["bucket"]) & (F.col("dim") == F.col("q_size"))).select("dim", "ids", "m", "q_size", "q_ids", "q")
+    bytes_of = lambda df: df.agg(F.sum(F.size("vector").cast("long") * 8)).first()[0] or 0
+    scoped = "snapshot_id" in queries.columns and "snapshot_id" in vectors.columns
+    if not scoped:
+        queries, vectors = queries.select("query_id", "vector"), vectors.select("vec_id", "vector")
+    down = max(1, -(-bytes_of(queries) // broadcast_bytes))
+    across = max(1, -(-bytes_of(vectors) // (8 * broadcast_bytes))) if down > 1 else 1
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    asked = _packed(queries, "query_id", query_block).select("snapshot", F.col("size").alias("dim"), F.col("size").alias("q_size"), F.col("ids").alias("q_ids"), F.col("m").alias("q"))
+    held = _packed(vectors, "vec_id", vector_block).withColumnRenamed("size", "dim")
+    if down == 1:
+        pairs = held.join(F.broadcast(asked), ["snapshot", "dim"])
+    else:
+        asked = asked.withColumn("row", F.pmod(F.xxhash64("q_ids"), F.lit(down))).withColumn("column", every(across))
+        held = held.withColumn("column", F.pmod(F.xxhash64("ids"), F.lit(across))).withColumn("row", every(down))
+        pairs = held.join(asked, ["snapshot", "dim", "row", "column"])
+    pairs = pairs.select("snapshot", "ids", "m", "q_size", "q_ids", "q")
 
     def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -57,15 +70,18 @@ def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int, query_block: in
                 top = [t[own[t] > 0] for t, own in zip(top, score, strict=True)]
                 yield pd.DataFrame(
                     {
+                        "snapshot_id": row.snapshot,
                         "query_id": np.repeat(np.asarray(row.q_ids), [len(t) for t in top]),
                         "vec_id": ids[np.concatenate(top)],
                         "score": np.concatenate([own[t] for t, own in zip(top, score, strict=True)]),
                     }
                 )
 
-    found = pairs.mapInPandas(best, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    found = pairs.mapInPandas(best, "snapshot_id string, query_id long, vec_id long, score double")
+    order = Window.partitionBy("snapshot_id", "query_id").orderBy(F.desc("score"), "vec_id")
+    found = found if scoped else found.withColumn("snapshot_id", F.lit(""))
+    found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found if scoped else found.drop("snapshot_id")
 
 
 def embedding_input(path: Column, kind: Column, symbol: Column, title: Column, imports: Column, calls: Column, body: Column) -> Column:

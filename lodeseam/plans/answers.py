@@ -269,13 +269,16 @@ FROM benchmark LEFT JOIN a ON a.query_id = item_id LEFT JOIN g ON g.query_id = i
 
 def named_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers ask for a dotted name; the stored definition of its symbol is the answer."""
-    asked = graphs._lookups(spark, sf_dir).where("query_id % 4 = 1").select("query_id", F.concat(F.lit("what does "), "query", F.lit(" do")).alias("query"))
     symbols = graphs._symbols(spark, sf_dir).select("symbol", "name", "qualified", "unit_id")
+    dotted = symbols.select(F.col("symbol").alias("s_suppkey"), F.regexp_replace("qualified", r"^pkg\.", "").alias("dotted"))
+    asked = table(spark, sf_dir, "supplier").join(dotted, "s_suppkey").select(F.col("s_suppkey").alias("query_id"), F.concat(F.lit("what does "), "dotted", F.lit(" do")).alias("query"))
     units = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("unit_id"), F.col("p_brand").alias("path"), F.lit(1).alias("start_line"), F.lit(2).alias("end_line"), F.when(F.col("p_partkey") % 6 > 0, F.col("p_name")).otherwise("").alias("content"))
     return evidence.named_definitions(asked, symbols, units).select("query_id", "chunk_id", "path", "score")
 
 
-DEFINITIONS_SQL = f"""WITH {graphs._LOOKUP}, d AS (SELECT query_id, symbol, row_number() OVER (PARTITION BY query_id ORDER BY position, symbol) AS n FROM lk WHERE query_id % 4 = 1 AND position <= 20 AND symbol % 6 > 0)
+#: As the look-ups of suppliers, all by the dotted suffix.
+_DOTTED = graphs._LOOKUP.replace("CASE s_suppkey % 4 WHEN 0 THEN qualified WHEN 1 THEN", "CASE WHEN true THEN", 1)
+DEFINITIONS_SQL = f"""WITH {_DOTTED}, d AS (SELECT query_id, symbol, row_number() OVER (PARTITION BY query_id ORDER BY position, symbol) AS n FROM lk WHERE position <= 20 AND symbol % 6 > 0)
 SELECT query_id, symbol AS chunk_id, p_brand AS path, 1000.0::DOUBLE AS score FROM d JOIN part ON p_partkey = symbol WHERE n = 1"""
 
 QUERIES = {

@@ -35,14 +35,14 @@ def _ranges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     i = table(spark, sf_dir, "lineitem")
     path = (F.col("l_partkey") % 5).cast("string")
     at = F.col("l_quantity").cast("int")
-    required = i.where("l_linenumber <= 4").select(F.col("l_orderkey").alias("task_id"), (F.col("l_linenumber") % 2).alias("group_id"), path.alias("path"), at.alias("start_line"), (at + 3).alias("end_line"))
+    required = i.select(F.col("l_orderkey").alias("task_id"), (F.col("l_linenumber") % 2).alias("group_id"), path.alias("path"), at.alias("start_line"), (at + 3).alias("end_line"))
     tool = F.when(F.col("l_linestatus") == "O", "locator").otherwise("context")
-    evidence = i.where("l_linenumber >= 3").select(tool.alias("tool"), F.col("l_orderkey").alias("task_id"), path.alias("path"), (at - 8).alias("start_line"), (at + 8).alias("end_line"))
+    evidence = i.select(tool.alias("tool"), F.col("l_orderkey").alias("task_id"), path.alias("path"), (at - 8).alias("start_line"), (at + 8).alias("end_line"))
     return required, evidence
 
 
-_RANGES = """rq AS (SELECT l_orderkey AS task_id, l_linenumber % 2 AS g, l_partkey % 5 AS path, l_quantity::INT AS a, l_quantity::INT + 3 AS b FROM lineitem WHERE l_linenumber <= 4),
-ev AS (SELECT CASE WHEN l_linestatus = 'O' THEN 'locator' ELSE 'context' END AS tool, l_orderkey AS task_id, l_partkey % 5 AS path, l_quantity::INT - 8 AS a, l_quantity::INT + 8 AS b FROM lineitem WHERE l_linenumber >= 3)"""
+_RANGES = """rq AS (SELECT l_orderkey AS task_id, l_linenumber % 2 AS g, l_partkey % 5 AS path, l_quantity::INT AS a, l_quantity::INT + 3 AS b FROM lineitem),
+ev AS (SELECT CASE WHEN l_linestatus = 'O' THEN 'locator' ELSE 'context' END AS tool, l_orderkey AS task_id, l_partkey % 5 AS path, l_quantity::INT - 8 AS a, l_quantity::INT + 8 AS b FROM lineitem)"""
 
 
 def evidence_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,12 +148,12 @@ SHAPE_SQL = """SELECT user_id AS trace_id, string_agg(left(event_type, 2), '>' O
 
 
 def cited_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers with finished orders cite the priorities of all their orders below 500."""
+    """Customers with finished orders cite the priorities of all their open ones."""
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderpriority").alias("path"), "o_orderstatus", "o_orderkey")
-    return evaluate.cited_files(o.where("o_orderkey < 500"), o.where("o_orderstatus = 'F'"))
+    return evaluate.cited_files(o.where("o_orderstatus = 'O'"), o.where("o_orderstatus = 'F'"))
 
 
-CITED_SQL = """WITH g AS (SELECT o_custkey AS q, list(DISTINCT o_orderpriority) AS g FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), c AS (SELECT o_custkey AS q, list(DISTINCT o_orderpriority ORDER BY o_orderpriority) AS c FROM orders WHERE o_orderkey < 500 GROUP BY 1)
+CITED_SQL = """WITH g AS (SELECT o_custkey AS q, list(DISTINCT o_orderpriority) AS g FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), c AS (SELECT o_custkey AS q, list(DISTINCT o_orderpriority ORDER BY o_orderpriority) AS c FROM orders WHERE o_orderstatus = 'O' GROUP BY 1)
 SELECT q AS query_id, coalesce(array_to_string(c, ','), '') AS files, list_has_all(coalesce(c, []), g) AS passed FROM g LEFT JOIN c USING (q)"""
 
 

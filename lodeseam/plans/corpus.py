@@ -209,22 +209,20 @@ def line_rule_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SECRET = "(?i)(api[_-]?key|secret|token|password)\\s*=\\s*[''\"][^''\"]{8,}[''\"]"
-_LEFT_LINES = _LINES_CTE.replace("coalesce(text, '')", "left(coalesce(text, ''), 30000)")
 _FOUND = f"""found AS (SELECT chunk_id, line_no::INT AS line_no, 'hard-coded secret' AS rule, 'high' AS severity, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS s FROM ln WHERE regexp_matches(line, '{_SECRET}')
 UNION ALL SELECT chunk_id, line_no::INT, 'private key', 'high', trim(regexp_replace(line, '\\s+', ' ', 'g')) FROM ln WHERE regexp_matches(line, '-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----'))"""
 _SNIP = "CASE WHEN length(s) > 240 THEN rtrim(left(s, 240)) || '...' ELSE s END AS snippet"
-FINDINGS_SQL = f"WITH {_LEFT_LINES}, {_FOUND} SELECT chunk_id, line_no, rule, severity, {_SNIP} FROM found"
+FINDINGS_SQL = f"WITH {_LINES_CTE}, {_FOUND} SELECT chunk_id, line_no, rule, severity, {_SNIP} FROM found"
 
 
 def finding_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of each source, in file order, up to the line that brings it to three."""
     found = line_rule_findings(spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "source"), "chunk_id")
-    place = found.withColumn("place", F.col("chunk_id") * 1000000 + F.col("line_no"))
-    return findings.cap_findings(place, "source", ["place"], 3).select("source", "chunk_id", "line_no", "rule")
+    return findings.cap_findings(found, "source", ["chunk_id", "line_no"], 3).select("source", "chunk_id", "line_no", "rule")
 
 
-CAP_SQL = f"""WITH {_LEFT_LINES}, {_FOUND}, f AS (SELECT found.*, source, chunk_id * 1000000 + line_no AS place FROM found JOIN documents ON doc_id = chunk_id),
-c AS (SELECT *, count(*) OVER (PARTITION BY source ORDER BY place RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - count(*) OVER (PARTITION BY source, place) AS earlier FROM f)
+CAP_SQL = f"""WITH {_LINES_CTE}, {_FOUND}, f AS (SELECT found.*, source FROM found JOIN documents ON doc_id = chunk_id),
+c AS (SELECT *, rank() OVER (PARTITION BY source ORDER BY chunk_id, line_no) - 1 AS earlier FROM f)
 SELECT source, chunk_id, line_no, rule FROM c WHERE earlier < 3"""
 
 

@@ -196,7 +196,7 @@ def symbol_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.symbol_lookup(_lookups(spark, sf_dir), _symbols(spark, sf_dir).select("symbol", "name", "qualified"))
 
 
-_LOOKUP = f"""{_SYMBOLS}, q AS (SELECT s_suppkey AS query_id, lower(CASE s_suppkey % 4 WHEN 0 THEN qualified WHEN 1 THEN regexp_replace(qualified, '^pkg\.', '') WHEN 2 THEN name ELSE substr(name, 2, 5) END) AS q FROM supplier JOIN sy ON symbol = s_suppkey),
+_LOOKUP = f"""{_SYMBOLS}, q AS (SELECT s_suppkey AS query_id, lower(CASE s_suppkey % 4 WHEN 0 THEN qualified WHEN 1 THEN regexp_replace(qualified, '^pkg[.]', '') WHEN 2 THEN name ELSE substr(name, 2, 5) END) AS q FROM supplier JOIN sy ON symbol = s_suppkey),
 m AS (SELECT query_id, symbol, lower(qualified) AS u, CASE WHEN lower(qualified) = q THEN 1 WHEN ends_with(lower(qualified), '.' || q) THEN 2 WHEN lower(name) = string_split(q, '.')[-1] THEN 3 ELSE 4 END AS r
   FROM q JOIN sy ON contains(lower(name), q) OR contains(lower(qualified), q)),
 lk AS (SELECT query_id, symbol, ['exact', 'suffix', 'short_name', 'substring'][r] AS method, row_number() OVER (PARTITION BY query_id ORDER BY r, u DESC, symbol)::INT AS position FROM m)"""
@@ -207,12 +207,12 @@ def structure_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     relations = table(spark, sf_dir, "lineitem").select(
         F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("relation_id"), F.lit("calls").alias("kind"), F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("target")
     )
-    found = graph.structure_view(_lookups(spark, sf_dir).where("query_id % 2 = 0"), _symbols(spark, sf_dir).select("symbol", "name", "qualified"), relations)
+    found = graph.structure_view(_lookups(spark, sf_dir), _symbols(spark, sf_dir).select("symbol", "name", "qualified"), relations)
     return found.groupBy("query_id", "symbol", "direction").agg(F.count("relation_id").alias("relations"), F.min("other").alias("least"))
 
 
 STRUCTURE_SQL = f"""WITH {_LOOKUP}, r AS (SELECT l_partkey AS symbol, 'out' AS direction, l_suppkey AS other FROM lineitem UNION ALL SELECT l_suppkey, 'in', l_partkey FROM lineitem)
-SELECT query_id, lk.symbol, direction, count(other) AS relations, min(other) AS least FROM lk LEFT JOIN r ON r.symbol = lk.symbol WHERE position <= 20 AND query_id % 2 = 0 GROUP BY ALL"""
+SELECT query_id, lk.symbol, direction, count(other) AS relations, min(other) AS least FROM lk LEFT JOIN r ON r.symbol = lk.symbol WHERE position <= 20 GROUP BY ALL"""
 
 
 def _code_units(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -307,12 +307,21 @@ SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'see https://[redacted]@' || host |
 
 
 def leak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that redaction would change: those with a secret."""
-    return findings.leaks(table(spark, sf_dir, "documents").where("text not like '%/%' and text not like '%\\\\\\\\%'"), "doc_id", "text").select("doc_id")
+    """Documents, and pages quoted with a local path and an address, that redaction would change."""
+    docs = findings.leaks(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"))
+    quoted = F.concat(F.when(F.col("page_id") % 3 == 0, "saved in /home/").otherwise("seen at "), F.coalesce("url", F.lit("")), F.when(F.col("page_id") % 5 == 0, "?sig=1").otherwise(""))
+    pages = findings.leaks(table(spark, sf_dir, "pages").select("page_id", quoted.alias("text")), "page_id", "text")
+    return docs.unionByName(pages.select(F.lit("page").alias("kind"), F.col("page_id").alias("id")))
 
 
 _KEYED = "(api[_-]?key|access[_-]?token|refresh[_-]?token|token|password|passwd|secret|credential)\\s*[:=]\\s*[^\\s,;\"''`<>]+"
-LEAK_SQL = f"SELECT doc_id FROM documents WHERE text NOT LIKE '%/%' AND NOT contains(text, chr(92)) AND (regexp_matches(text, '(?i){_KEYED}') OR regexp_matches(text, '(?i)authorization\\s*[:=]\\s*[^\\r\\n,;\"''`<>]+'))"
+_LOCAL = "([\"''`])([A-Za-z]:[\\\\/]|\\\\\\\\|/[^/])[^\\r\\n\"''`<>]*[\"''`]|(^|[\\s(\"''`=:])([A-Za-z]:[\\\\/]|\\\\\\\\[^\\r\\n,;\"''`<>]|/[^/\\r\\n,;\"''`<>])"
+LEAK_SQL = f"""WITH d AS (SELECT 'document' AS kind, doc_id AS id, coalesce(text, '') AS t FROM documents UNION ALL
+  SELECT 'page', page_id, CASE WHEN page_id % 3 = 0 THEN 'saved in /home/' ELSE 'seen at ' END || coalesce(url, '') || CASE WHEN page_id % 5 = 0 THEN '?sig=1' ELSE '' END FROM pages)
+SELECT kind, id FROM d WHERE regexp_matches(t, '(?i){_KEYED}') OR regexp_matches(t, '(?i)authorization\\s*[:=]\\s*[^\\r\\n,;\"''`<>]+') OR regexp_matches(t, '(?im){_LOCAL}')
+  OR regexp_matches(t, '(?i)https?://[^\\s\"''`<>#]+#') OR regexp_matches(t, '(?i)https?://[^\\s/\"''`<>@]+@')
+  OR regexp_matches(t, '(?i)[?&](api[_-]?key|access[_-]?token|refresh[_-]?token|token|auth(orization)?|password|passwd|secret|credential|signature|sig)=') OR regexp_matches(t, '(?i)https?://[^\\s\"''`<>?#]+[?]([\\s\"''`<>]|$)')
+  OR regexp_matches(t, '(?i)https?://[^\\s\"''`<>#]+&([\\s\"''`<>]|$)')"""
 
 
 def evidence_stubs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,15 +52,15 @@ def location_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def symbol_window_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows around every tenth line of a document with the token chunks they overlap."""
+    """Windows around every line of a document with the token chunks they overlap."""
     docs = chunks(spark, sf_dir)
-    w = chunking.lines(docs, "chunk_id").where("line_no % 10 = 0").select(F.col("chunk_id").alias("key"), F.greatest(F.col("line_no") - 6, F.lit(1)).alias("start_line"), (F.col("line_no") + 1).alias("end_line"))
+    w = chunking.lines(docs, "chunk_id").select(F.col("chunk_id").alias("key"), F.greatest(F.col("line_no") - 6, F.lit(1)).alias("start_line"), (F.col("line_no") + 1).alias("end_line"))
     u = chunking.token_chunks(docs, "chunk_id").select(F.col("chunk_id").alias("key"), F.col("chunk").alias("unit"), F.col("start_line").alias("unit_start"), F.col("end_line").alias("unit_end"))
     return locate.enclosing(w, u).select("key", "start_line", "end_line", "unit")
 
 
 OVERLAP_SQL = units.CHUNKS_SQL.replace("SELECT chunk_id, chunk, min", ", u AS (SELECT chunk_id, chunk, min", 1) + """),
-w AS (SELECT chunk_id AS key, greatest(line_no - 6, 1)::INT AS start_line, (line_no + 1)::INT AS end_line FROM ln WHERE line_no % 10 = 0)
+w AS (SELECT chunk_id AS key, greatest(line_no - 6, 1)::INT AS start_line, (line_no + 1)::INT AS end_line FROM ln)
 SELECT key, w.start_line, w.end_line, u.chunk AS unit FROM w JOIN u ON u.chunk_id = key AND w.start_line <= u.end_line AND u.start_line <= w.end_line"""
 
 
