@@ -296,6 +296,18 @@ _BLOCK = (
 _BLOCK_NAMES = [c.split()[0] for c in _BLOCK.split(", ")]
 
 
+def _small(x: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x))
+
+
+def _large(b: bytes, kind: type = np.int64) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
+
+
 def _block_row(number: int, ids: list, counts: np.ndarray, groups: list[str], units: np.ndarray, doc_sizes: np.ndarray, unit_pairs: np.ndarray, unit_sizes: np.ndarray) -> pa.RecordBatch:
     """A block's texts as sequences of units, its units as links to its different pairs, and how often each of those occurs."""
     pairs, links = np.unique(unit_pairs, return_inverse=True)
@@ -304,7 +316,7 @@ def _block_row(number: int, ids: list, counts: np.ndarray, groups: list[str], un
     binary = [units.astype(np.uint32), doc_sizes.astype(np.int64), links.astype(np.uint32), unit_sizes.astype(np.int64), pairs, number_of]
     lists = [pa.array([c.tolist()], pa.list_(pa.int64())) for c in counts]
     return pa.RecordBatch.from_arrays(
-        [pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), *lists, pa.array([groups], pa.list_(pa.string())), *(pa.array([b.tobytes()], pa.binary()) for b in binary)],
+        [pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), *lists, pa.array([groups], pa.list_(pa.string())), *(pa.array([_small(b)], pa.binary()) for b in binary)],
         _BLOCK_NAMES,
     )
 
@@ -445,7 +457,7 @@ def _with_counts(blocks: DataFrame) -> DataFrame:
     def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for number, pairs, counts in zip(*(b.column(c).to_pylist() for c in ("block", "pairs", "counts"))):
-                pairs, counts = (np.frombuffer(x, np.int64) for x in (pairs, counts))
+                pairs, counts = _large(pairs), _large(counts)
                 used = counts > 0
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(int(used.sum()), number)), pa.array(pairs[used]), pa.array(counts[used])], ["block", "pair", "n"])
 
@@ -465,15 +477,14 @@ def _with_counts(blocks: DataFrame) -> DataFrame:
 
 
 def _answers(row: dict) -> pa.RecordBatch:
-    pairs = np.frombuffer(row["pairs"], np.int64)
+    pairs = _large(row["pairs"])
     known = np.array(row["known_pair"] or [], np.int64)
     total, best = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
     at = np.searchsorted(pairs, known)
     total[at], best[at] = row["known_total"] or [], row["known_best"] or []
-    links = np.frombuffer(row["links"], np.uint32)
-    unit_stops = np.cumsum(np.frombuffer(row["unit_sizes"], np.int64))
-    unit_sizes = np.frombuffer(row["unit_sizes"], np.int64)
-    units, doc_sizes = np.frombuffer(row["units"], np.uint32), np.frombuffer(row["doc_sizes"], np.int64)
+    links, units = _large(row["links"], np.uint32), _large(row["units"], np.uint32)
+    unit_sizes, doc_sizes = _large(row["unit_sizes"]), _large(row["doc_sizes"])
+    unit_stops = np.cumsum(unit_sizes)
     doc_stops = np.cumsum(doc_sizes)
     sums = []
     for value in (best, total):
