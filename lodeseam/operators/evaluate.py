@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from . import ranges
 
 
 def rank_quality(ranked: DataFrame, gold: DataFrame, cuts: tuple[int, ...] = (5, 10)) -> DataFrame:
@@ -212,10 +213,10 @@ def group_coverage(required: DataFrame, returned: DataFrame) -> DataFrame:
     """task_id, groups, covered, passed: evidence groups of a task of which any alternative overlaps a returned range.
 
     ``required``: task_id, group_id, path, start_line, end_line (alternatives); ``returned``: task_id, path, start_line,
-    end_line.  An equi-join on task and path, the ranges a residual filter.
+    end_line.  Joined by task, path and bins of lines.
     """
     r = returned.select("task_id", "path", F.col("start_line").alias("_from"), F.col("end_line").alias("_to"))
-    hits = required.join(r, ["task_id", "path"]).where((F.col("_from") <= F.col("end_line")) & (F.col("start_line") <= F.col("_to")))
+    hits = ranges.overlapping(required, r, ["task_id", "path"], ("start_line", "end_line"), ("_from", "_to"))
     hits = hits.select("task_id", "group_id").distinct().withColumn("_hit", F.lit(True))
     groups = required.select("task_id", "group_id").distinct().join(hits, ["task_id", "group_id"], "left")
     covered = F.sum(F.coalesce("_hit", F.lit(False)).cast("int"))

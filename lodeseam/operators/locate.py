@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import ranges
+
 #: Words that say nothing about a place in code.
 LOCATION_STOP_WORDS = (
     "a", "after", "an", "and", "another", "are", "as", "asks", "at", "be", "before", "by", "code", "decide", "does", "for", "from", "function",
@@ -267,11 +269,11 @@ def windows(candidates: DataFrame, before: int = 6, after: int = 1, whole: int =
 
 
 def enclosing(windows_: DataFrame, units: DataFrame) -> DataFrame:
-    """Windows with every unit of their file whose lines overlap: an equi-join on the file, the ranges a residual filter.
+    """Windows with every unit of their file whose lines overlap, joined by bins of lines, so a large file is no single task's.
 
     ``windows_``: key, start_line, end_line and more; ``units``: key, unit, unit_start, unit_end.
     """
-    return windows_.join(units, "key").where((F.col("start_line") <= F.col("unit_end")) & (F.col("unit_start") <= F.col("end_line")))
+    return ranges.overlapping(windows_, units, ["key"], ("start_line", "end_line"), ("unit_start", "unit_end"))
 
 
 def drop_overlaps(ranked: DataFrame, limit: int, per_file: int = 2, first_file: int | None = None) -> DataFrame:

@@ -4,17 +4,22 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` once, in the folder of ``spark.checkpoint.dir``, or beside the warehouse where Spark is local: later steps read it, not its plan."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", "")
-    if not folder:
+def folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, or the warehouse's where Spark is local."""
+    path = spark.conf.get("spark.checkpoint.dir", "")
+    if not path:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        path = spark.conf.get("spark.sql.warehouse.dir")
+    return path.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` once, in the shared folder: later steps read it, not its plan."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
