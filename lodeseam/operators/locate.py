@@ -3,13 +3,14 @@ and the units that enclose them."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.shared import written
 from . import ranges
 
 #: Words that say nothing about a place in code.
@@ -210,6 +211,32 @@ def retry_queries(questions: DataFrame, found: DataFrame, least: int = 2, longes
     return rows
 
 
+def recall(questions: DataFrame, units: DataFrame, search: Callable[[DataFrame], DataFrame], least: int = 2) -> DataFrame:
+    """query_id, chunk_id, score: the best score of each chunk over a question's sub-questions, and over retries where fewer than ``least`` places came.
+
+    ``search`` answers a table of query_id, query with query_id, chunk_id, score; all sub-questions are one table, and all
+    retries another, whatever their number.  ``units``: unit_id, content.
+    """
+    parts = questions.select("query_id", F.posexplode(sub_questions(F.col("query"))).alias("part", "query"))
+    first = _asked_as_one(parts, search)
+    best = written(first.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score")), "location-candidates")
+    asked = questions.select("query_id", location_terms(F.col("query")).alias("terms"))
+    thin = asked.join(best.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "left").where(F.coalesce("n", F.lit(0)) < least).drop("n")
+    own = best.join(thin, "query_id").join(units.select(F.col("unit_id").alias("chunk_id"), "content"), "chunk_id")
+    seen = own.select("query_id", F.col("chunk_id").cast("string").alias("place"), F.explode(F.array_intersect("terms", location_terms(F.col("content")))).alias("term"))
+    again = retry_queries(thin, seen, least).select("query_id", F.col("attempt").alias("part"), F.array_join("terms", " ").alias("query"))
+    if again.isEmpty():
+        return best
+    return best.unionByName(_asked_as_one(again, search)).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
+
+
+def _asked_as_one(parts: DataFrame, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Hits of every part (query_id, part, query) under its question."""
+    named = written(parts.withColumn("_key", F.concat_ws("#", F.col("query_id").cast("string"), F.col("part").cast("string"))), "location-parts")
+    hits = search(named.select(F.col("_key").alias("query_id"), "query"))
+    return hits.withColumnRenamed("query_id", "_key").join(named.select("_key", "query_id"), "_key").select("query_id", "chunk_id", "score")
+
+
 def locate(questions: DataFrame, candidates: DataFrame, symbols: DataFrame, relations: DataFrame, units: DataFrame, limit: int = 8) -> DataFrame:
     """query_id, rank, path, start_line, end_line, chunk_id, label, kind, basis: the places that answer a question.
 

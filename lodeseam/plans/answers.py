@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
-from ..operators import chunking, context, evidence, graph, locate
+from ..operators import chunking, context, evidence, graph, lexical, locate
 from ..sources.corpus import chunks, questions, table
 from . import graphs, places, retrieval
 
@@ -167,11 +167,31 @@ a AS (SELECT query_id, 1 AS attempt, list_filter(ts, lambda x: NOT list_contains
 SELECT query_id, attempt, array_to_string(ts, ' ') AS terms FROM a WHERE len(ts) > 0"""
 
 
+def _search(spark: SparkSession, sf_dir: str, k: int = 10):
+    """Answers a table of queries with the k best chunks of each."""
+    own = chunks(spark, sf_dir)
+
+    def search(rows: DataFrame) -> DataFrame:
+        terms = rows.select("query_id", X.query_terms(F.col("query")).alias("terms"))
+        scored = lexical.bm25_top(terms, own, 250).join(own.select("snapshot_id", "chunk_id", "path"), ["snapshot_id", "chunk_id"])
+        return lexical.two_stage_top_k(scored, F.lit(0.0), k).select("query_id", "chunk_id", "score")
+
+    return search
+
+
+def location_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks for pairs of questions asked as one, each with the next."""
+    q = questions(spark, sf_dir)
+    following = q.select((F.col("query_id") - 1).alias("query_id"), F.col("query").alias("_next"))
+    both = F.concat_ws(" and where the ", F.replace("query", F.lit("."), F.lit("")), F.replace("_next", F.lit("."), F.lit("")))
+    return locate.recall(q.join(following, "query_id", "left").select("query_id", both.alias("query")), _code(spark, sf_dir), _search(spark, sf_dir))
+
+
 def locate_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight places for each question: retrieval of its sub-questions, symbols of the documents, windows, ranked together."""
     asked = questions(spark, sf_dir)
-    hits = retrieval.bm25_or_topk(spark, sf_dir).select("query_id", "chunk_id", "score")
     units = _code(spark, sf_dir)
+    hits = locate.recall(asked, units, _search(spark, sf_dir))
     symbols = units.select(F.col("unit_id").alias("symbol"), F.col("symbol").alias("name"), F.concat_ws(".", F.lit("m"), "symbol").alias("qualified"), "kind", "unit_id")
     relations = symbols.select(F.col("symbol").alias("source"), (F.col("symbol") + 1).alias("target"))
     return locate.locate(asked, hits, symbols, relations, units)
@@ -282,7 +302,7 @@ DEFINITIONS_SQL = f"""WITH {_DOTTED}, d AS (SELECT query_id, symbol, row_number(
 SELECT query_id, symbol AS chunk_id, p_brand AS path, 1000.0::DOUBLE AS score FROM d JOIN part ON p_partkey = symbol WHERE n = 1"""
 
 QUERIES = {
-    "symbol_term": symbol_term, "normalized_candidates": normalized_candidates, "specialist_merge": specialist_merge, "evidence_references": evidence_references, "pack_texts": pack_texts,
+    "symbol_term": symbol_term, "location_candidates": location_candidates, "normalized_candidates": normalized_candidates, "specialist_merge": specialist_merge, "evidence_references": evidence_references, "pack_texts": pack_texts,
     "executable_hits": executable_hits, "symbol_matches": symbol_matches, "location_ranks": location_ranks, "retry_queries": retry_queries, "locate_code": locate_code, "evidence_shown": evidence_shown,
     "needs_more": needs_more, "target_location": target_location, "phrase_recall": phrase_recall, "context_bundle": context_bundle, "recovery_order": recovery_order, "named_definitions": named_definitions,
 }
