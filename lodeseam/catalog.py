@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import answers, captures, contexts, corpus, graphs, isolated, maps, nested, parsing, publishing, places, retrieval, snapshots
+from .plans import answers, bindings, captures, contexts, corpus, graphs, isolated, maps, nested, parsing, publishing, places, retrieval, snapshots
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules that each offer QUERIES (name -> callable) and ORACLES (name -> SQL).
-_MODULES = (retrieval, corpus, graphs, places, contexts, snapshots, maps, captures, answers, parsing, isolated, nested, publishing)
+_MODULES = (retrieval, corpus, graphs, places, contexts, snapshots, maps, captures, answers, parsing, isolated, nested, publishing, bindings)
 
 
 def queries() -> dict[str, Query]:
