@@ -195,7 +195,7 @@ def config_rows(docs: DataFrame) -> DataFrame:
                     if not name.endswith((".json", ".toml")):
                         raise ValueError(name)
                     root = json.loads(content or "") if name.endswith(".json") else tomllib.loads(content or "")
-                except ValueError:
+                except (ValueError, RecursionError):
                     out.append((snapshot, path, 0, "$", None, "fallback", content, None))
                     continue
                 todo, n = [("$", None, None, root)], 0
@@ -235,12 +235,22 @@ def python_symbols(docs: DataFrame) -> DataFrame:
 
     One tagged row per fact: snapshot_id, path, fact ('symbol', 'relation' or 'diagnostic'), kind, name (qualified; of a
     relation the source), target, start_line, end_line, is_async, signature, decorators (comma-joined), alias (of an import)
-    and confidence (of a call: 1 for a name of the module itself, 0.95 through an import or self).  A file that does not
-    parse gives a diagnostic.
+    and confidence (of a call: 1 for a name of the module itself, 0.95 through an import or self).  An import counts in the
+    class or function it stands in, and below.  A file that does not parse, or is nested too deeply, gives a diagnostic.
     """
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import ast
+        from collections import deque
+
+        def bound(head: str, owner: str, imported: dict[tuple[str, str], str]) -> str | None:
+            """What a name was imported as, in its own scope or one around it."""
+            while True:
+                if (owner, head) in imported:
+                    return imported[owner, head]
+                if "." not in owner:
+                    return None
+                owner = owner.rpartition(".")[0]
 
         columns = [c.split()[0] for c in _FACT.split(", ")]
         for f in frames:
@@ -253,50 +263,55 @@ def python_symbols(docs: DataFrame) -> DataFrame:
 
                 try:
                     tree = ast.parse(content or "")
-                except (SyntaxError, ValueError) as e:
+                except (SyntaxError, ValueError, MemoryError, RecursionError) as e:
                     line = getattr(e, "lineno", None) or 1
-                    add("diagnostic", "syntax_error", module, str(e)[:200], line, line)
+                    add("diagnostic", "syntax_error", module, str(e)[:200] or "nested too deeply", line, line)
                     continue
+                before = len(out)
                 add("symbol", "module", module, None, 1, max(1, len((content or "").splitlines())))
-                imported: dict[str, str] = {}
+                imported: dict[tuple[str, str], str] = {}
                 own = {n.name for n in tree.body if isinstance(n, ast.ClassDef | ast.FunctionDef | ast.AsyncFunctionDef)}
-                todo: list[tuple[ast.AST, str, str, str]] = [(n, module, "module", "") for n in tree.body]
-                while todo:
-                    node, owner, inside, class_ = todo.pop(0)
-                    name = owner
-                    if isinstance(node, ast.ClassDef | ast.FunctionDef | ast.AsyncFunctionDef):
-                        name = f"{owner}.{node.name}"
-                        is_class = isinstance(node, ast.ClassDef)
-                        kind = "class" if is_class else "method" if inside == "class" else "function"
-                        signature = f"class {node.name}" if is_class else f"def {node.name}({ast.unparse(node.args)})" + (f" -> {ast.unparse(node.returns)}" if node.returns else "")
-                        add("symbol", kind, name, None, node.lineno, node.end_lineno, is_async=isinstance(node, ast.AsyncFunctionDef), signature=signature, decorators=",".join(map(ast.unparse, node.decorator_list)))
-                        add("relation", "contains", owner, name, node.lineno, node.lineno, confidence=1.0)
-                        if is_class:
-                            for b in node.bases:
-                                add("relation", "inherits", name, ast.unparse(b), node.lineno, node.lineno, confidence=1.0)
-                            class_ = name
-                        inside = "class" if is_class else "function"
-                    elif isinstance(node, ast.Import):
-                        for a in node.names:
-                            imported[a.asname or a.name.split(".")[0]] = a.name if a.asname else a.name.split(".")[0]
-                            add("relation", "imports", owner, a.name, node.lineno, node.lineno, alias=a.asname, confidence=1.0)
-                    elif isinstance(node, ast.ImportFrom):
-                        base = "." * node.level + (node.module or "")
-                        for a in node.names:
-                            target = f"{base}.{a.name}" if node.module else f"{base}{a.name}"
-                            imported[a.asname or a.name] = target
-                            add("relation", "imports", owner, target, node.lineno, node.lineno, alias=a.asname, confidence=1.0)
-                    elif isinstance(node, ast.Call) and isinstance(node.func, ast.Name | ast.Attribute):
-                        said = ast.unparse(node.func)
-                        head, _, rest = said.partition(".")
-                        if head in ("self", "cls") and class_ and rest:
-                            target, sure = f"{class_}.{rest}", 0.95
-                        elif head in imported:
-                            target, sure = imported[head] + (f".{rest}" if rest else ""), 0.95
-                        else:
-                            target, sure = (f"{module}.{said}", 1.0) if said in own else (said, 0.5)
-                        add("relation", "calls", owner, target, node.lineno, node.lineno, confidence=sure)
-                    todo += [(c, name, inside, class_) for c in ast.iter_child_nodes(node)]
+                todo = deque((n, module, "module", "") for n in tree.body)
+                try:
+                    while todo:
+                        node, owner, inside, class_ = todo.popleft()
+                        name = owner
+                        if isinstance(node, ast.ClassDef | ast.FunctionDef | ast.AsyncFunctionDef):
+                            name = f"{owner}.{node.name}"
+                            is_class = isinstance(node, ast.ClassDef)
+                            kind = "class" if is_class else "method" if inside == "class" else "function"
+                            signature = f"class {node.name}" if is_class else f"def {node.name}({ast.unparse(node.args)})" + (f" -> {ast.unparse(node.returns)}" if node.returns else "")
+                            add("symbol", kind, name, None, node.lineno, node.end_lineno, is_async=isinstance(node, ast.AsyncFunctionDef), signature=signature, decorators=",".join(map(ast.unparse, node.decorator_list)))
+                            add("relation", "contains", owner, name, node.lineno, node.lineno, confidence=1.0)
+                            if is_class:
+                                for b in node.bases:
+                                    add("relation", "inherits", name, ast.unparse(b), node.lineno, node.lineno, confidence=1.0)
+                                class_ = name
+                            inside = "class" if is_class else "function"
+                        elif isinstance(node, ast.Import):
+                            for a in node.names:
+                                imported[owner, a.asname or a.name.split(".")[0]] = a.name if a.asname else a.name.split(".")[0]
+                                add("relation", "imports", owner, a.name, node.lineno, node.lineno, alias=a.asname, confidence=1.0)
+                        elif isinstance(node, ast.ImportFrom):
+                            base = "." * node.level + (node.module or "")
+                            for a in node.names:
+                                target = f"{base}.{a.name}" if node.module else f"{base}{a.name}"
+                                imported[owner, a.asname or a.name] = target
+                                add("relation", "imports", owner, target, node.lineno, node.lineno, alias=a.asname, confidence=1.0)
+                        elif isinstance(node, ast.Call) and isinstance(node.func, ast.Name | ast.Attribute):
+                            said = ast.unparse(node.func)
+                            head, _, rest = said.partition(".")
+                            if head in ("self", "cls") and class_ and rest:
+                                target, sure = f"{class_}.{rest}", 0.95
+                            elif (origin := bound(head, owner, imported)) is not None:
+                                target, sure = origin + (f".{rest}" if rest else ""), 0.95
+                            else:
+                                target, sure = (f"{module}.{said}", 1.0) if said in own else (said, 0.5)
+                            add("relation", "calls", owner, target, node.lineno, node.lineno, confidence=sure)
+                        todo += [(c, name, inside, class_) for c in ast.iter_child_nodes(node)]
+                except RecursionError:
+                    del out[before:]
+                    add("diagnostic", "syntax_error", module, "nested too deeply", 1, 1)
             yield pd.DataFrame(out, columns=columns)
 
     return docs.select("snapshot_id", "path", "content").mapInPandas(each, _FACT)

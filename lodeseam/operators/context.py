@@ -106,7 +106,7 @@ def overlap(question: Column, path: Column, symbol: Column, title: Column) -> Co
 
 
 def coverage(evidence: DataFrame) -> DataFrame:
-    """query_id, evidence, files, test_files, definitions, impacts, off_topic, definition_shown, impact_shown, test_shown, source_shown.
+    """query_id, evidence, files, test_files, definitions, impacts, off_topic, test_shown, source_shown.
 
     ``evidence``: query_id, path, overlap, is_impact, is_definition.  A batch is off topic if no row shares a term with the
     question; a test is shown by a term in common, source by two.

@@ -152,15 +152,21 @@ r AS (SELECT cc.snapshot_id, card_id, ids, row_number() OVER (PARTITION BY cc.sn
 SELECT snapshot_id, card_id, unnest(ids[1:4]) AS unit_id FROM r WHERE n <= 12"""
 
 
+_CODE_LINES = ("y = Eval(x)", "subprocess.run(c, shell=True)", "PASSWORD = read()", "yaml.load(f); pickle.loads(b)", "evaluated")
+
+
 def security_review(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages and documents that hold a term of any group."""
+    """Pages, documents, and documents with a line of code below, that hold a term of any group."""
     pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("key"), F.col("html").alias("content"))
     docs = chunks(spark, sf_dir).select(F.concat(F.lit("d"), F.col("chunk_id").cast("string")).alias("key"), "content")
-    return findings.security_review(pages.unionByName(docs), "key").select("key", F.array_join("rules", ",").alias("rules"))
+    line = F.element_at(F.array(*map(F.lit, _CODE_LINES)), (F.col("chunk_id") % 5 + 1).cast("int"))
+    code = chunks(spark, sf_dir).select(F.concat(F.lit("c"), F.col("chunk_id").cast("string")).alias("key"), F.concat_ws("\n", "content", line).alias("content"))
+    return findings.security_review(pages.unionByName(docs).unionByName(code), "key").select("key", F.array_join("rules", ",").alias("rules"))
 
 
 _RULES = ", ".join(f"CASE WHEN {' OR '.join(f'contains(t, {chr(39)}{x}{chr(39)})' for x in terms)} THEN '{title}' END" for title, terms in findings.SECURITY_TERMS.items())
-SECURITY_SQL = f"""WITH u AS (SELECT 'p' || page_id AS key, lower(coalesce(html, '')) AS t FROM pages UNION ALL SELECT 'd' || doc_id, lower(coalesce(text, '')) FROM documents),
+SECURITY_SQL = f"""WITH u AS (SELECT 'p' || page_id AS key, lower(coalesce(html, '')) AS t FROM pages UNION ALL SELECT 'd' || doc_id, lower(coalesce(text, '')) FROM documents
+  UNION ALL SELECT 'c' || doc_id, lower(concat_ws(chr(10), text, {list(_CODE_LINES)}[doc_id % 5 + 1])) FROM documents),
 r AS (SELECT key, concat_ws(',', {_RULES}) AS rules FROM u) SELECT * FROM r WHERE rules <> ''"""
 
 
