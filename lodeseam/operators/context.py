@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import graph
+
 from .locate import LOCATION_STOP_WORDS, identifier_terms
 
 #: Words that signal an intent; those of letters only must be whole terms, the others may stand anywhere.
@@ -180,6 +182,27 @@ def target_location(locations: DataFrame) -> DataFrame:
     return locations.groupBy("query_id").agg(F.max_by(F.struct("label", "path", "chunk_id"), key).alias("x")).select("query_id", "x.*")
 
 
+def structured_answers(anchors: DataFrame, definitions: DataFrame, edges: DataFrame, references: DataFrame, units: DataFrame, files: DataFrame) -> dict[str, DataFrame]:
+    """impact, tests and symbol rows, as ``supplement`` takes them, of the symbol that each question is about.
+
+    ``anchors``: query_id, snapshot_id, symbol; ``definitions``, ``edges`` and ``references`` as ``graph.impact_evidence`` takes
+    them; ``units``: unit_id, path, start_line, end_line; ``files``: snapshot_id, path, is_test.  Impact is what calls or names
+    the symbol, best score first; tests are test and entry files on the symbol's impact paths, or the snapshot's; the
+    symbol is its definition.
+    """
+    asked, place = anchors.select("query_id", "symbol"), units.select("unit_id", "start_line", "end_line")
+    known = definitions.join(asked.select("symbol").distinct(), "symbol", "left_semi")
+    reached = graph.impact_evidence(known, edges, references, units).join(asked, "symbol")
+    nth = lambda *by: F.row_number().over(Window.partitionBy("query_id").orderBy(*by))
+    shape = lambda rows: rows.select("query_id", "ord", F.col("unit_id").alias("chunk_id"), "path", "start_line", "end_line")
+    impact = reached.where(F.col("group") != "definition").join(place, "unit_id").withColumn("ord", nth(F.desc("score"), "path", "unit_id"))
+    tests = graph.related_tests(reached.select("query_id", "path"), files, anchors.select("query_id", "snapshot_id"))
+    first = units.groupBy("path").agg(F.min(F.struct("start_line", "end_line", "unit_id")).alias("x")).select("path", "x.*")
+    tests = tests.join(first, "path").withColumn("ord", nth("basis", "path"))
+    symbol = asked.join(definitions, "symbol").join(units.select("unit_id", "path", "start_line", "end_line"), "unit_id").withColumn("ord", nth("path", "unit_id"))
+    return {"impact": shape(impact), "tests": shape(tests), "symbol": shape(symbol)}
+
+
 def supplement(asked: DataFrame, plans: dict[str, DataFrame], each: int = 4) -> DataFrame:
     """Rows of the structured answers that a question's gap calls for, at most ``each`` of an answer.
 

@@ -268,10 +268,43 @@ def context_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = questions(spark, sf_dir).withColumn("query", F.concat("query", tail))
     best = retrieval.bm25_cooccur_topk(spark, sf_dir)
     primary = best.select("query_id", F.col("rank").alias("ord"), "chunk_id", "path", F.lit(1).alias("start_line"), F.lit(9).alias("end_line"), F.lit("").alias("symbol"), F.lit("").alias("title"), F.lit("").alias("role"))
-    near = best.where("rank <= 2").select("query_id", "rank", (F.col("chunk_id") + 1).alias("chunk_id"))
-    near = near.join(chunks(spark, sf_dir).select("chunk_id", "path"), "chunk_id").select("query_id", F.col("rank").alias("ord"), "chunk_id", "path", F.lit(1).alias("start_line"), F.lit(5).alias("end_line"))
-    plans = {"impact": near, "tests": near.withColumn("path", F.concat(F.lit("tests/"), "path")), "symbol": near.where("ord = 1")}
-    return context.assemble(asked, primary, phrase_recall(spark, sf_dir), plans)
+    return context.assemble(asked, primary, phrase_recall(spark, sf_dir), _structure(spark, sf_dir, best))
+
+
+def _structure(spark: SparkSession, sf_dir: str, best: DataFrame) -> dict[str, DataFrame]:
+    """What calls, tests and defines the function of each question's best document.
+
+    Every document is a file of code with a function named by its number and, below its text, a call of the one of half its number;
+    one in four files is a test.  Calls from files of the same language are resolved, others are found by name.
+    """
+    number = F.col("chunk_id").cast("string")
+    base = chunks(spark, sf_dir).select("snapshot_id", "chunk_id", "language", F.concat(F.when(F.col("chunk_id") % 4 == 3, "src/tests/").otherwise("src/app/"), "language", F.lit("/d"), number, F.lit(".py")).alias("path"), "content")
+    half = F.floor(F.col("chunk_id") / 2)
+    code = base.select(F.col("chunk_id").alias("unit_id"), "path", F.concat(F.coalesce("content", F.lit("")), F.lit("\nfn_"), half.cast("string"), F.lit("(x)")).alias("content"))
+    definitions = base.select(F.col("chunk_id").alias("symbol"), F.col("chunk_id").alias("unit_id"))
+    called = base.select(F.col("chunk_id").alias("target"), F.col("language").alias("_lang"))
+    edges = base.select(F.col("chunk_id").alias("source_unit"), half.alias("target"), "language").join(called, "target").where("language <=> _lang and source_unit <> target").select("source_unit", "target")
+    anchors = best.where("rank = 1").join(base.select("snapshot_id", "chunk_id"), "chunk_id").select("query_id", "snapshot_id", F.col("chunk_id").alias("symbol"))
+    targets = anchors.select("symbol", F.concat(F.lit("fn_"), F.col("symbol").cast("string")).alias("name"), F.col("symbol").alias("unit_id")).distinct()
+    resolved = edges.select(F.col("target").alias("symbol"), F.col("source_unit").alias("unit_id"))
+    references = graph.reference_candidates(targets, code).join(resolved, ["symbol", "unit_id"], "left_anti")
+    units = code.select("unit_id", "path", F.lit(1).alias("start_line"), F.greatest(F.size(X.split_lines(F.col("content"))), F.lit(1)).alias("end_line"))
+    files = base.select("snapshot_id", "path", (F.col("chunk_id") % 4 == 3).alias("is_test"))
+    return context.structured_answers(anchors, definitions, edges, references, units, files)
+
+
+def structured_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The impact and definition rows of the best document of each question."""
+    plans = _structure(spark, sf_dir, retrieval.bm25_or_topk(spark, sf_dir))
+    rows = plans["impact"].withColumn("answer", F.lit("impact")).unionByName(plans["symbol"].withColumn("answer", F.lit("symbol")))
+    return rows.select("query_id", "answer", "ord", "chunk_id", "path")
+
+
+STRUCTURED_SQL = f"""WITH b AS (SELECT query_id, chunk_id AS s FROM ({retrieval.BM25_OR_SQL}) WHERE rank = 1),
+d AS (SELECT doc_id AS u, lang, CASE WHEN doc_id % 4 = 3 THEN 'src/tests/' ELSE 'src/app/' END || lang || '/d' || doc_id || '.py' AS path FROM documents),
+c AS (SELECT b.query_id, b.s, d.u, d.path, CASE WHEN d.lang IS NOT DISTINCT FROM t.lang THEN 980 WHEN contains(d.path, 'test') THEN 900 ELSE 950 END AS score FROM b JOIN d ON d.u // 2 = b.s AND d.u <> b.s JOIN d t ON t.u = b.s)
+SELECT query_id, 'impact' AS answer, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path, u)::INT AS ord, u AS chunk_id, path FROM c
+UNION ALL SELECT query_id, 'symbol', 1, s, path FROM b JOIN d ON u = s"""
 
 
 def recovery_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -302,12 +335,12 @@ DEFINITIONS_SQL = f"""WITH {_DOTTED}, d AS (SELECT query_id, symbol, row_number(
 SELECT query_id, symbol AS chunk_id, p_brand AS path, 1000.0::DOUBLE AS score FROM d JOIN part ON p_partkey = symbol WHERE n = 1"""
 
 QUERIES = {
-    "symbol_term": symbol_term, "location_candidates": location_candidates, "normalized_candidates": normalized_candidates, "specialist_merge": specialist_merge, "evidence_references": evidence_references, "pack_texts": pack_texts,
+    "symbol_term": symbol_term, "structured_rows": structured_rows, "location_candidates": location_candidates, "normalized_candidates": normalized_candidates, "specialist_merge": specialist_merge, "evidence_references": evidence_references, "pack_texts": pack_texts,
     "executable_hits": executable_hits, "symbol_matches": symbol_matches, "location_ranks": location_ranks, "retry_queries": retry_queries, "locate_code": locate_code, "evidence_shown": evidence_shown,
     "needs_more": needs_more, "target_location": target_location, "phrase_recall": phrase_recall, "context_bundle": context_bundle, "recovery_order": recovery_order, "named_definitions": named_definitions,
 }
 ORACLES = {
-    "symbol_term": SYMBOL_TERM_SQL, "normalized_candidates": NORMALIZED_SQL, "specialist_merge": SPECIALIST_SQL, "evidence_references": REFERENCES_SQL, "pack_bundle": PACK_SQL,
+    "symbol_term": SYMBOL_TERM_SQL, "structured_rows": STRUCTURED_SQL, "normalized_candidates": NORMALIZED_SQL, "specialist_merge": SPECIALIST_SQL, "evidence_references": REFERENCES_SQL, "pack_bundle": PACK_SQL,
     "symbol_matches": SYMBOL_MATCHES_SQL, "location_ranks": RANKS_SQL, "retry_queries": RETRY_SQL, "evidence_shown": SHOWN_SQL, "needs_more": NEEDS_SQL, "target_location": TARGET_SQL,
     "phrase_recall": PHRASE_SQL, "recovery_order": RECOVERY_SQL, "named_definitions": DEFINITIONS_SQL,
 }
