@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
-from ..operators import chunking, context, evidence, graph, lexical, locate
+from ..operators import context, evidence, graph, lexical, locate
 from ..sources.corpus import chunks, questions, table
 from . import graphs, places, retrieval
 
