@@ -335,7 +335,10 @@ def _decide(rows: DataFrame, level: int) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_size: int = BLOCK, strip: int = STRIP, part_size: int = PART, members_size: int = MEMBERS) -> DataFrame:
-    """doc_id, n_bytes, spans (array of start and stop of the maximal removed runs), kept (the remaining bytes)."""
+    """doc_id, n_bytes, spans (array of start and stop of the maximal removed runs), kept (the remaining bytes).
+
+    ``docs`` is scanned twice and has to give its rows in the same order, as a table does: write anything else first.
+    """
     spark: SparkSession = docs.sparkSession
     wide = length - gram + 1
     if not 1 <= wide <= 127:
