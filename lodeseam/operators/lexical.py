@@ -197,7 +197,7 @@ def build_index(chunks: DataFrame, path: str, weights: dict[str, float] = WEIGHT
 
 
 def bm25_indexed(queries: DataFrame, path: str, least_terms: int = 1) -> DataFrame:
-    """``bm25`` over a written index: texts are not read, and row groups without a query's term are skipped."""
+    """``bm25`` over a written index: texts are not read.  ``blocks`` is the index that skips."""
     spark = queries.sparkSession
     asked = queries.select(*scope(queries), F.explode("terms").alias("term"))
     found = spark.read.parquet(f"{path}/postings").join(asked.select("term").distinct(), "term", "left_semi")

@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import fusion, lexical, semantic
+from ..operators import blocks, fusion, lexical, semantic
 from ..sources.corpus import chunks, questions
 from ..sources.shared import folder
 from . import retrieval as R
@@ -100,10 +100,19 @@ def bm25_indexed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.two_stage_top_k(scored, F.lit(0.0), 10).select("snapshot_id", "query_id", "rank", "chunk_id", "path", "score")
 
 
+def bm25_blocks_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """bm25_snapshots from a written index of blocks, where those that cannot hold one of the best are not scored."""
+    own = _chunks(spark, sf_dir)
+    path = f"{folder(spark)}/blocks-{uuid.uuid4().hex}"
+    blocks.build(own, path, slots=16)
+    scored = blocks.top(R._terms(spark, sf_dir), path, 50).join(own.select("snapshot_id", "chunk_id", "path"), ["snapshot_id", "chunk_id"])
+    return lexical.two_stage_top_k(scored, F.lit(0.0), 10).select("snapshot_id", "query_id", "rank", "chunk_id", "path", "score")
+
+
 INDEXED_SQL = _SCORED_SQL.replace(
     "UNION ALL SELECT chunk_id, language, 1.0 FROM ch)",
     "UNION ALL SELECT chunk_id, language, 1.0 FROM ch UNION ALL SELECT chunk_id, array_to_string(string_split(coalesce(content, ''), ' ')[1:3], ' '), 1.5 FROM ch UNION ALL SELECT chunk_id, regexp_extract(coalesce(content, ''), '^([A-Za-z]+)', 1), 2.0 FROM ch)",
 ) + " SELECT snapshot_id, query_id, rank, chunk_id, path, score FROM rk WHERE rank <= 10"
 
-QUERIES = {"bm25_indexed_topk": bm25_indexed_topk, "bm25_snapshots": bm25_snapshots, "hybrid_snapshots": hybrid_snapshots}
-ORACLES = {"bm25_indexed_topk": INDEXED_SQL, "bm25_snapshots": BM25_SQL, "hybrid_snapshots": HYBRID_SQL}
+QUERIES = {"bm25_blocks_topk": bm25_blocks_topk, "bm25_indexed_topk": bm25_indexed_topk, "bm25_snapshots": bm25_snapshots, "hybrid_snapshots": hybrid_snapshots}
+ORACLES = {"bm25_blocks_topk": BM25_SQL, "bm25_indexed_topk": INDEXED_SQL, "bm25_snapshots": BM25_SQL, "hybrid_snapshots": HYBRID_SQL}
