@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from . import files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,28 +29,40 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """path (below root), location, length, language, is_test of files outside ignored folders.  No content is read."""
+    return _named(files.read_folder(spark, root, contents=False).drop("content") if files.reaches(root) else _listed(spark, root))
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    return rows.select("*", X.detect_language(F.col("path")).alias("language"), X.is_test_path(F.col("path")).alias("is_test"))
+
+
+def _listed(spark: SparkSession, root: str) -> DataFrame:
+    """Files of a store that only Spark opens; its file source lists no empty ones."""
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
     base = root.split("://")[-1].rstrip("/") + "/"
     named = listed.select(F.element_at(F.split(F.col("path"), base, 2), -1).alias("path"), F.col("path").alias("location"), "length")
-    return named.where(~X.is_ignored(F.col("path"))).select("*", X.detect_language(F.col("path")).alias("language"), X.is_test_path(F.col("path")).alias("is_test"))
+    return named.where(~X.is_ignored(F.col("path")))
 
 
-def scan_files(spark: SparkSession, root: str, max_bytes: int = 10 << 20) -> DataFrame:
-    """Files under ``root`` without ignored folders: path, length, language, is_test, is_binary, indexable, ignored_reason,
-    file_type, content_sha1, line_count, text (null where not indexable).
-
-    Files of an unsupported type over ``max_bytes`` are classified by name; all others have their bytes read.  The file
-    source drops those by length and name before it opens them; small files of ignored folders are read and then dropped.  It lists no empty
-    files, so those are not in the result.
-    """
-    named = list_files(spark, root)
+def _loaded(spark: SparkSession, root: str, max_bytes: int) -> DataFrame:
+    """``_listed`` with contents: the file source drops large files of unsupported types before it opens them."""
     load = lambda: spark.read.format("binaryFile").option("recursiveFileLookup", True)
     letters = lambda name: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in name)
     supported = "{" + ",".join([*(f"?*{letters(x)}" for x in X.LANGUAGES), *map(letters, X.TEXT_NAMES)]) + "}"
     small = load().load(root).where(F.col("length") <= max_bytes)
     large = load().option("pathGlobFilter", supported).load(root).where(F.col("length") > max_bytes)
-    bytes_ = small.unionByName(large).select(F.col("path").alias("location"), "content")
-    rows = named.join(bytes_, "location", "left")
+    return _listed(spark, root).join(small.unionByName(large).select(F.col("path").alias("location"), "content"), "location", "left")
+
+
+def scan_files(spark: SparkSession, root: str, max_bytes: int = 10 << 20) -> DataFrame:
+    """Files under ``root`` without ignored folders: path, length, language, is_test, is_binary, indexable, ignored_reason,
+    file_type, content_sha1, line_count, text (null where not indexable).
+
+    Files of an unsupported type over ``max_bytes`` are classified by name; all others have their bytes read.  Mounted folders
+    and object stores are read by ``files``, empty files included and ignored folders unopened; stores that only Spark opens by
+    its file source, which lists no empty files and reads small files of ignored folders before they are dropped.
+    """
+    rows = _named(files.read_folder(spark, root, max_bytes=max_bytes) if files.reaches(root) else _loaded(spark, root, max_bytes))
     head = F.substring("content", 1, 8192)
     start = F.hex(F.substring("content", 1, 2))
     wide = start.isin("FFFE", "FEFF")
