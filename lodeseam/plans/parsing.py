@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import chunking, findings
 from ..sources.corpus import chunks, table
+from .corpus import _EST, _LINES_CTE
 
 _CODE = "import os\n\n\n@cached\ndef f{n}(a, b=1) -> int:\n    return os.getcwd()\n\n\nclass C{n}(Base):\n    async def m(self):\n        self.k()\n        return f{n}(1)\n"
 _JSON = '{"b": [1, {"x": "y"}], "a": {n}}'
@@ -91,16 +92,51 @@ def token_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.slices(docs, "chunk_id", 300, 60).withColumn("content", F.md5("content"))
 
 
+#: Line by line: ``opened`` is the first line of the open slice, ``taken`` the last line; a full slice is emitted by the row after it.
+SLICES_SQL = f"""WITH RECURSIVE {_LINES_CTE}, s AS (SELECT chunk_id, line_no, line, len(regexp_extract_all(line, '{_EST}')) AS n FROM ln),
+tot AS (SELECT chunk_id, count(*) AS c, sum(n) AS t FROM s GROUP BY 1),
+r(chunk_id, taken, opened, tokens, latest, e_from, e_to, e_tokens) AS (
+  SELECT chunk_id, 0::BIGINT, 1::BIGINT, 0::BIGINT, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT FROM tot WHERE t > 300 AND c > 1
+  UNION ALL
+  SELECT chunk_id, taken + 1, CASE WHEN back THEN taken WHEN is_full THEN taken + 1 ELSE opened END, CASE WHEN back THEN latest WHEN is_full THEN 0 ELSE tokens END + n, n,
+    CASE WHEN is_full THEN opened END, CASE WHEN is_full THEN taken END, CASE WHEN is_full THEN tokens END
+  FROM (SELECT *, is_full AND latest <= 60 AND latest + n <= 300 AND taken > opened AS back
+    FROM (SELECT r.*, s.n, taken >= opened AND tokens + s.n > 300 AS is_full FROM r JOIN s ON s.chunk_id = r.chunk_id AND s.line_no = r.taken + 1))),
+cut AS (SELECT chunk_id, e_from AS a, e_to AS b, e_tokens AS tokens FROM r WHERE e_from IS NOT NULL
+  UNION ALL SELECT r.chunk_id, opened, taken, tokens FROM r JOIN tot ON tot.chunk_id = r.chunk_id AND r.taken = tot.c
+  UNION ALL SELECT chunk_id, 1, c, t FROM tot WHERE t <= 300 OR c = 1)
+SELECT cut.chunk_id, (dense_rank() OVER (PARTITION BY cut.chunk_id ORDER BY b) - 1)::INT AS slice, a::INT AS start_line, b::INT AS end_line, any_value(tokens)::INT AS tokens, md5(string_agg(line, chr(10) ORDER BY line_no)) AS content
+FROM cut JOIN s ON s.chunk_id = cut.chunk_id AND line_no BETWEEN a AND b GROUP BY cut.chunk_id, a, b"""
+
+
 def paragraph_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as paragraphs, cut at 1,500 characters."""
     docs = chunks(spark, sf_dir).withColumn("start_line", F.lit(1))
     return chunking.split_paragraphs(docs, "chunk_id").withColumn("content", F.md5("content"))
 
 
+#: ``past`` counts the characters of earlier lines; ``far`` is the last line from which 120 characters lie before this one.
+PARTS_SQL = """WITH RECURSIVE l AS (SELECT doc_id AS chunk_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+x AS (SELECT chunk_id, unnest(range(len(l))) AS i, unnest(l) AS line FROM l),
+y AS (SELECT *, length(line) + 1 AS n, coalesce(sum(length(line) + 1) OVER (PARTITION BY chunk_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS past FROM x),
+s AS (SELECT y.*, coalesce(z.i, 0) AS far FROM y ASOF LEFT JOIN y z ON y.chunk_id = z.chunk_id AND y.past - 120 >= z.past),
+r(chunk_id, taken, opened, size, e_from, e_to) AS (
+  SELECT DISTINCT chunk_id, 0::BIGINT, 0::BIGINT, 0::BIGINT, NULL::BIGINT, NULL::BIGINT FROM l
+  UNION ALL
+  SELECT chunk_id, taken + 1, CASE WHEN NOT is_full THEN opened WHEN got + n > 1500 THEN taken ELSE back END, CASE WHEN NOT is_full THEN size WHEN got + n > 1500 THEN 0 ELSE got END + n,
+    CASE WHEN is_full THEN opened END, CASE WHEN is_full THEN taken - 1 END
+  FROM (SELECT q.*, q.past - b.past AS got FROM (
+    SELECT r.*, s.n, s.past, size > 0 AND size + s.n > 1500 AS is_full, least(taken, greatest(opened + 1, s.far)) AS back FROM r JOIN s ON s.chunk_id = r.chunk_id AND s.i = r.taken) q
+    JOIN s b ON b.chunk_id = q.chunk_id AND b.i = q.back)),
+cut AS (SELECT chunk_id, e_from AS a, e_to AS b FROM r WHERE e_from IS NOT NULL UNION ALL SELECT r.chunk_id, opened, taken - 1 FROM r JOIN l ON l.chunk_id = r.chunk_id AND r.taken = len(l.l))
+SELECT cut.chunk_id, (dense_rank() OVER (PARTITION BY cut.chunk_id ORDER BY b) - 1)::INT AS part, (a + 1)::INT AS start_line, (b + 1)::INT AS end_line, md5(string_agg(line, chr(10) ORDER BY i)) AS content
+FROM cut JOIN x ON x.chunk_id = cut.chunk_id AND i BETWEEN a AND b GROUP BY cut.chunk_id, a, b"""
+
 QUERIES = {
     "parse_files": parse_files, "python_facts": python_facts, "structure_findings": structure_findings, "top_level_nodes": top_level_nodes, "config_rows": config_rows,
     "token_slices": token_slices, "paragraph_parts": paragraph_parts,
 }
 ORACLES = {
     "parse_files": PARSE_SQL, "python_facts": FACTS_SQL, "structure_findings": STRUCTURE_FINDINGS_SQL, "top_level_nodes": TOP_SQL, "config_rows": CONFIG_ROWS_SQL,
+    "token_slices": SLICES_SQL, "paragraph_parts": PARTS_SQL,
 }
