@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import chunking, corpus_map, findings
-from ..sources.corpus import chunks, table
+from ..sources.corpus import chunks, list_files, table
+from ..sources.shared import folder
 
 _LINES = r"string_split_regex(coalesce(text, ''), '\r\n|[\n\x0B\f\r\x1C-\x1E\x{85}\x{2028}\x{2029}]')"
 _SPLIT = f"CASE WHEN l[-1] = '' THEN l[1:len(l) - 1] ELSE l END"
@@ -285,17 +288,29 @@ g AS (SELECT *, CASE ext WHEN '.py' THEN 'python' WHEN '.ts' THEN 'typescript' W
   page_id % 8 IN (6, 7) AS is_test FROM e)
 SELECT page_id, language, is_test, false AS ignored, CASE WHEN language = 'markdown' THEN 'docs' WHEN is_test THEN 'tests' WHEN language = 'json' THEN 'config' WHEN language IS NOT NULL THEN 'source' ELSE 'other' END AS class FROM g"""
 
+def listed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as text files, a folder for each source and language, and the bytes that a scan lists in each."""
+    own = table(spark, sf_dir, "documents")
+    name = F.md5(F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))))
+    root = f"{folder(spark)}/texts-{uuid.uuid4().hex}"
+    own.select(F.coalesce("text", F.lit("")).alias("value"), name.alias("folder")).write.partitionBy("folder").text(root)
+    found = list_files(spark, root).where("language = 'text'").withColumn("folder", F.regexp_extract("path", "^folder=([^/]*)/", 1))
+    return found.groupBy("folder").agg(F.sum("length").alias("bytes"), F.max("is_test").alias("any_test"))
+
+
+LISTED_SQL = """SELECT md5(coalesce(source, '') || '/' || coalesce(lang, '')) AS folder, sum(strlen(coalesce(text, '')) + 1)::BIGINT AS bytes, false AS any_test FROM documents GROUP BY 1"""
+
 QUERIES = {
     "token_estimate": token_estimate, "fixed_windows": fixed_windows, "token_chunks": token_chunks, "headings": headings, "paragraphs": paragraphs,
     "file_rebuild": file_rebuild, "json_key_rows": json_key_rows, "source_dedup": source_dedup, "integrity_gate": integrity_gate, "corpus_map": corpus_map_counts,
     "reading_order": reading_order, "directory_cards": directory_cards, "catalog_parents": catalog_parents, "line_rule_findings": line_rule_findings,
     "finding_cap": finding_cap, "redact_text": redact_text, "redact_urls": redact_urls, "mask_secret": mask_secret, "route_intent": route_intent,
-    "trace_steps": trace_steps, "scan_classify": scan_classify, "overview_cards": overview_cards, "reading_guide": reading_guide,
+    "trace_steps": trace_steps, "scan_classify": scan_classify, "listed_files": listed_files, "overview_cards": overview_cards, "reading_guide": reading_guide,
 }
 ORACLES = {
     "token_estimate": TOKEN_SQL, "fixed_windows": WINDOWS_SQL, "token_chunks": CHUNKS_SQL, "headings": HEADINGS_SQL, "paragraphs": PARAGRAPHS_SQL,
     "file_rebuild": REBUILD_SQL, "json_key_rows": JSON_SQL, "source_dedup": SOURCE_SQL, "integrity_gate": INTEGRITY_SQL, "corpus_map": MAP_SQL,
     "reading_order": READING_SQL, "directory_cards": CARDS_SQL, "catalog_parents": PARENTS_SQL, "line_rule_findings": FINDINGS_SQL,
     "finding_cap": CAP_SQL, "redact_urls": URLS_SQL, "mask_secret": MASK_SQL, "route_intent": ROUTE_SQL,
-    "trace_steps": TRACE_SQL, "scan_classify": SCAN_SQL, "overview_cards": OVERVIEW_SQL, "reading_guide": GUIDE_SQL,
+    "trace_steps": TRACE_SQL, "scan_classify": SCAN_SQL, "listed_files": LISTED_SQL, "overview_cards": OVERVIEW_SQL, "reading_guide": GUIDE_SQL,
 }
