@@ -11,7 +11,7 @@ from ..functions import text as X
 from ..operators import phrases
 from ..sources import publish
 from ..sources.corpus import chunks, questions, table
-from ..sources.shared import folder
+from ..sources.shared import folder, written
 
 
 def phrase_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,10 +29,11 @@ def first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions of two adjoining words of each document's start: hits by the joined word, which no text has, then by phrase."""
     own = chunks(spark, sf_dir)
     words = F.slice(phrases.phrase_tokens(F.col("content")), 1, 2)
-    asked = own.where(F.size(words) == 2).select(F.col("chunk_id").alias("query_id"), F.array_join(words, " ").alias("query")).where("query_id % 20 = 0")
+    some = own.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), words.alias("words"))
+    asked = written(some.where(F.size("words") == 2).select("query_id", F.array_join("words", " ").alias("query")), "phrase-questions")
     held = phrases.positions(own)
     joined = asked.select("query_id", F.replace("query", F.lit(" "), F.lit("")).alias("term"))
-    found = held.join(joined, "term").select("query_id", "snapshot_id", "chunk_id").distinct()
+    found = written(held.join(phrases.sent(joined, joined.count()), "term").select("query_id", "snapshot_id", "chunk_id").distinct(), "joined-hits")
     return phrases.retry_as_phrase(found, asked, held).select("query_id", "chunk_id", "channel")
 
 

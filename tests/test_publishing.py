@@ -73,6 +73,16 @@ def test_phrases_equal_a_scan(spark):
     assert found == sorted(expected)
 
 
+def test_tokens_that_begin_no_phrase_do_not_shuffle(spark):
+    chunks = spark.createDataFrame([("s", k, "the cat sat on the mat " * 9) for k in range(6)], "snapshot_id string, chunk_id int, content string")
+    asked = spark.createDataFrame([(1, "the cat"), (2, "the cat"), (3, "mat the"), (4, "on"), (5, "cat the"), (6, "the cat sat on the mat")], "query_id int, query string")
+    short = phrases.phrase_hits(asked.where("query_id < 6"), phrases.positions(chunks))
+    assert "hashpartitioning(term" not in short._jdf.queryExecution().toString()
+    found = phrases.phrase_hits(asked, phrases.positions(chunks))
+    rows = sorted((r["query_id"], r["chunk_id"], r["hits"], r["first"]) for r in found.collect())
+    assert rows == [(q, c, n, at) for q, n, at in ((1, 9, 0), (2, 9, 0), (3, 8, 5), (4, 9, 3), (6, 9, 0)) for c in range(6)]
+
+
 def test_each_overlap_once(spark):
     rnd = random.Random(6)
     make = lambda n: [(rnd.choice("ab"), k, *(lambda s: (s, s + rnd.choice([-1, 0, 3, 200])))(rnd.randrange(-100, 400))) for k in range(n)]
