@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from ..sources.shared import written
 from . import graph
 
 
@@ -137,7 +138,7 @@ def named_definitions(questions: DataFrame, symbols: DataFrame, units: DataFrame
     """
     term = X.symbol_term(F.col("query"))
     asked = questions.select("query_id", term.alias("query")).where(F.rlike("query", F.lit("[._]|^.+[A-Z]")))
-    hits = graph.symbol_lookup(asked, symbols, 20)
+    hits = written(graph.symbol_lookup(asked, symbols, 20), "named-symbols")
     rest = asked.join(hits.select("query_id").distinct(), "query_id", "left_anti")
     short = rest.where(F.contains("query", F.lit("."))).select("query_id", F.element_at(F.split("query", r"\."), -1).alias("query"))
     hits = hits.unionByName(graph.symbol_lookup(short, symbols, 20)).join(symbols.select("symbol", "unit_id"), "symbol")
