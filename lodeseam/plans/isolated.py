@@ -96,7 +96,7 @@ def bm25_indexed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _fields(spark, sf_dir)
     path = f"{folder(spark)}/index-{uuid.uuid4().hex}"
     lexical.build_index(own, path)
-    scored = lexical.bm25_indexed(R._terms(spark, sf_dir), path).join(own.select("snapshot_id", "chunk_id", "path"), ["snapshot_id", "chunk_id"])
+    scored = lexical.bm25_indexed_top(R._terms(spark, sf_dir), path, 50).join(own.select("snapshot_id", "chunk_id", "path"), ["snapshot_id", "chunk_id"])
     return lexical.two_stage_top_k(scored, F.lit(0.0), 10).select("snapshot_id", "query_id", "rank", "chunk_id", "path", "score")
 
 
