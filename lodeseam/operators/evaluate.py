@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from ..sources.shared import written
 from . import ranges
 
 
@@ -27,6 +34,44 @@ def rank_quality(ranked: DataFrame, gold: DataFrame, cuts: tuple[int, ...] = (5,
     )
 
 
+#: Bytes of questions that are sent to every task; more of them meet the chunks by shuffle.
+HELD_BYTES = 8 << 20
+
+
+def holders(questions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """query_id, item: chunks (chunk_id, content) that hold a question's (query_id, query) whole text; a null holds and asks nothing.
+
+    The longest word between two blanks of a question is a word between blanks wherever the question stands, so it finds the
+    candidates; a question without one is looked for everywhere.
+    """
+    words = F.split("query", " ")
+    inner = F.array_sort(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), lambda a, b: F.char_length(b) - F.char_length(a))
+    asked = questions.where("query is not null").select("query_id", "query", F.get(inner, F.lit(0)).alias("word"))
+    texts = chunks.where("content is not null").select(F.col("chunk_id").alias("item"), "content")
+    if (asked.agg(F.sum(F.octet_length("query") + 64)).first()[0] or 0) > HELD_BYTES:
+        held = F.contains("content", F.col("query"))
+        near = texts.select("item", F.explode(F.array_distinct(F.split("content", " "))).alias("word")).join(asked, "word").join(texts, "item").where(held)
+        return near.select("query_id", "item").unionByName(texts.join(asked.where("word is null"), held).select("query_id", "item")).distinct()
+    of_word: dict[str | None, list[tuple[object, str]]] = {}
+    for r in asked.collect():  # at most HELD_BYTES
+        of_word.setdefault(r["word"], []).append((r["query_id"], r["query"]))
+    anywhere = of_word.pop(None, [])
+    out = to_arrow_schema(T.StructType([T.StructField("query_id", asked.schema["query_id"].dataType), T.StructField("item", texts.schema["item"].dataType)]))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, places = [], []
+            for k, text in enumerate(batch["content"]):
+                text = text.as_py()
+                for q, query in chain(anywhere, *(of_word[w] for w in of_word.keys() & set(text.split(" ")))):
+                    if query in text:
+                        ids.append(q)
+                        places.append(k)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, out.field(0).type), batch["item"].take(pa.array(places, pa.int64())).cast(out.field(1).type)], schema=out)
+
+    return written(texts.mapInArrow(find, from_arrow_schema(out)).distinct(), "holders")
+
+
 def by_category(scores: DataFrame, category: str, measures: tuple[str, ...]) -> DataFrame:
     """Means per category and over all ('all'), in one pass."""
     grouped = scores.groupingSets([[category], []], category).agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(m), 9).alias(m) for m in measures], F.grouping(category).alias("_total"))

@@ -129,14 +129,8 @@ UNION ALL SELECT chunk_id, 'word', CASE WHEN symbol = '' THEN 0.0 WHEN regexp_ma
 
 
 def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query_id, item: documents that hold a question's whole text.
-
-    The longest of its terms finds candidates by an equi-join; the containment is checked on those alone.
-    """
-    corpus, asked = chunks(spark, sf_dir), questions(spark, sf_dir)
-    first = asked.select("query_id", "query", F.explode(F.slice(F.array_sort(X.index_tokens(F.col("query")), lambda a, b: F.char_length(b) - F.char_length(a)), 1, 1)).alias("term"))
-    words = corpus.select("chunk_id", F.explode(F.array_distinct(X.index_tokens(F.col("content")))).alias("term")).join(first, "term")
-    return words.join(corpus.select("chunk_id", "content"), "chunk_id").where(F.contains("content", F.col("query"))).select("query_id", F.col("chunk_id").alias("item")).distinct()
+    """query_id, item: documents that hold a question's whole text."""
+    return evaluate.holders(questions(spark, sf_dir), chunks(spark, sf_dir))
 
 
 _GOLD_SQL = "SELECT b.item_id AS query_id, d.doc_id AS item FROM benchmark b JOIN documents d ON contains(d.text, b.text)"

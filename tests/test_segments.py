@@ -55,3 +55,18 @@ def test_the_best_of_an_index_are_those_of_all_scores(spark, tmp_path):
             found = lexical.bm25_indexed_top(rows, str(tmp_path / "index"), 7)
             assert sorted(map(tuple, found.select(*best.columns).collect())) == sorted(map(tuple, best.collect()))
             assert sorted(map(tuple, lexical.bm25_top(rows, chunks, 7).select(*best.columns).collect())) == sorted(map(tuple, best.collect()))
+
+
+def test_scores_of_a_search_do_not_shuffle_postings(spark, monkeypatch):
+    texts = [" ".join(f"w{(k * j) % 11}" for j in range(1, k % 13)) for k in range(1500)]
+    chunks = spark.createDataFrame([("st"[k % 3 % 2], k, t) for k, t in enumerate(texts)], "snapshot_id string, chunk_id long, content string")
+    queries = spark.createDataFrame([(k, [f"w{j}" for j in range(k % 7 + 1)]) for k in range(30)], "query_id long, terms array<string>")
+    joined = []
+    monkeypatch.setattr(lexical, "_worth", lambda held, own=lexical._worth: joined.append(1) or own(held))
+    for least in (1, 4):
+        monkeypatch.setattr(lexical, "IDF_CELLS", 1_000_000)
+        found = sorted(map(tuple, lexical.bm25_top(queries, chunks, 7, least_terms=least).collect()))
+        assert found and not joined
+        monkeypatch.setattr(lexical, "SUMS", 50)  # a few chunks at a time
+        monkeypatch.setattr(lexical, "IDF_CELLS", 1)
+        assert found == sorted(map(tuple, lexical.bm25_top(queries, chunks, 7, least_terms=least).collect())) and joined.pop()
