@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.shared import written
+from ..sources.shared import dealt, written
 from .lexical import scope
 
 
@@ -150,6 +150,10 @@ def rerank_head(fused: DataFrame, score, head: int = 50) -> DataFrame:
     return fused.withColumn("reranked", F.row_number().over(order))
 
 
+#: Seeds that are sent to every task, at most; more of them meet the relations by shuffle.
+BROADCAST_SEEDS = 500_000
+
+
 def expand_one_hop(seeds: DataFrame, relations: DataFrame, limit: int) -> DataFrame:
     """Neighbours of seeds over resolved relations, either way: query_id, node, relation_id, kind, position, score.
 
@@ -159,10 +163,14 @@ def expand_one_hop(seeds: DataFrame, relations: DataFrame, limit: int) -> DataFr
     """
     key = scope(seeds)
     where = key[:-1]  # relations of several snapshots name theirs
-    out = relations.select(*where, "relation_id", "kind", F.col("source").alias("node"), F.col("target").alias("other"))
-    back = relations.select(*where, "relation_id", "kind", F.col("target").alias("node"), F.col("source").alias("other"))
-    reached = seeds.select(*key, "node").join(out.unionByName(back), [*where, "node"]).select(*key, F.col("other").alias("node"), "kind", "relation_id")
-    reached = reached.join(seeds.select(*key, "node"), [*key, "node"], "left_anti")
+    held = written(relations.select(*where, "relation_id", "kind", "source", "target"), "relations")
+    ends = lambda a, b: F.struct(F.col(a).alias("node"), F.col(b).alias("other"))
+    both = held.select(*where, "relation_id", "kind", F.explode(F.array(ends("source", "target"), ends("target", "source"))).alias("x")).select(*where, "relation_id", "kind", "x.*")
+    own = seeds.select(*key, "node")
+    if seeds.count() <= BROADCAST_SEEDS:
+        own = F.broadcast(own)
+    reached = both.join(own, [*where, "node"]).select(*key, F.col("other").alias("node"), "kind", "relation_id")
+    reached = dealt(reached.join(own, [*key, "node"], "left_anti"), held.count(), *key, "node")  # what a seed reaches, dealt by the number of relations
     first = reached.groupBy(*key, "node").agg(F.min(F.struct("kind", "relation_id")).alias("r"))
     order = Window.partitionBy(*key).orderBy("r.kind", "r.relation_id", "node")
     placed = first.withColumn("position", F.row_number().over(order)).where(F.col("position") <= limit)
