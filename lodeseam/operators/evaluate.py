@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 from pyspark.sql.window import Window
 
 from ..functions import text as X
-from ..sources.shared import written
+from ..sources.shared import dealt, written
 from . import ranges
 
 
@@ -308,16 +308,21 @@ def violations(rows: DataFrame, known: DataFrame | None = None, counters: tuple[
     tasks (benchmark_id, task_id), unknown_task and missing_task.
     """
     key = ["benchmark_id", "task_id"]
-    out = rows.groupBy(*key, "mode").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit("duplicate_row").alias("code"), *key)
-    modes = rows.groupBy(*key).agg(F.collect_set("mode").alias("m")).where(~(F.array_contains("m", "baseline") & F.array_contains("m", "treatment")))
-    out = out.unionByName(modes.select(F.lit("missing_cohort").alias("code"), *key))
+    n = rows.count()
+    modes = dealt(rows.select(*key, "mode"), n, *key).groupBy(*key, "mode").agg(F.count(F.lit(1)).alias("n"))
+    tasks = modes.groupBy(*key).agg(F.collect_set("mode").alias("m"), F.sum((F.col("n") > 1).cast("long")).alias("twice"))
+    has, codes = F.col("twice").isNotNull(), [F.array_repeat(F.lit("duplicate_row"), F.coalesce("twice", F.lit(0)).cast("int"))]
+    lacking = has & ~(F.array_contains("m", "baseline") & F.array_contains("m", "treatment"))
+    met = [(lacking, "missing_cohort")]
+    if known is not None:
+        tasks = tasks.join(dealt(known.select(*key), n, *key).distinct().withColumn("_known", F.lit(True)), key, "full_outer")
+        met += [(F.col("_known").isNull(), "unknown_task"), (~has, "missing_task")]
+    codes.append(F.filter(F.array(*[F.when(some, F.lit(code)) for some, code in met]), lambda c: c.isNotNull()))
+    out = tasks.select(F.explode(F.concat(*codes)).alias("code"), *key)
     for c in counters:
         out = out.unionByName(rows.where(F.coalesce(F.col(c), F.lit(-1)) < 0).select(F.lit(f"negative_or_missing_{c}").alias("code"), *key))
     if path is not None:
         out = out.unionByName(rows.where(F.col(path).isNotNull() & X.safe_path(F.col(path)).isNull()).select(F.lit("unsafe_path").alias("code"), *key))
-    if known is not None:
-        out = out.unionByName(rows.select(*key).distinct().join(known, key, "left_anti").select(F.lit("unknown_task").alias("code"), *key))
-        out = out.unionByName(known.select(*key).distinct().join(rows, key, "left_anti").select(F.lit("missing_task").alias("code"), *key))
     return out
 
 

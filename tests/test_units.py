@@ -56,3 +56,44 @@ def test_dealt_rows_of_a_task_do_not_grow(spark):
     rows = spark.range(100)
     assert shared.dealt(rows, 100, "id").rdd.getNumPartitions() == 8
     assert shared.dealt(rows, 36_000_000, "id").rdd.getNumPartitions() == 180
+
+
+def test_what_grows_with_relations_grows_in_tasks(spark, monkeypatch):
+    from lodeseam.operators import evaluate, fusion
+    from lodeseam.sources import shared
+
+    asked = []
+    for module in (evaluate, fusion):
+        monkeypatch.setattr(module, "dealt", lambda df, rows, *keys: asked.append((rows, keys)) or shared.dealt(df, rows, *keys))
+    monkeypatch.setattr(shared, "TASK_ROWS", 5)
+    relations = spark.createDataFrame([(f"r{k:03}", "calls", f"s{k % 9}", f"p{k}") for k in range(90)], "relation_id string, kind string, source string, target string")
+    seeds = spark.createDataFrame([(k % 2, f"s{k}", 1.0) for k in range(8)], "query_id int, node string, score double")
+    expected = [(q, f"p{k}", f"r{k:03}", n) for q in (0, 1) for n, k in enumerate([k for k in range(90) if k % 9 < 8 and k % 9 % 2 == q][:5], 1)]
+    for most in (500_000, 0):
+        monkeypatch.setattr(fusion, "BROADCAST_SEEDS", most)
+        found = fusion.expand_one_hop(seeds, relations, 5).select("query_id", "node", "relation_id", "position")
+        assert sorted(map(tuple, found.collect())) == sorted(expected)
+    assert asked.pop() == (90, ("query_id", "node"))
+    rows = [("b", 1, "baseline"), ("b", 1, "treatment"), ("b", 2, "baseline"), ("b", 2, "baseline"), ("b", 2, None), ("b", 2, None), ("c", None, "treatment")]
+    known = spark.createDataFrame([("b", 1), ("b", 1), ("b", 4), (None, 5)], "benchmark_id string, task_id int")
+    frame = spark.createDataFrame(rows, "benchmark_id string, task_id int, mode string")
+    found = sorted(map(str, map(tuple, evaluate.violations(frame, known).collect())))
+    assert found == sorted(map(str, [
+        ("duplicate_row", "b", 2), ("duplicate_row", "b", 2), ("missing_cohort", "b", 2), ("missing_cohort", "c", None), ("unknown_task", "b", 2), ("unknown_task", "c", None), ("missing_task", "b", 4), ("missing_task", None, 5),
+    ]))
+    assert asked[-2:] == 2 * [(7, ("benchmark_id", "task_id"))]
+
+
+def test_group_coverage_is_dealt_by_its_rows(spark, monkeypatch):
+    import os
+
+    import pytest
+
+    from lodeseam.plans import places
+    from lodeseam.sources import shared
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no tables here")
+    monkeypatch.setattr(shared, "TASK_ROWS", 500)
+    found = places.group_coverage(spark, "/root/testdata/sf0.001")
+    assert found.rdd.getNumPartitions() > 8
