@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import text as X
 from ..operators import chunking, evaluate, locate, semantic
 from ..sources import corpus
+from ..sources.shared import dealt
 from ..sources.corpus import chunks, questions, table
 from . import corpus as units
 from . import retrieval
@@ -198,6 +199,7 @@ PAGE_SQL = "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%e%' ORDER BY
 def group_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as tasks: a group (line number parity) is covered if any of its ship dates lies within 30 days of the order date."""
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_linenumber") % 2).alias("group"), "l_shipdate")
+    items = dealt(items, items.count(), "l_orderkey")  # the join and both groupings stay in these tasks
     joined = items.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate"), "l_orderkey")
     hit = F.col("l_shipdate").cast("date").between(F.col("o_orderdate").cast("date"), F.date_add(F.col("o_orderdate").cast("date"), 30))
     groups = joined.groupBy("l_orderkey", "group").agg(F.bool_or(hit).alias("covered"))
