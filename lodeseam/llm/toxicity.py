@@ -45,9 +45,12 @@ SAMPLE = {1: 3000, 0: 6000}
 SAMPLE_CHARS = 60_000
 #: Characters of all texts of a label together that the fit takes: in order of draw, until they are used up.
 TOTAL_CHARS = 30_000_000
-#: Settings tried: bytes of the toxic and of the ordinary dictionary, and the log odds, in standard errors, from which on a
-#: run of characters marks a word.  The setting that ranks the documents kept from the dictionaries best is used.
-SETTINGS = ((6144, 32768, 5.0), (6144, 32768, 4.0), (6144, 32768, 3.5))
+#: Settings tried: bytes of the toxic and of the ordinary dictionary, and the log odds beyond COMMONER, in standard errors,
+#: from which on a run of characters marks a word.  The setting that ranks the documents kept from the dictionaries best is used.
+SETTINGS = ((6144, 32768, 5.0), (6144, 32768, 3.5), (6144, 32768, 2.5))
+#: How many times as common in toxic documents a run has to be before any log odds count: toxic documents may be longer than
+#: others, or fewer of them empty, which makes ordinary runs commoner too, with little error where documents are many.
+COMMONER = 2
 #: Characters of a run, and toxic documents it occurs in, at least.
 GRAM, MIN_DOCS = 5, 4
 #: Samples of the ordinary dictionary, at most; they are shuffled first.
@@ -165,7 +168,7 @@ def fit(rows: list[tuple[int, str, int]], weight: dict[int, float], prior: float
     def z(gram: bytes) -> float:
         a, b = docs[1][gram], docs[0][gram]
         odds = math.log((a + 0.5) / (n[1] - a + 0.5)) - math.log((b + 0.5) / (n[0] - b + 0.5))
-        return odds / math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+        return (odds - math.log(COMMONER)) / math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
 
     odds = {g: z(g) for g, a in docs[1].items() if a >= MIN_DOCS}
     del docs, known
