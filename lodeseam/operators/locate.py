@@ -136,7 +136,7 @@ def symbol_matches(questions: DataFrame, symbols: DataFrame, relations: DataFram
     A symbol that shares ``least`` of a question's terms shares one of its rarest, all but ``least`` - 1: only those are
     joined, and the others are counted in the pairs that are found.
     """
-    own = symbols.where(F.col("kind").isin("function", "method", "class"))
+    own = written(symbols.where(F.col("kind").isin("function", "method", "class")).select("symbol", "name", "qualified", "kind"), "symbols")  # each way of matching reads them
     parts = F.transform(F.split("qualified", r"\."), lambda p: F.lower(p))
     named = own.select("symbol", F.array_distinct(identifier_terms(F.concat_ws(" ", "name", "qualified"))).alias("own_terms"))
     terms = named.select("symbol", F.explode("own_terms").alias("term"))
@@ -248,7 +248,7 @@ def locate(questions: DataFrame, candidates: DataFrame, symbols: DataFrame, rela
     asked = questions.select("query_id", location_terms(F.col("query")).alias("terms"), hints(F.col("query")).alias("hints"))
     best = candidates.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
     own = units.withColumnRenamed("unit_id", "chunk_id")
-    rows = best.join(own, "chunk_id").join(asked.select("query_id", "terms"), "query_id")
+    rows = written(best.join(own, "chunk_id").join(asked.select("query_id", "terms"), "query_id"), "location-rows")  # units that were retrieved, read by every step
     whole = structural_locations(rows)
     loose = rows.where(~F.coalesce(F.col("kind").isin("function", "method"), F.lit(False)))
     cut = windows(loose).join(loose.select("query_id", "chunk_id", "path", "kind", "symbol", F.col("score").alias("_s")), ["query_id", "chunk_id"])
@@ -262,7 +262,7 @@ def locate(questions: DataFrame, candidates: DataFrame, symbols: DataFrame, rela
         "qualified", "exact", "class_hit", "method_hit", "symbol_hit", "corroborated", F.col("exact").alias("coverage"),
     )
     every = found.unionByName(more).withColumn("compactness", 1 / F.greatest(F.col("end_line") - F.col("start_line") + 1, F.lit(1)))
-    ranked = location_labels(location_rank(every))
+    ranked = written(location_labels(location_rank(every)), "location-ranks")
     chosen = drop_overlaps(ranked, limit, 2, 3 if limit >= 6 else 2).select("query_id", F.col("rank").alias("_at"))
     kept = ranked.join(chosen, (ranked["query_id"] == chosen["query_id"]) & (F.col("rank") == F.col("_at")), "left_semi")
     order = Window.partitionBy("query_id").orderBy("rank")
