@@ -145,7 +145,8 @@ def capture_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
         one = q.agg(*[F.round(F.avg(m), 9).alias(m) for m in ("recall_5", "recall_10", "reciprocal_rank")])
         return one.selectExpr("stack(3, 'recall_5', recall_5, 'recall_10', recall_10, 'reciprocal_rank', reciprocal_rank) as (metric, v)").withColumnRenamed("v", name)
 
-    before, after = means(retrieval.bm25_or_topk(spark, sf_dir), "before"), means(retrieval.bm25_cooccur_topk(spark, sf_dir), "after")
+    any_term, cooccurring = retrieval.bm25_both_topk(spark, sf_dir)
+    before, after = means(any_term, "before"), means(cooccurring, "after")
     return before.join(after, "metric").withColumn("change", F.round(F.col("after") - F.col("before"), 6))
 
 

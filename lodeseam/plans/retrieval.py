@@ -71,20 +71,27 @@ def _cooccurring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain.select("query_id", F.slice(X.meaningful_terms(X.query_terms(F.col("query"))), 1, 8).alias("terms"))
 
 
-def _ranked(spark: SparkSession, sf_dir: str, terms: DataFrame, least: int) -> DataFrame:
+def _ranked(spark: SparkSession, sf_dir: str, *searches: tuple[DataFrame, int]) -> list[DataFrame]:
+    """The ten best chunks of each search (terms, least); the documents are read once for all of them."""
     corpus = chunks(spark, sf_dir)
-    scored = lexical.bm25_top(terms, corpus, 250, least_terms=least).join(corpus.select("snapshot_id", "chunk_id", "path"), ["snapshot_id", "chunk_id"])
-    return lexical.two_stage_top_k(scored, F.lit(0.0), K)
+    paths = corpus.select("snapshot_id", "chunk_id", "path")
+    found = [scored.join(paths, ["snapshot_id", "chunk_id"]) for scored in lexical.bm25_tops(list(searches), corpus, 250)]
+    return [lexical.two_stage_top_k(scored, F.lit(0.0), K).select("query_id", "rank", "chunk_id", "path", "score") for scored in found]
 
 
 def bm25_or_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best chunks of each question under field-weighted BM25, any term."""
-    return _ranked(spark, sf_dir, _terms(spark, sf_dir), 1).select("query_id", "rank", "chunk_id", "path", "score")
+    return _ranked(spark, sf_dir, (_terms(spark, sf_dir), 1))[0]
 
 
 def bm25_cooccur_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As bm25_or_topk where four of the first eight meaningful terms must occur."""
-    return _ranked(spark, sf_dir, _cooccurring(spark, sf_dir), 4).select("query_id", "rank", "chunk_id", "path", "score")
+    return _ranked(spark, sf_dir, (_cooccurring(spark, sf_dir), 4))[0]
+
+
+def bm25_both_topk(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """bm25_or_topk and bm25_cooccur_topk from one reading of the documents."""
+    return _ranked(spark, sf_dir, (_terms(spark, sf_dir), 1), (_cooccurring(spark, sf_dir), 4))
 
 
 def _bm25_sql(asked: str, least: int) -> str:
