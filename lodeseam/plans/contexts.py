@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import context, evaluate
+from ..operators import context, evaluate, phrases
 from ..sources.corpus import chunks, questions, table
+from ..sources.shared import written
 from . import retrieval
 
 
@@ -40,8 +41,10 @@ def merge_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = questions(spark, sf_dir).select("query_id", context.question_terms(F.col("query")).alias("terms"))
     kinds = F.array(F.array(F.lit("impact")), F.array(F.lit("test")), F.array(F.lit("behavior")), F.expr("cast(array() as array<string>)"))
     shape = lambda df, origin: df.select("query_id", "chunk_id", "path", F.col("rank").alias("ord"), F.lit(origin).alias("origin"))
-    both = shape(retrieval.bm25_or_topk(spark, sf_dir), "primary").unionByName(shape(retrieval.bm25_cooccur_topk(spark, sf_dir), "phrase"))
-    text = chunks(spark, sf_dir).select("chunk_id", context.identifier_terms(F.col("content")).alias("own"))
+    any_term, cooccurring = retrieval.bm25_both_topk(spark, sf_dir)
+    both = written(shape(any_term, "primary").unionByName(shape(cooccurring, "phrase")), "merge-candidates")
+    found = phrases.sent(both.select("chunk_id").distinct(), both.count())  # only texts of candidates are cut into terms, and none shuffles
+    text = chunks(spark, sf_dir).join(found, "chunk_id", "left_semi").select("chunk_id", context.identifier_terms(F.col("content")).alias("own"))
     rows = both.join(asked, "query_id").join(text, "chunk_id").select(
         "query_id", "chunk_id", "path", "ord", "origin", F.element_at(kinds, (F.col("query_id") % 4 + 1).cast("int")).alias("intents"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"),
         F.size(F.array_intersect("terms", "own")).alias("overlap"), (F.col("chunk_id") % 3 == 0).alias("is_impact"), (F.col("chunk_id") % 2 == 0).alias("is_definition"),

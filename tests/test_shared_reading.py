@@ -1,7 +1,7 @@
 """Texts are read once for all that is asked of them."""
 
 from lodeseam.operators import lexical
-from lodeseam.plans import places
+from lodeseam.plans import contexts, places
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,3 +34,8 @@ def test_searches_share_the_counted_terms(spark, monkeypatch):
 def test_a_comparison_counts_terms_once(spark, monkeypatch):
     calls = _counted(monkeypatch)
     assert places.capture_comparison(spark, SF).count() == 3 and len(calls) == 1
+
+
+def test_merge_slots_cuts_texts_of_candidates_only(spark):
+    plan = contexts.merge_slots(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan  # what keeps the candidates stands before their texts are cut
