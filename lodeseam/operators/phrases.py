@@ -48,8 +48,8 @@ def phrase_hits(queries: DataFrame, held: DataFrame) -> DataFrame:
 
     ``queries``: query_id, query, and snapshot_id if only that one is asked; ``held``: as ``positions`` gives it.  Equal phrases
     are searched once.  A phrase enters by its rarest pair of adjoining tokens (or its only token): the pairs asked for are sent
-    to the tokens, so of those only places that begin a phrase shuffle, and the others are checked in their chunks alone.  A
-    query without tokens has no hits.
+    to the tokens, whose places are written; of those only places that begin a phrase shuffle, and the others are checked in
+    their chunks alone.  A query without tokens has no hits.
     """
     key = scope(queries)
     where = key[:-1]
@@ -63,11 +63,12 @@ def phrase_hits(queries: DataFrame, held: DataFrame) -> DataFrame:
     rarest = pairs
     if (seen["longest"] or 0) > 2:
         wanted = sent(pairs.select("term", "next").distinct(), seen["tokens"])
-        known = held.join(wanted, ["term", "next"], "left_semi")
+        # places of pairs that some phrase has: the texts are cut once, whatever follows reads these
+        known = written(held.join(wanted, ["term", "next"], "left_semi").select("snapshot_id", "chunk_id", "position", "term", "next"), "phrase-places")
         count = known.groupBy("term", "next").agg(F.count(F.lit(1)).alias("n"))
         best = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "at", "term", "next")).alias("best")
         rarest = written(pairs.join(count, ["term", "next"], "left").groupBy(*where, "lead", "of").agg(best).where("best.n > 0").select(*where, "lead", "of", "best.*").drop("n"), "rarest-pairs")
-    starts = held.join(sent(rarest, seen["n"]), [*where, "term", "next"]).select(*place).where("start >= 0")
+    starts = (known if (seen["longest"] or 0) > 2 else held).join(sent(rarest, seen["n"]), [*where, "term", "next"]).select(*place).where("start >= 0")
     if (seen["longest"] or 0) > 2:
         starts = written(starts, "phrase-starts")
         # a start is kept if each pair stands where it has to: equal keys on both sides, no pairs of places

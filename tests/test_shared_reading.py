@@ -1,6 +1,6 @@
 """Texts are read once for all that is asked of them."""
 
-from lodeseam.operators import lexical
+from lodeseam.operators import lexical, phrases
 from lodeseam.plans import contexts, places
 
 SF = "/root/testdata/sf0.001"
@@ -39,3 +39,18 @@ def test_a_comparison_counts_terms_once(spark, monkeypatch):
 def test_merge_slots_cuts_texts_of_candidates_only(spark):
     plan = contexts.merge_slots(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in plan  # what keeps the candidates stands before their texts are cut
+
+
+def test_phrases_cut_every_text_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    texts = spark.createDataFrame([("s", k, f"one two three four w{k % 7} five six") for k in range(50)], "snapshot_id string, chunk_id bigint, content string")
+    asked = spark.createDataFrame([(1, "two three four"), (2, "w3 five six"), (3, "six one two")], "query_id int, query string")
+    held = phrases.positions(texts.mapInArrow(seen, texts.schema))
+    found = sorted((r["query_id"], r["chunk_id"], r["hits"], r["first"]) for r in phrases.phrase_hits(asked, held).collect())
+    assert found == [(1, k, 1, 1) for k in range(50)] + [(2, k, 1, 4) for k in range(3, 50, 7)] and read.value == 50
