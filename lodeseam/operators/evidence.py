@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
-from ..sources.shared import written
+from ..sources.shared import dealt, written
 from . import graph
 
 
@@ -105,29 +105,26 @@ def merge_specialists(existing: DataFrame, additions: DataFrame, most: int = 3)
 
     Both: query_id, chunk_id, path, start_line, end_line, priority, score, content.  Additions go by priority, score and
     path, the first of each path before all others; those without path or content are passed over.  An addition that is
-    there already takes no slot; it replaces the row if its priority is higher.
+    there already takes no slot; it replaces the row if its priority is higher.  All of a query's rows meet once.
     """
-    key = ["query_id", "chunk_id", "path", "start_line", "end_line"]
-    best = Window.partitionBy("query_id").orderBy(F.desc("priority"), F.desc("score"), "path", "chunk_id", "start_line", "end_line")
-    rows = additions.where((F.coalesce(F.trim("path"), F.lit("")) != "") & (F.coalesce(F.trim("content"), F.lit("")) != "")).withColumn("_n", F.row_number().over(best))
-    rows = rows.withColumn("_same", F.row_number().over(Window.partitionBy(*key).orderBy("_n"))).where("_same = 1")
-    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("query_id", "path").orderBy("_n")))
-    mine = existing.select(*key, F.col("priority").alias("_priority"))
-    same = F.lit(True)
-    left, right = rows.alias("l"), mine.alias("r")
-    for c in key:
-        same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
-    seen = left.join(right, same, "left").select("l.*", F.col("r.query_id").isNotNull().alias("_seen"), "_priority")
-    upgrade = seen.where(F.col("_seen") & (F.col("priority") > F.coalesce("_priority", F.lit(0))))
-    order = Window.partitionBy("query_id").orderBy(F.when(F.col("_k") == 1, 0).otherwise(1), "_n")
-    added = seen.where(~F.col("_seen")).withColumn("_slot", F.row_number().over(order)).where(F.col("_slot") <= most)
-    columns = existing.columns
-    left, right = existing.alias("l"), upgrade.select(*key).alias("r")
-    same = F.lit(True)
-    for c in key:
-        same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
-    kept = left.join(right, same, "left_anti").select(*columns)
-    return kept.unionByName(upgrade.select(*columns)).unionByName(added.select(*columns))
+    columns, key = existing.columns, ["query_id", "chunk_id", "path", "start_line", "end_line"]
+    within = lambda *by: Window.partitionBy("query_id", *by)
+    best = [F.desc("priority"), F.desc("score"), "path", "chunk_id", "start_line", "end_line"]
+    some = additions.where((F.coalesce(F.trim("path"), F.lit("")) != "") & (F.coalesce(F.trim("content"), F.lit("")) != ""))
+    both = existing.withColumn("_new", F.lit(False)).unionByName(some.select(*columns).withColumn("_new", F.lit(True)))
+    rows = dealt(both, existing.count() + additions.count(), "query_id")
+    # rows of a place side by side, its best addition first; the others of its additions go
+    place, first = within(*key[1:]), within(*key[1:]).orderBy(F.desc("_new"), *best[:2])
+    rows = rows.withColumn("_r", F.row_number().over(first)).withColumn("_add", F.first(F.when(F.col("_new"), F.struct(*columns))).over(first))
+    rows = rows.withColumn("_seen", F.bool_or(~F.col("_new")).over(place)).where(~F.col("_new") | (F.col("_r") == 1))
+    rows = rows.withColumn("_up", F.coalesce(~F.col("_new") & (F.col("_add.priority") > F.coalesce("priority", F.lit(0))), F.lit(False)))
+    rows = rows.withColumn("_any", F.bool_or("_up").over(place))
+    rows = rows.withColumn("_k", F.row_number().over(within("_new", "path").orderBy(*best)))
+    rows = rows.withColumn("_free", F.col("_new") & ~F.col("_seen"))
+    rows = rows.withColumn("_slot", F.row_number().over(within("_free").orderBy(F.when(F.col("_k") == 1, 0).otherwise(1), *best)))
+    mine = ~F.col("_new") & (F.col("_up") | ~F.col("_any"))
+    kept = rows.where(mine | (F.col("_free") & (F.col("_slot") <= most)))
+    return kept.select(*[F.when(F.col("_up"), F.col("_add")[c]).otherwise(F.col(c)).alias(c) for c in columns])
 
 
 def named_definitions(questions: DataFrame, symbols: DataFrame, units: DataFrame) -> DataFrame:
